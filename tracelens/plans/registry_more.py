@@ -1,0 +1 @@
+"""Further registered queries (behaviour, sessions, search, hosts, CLI, parsing)."""
