@@ -40,12 +40,14 @@ def units_to_usd(units: Column) -> Column:
 
 def units_to_e4(units: Column) -> Column:
     """Round to 1e-4 USD, half away from zero, like ``numeric(10,4)``; BIGINT result."""
-    return F.floor((units + F.lit(5000)) / F.lit(10000)).cast("long")
+    x = units + F.lit(5000)
+    return ((x - F.pmod(x, F.lit(10000))) / F.lit(10000)).cast("long")
 
 
 def units_to_e2(units: Column) -> Column:
     """Round to cents, like ``numeric(10,2)``; BIGINT result."""
-    return F.floor((units + F.lit(500000)) / F.lit(1000000)).cast("long")
+    x = units + F.lit(500000)
+    return ((x - F.pmod(x, F.lit(1000000))) / F.lit(1000000)).cast("long")
 
 
 def token_cost(

@@ -161,6 +161,12 @@ c_sagg AS (
     min(host) AS host
   FROM c_ej GROUP BY session_id
 ),
+c_hooks AS (
+  SELECT 'u' || CAST(user_id AS VARCHAR) || '-' || strftime(ts, '%Y%m%d') AS session_id, ts AS timestamp,
+    CASE event_type WHEN 'signup' THEN 'active' WHEN 'purchase' THEN 'ended' WHEN 'error' THEN 'ended' END AS status
+  FROM events
+),
+c_live AS (SELECT session_id, arg_max(status, timestamp) AS status FROM c_hooks WHERE status IS NOT NULL GROUP BY session_id),
 c_sessions AS (
   SELECT s.session_id, s.project_path, s.started_at, s.ended_at,
     CAST((epoch_us(s.ended_at) - epoch_us(s.started_at) + 500000) // 1000000 AS INTEGER) AS duration_sec,
@@ -168,9 +174,32 @@ c_sessions AS (
     s.git_branch, s.cc_version, s.models_used,
     s.total_input_tokens, s.total_output_tokens, s.total_cache_creation, s.total_cache_read,
     CAST((s.cost_units + 5000) // 10000 AS BIGINT) AS cost_e4,
-    s.first_user_prompt, 'ended' AS status, s.host
+    s.first_user_prompt, CASE WHEN lv.status = 'active' THEN 'active' ELSE 'ended' END AS status, s.host
   FROM c_sagg s
   LEFT JOIN (SELECT session_id, count(*) AS n FROM c_tool_calls GROUP BY session_id) t USING (session_id)
+  LEFT JOIN c_live lv USING (session_id)
+),
+c_outcomes AS (
+  SELECT CASE WHEN user_id % 4 = 0 THEN 'local' ELSE 'h' || CAST(user_id % 4 AS VARCHAR) END AS host, ts AS timestamp,
+    CASE WHEN event_type IN ('error', 'click') THEN 'error' WHEN event_type = 'view' THEN 'empty' ELSE 'non-empty' END AS kind,
+    CASE WHEN event_type IN ('error', 'click') THEN 'pull failed: event ' || CAST(event_id AS VARCHAR) END AS message
+  FROM events
+),
+c_marks AS (
+  SELECT host, max(timestamp) FILTER (WHERE kind <> 'error') AS ls, max(timestamp) FILTER (WHERE kind = 'non-empty') AS ln,
+         max(timestamp) FILTER (WHERE kind = 'error') AS last_error_at
+  FROM c_outcomes GROUP BY host
+),
+c_host_sync_state AS (
+  SELECT o.host, m.ls AS last_pulled_at, m.ln AS last_had_data_at,
+    CAST(CASE count(*) FILTER (WHERE o.kind = 'empty' AND (m.ln IS NULL OR o.timestamp > m.ln))
+         WHEN 0 THEN 3 WHEN 1 THEN 6 ELSE 12 END AS INTEGER) AS current_interval_hours,
+    CAST(count(*) FILTER (WHERE o.kind = 'empty' AND (m.ln IS NULL OR o.timestamp > m.ln)) AS INTEGER) AS consecutive_empty_pulls,
+    arg_max(o.message, o.timestamp) FILTER (WHERE o.kind = 'error' AND (m.ls IS NULL OR o.timestamp > m.ls)) AS last_error,
+    m.last_error_at,
+    CAST(count(*) FILTER (WHERE o.kind = 'error' AND (m.ls IS NULL OR o.timestamp > m.ls)) AS INTEGER) AS consecutive_errors
+  FROM c_outcomes o JOIN c_marks m USING (host)
+  GROUP BY o.host, m.ls, m.ln, m.last_error_at
 ),
 c_usage_daily AS (
   SELECT date_trunc('day', m.timestamp) AS day, m.host, s.project_path, m.model,

@@ -14,21 +14,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import derive
 from ..session import use_utc
-from ..sources.driver import bind
+from ..operators.liveness import apply_liveness, session_liveness
+from ..sources.driver import bind, hook_events, pull_outcomes
 from ..sources.pricing import model_pricing
 
 
 class Catalog:
     def __init__(self, spark: SparkSession, *, events=None, messages=None, tool_uses=None,
                  tool_results=None, tool_calls=None, sessions=None, usage_daily=None,
-                 pricing=None, host_sync_state=None, bound=None):
+                 pricing=None, host_sync_state=None, hooks=None, bound=None):
         use_utc(spark)
         self.spark = spark
         self._bound = bound
         self._given = dict(events=events, messages=messages, tool_uses=tool_uses,
                            tool_results=tool_results, tool_calls=tool_calls, sessions=sessions,
                            usage_daily=usage_daily, pricing=pricing,
-                           host_sync_state=host_sync_state)
+                           host_sync_state=host_sync_state, hooks=hooks)
 
     @classmethod
     def from_driver(cls, spark: SparkSession, sf_dir: str) -> "Catalog":
@@ -71,12 +72,20 @@ class Catalog:
     def tool_calls(self) -> DataFrame:
         return self._get("tool_calls", lambda: derive.pair_tool_calls(self.tool_uses, self.tool_results))
 
+    @property
+    def hooks(self) -> DataFrame | None:
+        sf = getattr(self, "sf_dir", None)
+        return self._get("hooks", lambda: hook_events(self.spark, sf) if sf else None)
+
     @property
     def sessions(self) -> DataFrame:
-        return self._get(
-            "sessions",
-            lambda: derive.rollup_sessions(self.events, self.messages, self.tool_calls, self.pricing),
-        )
+        def build():
+            s = derive.rollup_sessions(self.events, self.messages, self.tool_calls, self.pricing)
+            if self.hooks is not None:
+                s = apply_liveness(s, session_liveness(self.hooks))
+            return s
+
+        return self._get("sessions", build)
 
     @property
     def usage_daily(self) -> DataFrame:
@@ -84,9 +93,9 @@ class Catalog:
 
     @property
     def host_sync_state(self) -> DataFrame:
-        from ..operators.hosts import host_sync_health, pull_outcomes_from_driver
+        from ..operators.hosts import host_sync_health
 
         return self._get(
             "host_sync_state",
-            lambda: host_sync_health(pull_outcomes_from_driver(self.spark, self.sf_dir)),
+            lambda: host_sync_health(pull_outcomes(self.spark, self.sf_dir)),
         )

@@ -1 +1,229 @@
-"""Further registered queries (behaviour, sessions, search, hosts, CLI, parsing)."""
+"""Registered queries beyond the cost page: behaviour, sessions, hosts, CLI."""
+
+from __future__ import annotations
+
+import datetime as dt
+
+from . import behavior, cli, cost, hosts, sessions
+from .registry import HOSTS, NOW, P, W, between, cat, hosts_sql, register
+
+SINCE = dt.datetime(2024, 1, 15)
+
+
+def T(d):
+    return f"TIMESTAMP '{d.strftime('%Y-%m-%d %H:%M:%S.%f')}'"
+
+
+# ---------------------------------------------------------------- Q5 active sessions
+register("q05_active_sessions", """
+SELECT session_id, project_path, started_at,
+       (SELECT count(*) FROM c_sessions WHERE status = 'active') AS active_count
+FROM c_sessions WHERE status = 'active'
+ORDER BY started_at DESC NULLS FIRST, session_id LIMIT 3
+""")(lambda spark, sf: cost.active_sessions(cat(spark, sf)))
+
+# ---------------------------------------------------------------- Q12 tool error rate
+register("q12_tool_error_rate", f"""
+SELECT strftime(CAST(timestamp AS DATE), '%Y-%m-%d') AS day, count(*) AS calls,
+       count(*) FILTER (WHERE is_error) AS errors,
+       round(CASE WHEN count(*) > 0 THEN CAST(count(*) FILTER (WHERE is_error) AS DOUBLE) / count(*) ELSE 0.0 END, 6) AS error_rate
+FROM c_tool_calls WHERE {between('timestamp', W)} GROUP BY 1
+""")(lambda spark, sf: behavior.tool_error_rate(cat(spark, sf), W))
+
+# ---------------------------------------------------------------- Q13 latency
+register("q13_latency_percentiles", f"""
+, m AS (SELECT uuid, session_id, timestamp, role FROM c_messages WHERE {between('timestamp', W)} AND NOT is_sidechain),
+p AS (SELECT CAST(timestamp AS DATE) AS d, role, timestamp,
+             lead(role) OVER w AS next_role, lead(timestamp) OVER w AS next_ts
+      FROM m WINDOW w AS (PARTITION BY session_id ORDER BY timestamp, uuid)),
+g AS (SELECT d, CAST(epoch_us(next_ts) - epoch_us(timestamp) AS DOUBLE) / 1000000 AS gap
+      FROM p WHERE role = 'user' AND next_role = 'assistant' AND next_ts IS NOT NULL)
+SELECT strftime(d, '%Y-%m-%d') AS day, round(quantile_cont(gap, 0.5), 4) AS p50_sec,
+       round(quantile_cont(gap, 0.95), 4) AS p95_sec
+FROM g WHERE gap < 600 GROUP BY d
+""")(lambda spark, sf: behavior.latency_percentiles(cat(spark, sf), W))
+
+# ---------------------------------------------------------------- Q14 sub-agent histogram
+register("q14_subagent_histogram", f"""
+, c AS (SELECT least(subagent_count, 6) AS bucket, count(*) AS n FROM c_sessions
+        WHERE {between('started_at', W)} AND subagent_count IS NOT NULL GROUP BY 1)
+SELECT CAST(g.i AS INTEGER) AS bucket, CAST(coalesce(c.n, 0) AS BIGINT) AS n FROM range(7) g(i) LEFT JOIN c ON c.bucket = g.i
+""")(lambda spark, sf: behavior.subagent_histogram(cat(spark, sf), W))
+
+# ---------------------------------------------------------------- Q15 token velocity
+register("q15_token_velocity", f"""
+SELECT session_id, started_at,
+       round(CAST(total_input_tokens + total_output_tokens AS DOUBLE) / duration_sec, 6) AS tokens_per_sec,
+       CAST(cost_e4 AS DOUBLE) / 10000 AS cost
+FROM c_sessions WHERE {between('started_at', W)} AND duration_sec IS NOT NULL AND duration_sec > 0
+""")(lambda spark, sf: behavior.token_velocity(cat(spark, sf), W))
+
+# ---------------------------------------------------------------- Q16 cache hit by model
+register("q16_cache_hit_by_model", f"""
+SELECT model, round(CASE WHEN sum(input_tokens + cache_read_tokens) > 0
+                         THEN CAST(sum(cache_read_tokens) AS DOUBLE) / CAST(sum(input_tokens + cache_read_tokens) AS DOUBLE)
+                         ELSE 0.0 END, 6) AS hit_pct
+FROM c_messages WHERE {between('timestamp', W)} AND role = 'assistant' AND model IS NOT NULL GROUP BY model
+""")(lambda spark, sf: behavior.cache_hit_by_model(cat(spark, sf), W))
+
+# ---------------------------------------------------------------- Q17 / Q18 session list and count
+_LIST_COLS = """session_id, project_path, started_at, duration_sec, message_count, tool_call_count,
+       CAST(cost_e4 AS DOUBLE) / 10000 AS cost, first_user_prompt AS first_prompt, status,
+       array_to_string(models_used, ',') AS models_used, host"""
+_MODELS = ["claude-opus-4-6", "claude-haiku-4-5"]
+_F1 = f"""project_path ILIKE '%proj1%' AND {between('started_at', W)}
+  AND list_has_any(models_used, ['claude-opus-4-6', 'claude-haiku-4-5'])"""
+register("q17_list_sessions_recent", f"""
+SELECT {_LIST_COLS} FROM c_sessions WHERE {_F1}
+ORDER BY started_at DESC NULLS FIRST, session_id LIMIT 50 OFFSET 0
+""")(lambda spark, sf: sessions.list_sessions(cat(spark, sf), project="proj1", window=W, models=_MODELS))
+register("q17_list_sessions_cost_page2", f"""
+SELECT {_LIST_COLS} FROM c_sessions WHERE {hosts_sql('host', HOSTS)}
+ORDER BY cost_e4 DESC NULLS LAST, session_id LIMIT 20 OFFSET 10
+""")(lambda spark, sf: sessions.list_sessions(cat(spark, sf), hosts=HOSTS, sort="cost", limit=20, offset=10))
+register("q18_count_sessions", f"""
+SELECT count(*) AS n FROM c_sessions WHERE {_F1}
+""")(lambda spark, sf: sessions.count_sessions(cat(spark, sf), project="proj1", window=W, models=_MODELS))
+
+# ---------------------------------------------------------------- Q19-Q24 session detail, all sessions
+register("q19_session_meta", """
+SELECT session_id, project_path, started_at, ended_at, duration_sec, message_count, tool_call_count, subagent_count,
+       git_branch, cc_version, array_to_string(models_used, ',') AS models_used, total_input_tokens, total_output_tokens,
+       total_cache_creation, total_cache_read, CAST(cost_e4 AS DOUBLE) / 10000 AS cost, first_user_prompt, status, host
+FROM c_sessions
+""")(lambda spark, sf: sessions.session_meta(cat(spark, sf)))
+
+register("q20_session_replay", r"""
+SELECT l.uuid, l.session_id, l.timestamp, l.type, l.subtype, l.is_sidechain, t.tool_name, t.duration_ms, t.is_error,
+       substring(trim(regexp_replace(l.text_content, '\s+', ' ', 'g')), 1, 120) AS preview
+FROM c_lines l LEFT JOIN c_tool_calls t ON t.uuid = l.uuid
+""")(lambda spark, sf: sessions.session_replay(cat(spark, sf)))
+
+register("q21_session_stats", """
+, pm AS (SELECT session_id, model, sum(input_tokens) AS in_tok, sum(output_tokens) AS out_tok,
+                sum(cache_read_tokens) AS cache_read, sum(cache_creation_tokens) AS cache_create,
+                coalesce(sum(units), 0) AS units
+         FROM c_ej WHERE role = 'assistant' AND model IS NOT NULL GROUP BY 1, 2),
+s AS (SELECT session_id,
+        CAST(coalesce(sum(in_tok), 0) AS BIGINT) AS input_tokens, CAST(coalesce(sum(out_tok), 0) AS BIGINT) AS output_tokens,
+        CAST(coalesce(sum(cache_read), 0) AS BIGINT) AS cache_read_tokens,
+        CAST(coalesce(sum(cache_create), 0) AS BIGINT) AS cache_create_tokens,
+        CAST(sum(units) AS DOUBLE) / 100000000 AS cost,
+        string_agg(model || '=' || CAST(units AS VARCHAR), ';' ORDER BY units DESC, model) AS cost_by_model
+      FROM pm GROUP BY session_id)
+SELECT session_id, input_tokens, output_tokens, cache_read_tokens, cache_create_tokens,
+       round(CASE WHEN input_tokens + cache_read_tokens > 0
+                  THEN CAST(cache_read_tokens AS DOUBLE) / CAST(input_tokens + cache_read_tokens AS DOUBLE) ELSE 0.0 END, 6) AS cache_hit_pct,
+       cost, cost_by_model
+FROM s
+""")(lambda spark, sf: sessions.session_stats(cat(spark, sf)))
+
+register("q22_session_top_tools", """
+, g AS (SELECT session_id, tool_name, count(*) AS calls, count(*) FILTER (WHERE is_error) AS errors
+        FROM c_tool_calls GROUP BY 1, 2),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY session_id ORDER BY calls DESC, tool_name) AS INTEGER) AS rank FROM g)
+SELECT * FROM r WHERE rank <= 5
+""")(lambda spark, sf: sessions.session_top_tools(cat(spark, sf)))
+
+register("q23_session_files_touched", """
+, f AS (SELECT session_id, json_extract_string(input, '$.file_path') AS file FROM c_tool_calls
+        WHERE tool_name IN ('Read', 'Write', 'Edit', 'MultiEdit', 'NotebookEdit')),
+g AS (SELECT session_id, file, count(*) AS n FROM f WHERE file IS NOT NULL GROUP BY 1, 2),
+t AS (SELECT session_id, count(*) AS total_files FROM g GROUP BY 1),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY session_id ORDER BY n DESC, file) AS INTEGER) AS rank FROM g)
+SELECT r.session_id, r.file, r.n, r.rank, t.total_files FROM r JOIN t USING (session_id) WHERE r.rank <= 5
+""")(lambda spark, sf: sessions.session_files_touched(cat(spark, sf)))
+
+register("q24_session_first_prompts", """
+, r AS (SELECT session_id, timestamp, text_content,
+               CAST(row_number() OVER (PARTITION BY session_id ORDER BY timestamp, uuid) AS INTEGER) AS rank
+        FROM c_messages WHERE role = 'user' AND NOT is_sidechain AND text_content IS NOT NULL)
+SELECT session_id, rank, timestamp AS ts, substring(text_content, 1, 140) AS text FROM r WHERE rank <= 3
+""")(lambda spark, sf: sessions.session_first_prompts(cat(spark, sf)))
+
+# ---------------------------------------------------------------- Q28-Q31 hosts
+register("q28_all_hosts", """
+SELECT host FROM c_lines WHERE host IS NOT NULL UNION SELECT 'local' AS host
+""")(lambda spark, sf: hosts.all_hosts(cat(spark, sf)))
+
+register("q29_failing_hosts", """
+SELECT host, consecutive_errors, last_error, last_error_at FROM c_host_sync_state WHERE consecutive_errors >= 3
+""")(lambda spark, sf: hosts.failing_hosts(cat(spark, sf)))
+register("q29_failing_hosts_min1", """
+SELECT host, consecutive_errors, last_error, last_error_at FROM c_host_sync_state WHERE consecutive_errors >= 1
+""")(lambda spark, sf: hosts.failing_hosts(cat(spark, sf), min_errors=1))
+
+_Q30 = f"""
+, s AS (SELECT * FROM c_sessions WHERE {between('started_at', W)}),
+sess AS (SELECT host, count(*) AS session_count,
+           CAST(coalesce(sum(total_input_tokens), 0) AS BIGINT) AS input_tokens,
+           CAST(coalesce(sum(total_output_tokens), 0) AS BIGINT) AS output_tokens,
+           CAST(coalesce(sum(total_cache_creation), 0) AS BIGINT) AS cache_creation,
+           CAST(coalesce(sum(total_cache_read), 0) AS BIGINT) AS cache_read,
+           coalesce(sum(cost_e4), 0) AS cost_e4, max(started_at) AS last_active_at
+         FROM s GROUP BY host),
+pm AS (SELECT host, model, sum(cost_e4) AS model_e4
+       FROM (SELECT host, cost_e4, unnest(coalesce(models_used, [])) AS model FROM s) GROUP BY 1, 2),
+top AS (SELECT host, model AS top_model, model_e4 FROM
+          (SELECT *, row_number() OVER (PARTITION BY host ORDER BY model_e4 DESC NULLS LAST, model) AS rn FROM pm)
+        WHERE rn = 1),
+hs AS (
+  SELECT sess.host, session_count, input_tokens, output_tokens, cache_creation, cache_read,
+         CAST(cost_e4 AS DOUBLE) / 10000 AS cost, top.top_model,
+         CAST(coalesce(top.model_e4, 0) AS DOUBLE) / 10000 AS top_model_cost, last_active_at,
+         h.last_pulled_at, coalesce(h.consecutive_errors, 0) AS consecutive_errors, h.last_error
+  FROM sess LEFT JOIN top USING (host) LEFT JOIN c_host_sync_state h USING (host))
+"""
+register("q30_host_stats", _Q30 + "SELECT * FROM hs")(lambda spark, sf: hosts.host_stats(cat(spark, sf), W))
+
+_share = "round(CASE WHEN tot > 0 THEN CAST({} AS DOUBLE) / CAST(tot AS DOUBLE) ELSE 0.0 END, 6)"
+register("q31_host_token_mix", _Q30 + f"""
+, t AS (SELECT *, input_tokens + output_tokens + cache_creation + cache_read AS tot FROM hs)
+SELECT host, {_share.format('input_tokens')} AS input_share, {_share.format('output_tokens')} AS output_share,
+       {_share.format('cache_creation')} AS cache_creation_share, {_share.format('cache_read')} AS cache_read_share
+FROM t
+""")(lambda spark, sf: hosts.host_token_mix(cat(spark, sf), W))
+
+# ---------------------------------------------------------------- Q32-Q36 CLI reports
+register("q32_cli_top_models", f"""
+, g AS (SELECT model, sum(input_tokens) AS in_tok, sum(output_tokens) AS out_tok, sum(units) AS u
+        FROM c_ej WHERE role = 'assistant' AND timestamp >= {T(SINCE)} AND model IS NOT NULL GROUP BY model)
+SELECT model, CAST(in_tok AS BIGINT) AS in_tok, CAST(out_tok AS BIGINT) AS out_tok,
+       CAST((u + 500000) // 1000000 AS DOUBLE) / 100 AS cost
+FROM g ORDER BY u DESC NULLS LAST, model LIMIT 10
+""")(lambda spark, sf: cli.top_models(cat(spark, sf), SINCE))
+
+register("q33_cli_top_projects", f"""
+, g AS (SELECT project_path, count(*) AS sessions, sum(cost_e4) AS e4 FROM c_sessions
+        WHERE started_at >= {T(SINCE)} GROUP BY 1)
+SELECT project_path, sessions, CAST((e4 + 50) // 100 AS DOUBLE) / 100 AS cost
+FROM g ORDER BY e4 DESC NULLS LAST, project_path NULLS LAST LIMIT 10
+""")(lambda spark, sf: cli.top_projects(cat(spark, sf), SINCE))
+
+register("q34_cli_top_tools", f"""
+, g AS (SELECT tool_name, count(*) AS calls, count(*) FILTER (WHERE is_error) AS errors FROM c_tool_calls
+        WHERE timestamp >= {T(SINCE)} GROUP BY 1)
+SELECT tool_name, calls, errors,
+       round(CASE WHEN calls > 0 THEN CAST(errors AS DOUBLE) * 100 / calls ELSE 0.0 END, 4) AS error_pct
+FROM g ORDER BY calls DESC, tool_name LIMIT 10
+""")(lambda spark, sf: cli.top_tools(cat(spark, sf), SINCE))
+
+register("q35_cli_status", """
+SELECT (SELECT count(*) FROM c_lines) AS events, (SELECT max(timestamp) FROM c_lines) AS last_event,
+       (SELECT count(*) FROM c_sessions) AS sessions,
+       (SELECT count(*) FILTER (WHERE status = 'active') FROM c_sessions) AS active_sessions
+""")(lambda spark, sf: cli.store_status(cat(spark, sf)))
+
+register("q36_cli_host_schedule", f"""
+, ev AS (SELECT host, count(*) AS events FROM c_lines GROUP BY host),
+j AS (SELECT ev.host, ev.events, h.last_pulled_at, h.current_interval_hours, h.consecutive_errors,
+        (epoch_us(h.last_pulled_at) + CAST(h.current_interval_hours AS BIGINT) * 3600000000 - epoch_us({T(NOW)})) // 1000 AS due_ms
+      FROM ev LEFT JOIN c_host_sync_state h USING (host))
+SELECT host, events, last_pulled_at, current_interval_hours,
+  CAST(CASE WHEN last_pulled_at IS NULL OR current_interval_hours IS NULL THEN NULL
+       WHEN due_ms <= 0 THEN 0 ELSE (due_ms + 30000) // 60000 END AS BIGINT) AS next_in_minutes,
+  CASE WHEN host = 'local' OR coalesce(consecutive_errors, 0) = 0 THEN 'green'
+       WHEN coalesce(consecutive_errors, 0) <= 2 THEN 'yellow' ELSE 'red' END AS health,
+  CASE WHEN host = 'local' THEN 0 ELSE 1 END AS sort_group
+FROM j
+""")(lambda spark, sf: cli.host_schedule(cat(spark, sf), NOW))

@@ -258,6 +258,45 @@ class Bound:
         )
 
 
+# Driver event type -> session hook it stands for.
+HOOK_BY_EVENT = [("signup", "SessionStart"), ("purchase", "Stop"), ("error", "SessionEnd")]
+# Driver event type -> pull outcome of the host-sync log.
+OUTCOME_BY_EVENT = [("error", "error"), ("click", "error"), ("view", "empty")]
+
+
+def hook_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Session hook signals (T5 input): one per driver event, same session mapping."""
+    use_utc(spark)
+    e = read_table(spark, sf_dir, "events").select(
+        F.col("ts").cast("timestamp").alias("timestamp"), "user_id", "event_type")
+    hook = None
+    for ev, h in HOOK_BY_EVENT:
+        hook = F.when(F.col("event_type") == ev, h) if hook is None else hook.when(F.col("event_type") == ev, h)
+    return e.select(
+        F.concat(F.lit("u"), _s("user_id"), F.lit("-"), F.date_format("timestamp", "yyyyMMdd")).alias("session_id"),
+        hook.otherwise("PostToolUse").alias("hook"),
+        "timestamp",
+    )
+
+
+def pull_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host-sync pull log (H1 input): (host, timestamp, kind, message)."""
+    use_utc(spark)
+    e = read_table(spark, sf_dir, "events").select(
+        "event_id", F.col("ts").cast("timestamp").alias("timestamp"), "user_id", "event_type")
+    kind = None
+    for ev, k in OUTCOME_BY_EVENT:
+        kind = F.when(F.col("event_type") == ev, k) if kind is None else kind.when(F.col("event_type") == ev, k)
+    kind = kind.otherwise("non-empty")
+    uid = F.col("user_id")
+    return e.select(
+        F.when(uid % 4 == 0, F.lit("local")).otherwise(F.concat(F.lit("h"), _s(uid % 4))).alias("host"),
+        "timestamp",
+        kind.alias("kind"),
+        F.when(kind == "error", F.concat(F.lit("pull failed: event "), _s("event_id"))).alias("message"),
+    )
+
+
 def bind(spark: SparkSession, sf_dir: str) -> Bound:
     use_utc(spark)
     lines = _event_lines(spark, sf_dir).unionByName(_chat_lines(spark, sf_dir))
