@@ -227,3 +227,74 @@ SELECT host, events, last_pulled_at, current_interval_hours,
   CASE WHEN host = 'local' THEN 0 ELSE 1 END AS sort_group
 FROM j
 """)(lambda spark, sf: cli.host_schedule(cat(spark, sf), NOW))
+
+# ---------------------------------------------------------------- S1-S3, D1-D5 over rendered transcripts
+from pyspark.sql import functions as F  # noqa: E402
+
+from ..operators import derive  # noqa: E402
+from ..sources import transcripts as tr  # noqa: E402
+from ..sources.driver import transcript_lines  # noqa: E402
+from ..sources.pricing import model_pricing  # noqa: E402
+from ..session import ensure_checkpoint_dir  # noqa: E402
+from .common import ntz  # noqa: E402
+
+
+def _parsed(spark, sf):
+    # The rendered lines stand for landed files: cut the lineage there (checkpoint in
+    # the session's shared checkpoint folder) so rendering and parsing are separate stages.
+    ensure_checkpoint_dir(spark)
+    return tr.parse_lines(transcript_lines(spark, sf).checkpoint())
+
+
+def _events(spark, sf):
+    return tr.to_events(_parsed(spark, sf))
+
+
+register("s2_transcript_quarantine", """
+SELECT '/home/dev/.claude/projects/-home-dev-proj' || CAST(user_id % 6 AS VARCHAR) || '/' || session_id || '.jsonl' AS source_file,
+       '{"uuid": "bad' || CAST(event_id AS VARCHAR) AS raw
+FROM e1 WHERE k % 17 = 0
+""")(lambda spark, sf: tr.quarantine(_parsed(spark, sf)).select("source_file", "raw"))
+
+_PROJ_SQL = ("'/' || replace(replace(replace(regexp_replace(regexp_extract(source_file, '/\\.claude/projects/([^/]+)/', 1), "
+             "'^-', ''), '--', chr(1)), '-', '/'), chr(1), '_')")
+register("s3_transcript_events", f"""
+SELECT uuid, session_id, parent_uuid, type, subtype, timestamp, cwd, {_PROJ_SQL} AS project_path, git_branch, cc_version,
+       entrypoint, host, is_sidechain, agent_id, CASE WHEN type = 'assistant' THEN 'req-' || uuid END AS request_id, source_file
+FROM c_lines
+""")(lambda spark, sf: _events(spark, sf).select(
+    "uuid", "session_id", "parent_uuid", "type", "subtype", ntz("timestamp").alias("timestamp"), "cwd", "project_path",
+    "git_branch", "cc_version", "entrypoint", "host", "is_sidechain", "agent_id", "request_id", "source_file"))
+
+register("d1_transcript_messages", """
+SELECT uuid, session_id, role, timestamp, model, text_content, input_tokens, output_tokens, cache_creation_tokens,
+       cache_read_tokens, is_sidechain, host
+FROM c_messages
+""")(lambda spark, sf: tr.derive_messages(_events(spark, sf)).withColumn("timestamp", ntz("timestamp")))
+
+register("d4_transcript_tool_calls", """
+SELECT uuid, session_id, timestamp, tool_name, input, result, result_uuid, duration_ms, is_error, parent_message_uuid, host
+FROM c_tool_calls
+""")(lambda spark, sf: (lambda ev: derive.pair_tool_calls(tr.extract_tool_uses(ev), tr.extract_tool_results(ev)))(
+    _events(spark, sf)).withColumn("timestamp", ntz("timestamp")))
+
+
+def _sessions_from_transcript(spark, sf):
+    ev = _events(spark, sf)
+    msgs = tr.derive_messages(ev)
+    tc = derive.pair_tool_calls(tr.extract_tool_uses(ev), tr.extract_tool_results(ev))
+    s = derive.rollup_sessions(ev, msgs, tc, model_pricing(spark))
+    return s.select(
+        "session_id", "project_path", ntz("started_at").alias("started_at"), ntz("ended_at").alias("ended_at"),
+        "duration_sec", "message_count", "tool_call_count", "subagent_count", "git_branch", "cc_version",
+        F.array_join("models_used", ",").alias("models_used"), "total_input_tokens", "total_output_tokens",
+        "total_cache_creation", "total_cache_read", (F.col("cost_e4") / F.lit(10000.0)).alias("cost"),
+        "first_user_prompt", "host")
+
+
+register("d5_transcript_sessions", """
+SELECT session_id, project_path, started_at, ended_at, duration_sec, message_count, tool_call_count, subagent_count,
+       git_branch, cc_version, array_to_string(models_used, ',') AS models_used, total_input_tokens, total_output_tokens,
+       total_cache_creation, total_cache_read, CAST(cost_e4 AS DOUBLE) / 10000 AS cost, first_user_prompt, host
+FROM c_sessions
+""")(_sessions_from_transcript)

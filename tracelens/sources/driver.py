@@ -302,3 +302,92 @@ def bind(spark: SparkSession, sf_dir: str) -> Bound:
     lines = _event_lines(spark, sf_dir).unionByName(_chat_lines(spark, sf_dir))
     lines = lines.withColumn("timestamp", F.timestamp_micros("t_us")).drop("t_us", "kind")
     return Bound(lines)
+
+
+def transcript_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bound data rendered as JSONL transcript lines ``(value, source_file, line_key, host)``.
+
+    Adds the dirt real transcripts carry: a truncated JSON line per driver event with
+    k % 17 = 0 (-> quarantine), a blank line when k % 19 = 0 (skipped), a line without
+    uuid when k % 23 = 0 (dropped), and a ``\\u0000`` escape inside the type of result
+    lines with k % 7 = 1 (stripped before parsing).
+    """
+    b = bind(spark, sf_dir).lines
+    block = lambda **kw: F.struct(
+        *[
+            (kw.get(n, F.lit(None).cast(t))).alias(n)
+            for n, t in [("type", "string"), ("text", "string"), ("id", "string"), ("name", "string"),
+                         ("input", "variant"), ("tool_use_id", "string"), ("content", "string"), ("is_error", "boolean")]
+        ]
+    )
+    is_use = F.col("tool_name").isNotNull()
+    is_res = (F.col("type") == "user") & F.col("tool_use_id").isNotNull()
+    asst_blocks = F.when(
+        is_use,
+        F.array(
+            block(type=F.lit("text"), text=F.col("text_content")),
+            block(type=F.lit("tool_use"), id=F.col("tool_use_id"), name=F.col("tool_name"),
+                  input=F.try_parse_json(F.col("tool_input"))),
+        ),
+    ).otherwise(F.array(block(type=F.lit("text"), text=F.col("text_content"))))
+    res_blocks = F.array(block(type=F.lit("tool_result"), tool_use_id=F.col("tool_use_id"),
+                               content=F.col("result_content"), is_error=F.col("is_error")))
+    as_variant_string = F.variant_get(F.try_parse_json(F.to_json(F.struct(F.col("text_content").alias("c")))), "$.c", "variant")
+    content = (
+        F.when(F.col("type") == "assistant", F.to_variant_object(asst_blocks))
+        .when(is_res, F.to_variant_object(res_blocks))
+        .otherwise(as_variant_string)
+    )
+    usage = F.when(
+        F.col("role") == "assistant",
+        F.struct(
+            F.col("input_tokens").alias("input_tokens"), F.col("output_tokens").alias("output_tokens"),
+            F.col("cache_creation_tokens").alias("cache_creation_input_tokens"),
+            F.col("cache_read_tokens").alias("cache_read_input_tokens"),
+        ),
+    )
+    line = F.struct(
+        F.col("uuid").alias("uuid"),
+        F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("timestamp"),
+        F.col("type").alias("type"),
+        F.col("session_id").alias("sessionId"),
+        F.col("parent_uuid").alias("parentUuid"),
+        F.col("cwd").alias("cwd"),
+        F.col("git_branch").alias("gitBranch"),
+        F.col("cc_version").alias("version"),
+        F.col("entrypoint").alias("entrypoint"),
+        F.col("is_sidechain").alias("isSidechain"),
+        F.col("agent_id").alias("agentId"),
+        F.when(F.col("type") == "assistant", F.concat(F.lit("req-"), F.col("uuid"))).alias("requestId"),
+        F.struct(F.col("role").alias("role"), F.col("model").alias("model"), content.alias("content"),
+                 usage.alias("usage")).alias("message"),
+    )
+    js = F.to_json(line)
+    nul = is_res & (F.regexp_extract("uuid", r"^e\d+r$", 0) != "") & (F.expr("try_cast(regexp_extract(text_content, '#(\\\\d+)$', 1) as int)") % 7 == 1)
+    good = b.select(
+        F.when(nul, F.replace(js, F.lit('"type":"user"'), F.lit('"type":"us\\u0000er"'))).otherwise(js).alias("value"),
+        "source_file",
+        F.struct(F.col("timestamp").alias("t"), F.col("uuid").alias("k")).alias("line_key"),
+        "host",
+    )
+    e = read_table(spark, sf_dir, "events").select(
+        "event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id",
+        F.get_json_object("props", "$.k").cast("int").alias("k"))
+    uid, k = F.col("user_id"), F.col("k")
+    session_id = F.concat(F.lit("u"), _s(uid), F.lit("-"), F.date_format("ts", "yyyyMMdd"))
+    main_file = F.concat(F.lit("/home/dev/.claude/projects/-home-dev-proj"), _s(uid % 6), F.lit("/"), session_id, F.lit(".jsonl"))
+    host = F.when(uid % 4 == 0, F.lit("local")).otherwise(F.concat(F.lit("h"), _s(uid % 4)))
+    junk = e.select(
+        main_file.alias("source_file"), host.alias("host"), "ts",
+        F.explode(F.array(
+            F.struct(F.lit("bad").alias("k"), F.when(k % 17 == 0, F.concat(F.lit('{"uuid": "bad'), _s("event_id"))).alias("value")),
+            F.struct(F.lit("blank").alias("k"), F.when(k % 19 == 0, F.lit("")).alias("value")),
+            F.struct(F.lit("nouuid").alias("k"), F.when(k % 23 == 0, F.concat(
+                F.lit('{"type":"progress","timestamp":"'),
+                F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"), F.lit('","data":{"type":"hook_progress"}}'))).alias("value")),
+        )).alias("j"),
+    ).filter(F.col("j.value").isNotNull()).select(
+        F.col("j.value").alias("value"), "source_file",
+        F.struct(F.col("ts").alias("t"), F.col("j.k").alias("k")).alias("line_key"), "host",
+    )
+    return good.unionByName(junk)
