@@ -298,3 +298,80 @@ SELECT session_id, project_path, started_at, ended_at, duration_sec, message_cou
        total_cache_creation, total_cache_read, CAST(cost_e4 AS DOUBLE) / 10000 AS cost, first_user_prompt, host
 FROM c_sessions
 """)(_sessions_from_transcript)
+
+# ---------------------------------------------------------------- D11 redaction, D7/Q25-Q27 search
+from ..functions.text import ASSIGNMENT_RULE, REDACTION_RULES, count_redactions, redact  # noqa: E402
+from ..sources.driver import documents_with_secrets  # noqa: E402
+from . import search  # noqa: E402
+
+
+def _redact_sql(col: str) -> str:
+    out = col
+    for kind, pat in REDACTION_RULES + [ASSIGNMENT_RULE]:
+        out = f"regexp_replace({out}, '{pat}', '[REDACTED:{kind}]', 'g')"
+    return out
+
+
+_DOCS_SQL = """
+, dh AS (SELECT doc_id, text, CAST(doc_id AS VARCHAR) AS i FROM documents),
+ds AS (SELECT doc_id, text || ' ' || CASE doc_id % 8
+    WHEN 0 THEN 'eyJ' || md5('a' || i) || '.eyJ' || md5('b' || i) || '.' || md5('c' || i)
+    WHEN 1 THEN 'key sk-ant-' || md5('k' || i)
+    WHEN 2 THEN 'sk-' || md5('k' || i)
+    WHEN 3 THEN 'AKIA' || upper(substring(md5('k' || i), 1, 16))
+    WHEN 4 THEN 'ghp_' || md5('k' || i)
+    WHEN 5 THEN 'github_pat_' || md5('k' || i)
+    WHEN 6 THEN 'Authorization: Bearer ' || md5('k' || i)
+    ELSE 'Authorization: Bearer ' || 'eyJ' || md5('a' || i) || '.eyJ' || md5('b' || i) || '.' || md5('c' || i) END AS text
+  FROM dh)
+"""
+register("d11_redact_documents", _DOCS_SQL + f"""
+, r AS (SELECT doc_id, {_redact_sql('text')} AS text FROM ds)
+SELECT doc_id, text, len(regexp_extract_all(text, '\\[REDACTED:[a-z]+\\]')) AS n_redactions FROM r
+""")(lambda spark, sf: documents_with_secrets(spark, sf).select(
+    "doc_id", redact(F.col("text"), [ASSIGNMENT_RULE]).alias("text")).withColumn(
+    "n_redactions", count_redactions(F.col("text"))))
+
+_IDX_SQL = """
+, docs AS (SELECT uuid, regexp_extract_all(coalesce(text_content, ''), '[A-Za-z0-9]+') AS toks FROM c_messages),
+terms AS (SELECT uuid, len(toks) AS doc_len, unnest(list_transform(toks, lambda t: lower(t))) AS term,
+                 unnest(range(len(toks))) AS pos FROM docs),
+idx AS (SELECT term, uuid, count(*) AS tf, CAST(min(pos) AS INTEGER) AS first_pos, CAST(max(doc_len) AS INTEGER) AS doc_len
+        FROM terms GROUP BY term, uuid)
+"""
+register("q26_text_index", _IDX_SQL + "SELECT * FROM idx")(lambda spark, sf: search.text_index(cat(spark, sf)))
+
+
+def _search_sql(terms, where_sql, limit=None, offset=0, count=False):
+    tl = ", ".join(f"'{t}'" for t in terms)
+    body = _IDX_SQL + f"""
+, st AS (SELECT count(*) AS n_docs, avg(len(toks)) AS avgdl FROM docs),
+hits AS (SELECT * FROM idx WHERE term IN ({tl})),
+dfq AS (SELECT term, count(*) AS n_t FROM hits GROUP BY term),
+sc AS (SELECT h.uuid, h.first_pos,
+          ln(1.0 + (CAST(st.n_docs - d.n_t AS DOUBLE) + 0.5) / (CAST(d.n_t AS DOUBLE) + 0.5)) * CAST(h.tf AS DOUBLE) * 2.2
+          / (CAST(h.tf AS DOUBLE) + 1.2 * (0.25 + 0.75 * CAST(h.doc_len AS DOUBLE) / st.avgdl)) AS s
+       FROM hits h JOIN dfq d USING (term), st),
+g AS (SELECT uuid, round(sum(s), 6) AS rank, min(first_pos) AS first_hit FROM sc GROUP BY uuid HAVING count(*) = {len(terms)}),
+j AS (SELECT g.*, m.session_id, m.timestamp, m.role, m.model, m.text_content, s.project_path, s.host AS s_host, s.cost_e4
+      FROM g JOIN c_messages m USING (uuid) JOIN c_sessions s USING (session_id)
+      WHERE {where_sql})
+"""
+    if count:
+        return body + "SELECT count(*) AS n FROM j"
+    snip = (f"array_to_string(list_transform(list_slice(regexp_extract_all(coalesce(text_content, ''), '[A-Za-z0-9]+'), "
+            f"greatest(1, first_hit + 1 - 5), greatest(1, first_hit + 1 - 5) + 19), "
+            f"lambda t: CASE WHEN list_contains([{tl}], lower(t)) THEN '<b>' || t || '</b>' ELSE t END), ' ')")
+    return body + f"""
+SELECT uuid, session_id, timestamp, role, project_path, s_host AS host, {snip} AS snippet,
+       CAST(cost_e4 AS DOUBLE) / 10000 AS cost, rank
+FROM j ORDER BY rank DESC, timestamp DESC, uuid LIMIT {limit} OFFSET {offset}
+"""
+
+
+register("q25_search_output_error", _search_sql(["output", "error"], "m.role = 'user'", 50))(
+    lambda spark, sf: search.search(cat(spark, sf), "output error", role="user"))
+register("q25_search_chat_page2", _search_sql(["und", "die"], "s.project_path ILIKE '%chat%'", 20, 5))(
+    lambda spark, sf: search.search(cat(spark, sf), "und die", project="chat", limit=20, offset=5))
+register("q27_search_count", _search_sql(["read", "step"], f"{between('m.timestamp', W)}", count=True))(
+    lambda spark, sf: search.count_results(cat(spark, sf), "Read step", window=W))

@@ -391,3 +391,29 @@ def transcript_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.col("ts").alias("t"), F.col("j.k").alias("k")).alias("line_key"), "host",
     )
     return good.unionByName(junk)
+
+
+# Secret shapes injected into documents by doc_id % 8 (one per redaction
+# rule, plus a JWT inside a bearer header to check the rule order).
+def documents_with_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` with one synthetic secret appended per document (the corpus has
+    none of the rule shapes on its own)."""
+    d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    i = _s("doc_id")
+
+    def h(p):
+        return F.md5(F.concat(F.lit(p), i))
+
+    jwt = F.concat(F.lit("eyJ"), h("a"), F.lit(".eyJ"), h("b"), F.lit("."), h("c"))
+    kind = F.col("doc_id") % 8
+    secret = (
+        F.when(kind == 0, jwt)
+        .when(kind == 1, F.concat(F.lit("key sk-ant-"), h("k")))
+        .when(kind == 2, F.concat(F.lit("sk-"), h("k")))
+        .when(kind == 3, F.concat(F.lit("AKIA"), F.upper(F.substring(h("k"), 1, 16))))
+        .when(kind == 4, F.concat(F.lit("ghp_"), h("k")))
+        .when(kind == 5, F.concat(F.lit("github_pat_"), h("k")))
+        .when(kind == 6, F.concat(F.lit("Authorization: Bearer "), h("k")))
+        .otherwise(F.concat(F.lit("Authorization: Bearer "), jwt))
+    )
+    return d.select("doc_id", F.concat(F.col("text"), F.lit(" "), secret).alias("text"))
