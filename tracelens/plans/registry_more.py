@@ -375,3 +375,46 @@ register("q25_search_chat_page2", _search_sql(["und", "die"], "s.project_path IL
     lambda spark, sf: search.search(cat(spark, sf), "und die", project="chat", limit=20, offset=5))
 register("q27_search_count", _search_sql(["read", "step"], f"{between('m.timestamp', W)}", count=True))(
     lambda spark, sf: search.count_results(cat(spark, sf), "Read step", window=W))
+
+# ---------------------------------------------------------------- S5-S8 side files (+K6 dedup)
+from ..sources import sidefiles as sfiles  # noqa: E402
+from ..sources.driver import FILE_HISTORY_ROOT, file_history_files, history_lines, shell_snapshot_files, todo_files  # noqa: E402
+
+_CHAT_MS = "(1704067200000000 + (conv_id * 3600 + turn * 700 + length(text) % 600) * 1000000) // 1000"
+register("s5_prompt_history", f"""
+, h AS (SELECT conv_id, turn, text,
+          CASE WHEN conv_id % 6 <> 1 THEN '/home/dev/chat' || CAST(conv_id % 5 AS VARCHAR) END AS project_path,
+          CASE WHEN turn % 2 = 1 THEN '{{"n":' || CAST(turn AS VARCHAR) || '}}' ELSE '{{}}' END AS pasted_contents,
+          make_timestamp(({_CHAT_MS}) * 1000) AS typed_at,
+          CASE WHEN conv_id % 3 = 0 THEN 'local' ELSE 'h' || CAST(conv_id % 3 AS VARCHAR) END AS host
+        FROM conversations WHERE role <> 'assistant')
+SELECT project_path, text AS display, pasted_contents, typed_at, host FROM h
+UNION ALL
+SELECT project_path, text, pasted_contents, typed_at, host FROM h WHERE turn = 0 AND project_path IS NULL
+""")(lambda spark, sf: sfiles.dedup_history(sfiles.parse_history(history_lines(spark, sf))).select(
+    "project_path", "display", "pasted_contents", ntz("typed_at").alias("typed_at"), "host"))
+
+register("s6_todos", f"""
+SELECT 'c' || CAST(conv_id AS VARCHAR) AS session_id, 'a' || CAST(turn AS VARCHAR) AS agent_id,
+       make_timestamp(1704067200000000 + (conv_id * 3600 + turn * 700 + length(text) % 600) * 1000000) AS snapshot_at,
+       '[{{"content":"' || md5(text) || '","id":"' || CAST(turn AS VARCHAR) || '","status":"' ||
+         CASE WHEN role = 'assistant' THEN 'completed' ELSE 'pending' END || '"}}]' AS todos,
+       'local' AS host
+FROM conversations WHERE turn <> 3
+""")(lambda spark, sf: sfiles.parse_todos(todo_files(spark, sf)).withColumn("snapshot_at", ntz("snapshot_at")))
+
+register("s7_file_history", f"""
+, p AS (SELECT page_id, url, html || CASE WHEN page_id % 11 = 0 THEN chr(0) ELSE '' END AS body FROM pages)
+SELECT 's' || CAST(page_id % 7 AS VARCHAR) AS session_id, md5(url) AS file_path, CAST(page_id % 3 + 1 AS INTEGER) AS version,
+       make_timestamp(1704067200000000 + page_id * 60000000) AS snapshot_at,
+       CASE WHEN page_id % 11 = 0 THEN NULL ELSE body END AS content, sha256(body) AS sha256, 'local' AS host
+FROM p
+""")(lambda spark, sf: sfiles.parse_file_history(file_history_files(spark, sf), FILE_HISTORY_ROOT).withColumn(
+    "snapshot_at", ntz("snapshot_at")))
+
+register("s8_shell_snapshots", """
+SELECT 'snapshot-zsh-' || CAST(1704067200000 + item_id * 60000 AS VARCHAR) || '-' || substring(md5(CAST(item_id AS VARCHAR)), 1, 8) AS id,
+       make_timestamp((1704067200000 + item_id * 60000) * 1000) AS captured_at, text AS content, 'local' AS host
+FROM benchmark WHERE item_id % 9 <> 0
+""")(lambda spark, sf: sfiles.parse_shell_snapshots(shell_snapshot_files(spark, sf)).withColumn(
+    "captured_at", ntz("captured_at")))

@@ -417,3 +417,74 @@ def documents_with_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat(F.lit("Authorization: Bearer "), jwt))
     )
     return d.select("doc_id", F.concat(F.col("text"), F.lit(" "), secret).alias("text"))
+
+
+def _chat_ts_us(L: Column) -> Column:
+    return F.lit(CHAT_EPOCH_US) + (F.col("conv_id") * 3600 + F.col("turn") * 700 + L % 600) * 1000000
+
+
+def history_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompt-history lines rendered from the user/system turns of ``conversations``:
+    project absent when conv_id % 6 = 1; ``pastedContents`` only on odd turns; every
+    turn-0 line is written twice (the dedup key must remove the copy)."""
+    c = read_table(spark, sf_dir, "conversations").filter(F.col("role") != "assistant")
+    L = F.length("text")
+    ms = (_chat_ts_us(L) / 1000).cast("long")
+    line = F.struct(
+        F.col("text").alias("display"),
+        F.when(F.col("turn") % 2 == 1, F.struct(F.col("turn").alias("n"))).alias("pastedContents"),
+        ms.alias("timestamp"),
+        F.when(F.col("conv_id") % 6 != 1, F.concat(F.lit("/home/dev/chat"), _s(F.col("conv_id") % 5))).alias("project"),
+    )
+    copies = F.when(F.col("turn") == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    c = c.select("*", F.explode(copies).alias("copy"))
+    return c.select(
+        F.to_json(line).alias("value"),
+        F.lit("/home/dev/.claude/history.jsonl").alias("source_file"),
+        F.struct(F.col("conv_id").alias("c"), F.col("turn").alias("t"), F.col("copy")).alias("line_key"),
+        F.when(F.col("conv_id") % 3 == 0, F.lit("local")).otherwise(F.concat(F.lit("h"), _s(F.col("conv_id") % 3))).alias("host"),
+    )
+
+
+def todo_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Todo files rendered from ``conversations``: one per turn, agent = turn; the body is
+    malformed for turn 3."""
+    c = read_table(spark, sf_dir, "conversations")
+    sid = F.concat(F.lit("c"), _s("conv_id"))
+    body = F.when(F.col("turn") == 3, F.lit("[{")).otherwise(F.concat(
+        F.lit('[{"content":"'), F.md5("text"), F.lit('","id":"'), _s("turn"), F.lit('","status":"'),
+        F.when(F.col("role") == "assistant", F.lit("completed")).otherwise(F.lit("pending")), F.lit('"}]')))
+    return c.select(
+        F.concat(F.lit("/home/dev/.claude/todos/"), sid, F.lit("-agent-a"), _s("turn"), F.lit(".json")).alias("path"),
+        F.timestamp_micros(_chat_ts_us(F.length("text"))).alias("modificationTime"),
+        F.encode(body, "UTF-8").alias("content"),
+    )
+
+
+FILE_HISTORY_ROOT = "/home/dev/.claude/file-history"
+
+
+def file_history_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """File-history snapshots rendered from ``pages``: session dir = page_id % 7, key =
+    md5(url), version = page_id % 3 + 1; a NUL byte is appended when page_id % 11 = 0."""
+    p = read_table(spark, sf_dir, "pages")
+    body = F.concat(F.col("html"), F.when(F.col("page_id") % 11 == 0, F.lit("\u0000")).otherwise(F.lit("")))
+    return p.select(
+        F.concat(F.lit(FILE_HISTORY_ROOT + "/s"), _s(F.col("page_id") % 7), F.lit("/"), F.md5("url"),
+                 F.lit("@v"), _s(F.col("page_id") % 3 + 1)).alias("path"),
+        F.timestamp_micros(F.lit(CHAT_EPOCH_US) + F.col("page_id") * 60000000).alias("modificationTime"),
+        F.encode(body, "UTF-8").alias("content"),
+    )
+
+
+def shell_snapshot_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shell snapshots rendered from ``benchmark``; every 9th name does not match."""
+    b = read_table(spark, sf_dir, "benchmark")
+    ms = F.lit(1704067200000) + F.col("item_id") * 60000
+    ext = F.when(F.col("item_id") % 9 == 0, F.lit(".txt")).otherwise(F.lit(".sh"))
+    return b.select(
+        F.concat(F.lit("/home/dev/.claude/shell-snapshots/snapshot-zsh-"), _s(ms), F.lit("-"),
+                 F.substring(F.md5(_s("item_id")), 1, 8), ext).alias("path"),
+        F.timestamp_millis(ms).alias("modificationTime"),
+        F.encode(F.col("text"), "UTF-8").alias("content"),
+    )
