@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 # The ordered redaction rules (kind, Java/RE2/Python-compatible pattern).
 REDACTION_RULES: list[tuple[str, str]] = [
@@ -74,7 +75,7 @@ def _walk(value):
     return value
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def redact_json(docs: pd.Series) -> pd.Series:
     """Redact every string leaf of a JSON document; keys and structure are kept.
     Invalid JSON is redacted as plain text."""
