@@ -26,11 +26,13 @@ def bucket_of(key: str | Column, buckets: int = DEFAULT_BUCKETS) -> Column:
 
 def first_per_key(batch: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
     """One row per key, the first in ``order`` (deterministic ``dropDuplicates``).
-    A partially aggregated min over a struct, so a hot key combines map-side."""
+    A partially aggregated ``min_by``, so a hot key combines map-side."""
     cols = [c for c in batch.columns if c not in keys]
     ordered = [F.col(o) if isinstance(o, str) else o for o in order]
-    packed = F.struct(*[o.alias(f"_o{i}") for i, o in enumerate(ordered)], *[F.col(c) for c in cols])
-    return batch.groupBy(*keys).agg(F.min(packed).alias("_r")).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in cols])
+    key = F.struct(*[o.alias(f"_o{i}") for i, o in enumerate(ordered)])
+    # min_by orders on the key only, so the carried row may hold VARIANT columns
+    return batch.groupBy(*keys).agg(F.min_by(F.struct(*[F.col(c) for c in cols]), key).alias("_r")).select(
+        *keys, *[F.col(f"_r.{c}").alias(c) for c in cols])
 
 
 def insert_if_absent(existing: DataFrame | None, batch: DataFrame, keys: list[str],

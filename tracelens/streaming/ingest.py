@@ -115,16 +115,15 @@ def start_live_ingest(spark: SparkSession, landing_dir: str, root: str, checkpoi
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "*.jsonl")
         .load(landing_dir)
-        .select(
-            "value",
-            F.col("_metadata.file_path").alias("source_file"),
-            F.struct(F.col("_metadata.file_block_start").alias("block"),
-                     F.monotonically_increasing_id().alias("pos")).alias("line_key"),
-        )
+        .select("value", F.col("_metadata.file_path").alias("source_file"),
+                F.col("_metadata.file_block_start").alias("block"))
     )
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        ingest_lines(batch.sparkSession, batch, root, host=host)
+        # the batch is a static DataFrame: positions can be numbered here
+        b = batch.select("value", "source_file", F.struct(
+            F.col("block"), F.monotonically_increasing_id().alias("pos")).alias("line_key"))
+        ingest_lines(batch.sparkSession, b, root, host=host)
 
     w = lines.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     w = w.trigger(**(trigger or {"processingTime": "1 second"}))
