@@ -134,6 +134,49 @@ def rollup_sessions(
     )
 
 
+def rollup_sessions_lines(lines: DataFrame, pricing: DataFrame) -> DataFrame:
+    """D5 when events and messages are one table (every line is an event and, for
+    user/assistant lines, its message) and each tool-use line yields one tool call:
+    the same result as ``rollup_sessions`` in a single aggregation, without the uuid
+    self-join and without the pairing join (``tool_call_count`` counts the uses)."""
+    m = lines.withColumnRenamed("model", "m_model").join(
+        F.broadcast(pricing.select("model", "input_c", "output_c", "cache_write_5m_c", "cache_read_c")),
+        F.col("m_model") == F.col("model"), "left").drop("model")
+    units = F.when(F.col("role") == "assistant", cost_units())
+    agg = m.groupBy("session_id").agg(
+        first_by_time("cwd").alias("project_path"),
+        F.min("timestamp").alias("started_at"),
+        F.max("timestamp").alias("ended_at"),
+        F.count(F.when(F.col("type").isin("user", "assistant"), True)).cast("int").alias("message_count"),
+        F.count(F.col("tool_name")).cast("int").alias("tool_call_count"),
+        F.count_distinct(F.when(F.col("is_sidechain"), F.col("agent_id"))).cast("int").alias("subagent_count"),
+        first_by_time("git_branch").alias("git_branch"),
+        first_by_time("cc_version").alias("cc_version"),
+        F.array_sort(F.collect_set("m_model")).alias("models_used"),
+        F.coalesce(F.sum("input_tokens"), F.lit(0)).cast("long").alias("total_input_tokens"),
+        F.coalesce(F.sum("output_tokens"), F.lit(0)).cast("long").alias("total_output_tokens"),
+        F.coalesce(F.sum("cache_creation_tokens"), F.lit(0)).cast("long").alias("total_cache_creation"),
+        F.coalesce(F.sum("cache_read_tokens"), F.lit(0)).cast("long").alias("total_cache_read"),
+        F.coalesce(F.sum(units), F.lit(0)).alias("cost_units"),
+        first_by_time("text_content", cond=F.col("role") == "user").alias("first_user_prompt"),
+        F.min("host").alias("host"),
+    )
+    return _finish_sessions(agg)
+
+
+def _finish_sessions(agg: DataFrame) -> DataFrame:
+    cost_e4 = units_to_e4(F.col("cost_units"))
+    return agg.select(
+        "session_id", "project_path", "started_at", "ended_at",
+        F.expr("(unix_micros(ended_at) - unix_micros(started_at) + 500000) div 1000000").cast("int").alias("duration_sec"),
+        "message_count", F.coalesce("tool_call_count", F.lit(0)).alias("tool_call_count"), "subagent_count",
+        "git_branch", "cc_version", "models_used", "total_input_tokens", "total_output_tokens",
+        "total_cache_creation", "total_cache_read", cost_e4.alias("cost_e4"),
+        (cost_e4.cast("decimal(14,0)") / 10000).cast("decimal(10,4)").alias("estimated_cost_usd"),
+        "first_user_prompt", F.lit("ended").alias("status"), "host",
+    )
+
+
 def usage_daily(messages: DataFrame, sessions: DataFrame) -> DataFrame:
     """Assistant messages per (day, host, project_path, model).
 

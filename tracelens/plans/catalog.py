@@ -80,7 +80,11 @@ class Catalog:
     @property
     def sessions(self) -> DataFrame:
         def build():
-            s = derive.rollup_sessions(self.events, self.messages, self.tool_calls, self.pricing)
+            if self._bound is not None and all(self._given.get(k) is None for k in ("events", "messages", "tool_uses")):
+                # bound data: events and messages are the same lines (see rollup_sessions_lines)
+                s = derive.rollup_sessions_lines(self._bound.lines, self.pricing)
+            else:
+                s = derive.rollup_sessions(self.events, self.messages, self.tool_calls, self.pricing)
             if self.hooks is not None:
                 s = apply_liveness(s, session_liveness(self.hooks))
             return s

@@ -247,7 +247,9 @@ def _parsed(spark, sf):
 
 
 def _events(spark, sf):
-    return tr.to_events(_parsed(spark, sf))
+    # parse the VARIANT once: the typed events (payload included) are materialised and
+    # every derivation reads them
+    return tr.to_events(_parsed(spark, sf)).checkpoint()
 
 
 register("s2_transcript_quarantine", """
