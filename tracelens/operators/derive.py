@@ -96,7 +96,7 @@ def rollup_sessions(
         F.min("timestamp").alias("started_at"),
         F.max("timestamp").alias("ended_at"),
         F.count(F.when(F.col("type").isin("user", "assistant"), True)).cast("int").alias("message_count"),
-        F.count_distinct(F.when(F.col("is_sidechain"), F.col("agent_id"))).cast("int").alias("subagent_count"),
+        F.size(F.collect_set(F.when(F.col("is_sidechain"), F.col("agent_id")))).cast("int").alias("subagent_count"),
         first_by_time("git_branch").alias("git_branch"),
         first_by_time("cc_version").alias("cc_version"),
         F.array_sort(F.collect_set("m_model")).alias("models_used"),
@@ -149,7 +149,7 @@ def rollup_sessions_lines(lines: DataFrame, pricing: DataFrame) -> DataFrame:
         F.max("timestamp").alias("ended_at"),
         F.count(F.when(F.col("type").isin("user", "assistant"), True)).cast("int").alias("message_count"),
         F.count(F.col("tool_name")).cast("int").alias("tool_call_count"),
-        F.count_distinct(F.when(F.col("is_sidechain"), F.col("agent_id"))).cast("int").alias("subagent_count"),
+        F.size(F.collect_set(F.when(F.col("is_sidechain"), F.col("agent_id")))).cast("int").alias("subagent_count"),
         first_by_time("git_branch").alias("git_branch"),
         first_by_time("cc_version").alias("cc_version"),
         F.array_sort(F.collect_set("m_model")).alias("models_used"),

@@ -76,7 +76,11 @@ def content_blocks(payload: Column) -> Column:
 def flatten_content(payload: Column) -> Column:
     """A string content as is; else the ``\\n`` join of text blocks, string
     tool_result contents and the inner ``text`` of array tool_result contents; other
-    blocks are ignored; no content gives ''."""
+    blocks are ignored; no content gives ''.
+
+    The array test comes first (a cheap cast); only non-arrays get the type probe, so
+    large block arrays are never walked just to learn they are not strings."""
+    blocks = content_blocks(payload)
     content = F.try_variant_get(payload, "$.message.content", "variant")
     as_str = F.when(F.schema_of_variant(content) == "STRING", _get(payload, "$.message.content"))
 
@@ -89,13 +93,13 @@ def flatten_content(payload: Column) -> Column:
         )
         return (
             F.when((btype == "text") & _is_string(b, "$.text"), F.array(F.try_variant_get(b, "$.text", "string")))
+            .when((btype == "tool_result") & inner.isNotNull(), inner_texts)
             .when((btype == "tool_result") & _is_string(b, "$.content"), F.array(F.try_variant_get(b, "$.content", "string")))
-            .when(btype == "tool_result", F.coalesce(inner_texts, F.array().cast("array<string>")))
             .otherwise(F.array().cast("array<string>"))
         )
 
-    from_blocks = F.array_join(F.flatten(F.transform(content_blocks(payload), block_parts)), "\n")
-    return F.coalesce(as_str, from_blocks, F.lit(""))
+    from_blocks = F.array_join(F.flatten(F.transform(blocks, block_parts)), "\n")
+    return F.when(blocks.isNotNull(), from_blocks).otherwise(F.coalesce(as_str, F.lit("")))
 
 
 def event_subtype(payload: Column, typ: Column) -> Column:
@@ -158,7 +162,7 @@ def derive_messages(events: DataFrame) -> DataFrame:
     """user/assistant events that carry a message."""
     p = F.col("payload")
     msg = F.try_variant_get(p, "$.message", "variant")
-    has_msg = msg.isNotNull() & ~F.schema_of_variant(msg).isin("NULL", "VOID")
+    has_msg = msg.isNotNull() & ~F.is_variant_null(msg)
     m = events.filter(F.col("type").isin("user", "assistant") & has_msg)
     return m.select(
         "uuid",
