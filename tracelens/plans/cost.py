@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.cost import cost_units, units_to_usd
+from ..functions.cost import cost_units, units_to_e4, units_to_usd
 from ..functions.dates import TimeWindow
 from ..functions.formatting import delta_pct, delta_pp
 from .catalog import Catalog
@@ -144,11 +144,15 @@ def spend_by_model(cat: Catalog, w: TimeWindow, hosts=None) -> DataFrame:
 
 
 def spend_pivot(cat: Catalog, w: TimeWindow, models: list[str], hosts=None) -> DataFrame:
-    """Day x model matrix with zero fill, 4 decimals. The model list is explicit so
-    the pivot width is bounded and no extra job is run to discover it."""
-    long = spend_by_model(cat, w, hosts)
-    wide = long.groupBy("day").pivot("model", models).agg(F.sum("cost"))
-    return wide.select("day", *[F.round(F.coalesce(F.col(f"`{m}`"), F.lit(0.0)), 4).alias(m) for m in models])
+    """Day x model spend matrix, zero-filled, 4 decimals (rounded in integer units,
+    half away from zero). The model list is explicit, so the pivot width is bounded and
+    no extra job runs to discover the values."""
+    u = where(cat.usage_daily, day_in("day", w.start_day, w.end_day), in_list("host", hosts))
+    j = u.join(F.broadcast(cat.pricing), "model", "left")
+    per = j.groupBy("day", "model").agg(F.coalesce(F.sum(_ud_units()), F.lit(0)).alias("u"))
+    per = per.withColumn("e4", units_to_e4(F.col("u")))
+    wide = per.groupBy(day_str("day").alias("day")).pivot("model", models).agg(F.sum("e4"))
+    return wide.select("day", *[(F.coalesce(F.col(f"`{m}`"), F.lit(0)) / F.lit(E4)).alias(m) for m in models])
 
 
 def top_cost_sessions(cat: Catalog, w: TimeWindow, limit: int = 5, hosts=None) -> DataFrame:

@@ -420,3 +420,31 @@ SELECT 'snapshot-zsh-' || CAST(1704067200000 + item_id * 60000 AS VARCHAR) || '-
 FROM benchmark WHERE item_id % 9 <> 0
 """)(lambda spark, sf: sfiles.parse_shell_snapshots(shell_snapshot_files(spark, sf)).withColumn(
     "captured_at", ntz("captured_at")))
+
+
+# ---------------------------------------------------------------- O8 pivot, P8 prefix lookup
+from ..sources.driver import CHAT_MODELS, EVENT_MODELS  # noqa: E402
+from .registry import day_between  # noqa: E402
+
+_PIVOT_MODELS = list(dict.fromkeys(EVENT_MODELS + CHAT_MODELS))
+_pcols = ",\n       ".join(
+    f"CAST(coalesce(sum(e4) FILTER (WHERE model = '{m}'), 0) AS DOUBLE) / 10000 AS \"{m}\"" for m in _PIVOT_MODELS)
+register("o8_spend_pivot", f"""
+, per AS (
+  SELECT strftime(u.day, '%Y-%m-%d') AS day, u.model,
+    (coalesce(sum(u.input_tokens * p.input_c + u.output_tokens * p.output_c
+                + u.cache_creation * p.cache_write_5m_c + u.cache_read * p.cache_read_c), 0) + 5000) // 10000 AS e4
+  FROM c_usage_daily u LEFT JOIN c_pricing p ON p.model = u.model
+  WHERE {day_between('u.day', W)}
+  GROUP BY 1, 2)
+SELECT day,
+       {_pcols}
+FROM per GROUP BY day
+""")(lambda spark, sf: cost.spend_pivot(cat(spark, sf), W, _PIVOT_MODELS))
+
+register("p8_session_prefix", """
+SELECT DISTINCT session_id FROM c_sessions WHERE starts_with(session_id, 'u1') ORDER BY session_id LIMIT 2
+""")(lambda spark, sf: sessions.resolve_session_prefix(cat(spark, sf), "u1"))
+register("p8_session_prefix_unique", """
+SELECT DISTINCT session_id FROM c_sessions WHERE starts_with(session_id, 'c17') ORDER BY session_id LIMIT 2
+""")(lambda spark, sf: sessions.resolve_session_prefix(cat(spark, sf), "c17"))

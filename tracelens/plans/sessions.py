@@ -144,3 +144,10 @@ def session_first_prompts(cat: Catalog, session_id: str | None = None, k: int =
     top = top_k_per_group(m, "session_id", [F.asc("timestamp"), F.asc("uuid")], k)
     return top.select("session_id", "rank", ntz("timestamp").alias("ts"),
                       F.substring("text_content", 1, chars).alias("text"))
+
+
+def resolve_session_prefix(cat: Catalog, prefix: str) -> DataFrame:
+    """Up to two session ids starting with ``prefix``: none = unknown, one = the
+    session, two = ambiguous (the caller asks for more characters)."""
+    s = cat.sessions.select("session_id").filter(F.col("session_id").startswith(prefix)).distinct()
+    return s.orderBy("session_id").limit(2)
