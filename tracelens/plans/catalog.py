@@ -22,14 +22,16 @@ from ..sources.pricing import model_pricing
 class Catalog:
     def __init__(self, spark: SparkSession, *, events=None, messages=None, tool_uses=None,
                  tool_results=None, tool_calls=None, sessions=None, usage_daily=None,
-                 pricing=None, host_sync_state=None, hooks=None, bound=None):
+                 pricing=None, host_sync_state=None, hooks=None, text_index=None, corpus_stats=None,
+                 bound=None):
         use_utc(spark)
         self.spark = spark
         self._bound = bound
         self._given = dict(events=events, messages=messages, tool_uses=tool_uses,
                            tool_results=tool_results, tool_calls=tool_calls, sessions=sessions,
                            usage_daily=usage_daily, pricing=pricing,
-                           host_sync_state=host_sync_state, hooks=hooks)
+                           host_sync_state=host_sync_state, hooks=hooks, text_index=text_index,
+                           corpus_stats=corpus_stats)
 
     @classmethod
     def from_driver(cls, spark: SparkSession, sf_dir: str) -> "Catalog":
@@ -95,6 +97,18 @@ class Catalog:
     def usage_daily(self) -> DataFrame:
         return self._get("usage_daily", lambda: derive.usage_daily(self.messages, self.sessions))
 
+    @property
+    def text_index(self) -> DataFrame:
+        from ..operators.search import build_index
+
+        return self._get("text_index", lambda: build_index(self.messages))
+
+    @property
+    def corpus_stats(self) -> DataFrame:
+        from ..operators.search import corpus_stats
+
+        return self._get("corpus_stats", lambda: corpus_stats(self.messages))
+
     @property
     def host_sync_state(self) -> DataFrame:
         from ..operators.hosts import host_sync_health

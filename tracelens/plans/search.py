@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import TimeWindow
 from ..functions.text import query_terms
-from ..operators.search import build_index, corpus_stats, match_and_rank, snippet
+from ..operators.search import match_and_rank, snippet
 from .catalog import Catalog
 from .common import in_list, in_window, ntz, where
 
@@ -16,7 +16,7 @@ def _matches(cat: Catalog, q: str, role=None, project=None, window: TimeWindow |
              models=None, hosts=None, keep_orphans: bool = False) -> tuple[DataFrame, list[str]]:
     terms = query_terms(q)
     msgs = cat.messages
-    ranked = match_and_rank(build_index(msgs), corpus_stats(msgs), terms)
+    ranked = match_and_rank(cat.text_index, cat.corpus_stats, terms)
     m = where(
         msgs.select("uuid", "session_id", "timestamp", "role", "model", "text_content"),
         (F.col("role") == role) if role else None,
@@ -56,4 +56,4 @@ def count_results(cat: Catalog, q: str, role=None, project=None, window=None, mo
 
 def text_index(cat: Catalog) -> DataFrame:
     """The inverted index over all message texts."""
-    return build_index(cat.messages)
+    return cat.text_index
