@@ -448,3 +448,31 @@ SELECT DISTINCT session_id FROM c_sessions WHERE starts_with(session_id, 'u1') O
 register("p8_session_prefix_unique", """
 SELECT DISTINCT session_id FROM c_sessions WHERE starts_with(session_id, 'c17') ORDER BY session_id LIMIT 2
 """)(lambda spark, sf: sessions.resolve_session_prefix(cat(spark, sf), "c17"))
+
+# ---------------------------------------------------------------- H1, H2, T5 as table operators
+from ..operators.hosts import due_hosts, host_sync_health  # noqa: E402
+from ..operators.liveness import session_liveness  # noqa: E402
+from ..sources.driver import hook_events, pull_outcomes  # noqa: E402
+
+register("h1_host_sync_state", """
+SELECT host, last_pulled_at, last_had_data_at, current_interval_hours, consecutive_empty_pulls, last_error,
+       last_error_at, consecutive_errors
+FROM c_host_sync_state
+""")(lambda spark, sf: host_sync_health(pull_outcomes(spark, sf)).select(
+    "host", ntz("last_pulled_at").alias("last_pulled_at"), ntz("last_had_data_at").alias("last_had_data_at"),
+    "current_interval_hours", "consecutive_empty_pulls", "last_error", ntz("last_error_at").alias("last_error_at"),
+    "consecutive_errors"))
+
+_DUE_NOW = dt.datetime(2024, 1, 31, 6, 0)
+_DUE_AT = T(_DUE_NOW)
+register("h2_due_hosts", f"""
+SELECT host, current_interval_hours FROM c_host_sync_state
+WHERE last_pulled_at IS NULL
+   OR make_timestamp(epoch_us(last_pulled_at) + CAST(current_interval_hours AS BIGINT) * 3600000000) <= {_DUE_AT}
+""")(lambda spark, sf: due_hosts(host_sync_health(pull_outcomes(spark, sf)), _DUE_NOW).select(
+    "host", "current_interval_hours"))
+
+register("t5_session_liveness", """
+SELECT session_id, arg_max(status, timestamp) AS status, max(timestamp) AS status_at
+FROM c_hooks WHERE status IS NOT NULL GROUP BY session_id
+""")(lambda spark, sf: session_liveness(hook_events(spark, sf)).withColumn("status_at", ntz("status_at")))
