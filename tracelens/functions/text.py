@@ -135,3 +135,43 @@ def query_terms(q: str) -> list[str]:
         if t not in seen:
             seen.append(t)
     return seen
+
+
+# English stop words removed by the 'english' analyzer (the usual
+# snowball list used by full-text search engines).
+ENGLISH_STOP_WORDS = [
+    "i", "me", "my", "myself", "we", "our", "ours", "ourselves", "you", "your", "yours", "yourself",
+    "yourselves", "he", "him", "his", "himself", "she", "her", "hers", "herself", "it", "its", "itself",
+    "they", "them", "their", "theirs", "themselves", "what", "which", "who", "whom", "this", "that",
+    "these", "those", "am", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had",
+    "having", "do", "does", "did", "doing", "a", "an", "the", "and", "but", "if", "or", "because", "as",
+    "until", "while", "of", "at", "by", "for", "with", "about", "against", "between", "into", "through",
+    "during", "before", "after", "above", "below", "to", "from", "up", "down", "in", "out", "on", "off",
+    "over", "under", "again", "further", "then", "once", "here", "there", "when", "where", "why", "how",
+    "all", "any", "both", "each", "few", "more", "most", "other", "some", "such", "no", "nor", "not",
+    "only", "own", "same", "so", "than", "too", "very", "s", "t", "can", "will", "just", "don", "should",
+    "now",
+]
+
+
+@pandas_udf(StringType())
+def porter_stem_udf(words: pd.Series) -> pd.Series:
+    """Arrow-batched stemmer, applied to a vocabulary (distinct terms), never per posting."""
+    from .stem import porter_stem
+
+    return words.map(lambda w: None if w is None else porter_stem(w))
+
+
+def english_query_terms(q: str) -> list[str]:
+    """plainto_tsquery('english')-style: stop words dropped, Porter stems, distinct."""
+    from .stem import porter_stem
+
+    stop = set(ENGLISH_STOP_WORDS)
+    out: list[str] = []
+    for t in query_terms(q):
+        if t in stop:
+            continue
+        s = porter_stem(t)
+        if s not in out:
+            out.append(s)
+    return out

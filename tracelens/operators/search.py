@@ -22,10 +22,23 @@ K1 = 1.2
 B = 0.75
 
 
-def build_index(docs: DataFrame, key: str = "uuid", text: str = "text_content") -> DataFrame:
-    """(term, key, tf, first_pos, doc_len) for every term of every document."""
+def build_index(docs: DataFrame, key: str = "uuid", text: str = "text_content", analyzer: str = "simple") -> DataFrame:
+    """(term, key, tf, first_pos, doc_len) for every term of every document.
+
+    ``analyzer='english'`` drops stop words and indexes Porter stems. The stemmer runs
+    once per distinct word (the vocabulary), and the word -> stem map is joined back to
+    the postings; ``first_pos`` stays a position in the original token list, so snippets
+    line up with the text."""
     t = docs.select(key, simple_terms(F.col(text)).alias("terms"))
     t = t.select(key, F.size("terms").alias("doc_len"), F.posexplode("terms").alias("pos", "term"))
+    if analyzer == "english":
+        from ..functions.text import ENGLISH_STOP_WORDS, porter_stem_udf
+
+        t = t.filter(~F.col("term").isin(ENGLISH_STOP_WORDS))
+        vocab = t.select("term").distinct().select("term", porter_stem_udf("term").alias("stem"))
+        t = t.join(vocab, "term").drop("term").withColumnRenamed("stem", "term")
+    elif analyzer != "simple":
+        raise ValueError(f"unknown analyzer {analyzer!r}")
     return t.groupBy("term", key).agg(
         F.count(F.lit(1)).alias("tf"), F.min("pos").alias("first_pos"), F.max("doc_len").alias("doc_len")
     )
@@ -54,12 +67,20 @@ def match_and_rank(index: DataFrame, stats: DataFrame, terms: list[str], key: st
     return g.filter(F.col("n_terms") == len(terms)).select(key, F.round("score", 6).alias("rank"), "first_hit")
 
 
-def snippet(text: str, first_hit: str, terms: list[str], before: int = 5, width: int = 20) -> F.Column:
+def snippet(text: str, first_hit: str, terms: list[str], before: int = 5, width: int = 20,
+            prefix_match: bool = False) -> F.Column:
     """ts_headline-like fragment: ``width`` tokens from ``before`` tokens ahead of the
-    first hit, matches wrapped in <b>...</b>."""
+    first hit, matches wrapped in <b>...</b> (``prefix_match``: a token matches when it
+    starts with a query stem, for the english analyzer)."""
     toks = simple_tokens(F.col(text))
     start = F.greatest(F.lit(1), F.col(first_hit) + 1 - before)
     window = F.slice(toks, start, F.lit(width))
     tset = F.array(*[F.lit(t) for t in terms])
-    marked = F.transform(window, lambda t: F.when(F.array_contains(tset, F.lower(t)), F.concat(F.lit("<b>"), t, F.lit("</b>"))).otherwise(t))
+    if prefix_match:
+        def hit(t):
+            return F.exists(tset, lambda q: F.lower(t).startswith(q))
+    else:
+        def hit(t):
+            return F.array_contains(tset, F.lower(t))
+    marked = F.transform(window, lambda t: F.when(hit(t), F.concat(F.lit("<b>"), t, F.lit("</b>"))).otherwise(t))
     return F.array_join(marked, " ")

@@ -476,3 +476,8 @@ register("t5_session_liveness", """
 SELECT session_id, arg_max(status, timestamp) AS status, max(timestamp) AS status_at
 FROM c_hooks WHERE status IS NOT NULL GROUP BY session_id
 """)(lambda spark, sf: session_liveness(hook_events(spark, sf)).withColumn("status_at", ntz("status_at")))
+
+
+# ---------------------------------------------------------------- D7 english analyzer (no SQL twin: stemmer)
+register("q25_search_english")(
+    lambda spark, sf: search.search(cat(spark, sf), "outputs for errors", analyzer="english"))

@@ -13,10 +13,18 @@ from .common import in_list, in_window, ntz, where
 
 
 def _matches(cat: Catalog, q: str, role=None, project=None, window: TimeWindow | None = None,
-             models=None, hosts=None, keep_orphans: bool = False) -> tuple[DataFrame, list[str]]:
-    terms = query_terms(q)
+             models=None, hosts=None, keep_orphans: bool = False, analyzer: str = "simple") -> tuple[DataFrame, list[str]]:
     msgs = cat.messages
-    ranked = match_and_rank(cat.text_index, cat.corpus_stats, terms)
+    if analyzer == "english":
+        from ..functions.text import english_query_terms
+        from ..operators.search import build_index
+
+        terms = english_query_terms(q)
+        index = build_index(msgs, analyzer="english")
+    else:
+        terms = query_terms(q)
+        index = cat.text_index
+    ranked = match_and_rank(index, cat.corpus_stats, terms)
     m = where(
         msgs.select("uuid", "session_id", "timestamp", "role", "model", "text_content"),
         (F.col("role") == role) if role else None,
@@ -36,13 +44,14 @@ def _matches(cat: Catalog, q: str, role=None, project=None, window: TimeWindow |
 
 
 def search(cat: Catalog, q: str, role=None, project=None, window=None, models=None, hosts=None,
-           limit: int = 50, offset: int = 0, keep_orphans: bool = False) -> DataFrame:
+           limit: int = 50, offset: int = 0, keep_orphans: bool = False, analyzer: str = "simple") -> DataFrame:
     """Q25: messages matching all terms, ranked (BM25, then newest), with snippet."""
-    j, terms = _matches(cat, q, role, project, window, models, hosts, keep_orphans)
+    j, terms = _matches(cat, q, role, project, window, models, hosts, keep_orphans, analyzer)
     page = j.orderBy(F.desc("rank"), F.desc("timestamp"), F.asc("uuid")).offset(offset).limit(limit)
     return page.select(
         "uuid", "session_id", ntz("timestamp").alias("timestamp"), "role", "project_path",
-        F.col("s_host").alias("host"), snippet("text_content", "first_hit", terms).alias("snippet"),
+        F.col("s_host").alias("host"),
+        snippet("text_content", "first_hit", terms, prefix_match=analyzer == "english").alias("snippet"),
         (F.col("cost_e4") / F.lit(10000.0)).alias("cost"), "rank",
     )
 
