@@ -39,3 +39,25 @@ def test_live_ingest_matches_batch(spark):
     assert spark.read.parquet(f"{root}/changes").count() == 6
     s = spark.read.parquet(f"{root}/sessions").first()
     assert s.message_count == 5
+
+
+def test_backfill_home_side_files(spark):
+    import hashlib
+
+    from tracelens.plans.common import parse_hosts
+
+    home = os.path.join(FIXTURES, "home", ".claude")
+    root = tempfile.mkdtemp(prefix="tl-home-")
+    first = ingest.backfill_home(spark, home, root, host="local")
+    again = ingest.backfill_home(spark, home, root, host="local")
+    assert first == {"events": 6, "prompts_history": 2, "todos": 1, "file_snapshots": 2, "shell_snapshots": 1}
+    assert again["events"] == 0 and again["todos"] == 0 and again["file_snapshots"] == 0
+    # a NULL project never conflicts: the prompt without project is inserted again
+    assert again["prompts_history"] == 1
+    fs = {r.version: r for r in spark.read.parquet(f"{root}/file_snapshots").collect()}
+    assert fs[1].content == "print(1)\n" and fs[1].sha256 == hashlib.sha256(b"print(1)\n").hexdigest()
+    assert fs[2].content is None  # NUL byte: binary
+    sh = spark.read.parquet(f"{root}/shell_snapshots").first()
+    assert sh.id == "snapshot-zsh-1776679200000-ab12" and sh.captured_at.year == 2026
+    assert parse_hosts(None, " a, b ,") == ["a", "b"] and parse_hosts(["x,y", "z"]) == ["x", "y"]
+    assert parse_hosts("  ", None) is None

@@ -62,3 +62,14 @@ def ratio(num: Column, den: Column, digits: int = 6) -> Column:
 def day_str(col: str | Column) -> Column:
     c = F.col(col) if isinstance(col, str) else col
     return F.date_format(c, "yyyy-MM-dd")
+
+
+def parse_hosts(param: str | list[str] | None, cookie: str | None = None) -> list[str] | None:
+    """Host filter from a request parameter (first value wins) or a cookie;
+    comma separated; empty means no filter (None)."""
+    if isinstance(param, list):
+        param = param[0] if param else None
+    raw = (param if param is not None else (cookie or "")).strip()
+    if not raw:
+        return None
+    return [h.strip() for h in raw.split(",") if h.strip()] or None

@@ -215,3 +215,21 @@ def extract_tool_results(events: DataFrame) -> DataFrame:
         F.try_variant_get("b", "$.is_error", "boolean").alias("is_error"),
         "source_file",
     )
+
+
+def enumerate_sources(home: str) -> dict:
+    """The transcript tree and the optional side files of one home directory
+    (driver-side existence checks of five fixed names; the files are read by Spark)."""
+    import os
+
+    def opt(name):
+        p = os.path.join(home, name)
+        return p if os.path.exists(p) else None
+
+    return {
+        "transcripts": opt("projects"),
+        "history": opt("history.jsonl"),
+        "todos": opt("todos"),
+        "file_history": opt("file-history"),
+        "shell_snapshots": opt("shell-snapshots"),
+    }

@@ -160,3 +160,52 @@ def session_liveness_stream(hooks: DataFrame) -> DataFrame:
 def dedup_stream(events: DataFrame, watermark: str = "1 hour") -> DataFrame:
     """T4, bounded-state variant: drop replayed uuids seen within the watermark."""
     return events.withWatermark("timestamp", watermark).dropDuplicatesWithinWatermark(["uuid"])
+
+
+def ingest_side_files(spark: SparkSession, home: str, root: str, host: str = "local") -> dict[str, int]:
+    """K6: prompt history, todos, file snapshots and shell snapshots, each inserted if
+    absent on its natural key. Prompt history keys on (typed_at, md5(display),
+    project_path), and a NULL project never conflicts."""
+    from ..sources import sidefiles as sfl
+
+    src = tr.enumerate_sources(home)
+    added: dict[str, int] = {}
+
+    def put(name, df, keys):
+        stored = K.read_or_none(spark, _p(root, name))
+        new = K.staged(K.insert_if_absent(stored, df, keys) if stored is not None else df)
+        added[name] = new.count()
+        if added[name]:
+            K.append(new, _p(root, name))
+
+    if src["history"]:
+        h = sfl.dedup_history(sfl.parse_history(sfl.read_history_lines(spark, src["history"]), host=host))
+        h = h.withColumn("display_md5", F.md5("display"))
+        stored = K.read_or_none(spark, _p(root, "prompts_history"))
+        keyed, nulls = h.filter(F.col("project_path").isNotNull()), h.filter(F.col("project_path").isNull())
+        if stored is not None:
+            keyed = keyed.join(stored.select("typed_at", "display_md5", "project_path"),
+                               ["typed_at", "display_md5", "project_path"], "left_anti")
+        new = K.staged(keyed.unionByName(nulls))
+        added["prompts_history"] = new.count()
+        if added["prompts_history"]:
+            K.append(new, _p(root, "prompts_history"))
+    if src["todos"]:
+        put("todos", sfl.parse_todos(sfl.read_files(spark, src["todos"], "*.json"), host=host),
+            ["session_id", "agent_id", "snapshot_at"])
+    if src["file_history"]:
+        put("file_snapshots", sfl.parse_file_history(sfl.read_files(spark, src["file_history"], recursive=True),
+                                                     src["file_history"], host=host),
+            ["session_id", "file_path", "version"])
+    if src["shell_snapshots"]:
+        put("shell_snapshots", sfl.parse_shell_snapshots(sfl.read_files(spark, src["shell_snapshots"], "*.sh"), host=host),
+            ["id"])
+    return added
+
+
+def backfill_home(spark: SparkSession, home: str, root: str, host: str = "local") -> dict[str, int]:
+    """3.1 end to end for one home directory (K9: one host per source root)."""
+    src = tr.enumerate_sources(home)
+    out = {"events": backfill(spark, src["transcripts"], root, host=host) if src["transcripts"] else 0}
+    out.update(ingest_side_files(spark, home, root, host=host))
+    return out
