@@ -46,11 +46,15 @@ def ingest_lines(spark: SparkSession, lines: DataFrame, root: str, host: str | N
     semi join on the partition column: dynamic partition pruning)."""
     use_utc(spark)
     ensure_checkpoint_dir(spark)
-    ev = tr.to_events(tr.parse_lines(lines), host=host).select(*EVENT_COLS)
+    ev = K.with_bucket(tr.to_events(tr.parse_lines(lines), host=host).select(*EVENT_COLS), "session_id", buckets)
+    ev = K.staged(ev)  # parsed once; the batch is read several times below
     stored = K.read_or_none(spark, _p(root, "events"))
+    if stored is not None:
+        # an event's uuid carries its session, so it can only be stored in that
+        # session's bucket: compare against the batch's buckets only (partition pruning)
+        stored = stored.join(F.broadcast(ev.select("bucket").distinct()), "bucket", "left_semi")
     # The same uuid from two hosts/files keeps the smallest (host, file, line)
-    new = K.insert_if_absent(stored, ev, ["uuid"], ["host", "source_file", "line_key"])
-    new = K.staged(K.with_bucket(new, "session_id", buckets))
+    new = K.staged(K.insert_if_absent(stored, ev, ["uuid"], ["host", "source_file", "line_key"]))
     n = new.count()
     if n == 0:
         return 0
