@@ -112,6 +112,14 @@ def redact_json(docs: pd.Series) -> pd.Series:
     return docs.map(one)
 
 
+def redact_json_column(df, col: str, out: str | None = None):
+    """D12 on a DataFrame column (ships the package to the executors first)."""
+    from ..session import ship_package
+
+    ship_package(df.sparkSession)
+    return df.withColumn(out or col, redact_json(F.col(col)))
+
+
 # ---------------------------------------------------------------- analyzers
 
 def simple_tokens(text: Column) -> Column:

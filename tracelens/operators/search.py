@@ -33,6 +33,9 @@ def build_index(docs: DataFrame, key: str = "uuid", text: str = "text_content",
     t = t.select(key, F.size("terms").alias("doc_len"), F.posexplode("terms").alias("pos", "term"))
     if analyzer == "english":
         from ..functions.text import ENGLISH_STOP_WORDS, porter_stem_udf
+        from ..session import ship_package
+
+        ship_package(docs.sparkSession)
 
         t = t.filter(~F.col("term").isin(ENGLISH_STOP_WORDS))
         vocab = t.select("term").distinct().select("term", porter_stem_udf("term").alias("stem"))

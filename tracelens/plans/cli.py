@@ -50,10 +50,11 @@ def store_status(cat: Catalog) -> DataFrame:
         F.count(F.lit(1)).alias("sessions"), F.count(F.when(F.col("status") == "active", True)).alias("active_sessions")
     )
     e = cat.events.agg(F.count(F.lit(1)).alias("events"), F.max("timestamp").alias("last_event"))
+    one = s.select(F.struct("sessions", "active_sessions").alias("x")).scalar()  # one scan of sessions
     return e.select(
         "events", ntz("last_event").alias("last_event"),
-        s.select("sessions").scalar().alias("sessions"),
-        s.select("active_sessions").scalar().alias("active_sessions"),
+        one["sessions"].alias("sessions"),
+        one["active_sessions"].alias("active_sessions"),
     )
 
 
@@ -75,4 +76,4 @@ def host_schedule(cat: Catalog, now: dt.datetime) -> DataFrame:
         "host", "events", ntz("last_pulled_at").alias("last_pulled_at"), "current_interval_hours",
         minutes.alias("next_in_minutes"), health.alias("health"),
         F.when(F.col("host") == "local", 0).otherwise(1).alias("sort_group"),
-    )
+    ).orderBy("sort_group", "host")  # O5: 'local' first, then alphabetical

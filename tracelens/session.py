@@ -56,3 +56,25 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+_SHIPPED: set[int] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``tracelens`` importable on executors (``--py-files`` at runtime).
+
+    Needed only by the Python UDFs (stemming, deep redaction); done once per context."""
+    import shutil
+
+    sc = spark.sparkContext
+    if id(sc) in _SHIPPED:
+        return
+    import tracelens
+
+    pkg = os.path.dirname(os.path.abspath(tracelens.__file__))
+    base = tempfile.mkdtemp(prefix="tracelens-pyfiles-")
+    archive = shutil.make_archive(os.path.join(base, "tracelens"), "zip", root_dir=os.path.dirname(pkg),
+                                  base_dir="tracelens")
+    sc.addPyFile(archive)
+    _SHIPPED.add(id(sc))
