@@ -8,7 +8,6 @@ catalog object, so a plan that needs sessions twice references one sub-plan.
 
 from __future__ import annotations
 
-from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
