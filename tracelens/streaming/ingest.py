@@ -213,3 +213,21 @@ def backfill_home(spark: SparkSession, home: str, root: str, host: str = "local"
     out = {"events": backfill(spark, src["transcripts"], root, host=host) if src["transcripts"] else 0}
     out.update(ingest_side_files(spark, home, root, host=host))
     return out
+
+
+def usage_daily_stream(messages: DataFrame, sessions: DataFrame, watermark: str = "2 hours") -> DataFrame:
+    """D6 as a streaming aggregate: assistant messages (a stream) joined with a sessions
+    snapshot (stream-static join), tumbling one-day event-time windows; the watermark
+    bounds the state and finalises a day once late data can no longer arrive (append
+    mode). Rows equal the batch D6 for days closed by the watermark."""
+    m = messages.filter(F.col("role") == "assistant").withWatermark("timestamp", watermark)
+    j = m.join(sessions.select("session_id", "project_path"), "session_id")
+    g = j.groupBy(F.window("timestamp", "1 day").alias("w"), "host", "project_path", "model").agg(
+        F.count(F.lit(1)).alias("message_count"),
+        F.coalesce(F.sum("input_tokens"), F.lit(0)).cast("long").alias("input_tokens"),
+        F.coalesce(F.sum("output_tokens"), F.lit(0)).cast("long").alias("output_tokens"),
+        F.coalesce(F.sum("cache_creation_tokens"), F.lit(0)).cast("long").alias("cache_creation"),
+        F.coalesce(F.sum("cache_read_tokens"), F.lit(0)).cast("long").alias("cache_read"),
+    )
+    return g.select(F.col("w.start").alias("day"), "host", "project_path", "model", "message_count",
+                    "input_tokens", "output_tokens", "cache_creation", "cache_read")
