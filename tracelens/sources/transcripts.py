@@ -50,8 +50,15 @@ def sanitize(value: Column) -> Column:
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
-    """Skip empty lines; ``v`` is the parsed VARIANT, NULL when the line is not JSON."""
-    return lines.filter(F.length("value") > 0).withColumn("v", F.try_parse_json(sanitize(F.col("value"))))
+    """Skip empty lines; ``v`` is the parsed VARIANT, NULL when the line is not JSON.
+
+    The parsed row leaves through a generator (``inline`` of a one-element array).
+    Predicates of later steps cannot be pushed below a generator, so they read ``v``
+    instead of having ``try_parse_json`` substituted into each of them: each line is
+    parsed exactly once."""
+    cols = [F.col(c) for c in lines.columns]
+    row = F.struct(*cols, F.try_parse_json(sanitize(F.col("value"))).alias("v"))
+    return lines.filter(F.length("value") > 0).select(F.inline(F.array(row)))
 
 
 def quarantine(parsed: DataFrame) -> DataFrame:
