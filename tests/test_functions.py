@@ -159,3 +159,35 @@ def test_due_hosts(spark):
         "host string, last_pulled_at timestamp, current_interval_hours int")
     due = {r.host for r in due_hosts(df, dt.datetime(2026, 1, 1, 3)).collect()}
     assert due == {"a", "b"}
+
+
+def test_redact_df_equals_column_form(spark):
+    rows = [(1, "a Bearer eyJa.eyJb.c and sk-ant-" + "q" * 25), (2, "plain"), (3, "AKIA" + "Z" * 16 + " ghp_" + "k" * 31)]
+    df = spark.createDataFrame(rows, "id int, t string")
+    a = {r.id: r.t for r in text.redact_df(df, "t").collect()}
+    b = {r.id: r.x for r in df.select("id", text.redact(F.col("t")).alias("x")).collect()}
+    assert a == b and a[1] == "a Bearer [REDACTED:jwt] and [REDACTED:anthropic]"
+
+
+def test_java_forms_match_ascii_word_boundaries(spark):
+    """The Java forms of the rules agree with the original patterns under ASCII \\b."""
+    import re
+
+    rng = random.Random(5)
+    pieces = ["sk-", "sk-ant-", "AKIA", "ghp_", "gho_", "github_pat_", "Bearer ", "eyJ", ".eyJ", "é", "_", "-",
+              " ", "x", "Z", "9", 'token = "', '"', "abc", "ABCDEFGHIJKLMNOP"]
+    alnum = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    texts = []
+    for _ in range(400):
+        parts = []
+        for _ in range(rng.randint(1, 6)):
+            parts.append(rng.choice(pieces))
+            parts.append("".join(rng.choice(alnum) for _ in range(rng.choice([0, 5, 16, 20, 31, 32, 40]))))
+        texts.append("".join(parts))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    rules = text.REDACTION_RULES + [text.ASSIGNMENT_RULE]
+    for kind, pat in rules:
+        got = {r.i: r.x for r in df.select("i", F.regexp_replace("t", text.java_pattern(pat), "#").alias("x")).collect()}
+        rx = re.compile(pat, re.ASCII)
+        for i, t in enumerate(texts):
+            assert got[i] == rx.sub("#", t), (kind, t)

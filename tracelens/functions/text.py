@@ -38,10 +38,24 @@ ASSIGNMENT_RULE = ("secret", r"(?i)\b(token|secret|password|api[_-]?key)\s*=\s*\
 _ASCII_B = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 
 
+_W = "[A-Za-z0-9_]"
+
+# The rules above in Java syntax with ASCII word boundaries (JavaScript/RE2 ``\b``;
+# Java's ``\b`` would also count accented letters as word characters). Each starts with
+# its literal so the matcher can scan for it; the boundary before the literal is a
+# fixed-length lookbehind, the one after the run a lookahead.
+JAVA_FORMS = {
+    REDACTION_RULES[2][1]: "sk-(?<!" + _W + "sk-)[A-Za-z0-9]{32,}(?!" + _W + ")",
+    REDACTION_RULES[3][1]: "AKIA(?<!" + _W + "AKIA)[0-9A-Z]{16}(?!" + _W + ")",
+    REDACTION_RULES[4][1]: "gh[pousr]_(?<!" + _W + "gh[pousr]_)[A-Za-z0-9]{30,}(?!" + _W + ")",
+    REDACTION_RULES[5][1]: "github_pat_(?<!" + _W + "github_pat_)[A-Za-z0-9_]{20,}(?!" + _W + ")",
+}
+
+
 def java_pattern(pattern: str) -> str:
-    """``\b`` with ASCII word characters (as in JavaScript and RE2); Java's own ``\b``
-    also treats accented letters as word characters."""
-    return pattern.replace(r"\b", _ASCII_B)
+    """Java form of a rule: the explicit one above, else every ``\b`` spelled out as an
+    ASCII word boundary."""
+    return JAVA_FORMS.get(pattern) or pattern.replace(r"\b", _ASCII_B)
 
 
 # A literal that every match of the rule contains (each pattern starts with it); used
@@ -58,21 +72,41 @@ RULE_GUARDS = {
 
 
 def _guard(pattern: str, text: Column) -> Column | None:
+    if pattern == ASSIGNMENT_RULE[1]:
+        low = F.lower(text)
+        return (F.instr(low, "token") > 0) | (F.instr(low, "secret") > 0) | (
+            F.instr(low, "password") > 0) | (F.instr(low, "key") > 0)
     lit = RULE_GUARDS.get(pattern)
     return None if lit is None else F.instr(text, lit) > 0
 
 
 def redact(text: Column, extra_rules: list[tuple[str, str]] | None = None) -> Column:
-    """D11 as a Column expression. Each rule runs only on texts that contain its fixed
-    prefix (``instr`` is a byte search; the regex is skipped otherwise): same result."""
+    """D11 as a Column expression: one ``regexp_replace`` per rule, in order (a linear
+    expression; ``redact_df`` adds cheap pre-tests)."""
     out = text
     for kind, pattern in REDACTION_RULES + list(extra_rules or []):
-        replaced = F.regexp_replace(out, java_pattern(pattern), f"[REDACTED:{kind}]")
-        g = _guard(pattern, out)
-        out = replaced if g is None else F.when(g, replaced).otherwise(out)
+        out = F.regexp_replace(out, java_pattern(pattern), f"[REDACTED:{kind}]")
     return out
 
 
+def redact_df(df, col: str, out: str | None = None, extra_rules: list[tuple[str, str]] | None = None):
+    """D11 on a DataFrame column, one rule per projection step. A rule's regex runs only
+    on texts containing its fixed prefix (``instr`` is a byte search). Each step
+    references the previous text three times (test, replace, keep), so Spark keeps the
+    steps apart instead of inlining: every text is scanned once per rule, never more."""
+    target = out or col
+    cur = col
+    for i, (kind, pattern) in enumerate(REDACTION_RULES + list(extra_rules or [])):
+        nxt = f"_redact_{i}"
+        replaced = F.regexp_replace(F.col(cur), java_pattern(pattern), f"[REDACTED:{kind}]")
+        g = _guard(pattern, F.col(cur))
+        df = df.withColumn(nxt, replaced if g is None else F.when(g, replaced).otherwise(F.col(cur)))
+        if cur.startswith("_redact_"):
+            df = df.drop(cur)
+        cur = nxt
+    return df.withColumn(target, F.col(cur)).drop(cur)
+
+
 def count_redactions(redacted: Column) -> Column:
     return F.size(F.regexp_extract_all(redacted, F.lit(r"\[REDACTED:[a-z]+\]"), 0))
 

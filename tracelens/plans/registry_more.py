@@ -302,7 +302,7 @@ FROM c_sessions
 """)(_sessions_from_transcript)
 
 # ---------------------------------------------------------------- D11 redaction, D7/Q25-Q27 search
-from ..functions.text import ASSIGNMENT_RULE, REDACTION_RULES, count_redactions, redact  # noqa: E402
+from ..functions.text import ASSIGNMENT_RULE, REDACTION_RULES, count_redactions, redact_df  # noqa: E402
 from ..sources.driver import documents_with_secrets  # noqa: E402
 from . import search  # noqa: E402
 
@@ -330,8 +330,7 @@ ds AS (SELECT doc_id, text || ' ' || CASE doc_id % 8
 register("d11_redact_documents", _DOCS_SQL + f"""
 , r AS (SELECT doc_id, {_redact_sql('text')} AS text FROM ds)
 SELECT doc_id, text, len(regexp_extract_all(text, '\\[REDACTED:[a-z]+\\]')) AS n_redactions FROM r
-""")(lambda spark, sf: documents_with_secrets(spark, sf).select(
-    "doc_id", redact(F.col("text"), [ASSIGNMENT_RULE]).alias("text")).withColumn(
+""")(lambda spark, sf: redact_df(documents_with_secrets(spark, sf), "text", extra_rules=[ASSIGNMENT_RULE]).withColumn(
     "n_redactions", count_redactions(F.col("text"))))
 
 _IDX_SQL = """
