@@ -17,7 +17,7 @@ def test_percentile_cont_matches_numpy(spark):
     rows.append(("single", 4.5))
     df = spark.createDataFrame(rows, "g string, x double")
     got = {r.g: r for r in percentile_cont(df, ["g"], "x", {"p50": 0.5, "p95": 0.95, "p0": 0.0, "p100": 1.0},
-                                           num_partitions=7).collect()}
+                                           pieces=7).collect()}
     by = {}
     for g, x in rows:
         if x is not None:
@@ -26,3 +26,10 @@ def test_percentile_cont_matches_numpy(spark):
     for g, xs in by.items():
         for name, p in (("p50", 0.5), ("p95", 0.95), ("p0", 0.0), ("p100", 1.0)):
             assert getattr(got[g], name) == pytest.approx(float(np.percentile(xs, p * 100)), rel=1e-12, abs=1e-12), (g, name)
+
+
+def test_percentile_cont_global_group(spark):
+    xs = [float(i * i % 97) for i in range(1000)]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    r = percentile_cont(df, [], "x", {"p50": 0.5, "p99": 0.99}, pieces=16).first()
+    assert r.p50 == pytest.approx(float(np.percentile(xs, 50))) and r.p99 == pytest.approx(float(np.percentile(xs, 99)))

@@ -2,13 +2,15 @@
 
 Spark's exact ``percentile`` merges a value->count map of the whole group into one
 buffer, which cannot hold a group the size of a third of the data. This operator ranks
-values instead:
-
-1. range-partition the values on (group, value): a hot group is split over many
-   partitions, each holding one contiguous value range;
-2. number the rows inside each (partition, group) piece (bounded by a partition);
-3. add the piece's offset: a running count over the pieces of the group, ordered by
-   partition id (a table with one row per piece);
+values instead, using only deterministic keys (so recomputation after an executor loss
+gives the same answer):
+
+1. per group, ``pieces - 1`` split points from ``percentile_approx`` (a bounded sketch;
+   the split points only balance the work, exactness does not depend on them);
+2. a value's piece = number of split points below it (equal values share a piece, and
+   pieces are ordered like the values);
+3. rank = rows in the group's earlier pieces (a running sum over a table of
+   groups x pieces rows) + position inside the piece (a window bounded by a piece);
 4. keep only the (at most two per probability) ranks each percentile needs and
    interpolate: v_lo + (v_hi - v_lo) * (pos - floor(pos)), pos = p * (n - 1).
 """
@@ -20,29 +22,34 @@ from pyspark.sql import functions as F
 
 
 def percentile_cont(df: DataFrame, group: list[str], value: str, probs: dict[str, float],
-                    num_partitions: int | None = None) -> DataFrame:
-    """One row per group with a column per named probability (NULL-free values only)."""
+                    pieces: int = 64, accuracy: int = 10000) -> DataFrame:
+    """One row per group with a column per named probability (NULL values ignored)."""
     g = list(group)
     v = df.select(*g, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    n = v.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"))
+    splits = [i / pieces for i in range(1, pieces)]
+    stats = v.groupBy(*g).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.array_distinct(F.percentile_approx("_v", splits, accuracy)).alias("_bounds"),
+    )
+    if g:
+        vb = v.join(stats.select(*g, "_bounds"), g)
+    else:  # one global group: the split points are a scalar subquery, not a join
+        vb = v.select("_v", stats.select("_bounds").scalar().alias("_bounds"))
+    vb = vb.select(*g, "_v", F.size(F.filter("_bounds", lambda b: b < F.col("_v"))).alias("_piece"))
+
+    counts = vb.groupBy(*g, "_piece").agg(F.count(F.lit(1)).alias("_c"))
+    before = Window.partitionBy(*g).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*g, "_piece", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
+    local = vb.withColumn("_local", F.row_number().over(Window.partitionBy(*g, "_piece").orderBy("_v")) - 1)
+    ranked = local.join(offsets, [*g, "_piece"]).select(*g, "_v", (F.col("_off") + F.col("_local")).alias("_rank"))
+
     qs = F.array(*[F.struct(F.lit(k).alias("name"), F.lit(float(p)).alias("p")) for k, p in probs.items()])
-    need = n.select(*g, "_n", F.explode(qs).alias("q")).select(
-        *g, "_n", F.col("q.name").alias("name"), (F.col("q.p") * (F.col("_n") - 1)).alias("pos")
+    need = stats.select(*g, "_n", F.explode(qs).alias("q")).select(
+        *g, F.col("q.name").alias("name"), (F.col("q.p") * (F.col("_n") - 1)).alias("pos")
     ).withColumn("lo", F.floor("pos").cast("long")).withColumn("hi", F.ceil("pos").cast("long"))
-
-    parts = num_partitions or v.sparkSession.sparkContext.defaultParallelism
-    s = v.repartitionByRange(parts, *g, "_v").withColumn("_pid", F.spark_partition_id())
-    s = s.withColumn("_local", F.row_number().over(Window.partitionBy("_pid", *g).orderBy("_v")) - 1)
-    pieces = s.groupBy("_pid", *g).agg(F.count(F.lit(1)).alias("_c"))
-    before = Window.partitionBy(*g).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    pieces = pieces.withColumn("_off", F.coalesce(F.sum("_c").over(before), F.lit(0)))
-    ranked = s.join(pieces.select("_pid", *g, "_off"), ["_pid", *g]).select(
-        *g, "_v", (F.col("_off") + F.col("_local")).alias("_rank"))
-
     wanted = need.select(*g, F.col("lo").alias("_rank")).union(need.select(*g, F.col("hi").alias("_rank"))).distinct()
     picked = ranked.join(wanted, [*g, "_rank"])
     j = need.join(picked.withColumnRenamed("_rank", "lo").withColumnRenamed("_v", "v_lo"), [*g, "lo"]).join(
         picked.withColumnRenamed("_rank", "hi").withColumnRenamed("_v", "v_hi"), [*g, "hi"])
     val = F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * (F.col("pos") - F.col("lo"))
-    out = j.groupBy(*g).agg(*[F.max(F.when(F.col("name") == k, val)).alias(k) for k in probs])
-    return out
+    return j.groupBy(*g).agg(*[F.max(F.when(F.col("name") == k, val)).alias(k) for k in probs])
