@@ -45,10 +45,18 @@ class Catalog:
     def _get(self, name, build):
         v = self._given.get(name)
         if v is None:
-            v = build()
+            loader = getattr(self, "_loaders", {}).get(name)
+            v = loader() if loader is not None else build()
             self._given[name] = v
         return v
 
+    @classmethod
+    def from_loaders(cls, spark: SparkSession, **loaders) -> "Catalog":
+        """Tables opened on first use (a query touching one table lists only its files)."""
+        c = cls(spark)
+        c._loaders = loaders
+        return c
+
     @property
     def pricing(self) -> DataFrame:
         return self._get("pricing", lambda: model_pricing(self.spark))

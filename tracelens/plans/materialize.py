@@ -58,5 +58,7 @@ def is_materialized(path: str) -> bool:
 
 
 def from_root(spark: SparkSession, root: str) -> Catalog:
-    tables = {name: spark.read.parquet(os.path.join(root, name)) for name in TABLES}
-    return Catalog.from_tables(spark, **tables)
+    def opener(name):
+        return lambda: spark.read.parquet(os.path.join(root, name))
+
+    return Catalog.from_loaders(spark, **{name: opener(name) for name in TABLES})
