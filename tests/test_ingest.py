@@ -61,3 +61,13 @@ def test_backfill_home_side_files(spark):
     assert sh.id == "snapshot-zsh-1776679200000-ab12" and sh.captured_at.year == 2026
     assert parse_hosts(None, " a, b ,") == ["a", "b"] and parse_hosts(["x,y", "z"]) == ["x", "y"]
     assert parse_hosts("  ", None) is None
+
+
+def test_rebuild_sessions_matches_incremental(spark):
+    root = tempfile.mkdtemp(prefix="tl-rebuild-")
+    ingest.backfill(spark, HOME, root, host="local")
+    cols = ["session_id", "message_count", "tool_call_count", "subagent_count", "estimated_cost_usd", "first_user_prompt"]
+    before = sorted(map(tuple, spark.read.parquet(f"{root}/sessions").select(cols).collect()))
+    ingest.rebuild_sessions(spark, root)
+    after = sorted(map(tuple, spark.read.parquet(f"{root}/sessions").select(cols).collect()))
+    assert before == after and len(after) == 1

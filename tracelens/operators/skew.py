@@ -31,14 +31,17 @@ def chunked_lead(
     prefix: str = "next_",
 ) -> DataFrame:
     """Add ``next_<c>`` for ``c`` in ``[ts, *cols]``: the value on the following row of
-    the same ``group`` in (ts, tie) order, NULL on the group's last row."""
+    the same ``group`` in (ts, tie) order, NULL on the group's last row.
+
+    One window pass over (group, chunk); the chunk's successor head is joined on the
+    same key (the window's partitioning), so the rows are not shuffled again."""
     chunk_us = int(chunk_seconds) * 1_000_000
     carry = [ts, *cols]
     d = df.withColumn("_chunk", F.expr(f"unix_micros(`{ts}`) div {chunk_us}"))
     w = Window.partitionBy(group, "_chunk").orderBy(ts, tie)
     x = d.select(
         "*",
-        *[F.lead(c).over(w).alias(prefix + c) for c in carry],
+        *[F.lead(c).over(w).alias(f"_in_{c}") for c in carry],
         F.lead(tie).over(w).isNull().alias("_last"),
     )
     heads = d.groupBy(group, "_chunk").agg(
@@ -47,19 +50,12 @@ def chunked_lead(
     nh = heads.select(
         group, "_chunk", F.lead("_h").over(Window.partitionBy(group).orderBy("_chunk")).alias("_nh")
     )
-    inner = x.filter(~F.col("_last")).drop("_last")
-    tails = (
-        x.filter(F.col("_last"))
-        .drop("_last", *[prefix + c for c in carry])
-        .join(nh, [group, "_chunk"], "left")
-        .select(
-            "*",
-            F.col("_nh._t").alias(prefix + ts),
-            *[F.col(f"_nh._v_{c}").alias(prefix + c) for c in cols],
-        )
-        .drop("_nh")
+    j = x.join(nh, [group, "_chunk"], "left")
+    nxt = {ts: F.col("_nh._t"), **{c: F.col(f"_nh._v_{c}") for c in cols}}
+    return j.select(
+        *[F.col(c) for c in df.columns],
+        *[F.when(F.col("_last"), nxt[c]).otherwise(F.col(f"_in_{c}")).alias(prefix + c) for c in carry],
     )
-    return inner.unionByName(tails).drop("_chunk")
 
 
 def top_k_per_group(df: DataFrame, group: list[str] | str, order: list[Column], k: int, rank_col: str = "rank") -> DataFrame:
