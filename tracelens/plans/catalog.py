@@ -22,7 +22,7 @@ class Catalog:
     def __init__(self, spark: SparkSession, *, events=None, messages=None, tool_uses=None,
                  tool_results=None, tool_calls=None, sessions=None, usage_daily=None,
                  pricing=None, host_sync_state=None, hooks=None, text_index=None, corpus_stats=None,
-                 bound=None):
+                 text_index_english=None, bound=None):
         use_utc(spark)
         self.spark = spark
         self._bound = bound
@@ -30,7 +30,7 @@ class Catalog:
                            tool_results=tool_results, tool_calls=tool_calls, sessions=sessions,
                            usage_daily=usage_daily, pricing=pricing,
                            host_sync_state=host_sync_state, hooks=hooks, text_index=text_index,
-                           corpus_stats=corpus_stats)
+                           corpus_stats=corpus_stats, text_index_english=text_index_english)
 
     @classmethod
     def from_driver(cls, spark: SparkSession, sf_dir: str) -> "Catalog":
@@ -110,6 +110,12 @@ class Catalog:
 
         return self._get("text_index", lambda: build_index(self.messages))
 
+    @property
+    def text_index_english(self) -> DataFrame:
+        from ..operators.search import build_index
+
+        return self._get("text_index_english", lambda: build_index(self.messages, analyzer="english"))
+
     @property
     def corpus_stats(self) -> DataFrame:
         from ..operators.search import corpus_stats

@@ -25,6 +25,7 @@ TABLES = {
     "usage_daily": (["day"], []),
     "host_sync_state": ([], []),
     "text_index": (["term"], []),
+    "text_index_english": (["term"], []),
     "corpus_stats": ([], []),
 }
 

@@ -17,10 +17,9 @@ def _matches(cat: Catalog, q: str, role=None, project=None, window: TimeWindow |
     msgs = cat.messages
     if analyzer == "english":
         from ..functions.text import english_query_terms
-        from ..operators.search import build_index
 
         terms = english_query_terms(q)
-        index = build_index(msgs, analyzer="english")
+        index = cat.text_index_english
     else:
         terms = query_terms(q)
         index = cat.text_index
