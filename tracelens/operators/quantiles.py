@@ -53,3 +53,24 @@ def percentile_cont(df: DataFrame, group: list[str], value: str, probs: dict[str
         picked.withColumnRenamed("_rank", "hi").withColumnRenamed("_v", "v_hi"), [*g, "hi"])
     val = F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * (F.col("pos") - F.col("lo"))
     return j.groupBy(*g).agg(*[F.max(F.when(F.col("name") == k, val)).alias(k) for k in probs])
+
+
+def exact_percentiles(df: DataFrame, group: list[str], value: str, probs: dict[str, float],
+                      max_group_rows: int = 1_000_000) -> DataFrame:
+    """Exact percentiles with a size check, like a size-checked broadcast: when every
+    group holds at most ``max_group_rows`` values, Spark's exact ``percentile`` (one
+    aggregation; its per-group value map is bounded by the check) is used; otherwise the
+    ranking operator above, which never gathers a group. The input is materialised once
+    (reliable checkpoint) because the check and the computation both read it; only one
+    number, the largest group size, reaches the driver."""
+    from ..session import ensure_checkpoint_dir
+
+    g = list(group)
+    v = df.select(*g, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    ensure_checkpoint_dir(v.sparkSession)
+    v = v.checkpoint()
+    sizes = v.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"))
+    biggest = sizes.agg(F.max("_n")).first()[0]
+    if biggest is not None and biggest > max_group_rows:
+        return percentile_cont(v, g, "_v", probs)
+    return v.groupBy(*g).agg(*[F.percentile(F.col("_v"), F.lit(float(p))).alias(k) for k, p in probs.items()])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import TimeWindow
-from ..operators.quantiles import percentile_cont
+from ..operators.quantiles import exact_percentiles
 from ..operators.skew import chunked_lead
 from .catalog import Catalog
 from .common import day_str, in_list, in_window, ntz, ratio, where
@@ -39,8 +39,8 @@ def latency_percentiles(cat: Catalog, w: TimeWindow, hosts=None, max_gap_sec: in
         q = pairs.groupBy("d").agg(F.percentile_approx("gap", 0.5, 100000).alias("p50_sec"),
                                    F.percentile_approx("gap", 0.95, 100000).alias("p95_sec"))
     else:
-        # exact, by ranking: a busy day is never gathered into one task
-        q = percentile_cont(pairs, ["d"], "gap", {"p50_sec": 0.5, "p95_sec": 0.95})
+        # exact and size-checked: a day too busy for one task is ranked, never gathered
+        q = exact_percentiles(pairs, ["d"], "gap", {"p50_sec": 0.5, "p95_sec": 0.95})
     return q.select(day_str("d").alias("day"), F.round("p50_sec", 4).alias("p50_sec"), F.round("p95_sec", 4).alias("p95_sec"))
 
 
