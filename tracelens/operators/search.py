@@ -57,8 +57,8 @@ def match_and_rank(index: DataFrame, stats: DataFrame, terms: list[str], key: st
     if not terms:
         return index.limit(0).select(key, F.lit(0.0).alias("rank"), F.lit(0).alias("first_hit"))
     hits = index.filter(F.col("term").isin(terms))
-    n_docs = stats.select("n_docs").scalar()
-    avgdl = stats.select("avgdl").scalar()
+    one = stats.select(F.struct("n_docs", "avgdl").alias("s")).scalar()  # one subquery
+    n_docs, avgdl = one["n_docs"], one["avgdl"]
     dfreq = hits.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     idf = F.log(F.lit(1.0) + (n_docs - F.col("n_t") + 0.5) / (F.col("n_t") + 0.5))
     tf = F.col("tf").cast("double")
