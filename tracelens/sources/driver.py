@@ -313,11 +313,14 @@ def transcript_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines with k % 7 = 1 (stripped before parsing).
     """
     b = bind(spark, sf_dir).lines
+    # JSON text is assembled from plain to_json pieces (no VARIANT round trip): the tool
+    # input is a map, a string content is the escaped text itself
     block = lambda **kw: F.struct(
         *[
             (kw.get(n, F.lit(None).cast(t))).alias(n)
             for n, t in [("type", "string"), ("text", "string"), ("id", "string"), ("name", "string"),
-                         ("input", "variant"), ("tool_use_id", "string"), ("content", "string"), ("is_error", "boolean")]
+                         ("input", "map<string,string>"), ("tool_use_id", "string"), ("content", "string"),
+                         ("is_error", "boolean")]
         ]
     )
     is_use = F.col("tool_name").isNotNull()
@@ -327,17 +330,11 @@ def transcript_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(
             block(type=F.lit("text"), text=F.col("text_content")),
             block(type=F.lit("tool_use"), id=F.col("tool_use_id"), name=F.col("tool_name"),
-                  input=F.try_parse_json(F.col("tool_input"))),
+                  input=F.from_json(F.col("tool_input"), "map<string,string>")),
         ),
     ).otherwise(F.array(block(type=F.lit("text"), text=F.col("text_content"))))
     res_blocks = F.array(block(type=F.lit("tool_result"), tool_use_id=F.col("tool_use_id"),
                                content=F.col("result_content"), is_error=F.col("is_error")))
-    as_variant_string = F.variant_get(F.try_parse_json(F.to_json(F.struct(F.col("text_content").alias("c")))), "$.c", "variant")
-    content = (
-        F.when(F.col("type") == "assistant", F.to_variant_object(asst_blocks))
-        .when(is_res, F.to_variant_object(res_blocks))
-        .otherwise(as_variant_string)
-    )
     usage = F.when(
         F.col("role") == "assistant",
         F.struct(
@@ -346,7 +343,7 @@ def transcript_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("cache_read_tokens").alias("cache_read_input_tokens"),
         ),
     )
-    line = F.struct(
+    head = F.to_json(F.struct(
         F.col("uuid").alias("uuid"),
         F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("timestamp"),
         F.col("type").alias("type"),
@@ -359,10 +356,19 @@ def transcript_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("is_sidechain").alias("isSidechain"),
         F.col("agent_id").alias("agentId"),
         F.when(F.col("type") == "assistant", F.concat(F.lit("req-"), F.col("uuid"))).alias("requestId"),
-        F.struct(F.col("role").alias("role"), F.col("model").alias("model"), content.alias("content"),
-                 usage.alias("usage")).alias("message"),
+    ))
+    msg = F.to_json(F.struct(F.col("role").alias("role"), F.col("model").alias("model"), usage.alias("usage")))
+    text_json = F.to_json(F.struct(F.col("text_content").alias("c")))
+    content = (
+        F.when(F.col("type") == "assistant", F.to_json(asst_blocks))
+        .when(is_res, F.to_json(res_blocks))
+        .otherwise(F.expr("substring(_tj, 6, length(_tj) - 6)"))
+    )
+    b = b.withColumn("_tj", text_json).withColumn("_head", head).withColumn("_msg", msg)
+    js = F.concat(
+        F.expr("substring(_head, 1, length(_head) - 1)"), F.lit(',"message":'),
+        F.expr("substring(_msg, 1, length(_msg) - 1)"), F.lit(',"content":'), content, F.lit("}}"),
     )
-    js = F.to_json(line)
     nul = is_res & (F.regexp_extract("uuid", r"^e\d+r$", 0) != "") & (F.expr("try_cast(regexp_extract(text_content, '#(\\\\d+)$', 1) as int)") % 7 == 1)
     good = b.select(
         F.when(nul, F.replace(js, F.lit('"type":"user"'), F.lit('"type":"us\\u0000er"'))).otherwise(js).alias("value"),
