@@ -71,3 +71,18 @@ def test_rebuild_sessions_matches_incremental(spark):
     ingest.rebuild_sessions(spark, root)
     after = sorted(map(tuple, spark.read.parquet(f"{root}/sessions").select(cols).collect()))
     assert before == after and len(after) == 1
+
+
+def test_cli_commands(spark, capsys):
+    from tracelens.__main__ import main
+
+    home = os.path.join(FIXTURES, "home", ".claude")
+    root = tempfile.mkdtemp(prefix="tl-cli-")
+    assert main(["backfill", "--home", home, "--root", root], spark=spark) == 0
+    assert main(["stats", "--root", root, "--since", "2026-04-01"], spark=spark) == 0
+    assert main(["sessions", "--root", root], spark=spark) == 0
+    assert main(["search", "--root", root, "build"], spark=spark) == 0
+    assert main(["replay", "--root", root, "s"], spark=spark) == 0
+    assert main(["status", "--root", root], spark=spark) == 0
+    out = capsys.readouterr().out
+    assert "claude-sonnet-4-5" in out and "fix the build" in out and "Read" in out
