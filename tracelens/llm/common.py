@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship_package
+
 #: Arrow batches that go to Python hold at most this many bytes, whatever the row count:
 #: very long texts then come a few at a time.
 BATCH_BYTES = 8 << 20
@@ -17,8 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Bound what a Python task holds at once: batches by bytes, not only by rows."""
+def python_tasks(spark: SparkSession) -> None:
+    """Bound what a Python task holds at once (batches by bytes, not only by rows), and let
+    executors import this package."""
+    ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
 
@@ -46,3 +50,23 @@ def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
 def input_bytes(df: DataFrame, column: str) -> int:
     """Total bytes of a text column (one aggregate over all rows)."""
     return int(df.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()[0])
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: int, of: int, per_class: int,
+                    text: str = "text", key: str = "doc_id") -> DataFrame:
+    """Training rows (key, t, y): outside the held-out fold, at most ``per_class`` of each
+    class, the ones with the smallest key hash. A key labelled twice counts with its
+    largest label; null keys, labels and unknown documents are left out."""
+    known = (
+        labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y"))
+        .where(f"k is not null and y in (0, 1) and crc32(cast(k as string)) % {of} != {fold}")
+        .groupBy("k").agg(F.max("y").alias("y"))
+    )
+    picked = [known.where(F.col("y") == y).orderBy(F.xxhash64("k"), "k").limit(per_class) for y in (0, 1)]
+    sample = F.broadcast(picked[0].unionByName(picked[1]))  # 2 * per_class rows at most
+    return docs.select(F.col(key).alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t")).join(sample, "k")
+
+
+def held_out(key: str, fold: int, of: int):
+    """Whether a row belongs to the held-out fold; a null key counts as the empty text."""
+    return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))) % of == fold

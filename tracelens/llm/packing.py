@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, stored
+from .common import python_tasks, stored
 
 SEQUENCE = 2048
 END_ID = 1
@@ -71,7 +71,7 @@ def word_table(tokenizer_file: str) -> WordTable:
 
 def tokenised(docs: DataFrame, tokenizer_file: str, text: str = "text", key: str = "doc_id", end_id: int = END_ID) -> DataFrame:
     """key, ids (binary, end id last), n, part and the start within the part."""
-    bound_batches(docs.sparkSession)
+    python_tasks(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, part, at = word_table(tokenizer_file), TaskContext.get().partitionId(), 0

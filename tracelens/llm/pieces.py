@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import python_tasks
 
 MARK = "▁"
 #: Entries of a worker's chunk table; a full table is emptied, never trusted beyond that.
@@ -73,7 +73,7 @@ def chunk_table(model_file: str) -> ChunkTable:
 
 def encode_decode(docs: DataFrame, model_file: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per document: key, ``ids`` (binary, with begin and end) and ``decoded``."""
-    bound_batches(docs.sparkSession)
+    python_tasks(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = chunk_table(model_file)
