@@ -8,10 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, pieces, pseudonyms, quality, reputation, toxicity
+from . import fingerprints, packing, pieces, pseudonyms, quality, reputation, toxicity
 from .common import held_out, table
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fingerprints.compare(table(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id", F.length("t").cast("bigint").alias("n_chars"), F.sha2(F.encode("e", "UTF-8"), 256).alias("edited_sha256"),
+        "fingerprint", "edited_fingerprint", "near_edited", "near_next",
+    )
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = quality.classify(docs, table(spark, sf_dir, "labels"))
@@ -57,6 +65,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_fingerprints": op1_fingerprints,
         "op2_quality": op2_quality,
         "op3_packing": op3_packing,
         "op4_url_reputation": op4_url_reputation,
