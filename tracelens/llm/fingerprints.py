@@ -53,29 +53,29 @@ def digests(text: Column) -> Column:
 
 
 def check(x: Column) -> Column:
-    return F.xxhash64(x, F.lit("check"))
+    return F.xxhash64(x, F.lit(-1))
 
 
-def place(x: Column, third: Column, salt: Column, cells: Column) -> Column:
+def place(x: Column, third: int, salt: Column, cells: Column) -> Column:
     """The digest's cell within a third of the table."""
-    return F.pmod(F.xxhash64(x, salt, third), cells)
+    return F.pmod(F.shiftright(F.xxhash64(x, salt), 20 * third), cells)
+
+
+def xor_all(xs: Column, of: Callable[[Column], Column] = lambda x: x) -> Column:
+    return F.aggregate(xs, F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(of(x)))
 
 
 def build(xs: Column, salt: Column, cells: Column) -> Column:
     """Table of 3 x ``cells`` cells (n, x, c) over digests."""
-    empty = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("x"), F.lit(0).cast("bigint").alias("c"))
 
-    def cell(third: Column, placed: Column, i: Column) -> Column:
-        return F.aggregate(
-            F.filter(placed, lambda p: p["at"] == i), empty,
-            lambda a, p: F.struct((a["n"] + 1).alias("n"), a["x"].bitwiseXOR(p["x"]).alias("x"), a["c"].bitwiseXOR(p["c"]).alias("c")),
-        )
+    def cell(inside: Column) -> Column:
+        return let(inside, lambda z: F.struct(F.size(z).cast("bigint").alias("n"), xor_all(z).alias("x"), xor_all(z, check).alias("c")))
 
-    def part(third: Column) -> Column:
-        placed = F.transform(xs, lambda x: F.struct(x.alias("x"), check(x).alias("c"), place(x, third, salt, cells).alias("at")))
-        return let(placed, lambda p: F.transform(F.sequence(F.lit(0).cast("bigint"), cells - 1), lambda i: cell(third, p, i)))
+    def part(third: int) -> Column:
+        return let(F.transform(xs, lambda x: place(x, third, salt, cells)), lambda at: F.transform(
+            F.sequence(F.lit(0).cast("bigint"), cells - 1), lambda i: cell(F.filter(xs, lambda x, j: F.get(at, j) == i))))
 
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(2)), part))
+    return F.concat(*map(part, range(3)))
 
 
 def subtract(a: Column, b: Column) -> Column:
@@ -92,12 +92,20 @@ def peel(table: Column, salt: Column, cells: Column) -> Column:
             F.filter(s["cells"], lambda c: (F.abs(c["n"]) == 1) & (c["c"] == check(c["x"]))), lambda c: F.struct(c["x"].alias("x"), c["n"].alias("n"))))
 
         def without(ps: Column) -> Column:
-            def cell(c: Column, i: Column) -> Column:
-                third, at = F.floor(i / cells).cast("int"), F.pmod(i.cast("bigint"), cells)
-                return F.aggregate(F.filter(ps, lambda p: place(p["x"], third, salt, cells) == at), c, lambda a, p: F.struct(
-                    (a["n"] - p["n"]).alias("n"), a["x"].bitwiseXOR(p["x"]).alias("x"), a["c"].bitwiseXOR(check(p["x"])).alias("c")))
+            placed = F.transform(ps, lambda p: F.struct(
+                p["x"].alias("x"), p["n"].alias("n"), *((place(p["x"], t, salt, cells) + t * cells).alias(f"at{t}") for t in range(3))))
+
+            def cell(c: Column, inside: Column) -> Column:
+                return F.when(F.size(inside) == 0, c).otherwise(F.struct(
+                    (c["n"] - F.aggregate(inside, F.lit(0).cast("bigint"), lambda a, p: a + p["n"])).alias("n"),
+                    c["x"].bitwiseXOR(xor_all(inside, lambda p: p["x"])).alias("x"),
+                    c["c"].bitwiseXOR(xor_all(inside, lambda p: check(p["x"]))).alias("c")))
+
+            def at(items: Column, i: Column) -> Column:
+                return F.filter(items, lambda p: (p["at0"] == i) | (p["at1"] == i) | (p["at2"] == i))
 
-            out = F.struct(F.transform(s["cells"], cell).alias("cells"), F.concat(s["got"], ps).alias("got"), F.lit(False).alias("stuck"))
+            left = let(placed, lambda items: F.transform(s["cells"], lambda c, i: let(at(items, i.cast("bigint")), lambda z: cell(c, z))))
+            out = F.struct(left.alias("cells"), F.concat(s["got"], ps).alias("got"), F.lit(False).alias("stuck"))
             return F.when(F.size(ps) == 0, F.struct(s["cells"].alias("cells"), s["got"].alias("got"), F.lit(True).alias("stuck"))).otherwise(out)
 
         return let(pure, without)
@@ -128,17 +136,18 @@ def differing(xs: Column, ys: Column) -> Column:
 def striped(xs: Column, ys: Column) -> Column:
     """Differing digests, stripe by stripe; stripes are cut in two steps, so that the work
     grows with digests times the root of their number."""
-    root = F.ceil(F.sqrt(F.greatest(F.lit(1.0), (F.size(xs) + F.size(ys)) / F.lit(float(STRIPE))))).cast("bigint")
+    number = F.greatest(F.lit(1.0), (F.size(xs) + F.size(ys)) / F.lit(float(STRIPE)))
 
-    def part(zs: Column, name: str, i: Column) -> Column:
-        return F.filter(zs, lambda x: F.pmod(F.xxhash64(x, F.lit(name)), root) == i)
+    def part(zs: Column, seed: int, of: Column, i: Column) -> Column:
+        return F.filter(zs, lambda x: F.pmod(F.xxhash64(x, F.lit(seed)), of) == i)
 
-    def rows(i: Column) -> Column:
-        return let(F.struct(part(xs, "row", i).alias("a"), part(ys, "row", i).alias("b")), lambda r: F.flatten(F.transform(
-            F.sequence(F.lit(0).cast("bigint"), root - 1),
-            lambda j: let(F.struct(part(r["a"], "column", j).alias("a"), part(r["b"], "column", j).alias("b")), lambda q: differing(q["a"], q["b"])))))
+    def parts(a: Column, b: Column, seed: int, of: Column, body: Callable[[Column, Column], Column]) -> Column:
+        return F.flatten(F.transform(F.sequence(F.lit(0).cast("bigint"), of - 1), lambda i: let(
+            F.struct(part(a, seed, of, i).alias("a"), part(b, seed, of, i).alias("b")), lambda q: body(q["a"], q["b"]))))
 
-    return F.flatten(F.transform(F.sequence(F.lit(0).cast("bigint"), root - 1), rows))
+    rows = F.ceil(F.sqrt(number)).cast("bigint")
+    size = F.struct(rows.alias("rows"), F.ceil(number / rows).cast("bigint").alias("columns"))
+    return let(size, lambda n: parts(xs, ys, -2, n["rows"], lambda a, b: parts(a, b, -3, n["columns"], differing)))
 
 
 def difference(xs: Column, xt: Column, ys: Column, yt: Column) -> Column:
