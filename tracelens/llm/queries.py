@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chosen_path, fingerprints, packing, pieces, pseudonyms, quality, reputation, toxicity
+from . import chosen_path, fingerprints, packing, pieces, pseudonyms, quality, repeats, reputation, toxicity
 from .common import held_out, table
 
 
@@ -57,6 +57,11 @@ def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", F.size("kinds").alias("n_replaced"), "kinds")
 
 
+def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.without_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pieces.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
     return out.select(
@@ -76,6 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_toxicity": op5_toxicity,
         "op7_minhash_near_dedup": op7_minhash_near_dedup,
         "op8_pseudonyms": op8_pseudonyms,
+        "op9_repeated_passages": op9_repeated_passages,
         "op10_sentencepiece": op10_sentencepiece,
     }
 
