@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chosen_path, fingerprints, packing, pieces, pseudonyms, quality, repeats, reputation, toxicity
+from . import chosen_path, fingerprints, neighbours, packing, pieces, pseudonyms, quality, repeats, reputation, toxicity
 from .common import held_out, table
 
 
@@ -44,6 +44,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
@@ -79,6 +83,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_packing": op3_packing,
         "op4_url_reputation": op4_url_reputation,
         "op5_toxicity": op5_toxicity,
+        "op6_embedding_near_dedup": op6_embedding_near_dedup,
         "op7_minhash_near_dedup": op7_minhash_near_dedup,
         "op8_pseudonyms": op8_pseudonyms,
         "op9_repeated_passages": op9_repeated_passages,
