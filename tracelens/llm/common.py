@@ -70,3 +70,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: int, o
 def held_out(key: str, fold: int, of: int):
     """Whether a row belongs to the held-out fold; a null key counts as the empty text."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))) % of == fold
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -54,38 +54,47 @@ FIRST_KEY = -(1 << 63)
 
 
 def blocks(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """(block, n, ids, sizes, z): whole documents in key order, their texts compressed."""
+    """(block, n, ids, sizes, z, rest): whole documents in key order, their texts compressed;
+    ``rest`` holds the other columns' rows, in the same order, as an Arrow stream."""
+    names = docs.columns
+    at_text, at_key = names.index(text), names.index(key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, at = TaskContext.get().partitionId(), 0
+        part, number = TaskContext.get().partitionId(), 0
 
-        def block(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
-            nonlocal at
+        def block(rows: list[tuple[int, bytes, pa.RecordBatch, int]]) -> pa.RecordBatch:
+            nonlocal number
             rows.sort(key=lambda r: r[0])
-            raw = b"".join(t for _, t in rows)
-            at += 1
+            raw = b"".join(r[1] for r in rows)
+            sources = {id(r[2]): r[2] for r in rows}
+            first = dict(zip(sources, np.cumsum([0, *(x.num_rows for x in sources.values())]).tolist(), strict=False))
+            rest = pa.Table.from_batches([*sources.values()]).take(pa.array([first[id(r[2])] + r[3] for r in rows]))
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rest.schema) as stream:
+                stream.write_table(rest.combine_chunks())
+            number += 1
             return pa.RecordBatch.from_arrays(
-                [pa.array([part << 32 | at], pa.int64()), pa.array([len(raw)], pa.int64()),
-                 pa.array([np.array([i for i, _ in rows], "int64").tobytes()], pa.binary()),
-                 pa.array([np.array([len(t) for _, t in rows], "int64").tobytes()], pa.binary()),
-                 pa.array([zstandard.compress(raw, 3)], pa.binary())],
-                names=["block", "n", "ids", "sizes", "z"],
+                [pa.array([part << 32 | number], pa.int64()), pa.array([len(raw)], pa.int64()),
+                 pa.array([np.array([r[0] for r in rows], "int64").tobytes()], pa.binary()),
+                 pa.array([np.array([len(r[1]) for r in rows], "int64").tobytes()], pa.binary()),
+                 pa.array([zstandard.compress(raw, 3)], pa.binary()), pa.array([zstandard.compress(sink.getvalue(), 3)], pa.binary())],
+                names=["block", "n", "ids", "sizes", "z", "rest"],
             )
 
         rows, size = [], 0
         for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            rest = pa.RecordBatch.from_arrays(b.columns[:at_text] + b.columns[at_text + 1 :], names=names[:at_text] + names[at_text + 1 :])
+            for j, (i, t) in enumerate(zip(b.column(at_key).to_pylist(), b.column(at_text).to_pylist(), strict=True)):
                 raw = (t or "").encode()
                 if rows and size + len(raw) > BLOCK_BYTES:
                     yield block(rows)
                     rows, size = [], 0
-                rows.append((i, raw))
+                rows.append((FIRST_KEY if i is None else i, raw, rest, j))
                 size += len(raw)
         if rows:
             yield block(rows)
 
-    rows = docs.select(F.coalesce(F.col(key).cast("bigint"), F.lit(FIRST_KEY)).alias("i"), F.col(text).cast("string").alias("t"))
-    return rows.mapInArrow(run, "block long, n long, ids binary, sizes binary, z binary")
+    return docs.mapInArrow(run, "block long, n long, ids binary, sizes binary, z binary, rest binary")
 
 
 class Block:
@@ -358,25 +367,17 @@ def removed(block: Block, told: list) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
-def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for ids, sizes, z, told in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            block = Block(z, ids, sizes)
-            gone = removed(block, told)
-            out = []
-            for a, b in zip(block.starts, block.ends, strict=True):
-                g = gone[a:b]
-                edges = np.flatnonzero(np.diff(g.astype("int8"), prepend=0, append=0))
-                out.append((block.data[a:b][~g].tobytes(), int(b - a), int(g.sum()), [{"start": int(x), "end": int(y)} for x, y in edges.reshape(-1, 2)]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(block.ids), pa.array([r[0] for r in out], pa.binary()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.int64()),
-                 pa.array([r[3] for r in out], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
-                names=["k", "kept", "n_bytes", "n_removed", "spans"],
-            )
+def kept_bytes(block: Block, told: list) -> Iterator[tuple[bytes, int, int, list[dict]]]:
+    """For each document of a block: bytes that stay, all bytes, removed bytes, removed spans."""
+    gone = removed(block, told)
+    for a, b in zip(block.starts, block.ends, strict=True):
+        g = gone[a:b]
+        edges = np.flatnonzero(np.diff(g.astype("int8"), prepend=0, append=0))
+        yield block.data[a:b][~g].tobytes(), int(b - a), int(g.sum()), [{"start": int(x), "end": int(y)} for x, y in edges.reshape(-1, 2)]
 
 
-def without_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row per document: key, kept (the bytes that stay), n_bytes, n_removed, spans."""
+def told_blocks(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """(ids, sizes, z, rest, told): every block with what is to know of its contexts."""
     spark = docs.sparkSession
     python_tasks(spark)
     packed = stored(spark, blocks(docs, text, key), "blocks")
@@ -392,6 +393,39 @@ def without_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     told = found.select("bucket", "block", "contexts", "least").groupBy("bucket").applyInPandas(merge_bucket, "bucket long, block long, whole binary, mask binary")
     told = found.select("bucket", "block", "pos", "which").join(told, ["bucket", "block"])
     told = told.groupBy("block").agg(F.collect_list(F.struct("pos", "which", "whole", "mask")).alias("told"))
-    out = packed.join(told, "block", "left").select("ids", "sizes", "z", "told")
+    return packed.join(told, "block", "left").select("ids", "sizes", "z", "rest", "told")
+
+
+def without_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """One row per document: key, kept (the bytes that stay), n_bytes, n_removed, spans."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, sizes, z, told in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 4)), strict=True):
+                block = Block(z, ids, sizes)
+                out = [*kept_bytes(block, told)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(block.ids), pa.array([r[0] for r in out], pa.binary()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.int64()),
+                     pa.array([r[3] for r in out], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
+                    names=["k", "kept", "n_bytes", "n_removed", "spans"],
+                )
+
+    docs = docs.select(F.col(key).cast("bigint").alias(key), F.col(text).cast("string").alias(text))
     schema = "k long, kept binary, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>"
-    return out.mapInArrow(cut, schema).withColumn("k", F.expr(f"nullif(k, cast('{FIRST_KEY}' as bigint))")).withColumnRenamed("k", key)
+    out = told_blocks(docs, text, key).mapInArrow(cut, schema)
+    return out.withColumn("k", F.expr(f"nullif(k, cast('{FIRST_KEY}' as bigint))")).withColumnRenamed("k", key)
+
+
+def cut_texts(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``docs`` with the bytes that stay as texts. A character of which a cut leaves a part
+    goes; null texts become empty."""
+    at = docs.columns.index(text)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, sizes, z, rest, told in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                texts = pa.array([r[0].decode("utf-8", "ignore") for r in kept_bytes(Block(z, ids, sizes), told)], pa.string())
+                with pa.ipc.open_stream(zstandard.decompress(rest)) as stream:
+                    yield from stream.read_all().add_column(at, text, texts).combine_chunks().to_batches()
+
+    return told_blocks(docs, text, key).mapInArrow(cut, docs.schema)

@@ -297,10 +297,10 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.02) -> np.ndarray:
     return b
 
 
-def score(docs: DataFrame, grammar: Grammar, text: str = "text", column: str = "score") -> DataFrame:
-    """``docs`` with a score and the matched clauses."""
+def score(docs: DataFrame, grammar: Grammar, text: str = "text", column: str = "score", clauses: str = "clauses") -> DataFrame:
+    """``docs`` with a score and the matched clauses; the names must be free."""
     python_tasks(docs.sparkSession)
-    schema = StructType([*docs.schema, StructField(column, DoubleType()), StructField("clauses", ArrayType(StringType()))])
+    schema = StructType([*docs.schema, StructField(column, DoubleType()), StructField(clauses, ArrayType(StringType()))])
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,7 +310,7 @@ def score(docs: DataFrame, grammar: Grammar, text: str = "text", column: str = "
             scores = [grammar.score(t, f) for t, f in zip(texts, found, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [*b.columns, pa.array(scores, pa.float64()), pa.array([[c for c, _ in f] for f in found], pa.list_(pa.string()))],
-                names=[*b.schema.names, column, "clauses"],
+                names=[*b.schema.names, column, clauses],
             )
 
     return docs.mapInArrow(run, schema)
