@@ -47,9 +47,13 @@ def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def input_bytes(df: DataFrame, column: str) -> int:
-    """Total bytes of a text column (one aggregate over all rows)."""
-    return int(df.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()[0])
+def stored_by(spark: SparkSession, df: DataFrame, name: str, key: str) -> DataFrame:
+    """Like ``stored``, in buckets of ``key``: joins on it later read the table in place
+    instead of shuffling it."""
+    name = f"{name}_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.option("compression", "zstd").option("path", f"{shared_dir(spark)}/llm/{name}").bucketBy(buckets, key).saveAsTable(name)
+    return spark.table(name)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: int, of: int, per_class: int,

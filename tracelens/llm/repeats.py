@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import python_tasks, stored
+from .common import python_tasks, stored_by
 
 LENGTH = 50
 GRAM = 20
@@ -46,8 +46,8 @@ LEFT = LENGTH - GRAM
 CONTEXT = LEFT + LENGTH
 #: Stands for what lies outside the document; no byte of UTF-8.
 OUTSIDE = 255
-BLOCK_BYTES = 4 << 20
-BUCKET_ANCHORS = 1_000_000
+BLOCK_BYTES = 2 << 20
+BUCKET_ANCHORS = 500_000
 LEAST_BUCKET_BITS = 6
 SHARDS = 16
 FIRST_KEY = -(1 << 63)
@@ -109,9 +109,8 @@ class Block:
     def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Positions, 64-bit hashes and document numbers of all anchors."""
         data, out = self.data, []
-        left = np.zeros(len(data), "int64")  # bytes to the end of the document
-        if len(data):
-            left = np.repeat(self.ends, self.ends - self.starts) - np.arange(len(data))
+        left = np.repeat(self.ends, self.ends - self.starts)
+        left -= np.arange(len(data))  # bytes to the end of the document
         step = 1 << 19
         for at in range(0, len(data), step):  # the windows that hold a position lie up to LENGTH around it
             lo, hi = max(0, at - STARTS + 1), min(len(data), at + step + LENGTH)
@@ -170,6 +169,15 @@ def code(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (h >> np.uint64(64 - bits)).astype("int64"), (h >> np.uint64(64 - bits - 31)).astype("uint32") & np.uint32(0x7FFFFFFF)
 
 
+def packed(x: np.ndarray) -> bytes:
+    """Differences of neighbours, compressed."""
+    return zstandard.compress(np.diff(x.astype("int64"), prepend=np.int64(0)).tobytes(), 3)
+
+
+def unpacked(z: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zstandard.decompress(z), "int64"))
+
+
 def split(buckets: np.ndarray) -> Iterator[tuple[int, slice]]:
     """Runs of equal buckets."""
     edges = [0, *(np.flatnonzero(np.diff(buckets)) + 1).tolist(), len(buckets)]
@@ -229,16 +237,13 @@ def send_contexts(bits: int):
                     continue
                 rows, index, which = np.unique(contexts(block, pos, doc), return_index=True, return_inverse=True)
                 of = bucket[index]
-                order = np.argsort(of, kind="stable")
+                order = np.lexsort((index, of))  # a bucket's contexts in the order of their first use
                 rank = np.empty(len(order), "int64")
                 rank[order] = np.arange(len(order))
                 rows, least, which = rows[order], block.ids[doc[index]][order], rank[which]
                 by = np.argsort(bucket, kind="stable")
                 uses = {b: by[s] for b, s in split(bucket[by])}
-                out = []
-                for b, s in split(of[order]):
-                    out.append((b, zstandard.compress(rows[s].tobytes(), 3), least[s].tobytes(), pos[uses[b]].astype("uint32").tobytes(),
-                                (which[uses[b]] - s.start).astype("uint32").tobytes()))
+                out = [(b, zstandard.compress(rows[s].tobytes(), 3), packed(least[s]), packed(pos[uses[b]]), packed(which[uses[b]] - s.start)) for b, s in split(of[order])]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[0] for r in out], pa.int64()), pa.array([number] * len(out), pa.int64()), *(pa.array([r[i] for r in out], pa.binary()) for i in range(1, 5))],
                     names=["bucket", "block", "contexts", "least", "pos", "which"],
@@ -330,7 +335,7 @@ def merge_bucket(rows: pd.DataFrame) -> pd.DataFrame:
     """A bucket's contexts from all blocks -> what each block has to know of its contexts."""
     rows = rows.sort_values("block")
     sent = [np.frombuffer(zstandard.decompress(x), "uint8").reshape(-1, CONTEXT) for x in rows["contexts"]]
-    keys = np.concatenate([np.frombuffer(x, "int64") for x in rows["least"]])
+    keys = np.concatenate([unpacked(x) for x in rows["least"]])
     groups = [sent[i::SHARDS] for i in range(min(SHARDS, len(sent)))]
     order = [j for i in range(len(groups)) for j in range(i, len(sent), SHARDS)]
     sizes = np.array([len(s) for s in sent])
@@ -341,16 +346,16 @@ def merge_bucket(rows: pd.DataFrame) -> pd.DataFrame:
     told_whole[index], told_mask[index] = whole, mask
     cut = [slice(a, a + n) for a, n in zip(starts, sizes, strict=True)]
     return pd.DataFrame({
-        "bucket": rows["bucket"].to_numpy(), "block": rows["block"].to_numpy(),
-        "whole": [told_whole[c].tobytes() for c in cut], "mask": [told_mask[c].tobytes() for c in cut]})
+        "block": rows["block"].to_numpy(), "pos": rows["pos"].to_numpy(), "which": rows["which"].to_numpy(),
+        "whole": [packed(told_whole[c]) for c in cut], "mask": [packed(told_mask[c]) for c in cut]})
 
 
 def removed(block: Block, told: list) -> np.ndarray:
     """Which bytes of a block go."""
     change = np.zeros(len(block.data) + 1, "int32")
     for t in told or ():
-        pos, which = np.frombuffer(t["pos"], "uint32").astype("int64"), np.frombuffer(t["which"], "uint32")
-        whole, mask = np.frombuffer(t["whole"], "int64")[which], np.frombuffer(t["mask"], "uint32")[which]
+        pos, which = unpacked(t["pos"]), unpacked(t["which"])
+        whole, mask = unpacked(t["whole"])[which], unpacked(t["mask"])[which].astype("uint32")
         doc = np.searchsorted(block.ends, pos, side="right")
         later = block.ids[doc] > whole  # an earlier document holds all of this context
         a = np.maximum(pos - LEFT, block.starts[doc])[later]
@@ -380,20 +385,18 @@ def told_blocks(docs: DataFrame, text: str, key: str) -> DataFrame:
     """(ids, sizes, z, rest, told): every block with what is to know of its contexts."""
     spark = docs.sparkSession
     python_tasks(spark)
-    packed = stored(spark, blocks(docs, text, key), "blocks")
-    total = packed.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    table = stored_by(spark, blocks(docs, text, key), "blocks", "block")
+    total = table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     # two in STARTS + 1 positions are anchors
     bits = max(LEAST_BUCKET_BITS, math.ceil(math.log2(max(1, total * 2 / (STARTS + 1) / BUCKET_ANCHORS))))
-    anchors = packed.select("block", "ids", "sizes", "z").mapInArrow(send_anchors(bits), "bucket long, block long, anchors binary")
+    anchors = table.select("block", "ids", "sizes", "z").mapInArrow(send_anchors(bits), "bucket long, block long, anchors binary")
     hits = anchors.groupBy("bucket").applyInPandas(repeated, "bucket long, block long, hits binary")
     hits = hits.groupBy("block").agg(F.collect_list(F.struct("bucket", "hits")).alias("hits"))  # as many as a block's own anchors
-    found = stored(
-        spark, packed.join(hits, "block").select("block", "ids", "sizes", "z", "hits")
-        .mapInArrow(send_contexts(bits), "bucket long, block long, contexts binary, least binary, pos binary, which binary"), "contexts")
-    told = found.select("bucket", "block", "contexts", "least").groupBy("bucket").applyInPandas(merge_bucket, "bucket long, block long, whole binary, mask binary")
-    told = found.select("bucket", "block", "pos", "which").join(told, ["bucket", "block"])
+    found = table.join(hits, "block").select("block", "ids", "sizes", "z", "hits")
+    found = found.mapInArrow(send_contexts(bits), "bucket long, block long, contexts binary, least binary, pos binary, which binary")
+    told = found.groupBy("bucket").applyInPandas(merge_bucket, "block long, pos binary, which binary, whole binary, mask binary")
     told = told.groupBy("block").agg(F.collect_list(F.struct("pos", "which", "whole", "mask")).alias("told"))
-    return packed.join(told, "block", "left").select("ids", "sizes", "z", "rest", "told")
+    return table.join(told, "block", "left").select("ids", "sizes", "z", "rest", "told")
 
 
 def without_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
