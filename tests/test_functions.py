@@ -191,3 +191,19 @@ def test_java_forms_match_ascii_word_boundaries(spark):
         rx = re.compile(pat, re.ASCII)
         for i, t in enumerate(texts):
             assert got[i] == rx.sub("#", t), (kind, t)
+
+
+def test_labels_and_paths_of_the_pages(spark):
+    assert one(spark, formatting.short_model(F.lit("claude-opus-4-6"))) == "opus-4"
+    assert one(spark, formatting.short_model(F.lit("claude-sonnet-4-5-20250929"))) == "sonnet-4-5"
+    assert one(spark, formatting.shorten_home(F.lit("/Users/any/x/y"))) == "~/x/y"
+    assert one(spark, formatting.shorten_home(F.lit("/home/dev/x"))) == "/home/dev/x"
+    assert one(spark, formatting.shorten_home(F.lit(None).cast("string"))) == "(none)"
+    assert one(spark, formatting.humanize_tokens(F.lit(-5))) == "0"
+
+
+def test_tokens_of_any_script(spark):
+    from tracelens.functions import text
+
+    assert one(spark, F.array_join(text.simple_terms(F.lit("Größe für_Über, x9")), " ")) == "größe für über x9"
+    assert text.query_terms("Größe für_Über") == ["größe", "für", "über"]

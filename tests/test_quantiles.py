@@ -35,14 +35,9 @@ def test_percentile_cont_global_group(spark):
     assert r.p50 == pytest.approx(float(np.percentile(xs, 50))) and r.p99 == pytest.approx(float(np.percentile(xs, 99)))
 
 
-def test_exact_percentiles_both_paths_agree(spark):
-    from tracelens.operators.quantiles import exact_percentiles
-
-    rows = [("a" if i % 4 else "b", float((i * 37) % 101)) for i in range(2000)]
-    df = spark.createDataFrame(rows, "g string, x double")
-    probs = {"p50": 0.5, "p95": 0.95}
-    small = {r.g: (r.p50, r.p95) for r in exact_percentiles(df, ["g"], "x", probs).collect()}
-    ranked = {r.g: (r.p50, r.p95) for r in exact_percentiles(df, ["g"], "x", probs, max_group_rows=100).collect()}
-    assert small.keys() == ranked.keys()
-    for k in small:
-        assert small[k] == pytest.approx(ranked[k], rel=1e-12)
+def test_ties_of_two_thirds(spark):
+    xs = [0.0] * 2000 + [float((i * 37) % 101) for i in range(1000)]
+    df = spark.createDataFrame([("a", x) for x in xs] + [("b", 3.0)], "g string, x double")
+    got = {r.g: (r.p50, r.p95) for r in percentile_cont(df, ["g"], "x", {"p50": 0.5, "p95": 0.95}).collect()}
+    assert got["a"] == pytest.approx((float(np.percentile(xs, 50)), float(np.percentile(xs, 95))))
+    assert got["b"] == (3.0, 3.0)

@@ -3,9 +3,11 @@
   backfill  --home DIR --root STORE [--host NAME]     ingest transcripts + side files
   stats     --root STORE --since 30d                   Q32-Q34 top models/projects/tools
   status    --root STORE                               Q35 store status, Q36 hosts
-  sessions  --root STORE [--project P] [--model M]... [--sort recent|cost] [--limit N]
-  search    --root STORE QUERY [--role user|assistant] [--limit N] [--english]
-  replay    --root STORE SESSION_PREFIX                Q20 (prefix resolved as P8)
+  sessions  --root STORE [--project P] [--model M]... [--since S] [--sort recent|cost] [--limit N]
+  search    --root STORE QUERY [--role user|assistant] [--project P] [--since S] [--limit N] [--simple]
+  replay    --root STORE SESSION_PREFIX [--raw]        Q20 (prefix resolved as P8)
+
+Every row of a result is printed; only ``--limit`` shortens a page.
 """
 
 from __future__ import annotations
@@ -14,35 +16,54 @@ import argparse
 import datetime as dt
 import sys
 
+SYNC_STATE = "host string, last_pulled_at timestamp, current_interval_hours int, consecutive_errors int"
+
 
 def _catalog(spark, root):
+    from .operators.sinks import read_or_none
     from .plans.catalog import Catalog
+    from .streaming.ingest import open_store
+
+    sync = read_or_none(spark, f"{root.rstrip('/')}/host_sync_state")
+    if sync is None:  # hosts that were never pulled
+        sync = spark.createDataFrame([], SYNC_STATE)
+    store = open_store(spark, root)
+    names = ["events", "messages", "tool_calls", "sessions", "usage_daily"]
+    return Catalog.from_tables(spark, **{n: store[n] for n in names}, host_sync_state=sync)
+
 
-    def opener(name):
-        def load():
-            try:
-                return spark.read.parquet(f"{root.rstrip('/')}/{name}")
-            except Exception:  # noqa: BLE001 - a table the store does not have
-                return None
-        return load
+def _print(df, widths: int | None = None) -> None:
+    """All rows, one by one as they come."""
+    print(" | ".join(df.columns))
+    for row in df.toLocalIterator():
+        cells = ("" if v is None else str(v) for v in row)
+        print(" | ".join(c if widths is None or len(c) <= widths else c[: widths - 3] + "..." for c in cells))
 
-    names = ["events", "messages", "tool_calls", "sessions", "usage_daily", "host_sync_state"]
-    return Catalog.from_loaders(spark, **{n: opener(n) for n in names})
+
+def _since(expr, now):
+    from .functions.dates import TimeWindow, parse_since_strict
+
+    return TimeWindow(parse_since_strict(expr, now), now) if expr else None
 
 
 def main(argv=None, spark=None) -> int:
     p = argparse.ArgumentParser(prog="tracelens")
     sub = p.add_subparsers(dest="cmd", required=True)
-    b = sub.add_parser("backfill"); b.add_argument("--home", required=True); b.add_argument("--root", required=True)
-    b.add_argument("--host", default="local")
-    s = sub.add_parser("stats"); s.add_argument("--root", required=True); s.add_argument("--since", required=True)
-    st = sub.add_parser("status"); st.add_argument("--root", required=True)
-    ls = sub.add_parser("sessions"); ls.add_argument("--root", required=True); ls.add_argument("--project")
-    ls.add_argument("--model", action="append"); ls.add_argument("--sort", default="recent")
-    ls.add_argument("--limit", type=int, default=20)
-    se = sub.add_parser("search"); se.add_argument("--root", required=True); se.add_argument("query")
-    se.add_argument("--role"); se.add_argument("--limit", type=int, default=20); se.add_argument("--english", action="store_true")
-    rp = sub.add_parser("replay"); rp.add_argument("--root", required=True); rp.add_argument("session")
+
+    def command(name, *more):
+        c = sub.add_parser(name)
+        c.add_argument("--root", required=True)
+        for flag, kwargs in more:
+            c.add_argument(flag, **kwargs)
+
+    text, flag = {}, {"action": "store_true"}
+    page = lambda n: ("--limit", {"type": int, "default": n})
+    command("backfill", ("--home", {"required": True}), ("--host", {"default": "local"}))
+    command("stats", ("--since", {"required": True}))
+    command("status")
+    command("sessions", ("--project", text), ("--model", {"action": "append"}), ("--since", text), ("--sort", {"default": "recent"}), page(25))
+    command("search", ("query", text), ("--role", text), ("--project", text), ("--since", text), page(20), ("--simple", flag))
+    command("replay", ("session", text), ("--raw", flag))
     a = p.parse_args(argv)
 
     from .session import build_session
@@ -55,42 +76,31 @@ def main(argv=None, spark=None) -> int:
         print(backfill_home(spark, a.home, a.root, host=a.host))
         return 0
     cat = _catalog(spark, a.root)
-    if a.cmd == "stats":
-        from .functions.dates import parse_since_strict
-        from .plans import cli
+    from .plans import cli, search, sessions
 
-        since = parse_since_strict(a.since, now)
+    if a.cmd == "stats":
+        since = _since(a.since, now).start
         for title, df in (("Top models", cli.top_models(cat, since)), ("Top projects", cli.top_projects(cat, since)),
                           ("Top tools", cli.top_tools(cat, since))):
             print(f"\n{title} since {a.since}")
-            df.show(truncate=False)
+            _print(df)
     elif a.cmd == "status":
-        from .plans import cli
-
-        cli.store_status(cat).show(truncate=False)
-        if cat.host_sync_state is not None:
-            cli.host_schedule(cat, now).show(truncate=False)
+        _print(cli.store_status(cat))
+        _print(cli.host_schedule(cat, now))
     elif a.cmd == "sessions":
-        from .plans import sessions
-
-        sessions.list_sessions(cat, project=a.project, models=a.model, sort=a.sort, limit=a.limit).show(truncate=60)
+        _print(sessions.list_sessions(cat, project=a.project, models=a.model, window=_since(a.since, now), sort=a.sort, limit=a.limit), 60)
     elif a.cmd == "search":
-        from .plans import search
-
-        if a.english:
-            from .operators.search import build_index
-
-            cat._given["text_index_english"] = build_index(cat.messages, analyzer="english")
-        search.search(cat, a.query, role=a.role, limit=a.limit, keep_orphans=True,
-                      analyzer="english" if a.english else "simple").show(truncate=80)
+        _print(search.search(cat, a.query, role=a.role, project=a.project, window=_since(a.since, now), limit=a.limit, keep_orphans=True,
+                             analyzer="simple" if a.simple else "english"), 120)
     elif a.cmd == "replay":
-        from .plans import sessions
-
         ids = [r.session_id for r in sessions.resolve_session_prefix(cat, a.session).collect()]
         if len(ids) != 1:
             print("no such session" if not ids else f"ambiguous prefix: {', '.join(ids)} ...")
             return 1
-        sessions.session_replay(cat, ids[0]).orderBy("timestamp", "uuid").show(200, truncate=80)
+        if a.raw:
+            _print(sessions.session_payloads(cat, ids[0]).orderBy("timestamp", "uuid"))
+        else:
+            _print(sessions.session_replay(cat, ids[0]).orderBy("timestamp", "uuid"), 140)
     return 0
 
 

@@ -8,11 +8,9 @@ from __future__ import annotations
 
 import datetime as dt
 import re
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
-_REL = re.compile(r"^(\d+)([mhdwy])$")
-_ISO_PAIR = re.compile(r"^(\d{4}-\d{2}-\d{2})\.\.(\d{4}-\d{2}-\d{2})$")
-
 # Labels of the named windows and the default window expression.
 RELATIVE_LABELS = {
     "today": "Today",
@@ -45,60 +43,60 @@ class TimeWindow:
         return self.end.date()
 
 
-def _minus(now: dt.datetime, n: int, unit: str) -> dt.datetime:
-    if unit == "m":
-        return now - dt.timedelta(minutes=n)
-    if unit == "h":
-        return now - dt.timedelta(hours=n)
-    if unit == "d":
-        return now - dt.timedelta(days=n)
-    if unit == "w":
-        return now - dt.timedelta(weeks=n)
-    # calendar years; Feb 29 falls back to Feb 28
-    try:
-        return now.replace(year=now.year - n)
-    except ValueError:
-        return now.replace(year=now.year - n, day=28)
-
-
-def parse_since(expr: str | None, now: dt.datetime) -> dt.datetime | None:
-    """One bound: relative ``N[mhdwy]``, ``today`` (midnight), ISO date/time; ``all`` -> None."""
-    if not expr or expr == "all":
-        return None
-    if expr == "today":
-        return now.replace(hour=0, minute=0, second=0, microsecond=0)
-    m = _REL.match(expr)
-    if m:
-        return _minus(now, int(m.group(1)), m.group(2))
-    try:
-        return dt.datetime.fromisoformat(expr.replace("Z", "+00:00")).replace(tzinfo=None)
-    except ValueError:
-        return None
+EPOCH = dt.datetime(1970, 1, 1)
+_SPAN = {"m": "minutes", "h": "hours", "d": "days", "w": "weeks"}
+
+
+def _ago(now: dt.datetime, n: int, unit: str) -> dt.datetime:
+    if unit in _SPAN:
+        return now - dt.timedelta(**{_SPAN[unit]: n})
+    leap_day = (now.month, now.day) == (2, 29)  # calendar years; Feb 29 falls back to Feb 28
+    return now.replace(year=now.year - n, day=28 if leap_day else now.day)
+
+
+def _moment(text: str) -> dt.datetime:
+    return dt.datetime.fromisoformat(text.replace("Z", "+00:00")).replace(tzinfo=None)
+
+
+def _days(first: str, last: str) -> TimeWindow:
+    end = _moment(last) + dt.timedelta(days=1, milliseconds=-1)
+    return TimeWindow(_moment(first), end, f"{first} → {last}")
+
+
+def _label(expr: str, otherwise: str) -> str:
+    return RELATIVE_LABELS.get(expr, otherwise)
+
+
+# Every form of a window: its pattern, and the window it means at a moment. The first
+# pattern that matches the whole expression decides.
+FORMS: dict[str, tuple[str, Callable[[re.Match, dt.datetime], TimeWindow]]] = {
+    "everything": (r"all", lambda m, now: TimeWindow(EPOCH, now, _label("all", ""))),
+    "today": (r"today", lambda m, now: TimeWindow(now.replace(hour=0, minute=0, second=0, microsecond=0), now, _label("today", ""))),
+    "ago": (r"(\d+)([mhdwy])", lambda m, now: TimeWindow(_ago(now, int(m[1]), m[2]), now, _label(m[0], f"Last {m[0]}"))),
+    "days": (r"(\d{4}-\d\d-\d\d)\.\.(\d{4}-\d\d-\d\d)", lambda m, now: _days(m[1], m[2])),
+    "moment": (r"\d{4}-\d\d.*", lambda m, now: TimeWindow(_moment(m[0]), now, _label(DEFAULT_EXPR, ""))),
+}
+
+
+def window_of(expr: str, now: dt.datetime, forms: Iterable[str] = tuple(FORMS)) -> TimeWindow | None:
+    """The window an expression means, read by ``forms`` only; None if it has none of them."""
+    for pattern, meaning in (FORMS[f] for f in forms):
+        if m := re.fullmatch(pattern, expr):
+            try:
+                return meaning(m, now)
+            except ValueError:  # the shape of a date, but no date
+                return None
+    return None
 
 
 def resolve_window(expr: str | None, now: dt.datetime) -> TimeWindow:
-    """Window expression -> (start, end, label); default 7d; bad input -> default."""
-    e = expr if expr is not None else DEFAULT_EXPR
-    pair = _ISO_PAIR.match(e)
-    if pair:
-        start = dt.datetime.fromisoformat(pair.group(1))
-        end = dt.datetime.fromisoformat(pair.group(2)) + dt.timedelta(days=1) - dt.timedelta(milliseconds=1)
-        return TimeWindow(start, end, f"{pair.group(1)} → {pair.group(2)}")
-    if e == "all":
-        return TimeWindow(dt.datetime(1970, 1, 1), now, "All time")
-    start = parse_since(e, now)
-    if start is not None:
-        label = RELATIVE_LABELS.get(e) or (f"Last {e}" if _REL.match(e) else f"Last {DEFAULT_EXPR}")
-        return TimeWindow(start, now, label)
-    return TimeWindow(parse_since(DEFAULT_EXPR, now), now, RELATIVE_LABELS[DEFAULT_EXPR])
+    """Window expression -> (start, end, label); no or bad input means the default."""
+    return window_of(DEFAULT_EXPR if expr is None else expr, now) or window_of(DEFAULT_EXPR, now)
 
 
 def parse_since_strict(expr: str, now: dt.datetime) -> dt.datetime:
     """CLI form: relative or ISO, anything else is an error (N27: the window is required)."""
-    m = _REL.match(expr or "")
-    if m:
-        return _minus(now, int(m.group(1)), m.group(2))
-    try:
-        return dt.datetime.fromisoformat(expr.replace("Z", "+00:00")).replace(tzinfo=None)
-    except (ValueError, AttributeError) as ex:
-        raise ValueError(f"invalid --since value: {expr}") from ex
+    w = window_of(expr or "", now, ("ago", "moment"))
+    if w is None:
+        raise ValueError(f"invalid --since value: {expr}")
+    return w.start

@@ -26,23 +26,25 @@ def model_family(model: Column) -> Column:
 
 
 def short_model(model: Column) -> Column:
-    """Short label: drop the vendor prefix and a trailing date stamp."""
-    return F.regexp_replace(F.regexp_replace(model, r"^claude-", ""), r"-\d{8}$", "")
+    """Short label: without the vendor prefix and the last number (a date or minor version)."""
+    return F.regexp_replace(F.regexp_replace(model, r"^claude-", ""), r"-\d+$", "")
 
 
 def humanize_tokens(n: Column) -> Column:
-    """1234 -> '1.2K', 5600000 -> '5.6M', 7e9 -> '7.0B'."""
+    """Negative numbers read as 0; 1234 -> '1.2K', 5600000 -> '5.6M', 7e9 -> '7.0B'."""
     x = n.cast("double")
     return (
         F.when(x >= 1e9, F.format_string("%.1fB", x / 1e9))
         .when(x >= 1e6, F.format_string("%.1fM", x / 1e6))
         .when(x >= 1e3, F.format_string("%.1fK", x / 1e3))
+        .when(x < 0, F.lit("0"))
         .otherwise(n.cast("string"))
     )
 
 
-def shorten_home(path: Column, home: str = "/home/dev") -> Column:
-    return F.regexp_replace(path, "^" + home.replace("/", r"\/"), "~")
+def shorten_home(path: Column) -> Column:
+    """``/Users/<anyone>/x`` -> ``~/x``; NULL -> ``(none)``."""
+    return F.coalesce(F.regexp_replace(path, r"^/Users/[^/]+/", "~/"), F.lit("(none)"))
 
 
 def squeeze_ws(text: Column) -> Column:

@@ -9,22 +9,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_PLACEHOLDER = "\u0001"
+
+def _swap(s: Column, whole: str, joined: str, part: str, parted: str) -> Column:
+    """``whole`` becomes ``joined``; what lies between turns ``part`` into ``parted``."""
+    pieces = F.transform(F.split(s, whole), lambda p: F.translate(p, part, parted))
+    return F.array_join(pieces, joined)
 
 
 def flat_to_real_path(flat: Column) -> Column:
-    s = F.regexp_replace(flat, r"^-", "")
-    s = F.replace(s, F.lit("--"), F.lit(_PLACEHOLDER))
-    s = F.replace(s, F.lit("-"), F.lit("/"))
-    s = F.replace(s, F.lit(_PLACEHOLDER), F.lit("_"))
-    return F.concat(F.lit("/"), s)
+    return F.concat(F.lit("/"), _swap(F.regexp_replace(flat, "^-", ""), "--", "_", "-", "/"))
 
 
 def real_to_flat_path(real: Column) -> Column:
-    s = F.regexp_replace(real, r"^/", "")
-    s = F.replace(s, F.lit("_"), F.lit("--"))
-    s = F.replace(s, F.lit("/"), F.lit("-"))
-    return F.concat(F.lit("-"), s)
+    return F.concat(F.lit("-"), _swap(F.regexp_replace(real, "^/", ""), "_", "--", "/", "-"))
 
 
 def project_path_from_file(file: Column) -> Column:

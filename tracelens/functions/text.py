@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 # The ordered redaction rules (kind, Java/RE2/Python-compatible pattern).
 REDACTION_RULES: list[tuple[str, str]] = [
@@ -157,8 +157,8 @@ def redact_json_column(df, col: str, out: str | None = None):
 # ---------------------------------------------------------------- analyzers
 
 def simple_tokens(text: Column) -> Column:
-    """Original-case tokens: maximal runs of ASCII letters and digits."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("[A-Za-z0-9]+"), 0)
+    """Original-case tokens: maximal runs of letters and digits of any script."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[\p{L}\p{N}]+"), 0)
 
 
 def simple_terms(text: Column) -> Column:
@@ -166,7 +166,7 @@ def simple_terms(text: Column) -> Column:
     return F.transform(simple_tokens(text), lambda t: F.lower(t))
 
 
-_TOKEN_RE = re.compile(r"[A-Za-z0-9]+")
+_TOKEN_RE = re.compile(r"[^\W_]+")
 
 
 def query_terms(q: str) -> list[str]:
@@ -204,6 +204,15 @@ def porter_stem_udf(words: pd.Series) -> pd.Series:
     return words.map(lambda w: None if w is None else porter_stem(w))
 
 
+@pandas_udf(ArrayType(StringType()))
+def porter_stems_udf(words: pd.Series) -> pd.Series:
+    """Stems of a row's words; stop words have none."""
+    from .stem import porter_stem
+
+    stop = set(ENGLISH_STOP_WORDS)
+    return words.map(lambda ws: None if ws is None else [None if w in stop else porter_stem(w) for w in ws])
+
+
 def english_query_terms(q: str) -> list[str]:
     """plainto_tsquery('english')-style: stop words dropped, Porter stems, distinct."""
     from .stem import porter_stem

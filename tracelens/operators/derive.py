@@ -177,13 +177,15 @@ def _finish_sessions(agg: DataFrame) -> DataFrame:
     )
 
 
-def usage_daily(messages: DataFrame, sessions: DataFrame) -> DataFrame:
+def usage_daily(messages: DataFrame, sessions: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Assistant messages per (day, host, project_path, model).
 
     Messages are first combined per (day, host, session, model), so the join with
     ``sessions`` sees at most days x models rows per session, whatever the session's
-    size; then the final group by project path.
+    size; then the final group by project path. ``by``: columns of ``sessions`` to sum
+    apart, as the store does per bucket.
     """
+    by = by or []
     pre = (
         messages.filter(F.col("role") == "assistant")
         .groupBy(F.date_trunc("day", "timestamp").alias("day"), "host", "session_id", "model")
@@ -195,10 +197,10 @@ def usage_daily(messages: DataFrame, sessions: DataFrame) -> DataFrame:
             F.sum("cache_read_tokens").alias("cr"),
         )
     )
-    s = sessions.select("session_id", "project_path")
+    s = sessions.select("session_id", "project_path", *by)
     return (
         pre.join(s, "session_id", "inner")
-        .groupBy("day", "host", "project_path", "model")
+        .groupBy("day", "host", "project_path", "model", *by)
         .agg(
             F.sum("n").cast("long").alias("message_count"),
             F.coalesce(F.sum("i"), F.lit(0)).cast("long").alias("input_tokens"),

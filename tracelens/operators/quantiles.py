@@ -1,23 +1,23 @@
 """Exact continuous percentiles (``percentile_cont``) without gathering a group.
 
 Spark's exact ``percentile`` merges a value->count map of the whole group into one
-buffer, which cannot hold a group the size of a third of the data. This operator ranks
-values instead, using only deterministic keys (so recomputation after an executor loss
-gives the same answer):
-
-1. per group, ``pieces - 1`` split points from ``percentile_approx`` (a bounded sketch;
-   the split points only balance the work, exactness does not depend on them);
-2. a value's piece = number of split points below it (equal values share a piece, and
-   pieces are ordered like the values);
-3. rank = rows in the group's earlier pieces (a running sum over a table of
-   groups x pieces rows) + position inside the piece (a window bounded by a piece);
-4. keep only the (at most two per probability) ranks each percentile needs and
-   interpolate: v_lo + (v_hi - v_lo) * (pos - floor(pos)), pos = p * (n - 1).
+buffer, which cannot hold a group the size of a third of the data. This operator counts
+equal values first and ranks the distinct ones, the same way at every size and with
+deterministic keys only (so recomputation after an executor loss gives the same answer):
+
+1. rows per (group, value): combined map-side, so ties cost nothing after it;
+2. per group, ``pieces - 1`` split points over its distinct values from
+   ``percentile_approx`` (a bounded sketch; the split points only balance the work,
+   exactness does not depend on them); a value's piece = number of split points below it;
+3. first rank of a value = rows in the group's earlier pieces (a running sum over a table
+   of groups x pieces rows) + rows before it in its piece (a window bounded by a piece);
+4. the two ranks each percentile needs fall on a value's run of ranks; interpolate:
+   v_lo + (v_hi - v_lo) * (pos - floor(pos)), pos = p * (n - 1).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -26,51 +26,30 @@ def percentile_cont(df: DataFrame, group: list[str], value: str, probs: dict[str
     """One row per group with a column per named probability (NULL values ignored)."""
     g = list(group)
     v = df.select(*g, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    counted = v.groupBy(*g, "_v").agg(F.count(F.lit(1)).alias("_c"))
     splits = [i / pieces for i in range(1, pieces)]
-    stats = v.groupBy(*g).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.array_distinct(F.percentile_approx("_v", splits, accuracy)).alias("_bounds"),
-    )
+    stats = counted.groupBy(*g).agg(
+        F.sum("_c").alias("_n"), F.array_distinct(F.percentile_approx("_v", splits, accuracy)).alias("_bounds"))
     if g:
-        vb = v.join(stats.select(*g, "_bounds"), g)
-    else:  # one global group: the split points are a scalar subquery, not a join
-        vb = v.select("_v", stats.select("_bounds").scalar().alias("_bounds"))
-    vb = vb.select(*g, "_v", F.size(F.filter("_bounds", lambda b: b < F.col("_v"))).alias("_piece"))
+        both = counted.join(stats, g)
+    else:  # one global group: a scalar subquery, not a join
+        one = stats.select(F.struct("_n", "_bounds").alias("s")).scalar()
+        both = counted.select("_v", "_c", one["_n"].alias("_n"), one["_bounds"].alias("_bounds"))
+    both = both.withColumn("_piece", F.size(F.filter("_bounds", lambda b: b < F.col("_v")))).drop("_bounds")
 
-    counts = vb.groupBy(*g, "_piece").agg(F.count(F.lit(1)).alias("_c"))
+    sizes = both.groupBy(*g, "_piece").agg(F.sum("_c").alias("_s"))
     before = Window.partitionBy(*g).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*g, "_piece", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
-    local = vb.withColumn("_local", F.row_number().over(Window.partitionBy(*g, "_piece").orderBy("_v")) - 1)
-    ranked = local.join(offsets, [*g, "_piece"]).select(*g, "_v", (F.col("_off") + F.col("_local")).alias("_rank"))
-
-    qs = F.array(*[F.struct(F.lit(k).alias("name"), F.lit(float(p)).alias("p")) for k, p in probs.items()])
-    need = stats.select(*g, "_n", F.explode(qs).alias("q")).select(
-        *g, F.col("q.name").alias("name"), (F.col("q.p") * (F.col("_n") - 1)).alias("pos")
-    ).withColumn("lo", F.floor("pos").cast("long")).withColumn("hi", F.ceil("pos").cast("long"))
-    wanted = need.select(*g, F.col("lo").alias("_rank")).union(need.select(*g, F.col("hi").alias("_rank"))).distinct()
-    picked = ranked.join(wanted, [*g, "_rank"])
-    j = need.join(picked.withColumnRenamed("_rank", "lo").withColumnRenamed("_v", "v_lo"), [*g, "lo"]).join(
-        picked.withColumnRenamed("_rank", "hi").withColumnRenamed("_v", "v_hi"), [*g, "hi"])
-    val = F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * (F.col("pos") - F.col("lo"))
-    return j.groupBy(*g).agg(*[F.max(F.when(F.col("name") == k, val)).alias(k) for k in probs])
-
-
-def exact_percentiles(df: DataFrame, group: list[str], value: str, probs: dict[str, float],
-                      max_group_rows: int = 1_000_000) -> DataFrame:
-    """Exact percentiles with a size check, like a size-checked broadcast: when every
-    group holds at most ``max_group_rows`` values, Spark's exact ``percentile`` (one
-    aggregation; its per-group value map is bounded by the check) is used; otherwise the
-    ranking operator above, which never gathers a group. The input is materialised once
-    (reliable checkpoint) because the check and the computation both read it; only one
-    number, the largest group size, reaches the driver."""
-    from ..session import ensure_checkpoint_dir
-
-    g = list(group)
-    v = df.select(*g, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    ensure_checkpoint_dir(v.sparkSession)
-    v = v.checkpoint()
-    sizes = v.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"))
-    biggest = sizes.agg(F.max("_n")).first()[0]
-    if biggest is not None and biggest > max_group_rows:
-        return percentile_cont(v, g, "_v", probs)
-    return v.groupBy(*g).agg(*[F.percentile(F.col("_v"), F.lit(float(p))).alias(k) for k, p in probs.items()])
+    offsets = sizes.select(*g, "_piece", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_off"))
+    inside = Window.partitionBy(*g, "_piece").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = both.withColumn("_local", F.coalesce(F.sum("_c").over(inside), F.lit(0))).join(offsets, [*g, "_piece"])
+    ranked = ranked.withColumn("_first", F.col("_off") + F.col("_local"))
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("_first") <= rank) & (rank < F.col("_first") + F.col("_c")), F.col("_v")))
+
+    ends, out = [], []
+    for i, (name, p) in enumerate(probs.items()):
+        pos = F.lit(float(p)) * (F.col("_n") - 1)
+        ends += [at(F.floor(pos)).alias(f"_lo{i}"), at(F.ceil(pos)).alias(f"_hi{i}")]
+        out.append((F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (pos - F.floor(pos))).alias(name))
+    return ranked.groupBy(*g).agg(F.max("_n").alias("_n"), *ends).select(*g, *out)

@@ -71,19 +71,19 @@ def match_and_rank(index: DataFrame, stats: DataFrame, terms: list[str], key: st
 
 
 def snippet(text: str, first_hit: str, terms: list[str], before: int = 5, width: int = 20,
-            prefix_match: bool = False) -> F.Column:
+            stemmed: bool = False) -> F.Column:
     """ts_headline-like fragment: ``width`` tokens from ``before`` tokens ahead of the
-    first hit, matches wrapped in <b>...</b> (``prefix_match``: a token matches when it
-    starts with a query stem, for the english analyzer)."""
+    first hit, matches wrapped in <b>...</b> (``stemmed``: tokens match by their Porter
+    stem; a page's few tokens are stemmed for it)."""
     toks = simple_tokens(F.col(text))
     start = F.greatest(F.lit(1), F.col(first_hit) + 1 - before)
     window = F.slice(toks, start, F.lit(width))
-    tset = F.array(*[F.lit(t) for t in terms])
-    if prefix_match:
-        def hit(t):
-            return F.exists(tset, lambda q: F.lower(t).startswith(q))
-    else:
-        def hit(t):
-            return F.array_contains(tset, F.lower(t))
-    marked = F.transform(window, lambda t: F.when(hit(t), F.concat(F.lit("<b>"), t, F.lit("</b>"))).otherwise(t))
+    tset = F.array(*[F.lit(t) for t in terms]).cast("array<string>")
+    forms = F.transform(window, F.lower)
+    if stemmed:
+        from ..functions.text import porter_stems_udf
+
+        forms = porter_stems_udf(forms)
+    pairs = F.arrays_zip(window.alias("token"), forms.alias("form"))
+    marked = F.transform(pairs, lambda p: F.when(F.array_contains(tset, p["form"]), F.concat(F.lit("<b>"), p["token"], F.lit("</b>"))).otherwise(p["token"]))
     return F.array_join(marked, " ")

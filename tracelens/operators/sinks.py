@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..session import ensure_checkpoint_dir
 
@@ -65,10 +66,6 @@ def with_bucket(df: DataFrame, key: str, buckets: int = DEFAULT_BUCKETS) -> Data
     return df.withColumn("bucket", bucket_of(key, buckets))
 
 
-def touched_buckets(keys: DataFrame, key: str, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
-    return keys.select(bucket_of(key, buckets).alias("bucket")).distinct()
-
-
 def overwrite_partitions(df: DataFrame, path: str, partition_by: list[str]) -> None:
     """Replace only the partitions present in ``df`` (dynamic partition overwrite)."""
     (
@@ -86,11 +83,24 @@ def append(df: DataFrame, path: str, partition_by: list[str] | None = None) -> N
     w.parquet(path)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists, in whatever store Spark reads it from."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - a table that was never written
-        return None
+    """A stored table, or None where none was ever written. A table that is there but
+    can't be read is an error, not a missing one."""
+    return spark.read.parquet(path) if path_exists(spark, path) else None
+
+
+def read_or_empty(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """A stored table by its known schema: empty if it was never written or has no rows."""
+    if path_exists(spark, path):
+        return spark.read.schema(schema).parquet(path)
+    return spark.createDataFrame([], schema)
 
 
 def staged(df: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.cost import cost_units, units_to_e4, units_to_usd
 from ..functions.dates import TimeWindow
 from ..functions.formatting import delta_pct, delta_pp
-from ..operators.quantiles import exact_percentiles
+from ..operators.quantiles import percentile_cont
 from .catalog import Catalog
 from .common import day_in, day_str, in_list, in_window, ntz, ratio, ts_lit, where
 
@@ -173,14 +173,14 @@ def top_cost_sessions(cat: Catalog, w: TimeWindow, limit: int = 5, hosts=None) -
 
 def cost_distribution(cat: Catalog, w: TimeWindow, hosts=None, approx: bool = False) -> DataFrame:
     """Q9: p50/p95/p99/max/n of session cost. Exact continuous percentiles, size-checked
-    (``operators.quantiles.exact_percentiles``: a group too large for one task is ranked,
+    (``operators.quantiles.percentile_cont``: a group too large for one task is ranked,
     never gathered); ``approx=True`` uses Spark's bounded-memory ``percentile_approx``."""
     s = where(cat.sessions, in_window("started_at", w), F.col("cost_e4").isNotNull(), in_list("host", hosts))
     c = F.col("cost_e4") / F.lit(E4)
     if approx:
         return s.agg(*[F.round(F.percentile_approx(c, p, 100000), 6).alias(k) for k, p in
                        (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))], F.max(c).alias("max"), F.count(F.lit(1)).alias("n"))
-    pc = exact_percentiles(s.select(c.alias("c")), [], "c", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+    pc = percentile_cont(s.select(c.alias("c")), [], "c", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
     one = pc.select(F.struct("p50", "p95", "p99").alias("q")).scalar()  # a single-row subquery
     return s.agg(F.max(c).alias("max"), F.count(F.lit(1)).alias("n")).select(
         *[F.round(one[k], 6).alias(k) for k in ("p50", "p95", "p99")], "max", "n")

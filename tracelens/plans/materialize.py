@@ -9,8 +9,6 @@ the scan skip row groups outside a time window.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 
 from .catalog import Catalog
@@ -44,22 +42,21 @@ def materialize(cat: Catalog, root: str, files_per_table: int | None = None) ->
         w = df.write.mode("overwrite")
         if part_cols:
             w = w.partitionBy(*part_cols)
-        w.parquet(os.path.join(root, name))
-        stored = cat.spark.read.parquet(os.path.join(root, name))
+        w.parquet(f"{root.rstrip('/')}/{name}")
+        stored = cat.spark.read.parquet(f"{root.rstrip('/')}/{name}")
         counts[name] = stored.count()
         if name in ("sessions", "messages"):
             cat._given[name] = stored
-    with open(os.path.join(root, "_TRACELENS"), "w") as f:
-        f.write("canonical tables\n")
     return counts
 
 
-def is_materialized(path: str) -> bool:
-    return os.path.exists(os.path.join(path, "_TRACELENS"))
+class StoredTables(str):
+    """A folder of tables that ``materialize`` wrote. Queries that get one in place of the
+    driver tables' folder read the stored tables."""
 
 
 def from_root(spark: SparkSession, root: str) -> Catalog:
     def opener(name):
-        return lambda: spark.read.parquet(os.path.join(root, name))
+        return lambda: spark.read.parquet(f"{root.rstrip('/')}/{name}")
 
     return Catalog.from_loaders(spark, **{name: opener(name) for name in TABLES})

@@ -72,11 +72,11 @@ def oracle_sql() -> dict[str, str]:
 
 
 def cat(spark: SparkSession, sf_dir: str) -> Catalog:
-    """The driver's tables bound on the fly, or -- when ``sf_dir`` holds tables written
-    by ``materialize`` -- the stored canonical tables."""
-    from .materialize import from_root, is_materialized
+    """The driver's tables bound on the fly, or the stored canonical tables if ``sf_dir``
+    is a ``StoredTables`` folder."""
+    from .materialize import StoredTables, from_root
 
-    if is_materialized(sf_dir):
+    if isinstance(sf_dir, StoredTables):
         return from_root(spark, sf_dir)
     return Catalog.from_driver(spark, sf_dir)
 

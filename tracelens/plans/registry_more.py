@@ -285,7 +285,10 @@ def _sessions_from_transcript(spark, sf):
     ev = _events(spark, sf)
     msgs = tr.derive_messages(ev)
     tc = derive.pair_tool_calls(tr.extract_tool_uses(ev), tr.extract_tool_results(ev))
-    s = derive.rollup_sessions(ev, msgs, tc, model_pricing(spark))
+    return _session_row(derive.rollup_sessions(ev, msgs, tc, model_pricing(spark)))
+
+
+def _session_row(s):
     return s.select(
         "session_id", "project_path", ntz("started_at").alias("started_at"), ntz("ended_at").alias("ended_at"),
         "duration_sec", "message_count", "tool_call_count", "subagent_count", "git_branch", "cc_version",
@@ -294,12 +297,55 @@ def _sessions_from_transcript(spark, sf):
         "first_user_prompt", "host")
 
 
-register("d5_transcript_sessions", """
+_D5_SQL = """
 SELECT session_id, project_path, started_at, ended_at, duration_sec, message_count, tool_call_count, subagent_count,
        git_branch, cc_version, array_to_string(models_used, ',') AS models_used, total_input_tokens, total_output_tokens,
        total_cache_creation, total_cache_read, CAST(cost_e4 AS DOUBLE) / 10000 AS cost, first_user_prompt, host
 FROM c_sessions
-""")(_sessions_from_transcript)
+"""
+register("d5_transcript_sessions", _D5_SQL)(_sessions_from_transcript)
+
+# ---------------------------------------------------------------- K1-K5, T2, T4: the store after two batches and a replay
+def _store(spark, sf):
+    """A fresh store in the shared checkpoint folder: the transcript lines in two batches
+    (a session's lines fall into both), then the first batch once more."""
+    import uuid
+
+    from ..streaming import ingest
+
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/store-{uuid.uuid4().hex}"
+    lines = transcript_lines(spark, sf).withColumn("half", F.pmod(F.xxhash64("value"), F.lit(2))).checkpoint()
+    for half in (0, 1, 0):
+        ingest.ingest_lines(spark, lines.where(F.col("half") == half).drop("half"), root)
+    return ingest.open_store(spark, root)
+
+
+register("k1_insert_if_absent", "SELECT uuid, session_id, type, subtype, timestamp, host FROM c_lines")(
+    lambda spark, sf: _store(spark, sf)["events"].select("uuid", "session_id", "type", "subtype", ntz("timestamp").alias("timestamp"), "host"))
+
+register("k2_stored_messages", """
+SELECT uuid, session_id, role, timestamp, model, text_content, input_tokens, output_tokens, cache_creation_tokens,
+       cache_read_tokens, is_sidechain, host
+FROM c_messages
+""")(lambda spark, sf: _store(spark, sf)["messages"].drop("bucket").withColumn("timestamp", ntz("timestamp")))
+
+register("t2_incremental_sessions", _D5_SQL)(lambda spark, sf: _session_row(_store(spark, sf)["sessions"]))
+
+register("t4_replayed_tool_calls", """
+SELECT uuid, session_id, timestamp, tool_name, input, result, result_uuid, duration_ms, is_error, parent_message_uuid, host
+FROM c_tool_calls
+""")(lambda spark, sf: _store(spark, sf)["tool_calls"].drop("bucket").withColumn("timestamp", ntz("timestamp")))
+
+register("t7_change_feed", "SELECT uuid, session_id, type, subtype, timestamp, host FROM c_lines")(
+    lambda spark, sf: _store(spark, sf)["changes"].drop("bucket").withColumn("timestamp", ntz("timestamp")))
+
+register("d6_usage_daily", """
+SELECT date_trunc('day', m.timestamp) AS day, m.host, s.project_path, m.model, count(*) AS message_count,
+       CAST(coalesce(sum(m.input_tokens), 0) AS BIGINT) AS input_tokens, CAST(coalesce(sum(m.output_tokens), 0) AS BIGINT) AS output_tokens,
+       CAST(coalesce(sum(m.cache_creation_tokens), 0) AS BIGINT) AS cache_creation,
+       CAST(coalesce(sum(m.cache_read_tokens), 0) AS BIGINT) AS cache_read
+FROM c_messages m JOIN c_sessions s USING (session_id) WHERE m.role = 'assistant' GROUP BY ALL
+""")(lambda spark, sf: _store(spark, sf)["usage_daily"].withColumn("day", ntz("day")))
 
 # ---------------------------------------------------------------- D11 redaction, D7/Q25-Q27 search
 from ..functions.text import ASSIGNMENT_RULE, REDACTION_RULES, count_redactions, redact_df  # noqa: E402
@@ -333,8 +379,9 @@ SELECT doc_id, text, len(regexp_extract_all(text, '\\[REDACTED:[a-z]+\\]')) AS n
 """)(lambda spark, sf: redact_df(documents_with_secrets(spark, sf), "text", extra_rules=[ASSIGNMENT_RULE]).withColumn(
     "n_redactions", count_redactions(F.col("text"))))
 
-_IDX_SQL = """
-, docs AS (SELECT uuid, regexp_extract_all(coalesce(text_content, ''), '[A-Za-z0-9]+') AS toks FROM c_messages),
+_TOKENS = r"[\p{L}\p{N}]+"
+_IDX_SQL = f"""
+, docs AS (SELECT uuid, regexp_extract_all(coalesce(text_content, ''), '{_TOKENS}') AS toks FROM c_messages),
 terms AS (SELECT uuid, len(toks) AS doc_len, unnest(list_transform(toks, lambda t: lower(t))) AS term,
                  unnest(range(len(toks))) AS pos FROM docs),
 idx AS (SELECT term, uuid, count(*) AS tf, CAST(min(pos) AS INTEGER) AS first_pos, CAST(max(doc_len) AS INTEGER) AS doc_len
@@ -360,7 +407,7 @@ j AS (SELECT g.*, m.session_id, m.timestamp, m.role, m.model, m.text_content, s.
 """
     if count:
         return body + "SELECT count(*) AS n FROM j"
-    snip = (f"array_to_string(list_transform(list_slice(regexp_extract_all(coalesce(text_content, ''), '[A-Za-z0-9]+'), "
+    snip = (f"array_to_string(list_transform(list_slice(regexp_extract_all(coalesce(text_content, ''), '{_TOKENS}'), "
             f"greatest(1, first_hit + 1 - 5), greatest(1, first_hit + 1 - 5) + 19), "
             f"lambda t: CASE WHEN list_contains([{tl}], lower(t)) THEN '<b>' || t || '</b>' ELSE t END), ' ')")
     return body + f"""

@@ -50,15 +50,15 @@ def search(cat: Catalog, q: str, role=None, project=None, window=None, models=No
     return page.select(
         "uuid", "session_id", ntz("timestamp").alias("timestamp"), "role", "project_path",
         F.col("s_host").alias("host"),
-        snippet("text_content", "first_hit", terms, prefix_match=analyzer == "english").alias("snippet"),
+        snippet("text_content", "first_hit", terms, stemmed=analyzer == "english").alias("snippet"),
         (F.col("cost_e4") / F.lit(10000.0)).alias("cost"), "rank",
     )
 
 
 def count_results(cat: Catalog, q: str, role=None, project=None, window=None, models=None, hosts=None,
-                  keep_orphans: bool = False) -> DataFrame:
+                  keep_orphans: bool = False, analyzer: str = "simple") -> DataFrame:
     """Q27: number of matches under the same filters."""
-    j, _ = _matches(cat, q, role, project, window, models, hosts, keep_orphans)
+    j, _ = _matches(cat, q, role, project, window, models, hosts, keep_orphans, analyzer)
     return j.agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -146,8 +146,16 @@ def session_first_prompts(cat: Catalog, session_id: str | None = None, k: int =
                       F.substring("text_content", 1, chars).alias("text"))
 
 
+def session_payloads(cat: Catalog, session_id: str) -> DataFrame:
+    """A session's events with their raw payload as JSON."""
+    e = cat.events.filter(F.col("session_id") == session_id)
+    kind = e.schema["payload"].dataType.simpleString()
+    raw = F.col("payload") if kind == "string" else F.to_json("payload")
+    return e.select("uuid", ntz("timestamp").alias("timestamp"), "type", "subtype", raw.alias("payload"))
+
+
 def resolve_session_prefix(cat: Catalog, prefix: str) -> DataFrame:
     """Up to two session ids starting with ``prefix``: none = unknown, one = the
     session, two = ambiguous (the caller asks for more characters)."""
-    s = cat.sessions.select("session_id").filter(F.col("session_id").startswith(prefix)).distinct()
+    s = cat.events.select("session_id").filter(F.col("session_id").startswith(prefix)).distinct()
     return s.orderBy("session_id").limit(2)

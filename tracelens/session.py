@@ -47,11 +47,13 @@ def use_utc(spark: SparkSession) -> None:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
-    On a cluster that setting names shared storage and is used as is. Only when it is
-    unset (local tests) a fresh local folder is created and registered.
-    """
+    On a cluster that setting names shared storage and is used as is; without it there is
+    no folder all executors see, which is an error. Only a local session gets a scratch
+    folder of its own."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="tracelens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)

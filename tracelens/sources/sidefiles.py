@@ -75,6 +75,7 @@ def _name(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]+)$", 1)
 
 
+# Fixed value: the name pattern of these files.
 TODO_NAME = r"^([a-zA-Z0-9\-]+)-agent-([^.]+)\.json$"
 
 
@@ -111,6 +112,7 @@ def parse_file_history(files: DataFrame, root: str, host=None) -> DataFrame:
     )
 
 
+# Fixed value: the name pattern of these files.
 SHELL_NAME = r"^(snapshot-zsh-(\d+)-[^.]+)\.sh$"
 
 

@@ -2,23 +2,27 @@
 
 Layout under ``root`` (``bucket`` = hash bucket of session_id):
   events/        append-only, partitioned by ``bucket``         (K1: insert if absent)
-  messages/      append-only, partitioned by ``bucket``         (K2)
+  event_keys/    uuids of all events, by hash bucket of uuid    (one row per uuid, whatever its session)
+  messages/      append-only, partitioned by ``bucket``         (K2: insert if absent)
+  changes/       change feed of new events, by ``bucket``       (T7: insert if absent)
   tool_calls/    partitioned by ``bucket``                      (re-paired per touched bucket)
   sessions/      partitioned by ``bucket``                      (K3: recomputed per touched bucket)
-  usage_daily/   partitioned by ``day``                         (K5: recomputed per touched day)
-  changes/       append-only change feed of new events          (T7)
+  usage_daily/   partial sums per ``bucket``                    (K5; ``read_usage_daily`` adds them up)
 
 ``ingest_lines`` is the single incremental step; the backfill runs it once over a
 directory, the live path runs it inside ``foreachBatch`` of a file-source stream (T1,
-T2). Replays and overlapping files are harmless: events are keyed by uuid and the
-anti join drops what is stored (T3, T4). Late events (T6) just touch their session,
-file and day again; no watermark is needed for correctness.
+T2). Every write of a step is either an insert of what is absent or an overwrite of whole
+partitions, and all of them follow from the batch's own keys, not from what an earlier
+write of the same step did. A step that failed anywhere and is run again therefore ends
+in the tables of a single run (T3, T4), as do replays and overlapping files. Late events
+(T6) just touch their session's bucket again; no watermark is needed for correctness.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators import derive
 from ..operators import sinks as K
@@ -30,64 +34,95 @@ from ..sources.pricing import model_pricing
 EVENT_COLS = ["uuid", "session_id", "parent_uuid", "type", "subtype", "timestamp", "cwd", "project_path",
               "git_branch", "cc_version", "entrypoint", "host", "is_sidechain", "agent_id", "request_id",
               "payload", "source_file", "line_key"]
+CHANGE_COLS = ["uuid", "session_id", "type", "subtype", "timestamp", "host"]
 
 
 def _p(root: str, name: str) -> str:
     return f"{root.rstrip('/')}/{name}"
 
 
+def table_schemas(spark: SparkSession, host: str | None = None) -> dict[str, StructType]:
+    """Schema of every table of the store, as the step's own plan makes it."""
+    lines = spark.createDataFrame([], "value string, source_file string, line_key struct<block:bigint,pos:bigint>")
+    ev = K.with_bucket(tr.to_events(tr.parse_lines(lines), host=host or "").select(*EVENT_COLS), "session_id")
+    msgs = K.with_bucket(tr.derive_messages(ev), "session_id")
+    tc = K.with_bucket(derive.pair_tool_calls(tr.extract_tool_uses(ev), tr.extract_tool_results(ev)), "session_id")
+    sessions = K.with_bucket(derive.rollup_sessions(ev, msgs, tc, model_pricing(spark)), "session_id")
+    usage = derive.usage_daily(msgs, sessions).withColumn("bucket", F.lit(0))
+    out = {"events": ev, "messages": msgs, "tool_calls": tc, "sessions": sessions, "usage_daily": usage,
+           "changes": ev.select(*CHANGE_COLS, "bucket"), "event_keys": ev.select("uuid", F.col("bucket").alias("key_bucket"))}
+    return {name: df.schema for name, df in out.items()}
+
+
+def open_store(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """Every table of a store by its schema; tables not written yet are empty."""
+    out = {n: K.read_or_empty(spark, _p(root, n), s) for n, s in table_schemas(spark).items()}
+    out["usage_daily"] = sum_usage(out["usage_daily"])
+    return out
+
+
+def sum_usage(parts: DataFrame) -> DataFrame:
+    """Daily usage from the buckets' partial sums."""
+    sums = ["message_count", "input_tokens", "output_tokens", "cache_creation", "cache_read"]
+    return parts.groupBy("day", "host", "project_path", "model").agg(*(F.sum(c).alias(c) for c in sums))
+
+
+def read_usage_daily(spark: SparkSession, root: str) -> DataFrame:
+    return sum_usage(K.read_or_empty(spark, _p(root, "usage_daily"), table_schemas(spark)["usage_daily"]))
+
+
 def ingest_lines(spark: SparkSession, lines: DataFrame, root: str, host: str | None = None,
                  buckets: int = K.DEFAULT_BUCKETS) -> int:
     """One incremental step: parse, insert new events, derive, recompute touched keys.
     Returns the number of new events.
 
-    events, messages, tool_calls and sessions are partitioned by the session's hash
-    bucket, so the recompute of touched sessions reads only their buckets (a broadcast
-    semi join on the partition column: dynamic partition pruning)."""
+    Reads of the store are restricted to the batch's session buckets, and for the check
+    of uuids to the uuid's own buckets (broadcast semi joins on partition columns:
+    dynamic partition pruning)."""
     use_utc(spark)
     ensure_checkpoint_dir(spark)
-    ev = K.with_bucket(tr.to_events(tr.parse_lines(lines), host=host).select(*EVENT_COLS), "session_id", buckets)
-    ev = K.staged(ev)  # parsed once; the batch is read several times below
-    stored = K.read_or_none(spark, _p(root, "events"))
-    if stored is not None:
-        # an event's uuid carries its session, so it can only be stored in that
-        # session's bucket: compare against the batch's buckets only (partition pruning)
-        stored = stored.join(F.broadcast(ev.select("bucket").distinct()), "bucket", "left_semi")
+    schemas = table_schemas(spark, host)
+    read = lambda name: K.read_or_empty(spark, _p(root, name), schemas[name])
+    ev = tr.to_events(tr.parse_lines(lines), host=host).select(*EVENT_COLS)
     # The same uuid from two hosts/files keeps the smallest (host, file, line)
-    new = K.staged(K.insert_if_absent(stored, ev, ["uuid"], ["host", "source_file", "line_key"]))
+    ev = K.first_per_key(ev, ["uuid"], ["host", "source_file", "line_key"])
+    ev = K.staged(K.with_bucket(ev, "session_id", buckets).withColumn("key_bucket", K.bucket_of("uuid", buckets)))
+    touched = F.broadcast(ev.select("bucket").distinct())  # at most ``buckets`` rows
+    here = lambda name: read(name).join(touched, "bucket", "left_semi")
+
+    # the reference's key is the uuid alone: event_keys knows it under any session. An
+    # event stored by a failed run of this step, whose keys were not written, is found
+    # in its session's bucket.
+    keys = read("event_keys").join(F.broadcast(ev.select("key_bucket").distinct()), "key_bucket", "left_semi")
+    known = keys.select("uuid").unionByName(here("events").select("uuid"))
+    new = K.staged(ev.join(known, "uuid", "left_anti").drop("key_bucket"))
     n = new.count()
-    if n == 0:
-        return 0
-    K.append(new.sortWithinPartitions("session_id", "timestamp"), _p(root, "events"), ["bucket"])
-    msgs = K.with_bucket(tr.derive_messages(new), "session_id", buckets)
+    K.append(new.select(*EVENT_COLS, "bucket").sortWithinPartitions("session_id", "timestamp"), _p(root, "events"), ["bucket"])
+    K.append(ev.select("uuid", "key_bucket").join(keys, "uuid", "left_anti"), _p(root, "event_keys"), ["key_bucket"])
+
+    # what the batch's events derive, from the rows that are stored under their uuids
+    events = here("events")
+    own = events.join(ev.select("uuid"), "uuid", "left_semi")
+    msgs = K.with_bucket(tr.derive_messages(own), "session_id", buckets)
+    msgs = K.staged(K.insert_if_absent(here("messages"), msgs, ["uuid"]))
     K.append(msgs.sortWithinPartitions("timestamp"), _p(root, "messages"), ["bucket"])
-    K.append(new.select("uuid", "session_id", "type", "subtype", "timestamp", "host"), _p(root, "changes"))
-
-    touched = F.broadcast(new.select("bucket").distinct())
-    events = spark.read.parquet(_p(root, "events")).join(touched, "bucket", "left_semi")
-    messages = spark.read.parquet(_p(root, "messages"))
-    msgs_t = messages.join(touched, "bucket", "left_semi")
+    K.append(K.staged(K.insert_if_absent(here("changes"), own.select(*CHANGE_COLS, "bucket"), ["uuid"])), _p(root, "changes"), ["bucket"])
 
     # tool calls: re-pair the touched buckets, so a result landing after its use attaches
+    events, messages = here("events"), here("messages")
     tc = derive.pair_tool_calls(tr.extract_tool_uses(events), tr.extract_tool_results(events))
-    K.overwrite_partitions(K.with_bucket(tc, "session_id", buckets), _p(root, "tool_calls"), ["bucket"])
+    K.overwrite_partitions(K.staged(K.with_bucket(tc, "session_id", buckets)), _p(root, "tool_calls"), ["bucket"])
 
     # sessions: recompute every session of a touched bucket (K3 keeps an 'active' status)
-    tool_calls = spark.read.parquet(_p(root, "tool_calls")).join(touched, "bucket", "left_semi")
-    recomputed = derive.rollup_sessions(events, msgs_t, tool_calls, model_pricing(spark))
-    old = K.read_or_none(spark, _p(root, "sessions"))
-    merged = K.merge_session_status(recomputed, old.join(touched, "bucket", "left_semi") if old is not None else None)
-    K.overwrite_partitions(K.staged(K.with_bucket(merged, "session_id", buckets)), _p(root, "sessions"), ["bucket"])
-
-    # usage_daily: every day a touched session has messages on (N24: kept current by
-    # the live path too; a late event can change a session's project on older days)
-    ts = new.select("session_id").distinct()
-    days = msgs_t.join(ts, "session_id", "left_semi").select(F.to_date("timestamp").alias("d")).distinct()
-    days = K.staged(days)
-    sessions = spark.read.parquet(_p(root, "sessions"))
-    m_days = messages.join(F.broadcast(days), F.to_date(messages["timestamp"]) == days["d"], "left_semi")
-    ud = derive.usage_daily(m_days, sessions).withColumn("day_part", F.to_date("day"))
-    K.overwrite_partitions(K.staged(ud), _p(root, "usage_daily"), ["day_part"])
+    recomputed = derive.rollup_sessions(events, messages, here("tool_calls"), model_pricing(spark))
+    merged = K.merge_session_status(recomputed, here("sessions"))
+    sessions = K.staged(K.with_bucket(merged, "session_id", buckets))
+    K.overwrite_partitions(sessions, _p(root, "sessions"), ["bucket"])
+
+    # usage_daily: the touched buckets' own sums (N24: kept current by the live path too; a
+    # late event can change a session's project on older days). No other bucket is read.
+    usage = derive.usage_daily(messages, sessions, by=["bucket"])
+    K.overwrite_partitions(K.staged(usage), _p(root, "usage_daily"), ["bucket"])
     return n
 
 
@@ -98,12 +133,9 @@ def backfill(spark: SparkSession, source_root: str, root: str, host: str = "loca
 
 def rebuild_sessions(spark: SparkSession, root: str, buckets: int = K.DEFAULT_BUCKETS) -> None:
     """K8: recompute every session from the stored events (no chunking: one shuffle)."""
-    events = spark.read.parquet(_p(root, "events"))
-    messages = spark.read.parquet(_p(root, "messages"))
-    tool_calls = spark.read.parquet(_p(root, "tool_calls"))
-    s = derive.rollup_sessions(events, messages, tool_calls, model_pricing(spark))
-    old = K.read_or_none(spark, _p(root, "sessions"))
-    merged = K.merge_session_status(s, old)
+    store = open_store(spark, root)
+    s = derive.rollup_sessions(store["events"], store["messages"], store["tool_calls"], model_pricing(spark))
+    merged = K.merge_session_status(s, store["sessions"])
     K.staged(K.with_bucket(merged, "session_id", buckets)).write.mode("overwrite").partitionBy("bucket").parquet(
         _p(root, "sessions"))
 
