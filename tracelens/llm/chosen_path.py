@@ -6,12 +6,15 @@ of its minhash signature are chosen (1 / threshold on average, the same for all
 node), and the set goes on to the child named by its value there. A node of one set is
 dropped; up to LEAF sets are compared pair by pair on their signatures; more branch again,
 up to DEPTH. What is still large then is a group of copies: it is compared in random blocks,
-another split in each tree, and later every member outside the node's main component is
+another split in each tree. A node with many alike pairs gives back a spanning forest of
+them. Once the links found so far have made components, such nodes are compared again for
+pairs of different components; of a large node, every member outside its main component is
 compared with all members, block by block.
 
-Pairs that the signatures don't rule out are confirmed on full sets: first each set's most
-alike and its least candidate, in rounds, dropping pairs whose ends are joined by then, so
-that a group of n copies costs about n confirmations; at last all pairs that are left.
+Pairs that the signatures don't rule out are confirmed on full sets: first a few candidates
+of each set (the most alike, the least, and two by hash), in rounds, dropping pairs whose
+ends are joined by then, so that a group of n copies costs about n confirmations; at last
+all pairs that are left.
 Signatures only rule out a pair more than four deviations below the threshold.
 
 Words are runs of bytes other than white space, A-Z lower-cased. Fewer than five words make
@@ -39,7 +42,7 @@ SIGNATURE = 128
 TREES = 8
 LEAF = 128
 DEPTH = 4
-ROUNDS = 5
+ROUNDS = 2
 #: Ids of sets to confirm are broadcast up to this many (16 MB), and joined beyond.
 BROADCAST_IDS = 1_000_000
 
@@ -109,44 +112,79 @@ def children(path: Column, percent: int) -> Column:
     return F.transform(at, lambda c: F.xxhash64(path, c, F.get("sig", c)))
 
 
-def compare_nodes(rows: DataFrame, percent: int, least: int, by: list[str]) -> DataFrame:
-    """rows (*by, id, n, sig[, outside]) -> candidate pairs (a, b, alike), node by node. With
-    ``outside``, only pairs of an outside row and any other."""
-    flagged = "outside" in rows.columns
-    rows = rows.select(F.xxhash64(*by).alias("node"), "id", "n", "sig", *(["outside"] if flagged else []))
-
-    def node(ids: np.ndarray, n: np.ndarray, sig: np.ndarray, out: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        left = np.flatnonzero(out) if out is not None else np.arange(len(ids) - 1)
-        found = []
-        for i in left:
-            rest = slice(0, None) if out is not None else slice(i + 1, None)
-            fits = (np.minimum(n[rest], n[i]) * 100 >= np.maximum(n[rest], n[i]) * percent) & (ids[rest] != ids[i])
-            alike = (sig[rest] == sig[i]).sum(1)
-            j = np.flatnonzero(fits & (alike >= least))
-            found.append((np.full(len(j), ids[i]), ids[rest][j], alike[j]))
-        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, "int64"),) * 3
+PAIRS = "a long, b long, alike int"
+
+
+def compare_nodes(rows: DataFrame, percent: int, least: int) -> DataFrame:
+    """rows (node, id, n, sig[, c][, outside]) -> candidate pairs (a, b, alike), node by node.
+
+    Without ``c``: all pairs where they are few, else a spanning forest of the most alike and
+    a row (node, null, null) that says so. With ``c``, the components so far: all pairs of
+    different components. With ``outside``: only those with an outside row."""
+    columns = ["node", "id", "n", "sig", *(x for x in ("c", "outside") if x in rows.columns)]
+    rows = rows.select(*columns)
+
+    def pairs(at: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n, sig, found = at["n"], at["sig"], []
+        for i in np.flatnonzero(at["outside"]) if "outside" in at else range(len(n) - 1):
+            rest = slice(0 if "outside" in at else i + 1, None)
+            fits = np.minimum(n[rest], n[i]) * 100 >= np.maximum(n[rest], n[i]) * percent
+            if "c" in at:
+                fits &= at["c"][rest] != at["c"][i]
+            j = np.flatnonzero(fits)
+            alike = (sig[rest][j] == sig[i]).sum(1)
+            j, alike = j[alike >= least], alike[alike >= least]
+            found.append((np.full(len(j), i), j + rest.start, alike))
+        return tuple(np.concatenate(x).astype("int64") for x in zip(*found, strict=True)) if found else (np.zeros(0, "int64"),) * 3
+
+    def forest(size: int, p: np.ndarray, q: np.ndarray, alike: np.ndarray) -> np.ndarray:
+        """Of the pairs, those of a spanning forest, the most alike first."""
+        root, out = [*range(size)], []
+
+        def find(i: int) -> int:
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        for k in np.argsort(-alike, kind="stable").tolist():
+            x, y = find(p[k]), find(q[k])
+            if x != y:
+                root[x] = y
+                out.append(k)
+        return np.array(out, "int64")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
+        held: dict[str, np.ndarray] | None = None
         for b in with_end(batches):
             if b is not None and b.num_rows:
-                cols = [b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2)]
-                cols.append(b.column(3).flatten().to_numpy(zero_copy_only=False).reshape(-1, SIGNATURE))
-                if flagged:
-                    cols.append(b.column(4).to_numpy(zero_copy_only=False).astype(bool))
-                held = cols if held is None else [np.concatenate(x) for x in zip(held, cols, strict=True)]
+                now = {x: b.column(i).to_numpy(zero_copy_only=False) for i, x in enumerate(columns) if x != "sig"}
+                now["sig"] = b.column(3).flatten().to_numpy(zero_copy_only=False).reshape(-1, SIGNATURE)
+                held = now if held is None else {x: np.concatenate([held[x], now[x]]) for x in now}
             if held is None or (b is not None and not b.num_rows):
                 continue
-            edges = np.flatnonzero(np.diff(held[0])) + 1
-            last = len(held[0]) if b is None else (edges[-1] if len(edges) else 0)  # the last node may go on
-            bounds = [0, *(e for e in edges if e < last), last] if last else [0]
-            pairs = [node(held[1][x:y], held[2][x:y], held[3][x:y], held[4][x:y] if flagged else None) for x, y in zip(bounds, bounds[1:], strict=False) if y - x > 1]
-            held = None if b is None else [c[last:] for c in held]
-            if pairs:
-                p, q, alike = (np.concatenate(x).astype("int64") for x in zip(*pairs, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q)), pa.array(alike.astype("int32"))], names=["a", "b", "alike"])
-
-    return rows.repartition("node").sortWithinPartitions("node").mapInArrow(run, "a long, b long, alike int").distinct()
+            size = len(held["node"])
+            edges = (np.flatnonzero(np.diff(held["node"])) + 1).tolist()
+            last = size if b is None else (edges[-1] if edges else 0)  # the last node may go on
+            bounds = [0, *(e for e in edges if e < last), last]
+            out: list[tuple] = []
+            for x, y in zip(bounds, bounds[1:], strict=False):
+                if y - x < 2:
+                    continue
+                at = {k: v[x:y] for k, v in held.items()}
+                p, q, alike = pairs(at)
+                if "c" not in at and len(p) > 4 * (y - x):
+                    keep = forest(y - x, p, q, alike)
+                    p, q, alike = p[keep], q[keep], alike[keep]
+                    out.append(([at["node"][0]], [None], [None]))
+                u, v = at["id"][p], at["id"][q]
+                out.append((np.minimum(u, v).tolist(), np.maximum(u, v).tolist(), alike.tolist()))
+            held = None if b is None else {k: v[last:] for k, v in held.items()}
+            if out:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([z for o in out for z in o[i]], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int32()))], names=["a", "b", "alike"])
+
+    return rows.repartition("node").sortWithinPartitions("node").mapInArrow(run, PAIRS).where("b is null or a != b").distinct()
 
 
 def with_end(batches: Iterator) -> Iterator:
@@ -185,28 +223,37 @@ class Join:
             now = large.join(self.sets.select("id", "sig"), "id").select("id", "sig", "path")
         raise AssertionError
 
-    def candidates(self) -> tuple[DataFrame, DataFrame]:
-        """Candidate pairs, and the large nodes (path, id, size)."""
+    def candidates(self, rows: DataFrame) -> DataFrame:
+        """Candidate pairs of rows (node, id[, c][, outside])."""
+        return compare_nodes(rows.join(self.sets, "id"), self.percent, self.least)
+
+    def nodes(self) -> tuple[DataFrame, DataFrame]:
+        """(node, id) of what is compared first, and the large nodes (path, id, size)."""
         leaves, large = self.tree()
         large = stored(self.spark, large, "large_nodes")
-        block = F.pmod(F.xxhash64("path", "id"), F.ceil(F.col("size") / LEAF)).alias("block")
-        # leaves with the same members in several trees are compared in each: they are small
-        rows = leaves.withColumn("block", F.lit(0).cast("bigint")).unionByName(large.select("path", "id", block))
-        pairs = compare_nodes(rows.join(self.sets, "id"), self.percent, self.least, ["path", "block"])
-        return stored(self.spark, pairs, "candidates"), large
-
-    def left_over(self, large: DataFrame, joined: DataFrame) -> DataFrame:
-        """Candidate pairs of large nodes' members outside the node's main component."""
-        rows = large.join(joined.withColumnRenamed("component", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
-        rows = stored(self.spark, rows, "members")
-        main = rows.groupBy("path", "c").agg(F.count("*").alias("n")).groupBy("path").agg(F.max(F.struct("n", "c"))["c"].alias("main"))
-        main = stored(self.spark, main, "main")
-        outside = rows.join(main, "path").where("c != main").select("path", "id", F.ceil(F.col("size") / (4 * LEAF)).alias("blocks"))
-        everywhere = outside.select("path", "id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("outside"))
-        touched = outside.select("path").distinct()
-        inside = rows.join(touched, "path", "left_semi").select(
-            "path", "id", F.pmod(F.xxhash64("path", "id"), F.ceil(F.col("size") / (4 * LEAF))).alias("block"), F.lit(False).alias("outside"))
-        return compare_nodes(everywhere.unionByName(inside).join(self.sets, "id"), self.percent, self.least, ["path", "block"])
+        block = F.pmod(F.xxhash64("path", "id"), F.ceil(F.col("size") / LEAF))
+        rows = leaves.select(F.xxhash64("path").alias("node"), "id").unionByName(large.select(F.xxhash64("path", block).alias("node"), "id"))
+        return rows, large
+
+    def left_over(self, rows: DataFrame, dense: DataFrame, large: DataFrame, joined: DataFrame) -> DataFrame:
+        """Candidate pairs between components: all of dense nodes, and in large nodes those
+        of members outside the node's main component with any other."""
+        joined = stored(self.spark, joined.withColumnRenamed("component", "c"), "joined")
+        small = rows.join(dense, "node").join(joined, "id", "left").withColumn("c", F.coalesce("c", "id"))
+        several = small.groupBy("node").agg((F.min("c") != F.max("c")).alias("several")).where("several").select("node")
+        first = self.candidates(small.join(stored(self.spark, several, "several"), "node"))
+        if large.isEmpty():
+            return first
+        members = large.join(joined, "id", "left").withColumn("c", F.coalesce("c", "id"))
+        members = stored(self.spark, members, "members")
+        main = members.groupBy("path", "c").agg(F.count("*").alias("n")).groupBy("path").agg(F.max(F.struct("n", "c"))["c"].alias("main"))
+        outside = stored(self.spark, members.join(stored(self.spark, main, "main"), "path").where("c != main"), "outside")
+        blocks = F.ceil(F.col("size") / (4 * LEAF))
+        node = F.xxhash64("path", "block").alias("node")
+        asks = outside.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1))).select(node, "id", "c", F.lit(True).alias("outside"))
+        touched = stored(self.spark, outside.select("path").distinct(), "touched")
+        holds = members.join(touched, "path").withColumn("block", F.pmod(F.xxhash64("path", "id"), blocks)).select(node, "id", "c", F.lit(False).alias("outside"))
+        return first.unionByName(self.candidates(asks.unionByName(holds)))
 
     def full_sets(self, pairs: DataFrame) -> DataFrame:
         """(id, s) of all sets in ``pairs``, made from the texts again."""
@@ -250,10 +297,12 @@ class Join:
                 break
             asked = pairs
             if r < ROUNDS:
-                ends = pairs.select(F.col("a").alias("id"), F.struct("alike", "a", "b").alias("p"), (-F.col("b")).alias("o")).unionByName(
-                    pairs.select(F.col("b").alias("id"), F.struct("alike", "a", "b").alias("p"), (-F.col("a")).alias("o")))
-                picks = ends.groupBy("id").agg(F.array(F.max("p"), F.max_by("p", "o")).alias("p"))
-                asked = picks.select(F.explode("p").alias("p")).select("p.a", "p.b").distinct()
+                ends = pairs.select(F.col("a").alias("id"), F.col("b").alias("other"), "alike").unionByName(pairs.select(F.col("b").alias("id"), F.col("a").alias("other"), "alike"))
+                chance = F.xxhash64("id", "other")
+                some = [F.max(F.struct("alike", "other"))["other"], F.min("other"), F.max_by("other", chance), F.min_by("other", chance)]
+                picks = ends.groupBy("id").agg(F.array(*some[: 2 * r + 2]).alias("p"))
+                picks = picks.select("id", F.explode("p").alias("other"))
+                asked = picks.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
             told = stored(self.spark, self.confirmed(asked, sets), "confirmed")
             linked = told.where("linked").select("a", "b")
             found = linked if found is None else found.unionByName(linked)
@@ -270,12 +319,14 @@ class Join:
         return stored(self.spark, out.where("coalesce(ca, a) != coalesce(cb, b)").select("a", "b", "alike"), "pairs")
 
     def run(self) -> DataFrame:
-        pairs, large = self.candidates()
+        rows, large = self.nodes()
+        pairs = stored(self.spark, self.candidates(rows), "candidates")
+        dense = pairs.where("b is null").select(F.col("a").alias("node"))
+        pairs = pairs.where("b is not null")
         found = self.links(pairs)
-        if not large.isEmpty():
-            more = stored(self.spark, self.left_over(large, components(found)), "more_candidates")
-            more = more.join(pairs.select("a", "b"), ["a", "b"], "left_anti")
-            found = self.links(stored(self.spark, more, "new_candidates"), found)
+        if not (dense.isEmpty() and large.isEmpty()):
+            more = self.left_over(rows, dense, large, components(found)).distinct()
+            found = self.links(stored(self.spark, more.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "more_candidates"), found)
         joined = components(found).select(F.col("id").alias("first"), "component")
         by_set = stored(self.spark, self.firsts.join(joined, "first", "left").select("k1", "k2", F.coalesce("component", "first").alias("c")), "by_set")
         some = self.sketches.where("n > 0 and id is not null").select("id", "n", "k1", "k2").join(by_set, ["k1", "k2"]).select("id", "n", "c")
