@@ -11,16 +11,16 @@ PY_NODES = ("BatchEvalPython", "ArrowEvalPython")
 
 
 def _names():
-    import __spark_entry__ as E
+    from tracelens.plans import registry
 
-    return sorted(E.queries())
+    return sorted(registry.queries())
 
 
 @pytest.mark.parametrize("name", _names())
 def test_plan_shape(spark, name):
-    import __spark_entry__ as E
+    from tracelens.plans import registry
 
-    df = E.queries()[name](spark, SF_SMALL)
+    df = registry.queries()[name](spark, SF_SMALL)
     plan = df._jdf.queryExecution().executedPlan().toString()
     for bad in FORBIDDEN:
         assert bad not in plan, f"{name}: {bad}"
