@@ -37,7 +37,10 @@ def materialize(cat: Catalog, root: str, files_per_table: int | None = None) ->
     for name, (sort_cols, part_cols) in TABLES.items():
         df: DataFrame = getattr(cat, name)
         if sort_cols:
-            df = df.repartitionByRange(files_per_table, *sort_cols) if files_per_table else df
+            if files_per_table:
+                df = df.repartitionByRange(files_per_table, *sort_cols)
+            elif sort_cols == ["term"]:  # a file holds a range of terms: a lookup opens one
+                df = df.repartitionByRange("term")
             df = df.sortWithinPartitions(*sort_cols)
         w = df.write.mode("overwrite")
         if part_cols:

@@ -432,6 +432,8 @@ register("q25_search_chat_page2", _search_sql(["und", "die"], "s.project_path IL
 register("q27_search_count", _search_sql(["read", "step"], f"{between('m.timestamp', W)}", count=True))(
     lambda spark, sf: search.count_results(cat(spark, sf), "Read step", window=W))
 
+register("q25_search_umlaut", _search_sql(["für"], "true", 50))(lambda spark, sf: search.search(cat(spark, sf), "FÜR"))
+
 # ---------------------------------------------------------------- S5-S8 side files (+K6 dedup)
 from ..sources import sidefiles as sfiles  # noqa: E402
 from ..sources.driver import FILE_HISTORY_ROOT, file_history_files, history_lines, shell_snapshot_files, todo_files  # noqa: E402
