@@ -153,6 +153,28 @@ def test_a_failure_after_any_write_heals_on_retry(spark, monkeypatch):
         assert tables(spark, root) == want, fail_after
 
 
+def test_hooks_show_in_the_stored_sessions(spark):
+    import json
+
+    from tracelens.__main__ import _catalog
+    from tracelens.plans import cli
+
+    root, src = tempfile.mkdtemp(prefix="tl-hook-"), tempfile.mkdtemp(prefix="tl-hooks-")
+    ck = tempfile.mkdtemp(prefix="tl-ck-")
+    ingest.ingest_lines(spark, lines(spark, [event("a", "s1", 1), event("b", "s2", 2)]), root)
+
+    def hook(n, sid, name):
+        with open(os.path.join(src, f"h{n}.json"), "w") as f:
+            f.write(json.dumps({"session_id": sid, "hook": name, "timestamp": f"2026-04-20T1{n}:00:00Z"}) + "\n")
+        ingest.start_liveness(spark, src, f"{root}/liveness", ck, trigger={"availableNow": True}).awaitTermination(300)
+        return cli.store_status(_catalog(spark, root)).first().active_sessions
+
+    assert hook(1, "s1", "SessionStart") == 1
+    ingest.ingest_lines(spark, lines(spark, [event("c", "s1", 3)]), root)  # the rollup keeps it active
+    assert cli.store_status(_catalog(spark, root)).first().active_sessions == 1
+    assert hook(2, "s1", "SessionEnd") == 0
+
+
 def test_an_unreadable_table_is_an_error(spark):
     import pytest
     from tracelens.operators import sinks

@@ -7,6 +7,7 @@ Layout under ``root`` (``bucket`` = hash bucket of session_id):
   changes/       change feed of new events, by ``bucket``       (T7: insert if absent)
   tool_calls/    partitioned by ``bucket``                      (re-paired per touched bucket)
   sessions/      partitioned by ``bucket``                      (K3: recomputed per touched bucket)
+  liveness/      latest hook status per session, written by ``start_liveness`` (T5)
   usage_daily/   partial sums per ``bucket``                    (K5; ``read_usage_daily`` adds them up)
 
 ``ingest_lines`` is the single incremental step; the backfill runs it once over a
@@ -26,7 +27,7 @@ from pyspark.sql.types import StructType
 
 from ..operators import derive
 from ..operators import sinks as K
-from ..operators.liveness import session_liveness
+from ..operators.liveness import apply_liveness, session_liveness
 from ..session import ensure_checkpoint_dir, use_utc
 from ..sources import transcripts as tr
 from ..sources.pricing import model_pricing
@@ -55,9 +56,13 @@ def table_schemas(spark: SparkSession, host: str | None = None) -> dict[str, Str
 
 
 def open_store(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """Every table of a store by its schema; tables not written yet are empty."""
+    """Every table of a store by its schema; tables not written yet are empty. Sessions
+    have the status of the store's liveness table (T5), where hooks have told one."""
     out = {n: K.read_or_empty(spark, _p(root, n), s) for n, s in table_schemas(spark).items()}
     out["usage_daily"] = sum_usage(out["usage_daily"])
+    live = K.read_or_none(spark, _p(root, "liveness"))
+    if live is not None:
+        out["sessions"] = apply_liveness(out["sessions"], live)
     return out
 
 
@@ -135,7 +140,7 @@ def rebuild_sessions(spark: SparkSession, root: str, buckets: int = K.DEFAULT_BU
     """K8: recompute every session from the stored events (no chunking: one shuffle)."""
     store = open_store(spark, root)
     s = derive.rollup_sessions(store["events"], store["messages"], store["tool_calls"], model_pricing(spark))
-    merged = K.merge_session_status(s, store["sessions"])
+    merged = K.merge_session_status(s, K.read_or_none(spark, _p(root, "sessions")))
     K.staged(K.with_bucket(merged, "session_id", buckets)).write.mode("overwrite").partitionBy("bucket").parquet(
         _p(root, "sessions"))
 
@@ -168,7 +173,8 @@ def start_live_ingest(spark: SparkSession, landing_dir: str, root: str, checkpoi
 
 def start_liveness(spark: SparkSession, hooks_dir: str, out_path: str, checkpoint: str, trigger: dict | None = None):
     """T5: hook signals (JSON lines ``{session_id, hook, timestamp}``) -> latest status per
-    session. A streaming aggregation in update mode; each batch upserts the changed
+    session. With ``out_path`` the ``liveness`` folder of a store, its sessions show the
+    status (``open_store``). A streaming aggregation in update mode; each batch upserts the changed
     sessions into a table partitioned by session bucket."""
     schema = "session_id string, hook string, timestamp timestamp"
     hooks = spark.readStream.schema(schema).json(hooks_dir)
