@@ -47,7 +47,7 @@ CONTEXT = LEFT + LENGTH
 #: Stands for what lies outside the document; no byte of UTF-8.
 OUTSIDE = 255
 BLOCK_BYTES = 2 << 20
-BUCKET_ANCHORS = 500_000
+BUCKET_ANCHORS = 250_000
 LEAST_BUCKET_BITS = 6
 SHARDS = 16
 FIRST_KEY = -(1 << 63)
@@ -285,17 +285,18 @@ class Minima:
         return np.minimum(self.tables[level, a + 1], self.tables[level, b + 1 - (1 << level)])
 
 
-def merge(shards: list[np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """shards: contexts (rows by CONTEXT bytes); keys: the least key of each row, shards one
-    after another -> per row: the least key among equal contexts, and a bit mask of window
-    starts at which a document with a smaller key than that holds the same window."""
+def merge(shards: list[np.ndarray], keys: np.ndarray) -> np.ndarray:
+    """shards: contexts (rows by CONTEXT bytes); keys: the least key that holds each row,
+    shards one after another -> per row a bit mask of the window starts at which a row with
+    a smaller key has the same window."""
     n = len(keys)
     base = np.cumsum([0, *(len(s) for s in shards[:-1])])
+    first = np.concatenate([(s[:, :LEFT] == OUTSIDE).sum(1) for s in shards])
+    last = STARTS - 1 - np.concatenate([(s[:, LEFT:] == OUTSIDE).sum(1) for s in shards])
     orders = [np.arange(len(s)) for s in shards]  # each shard's suffix order so far
     source = np.repeat(np.arange(len(shards), dtype="uint8"), [len(s) for s in shards])  # of each merged row
     common = np.zeros(n, "uint8")  # bytes in common with the row before
-    window = np.empty((STARTS, n), "int64")
-    whole = np.empty(n, "int64")
+    mask = np.zeros(n, "uint32")
     for at in range(CONTEXT - 1, -1, -1):
         # the characters to the left of each shard's suffixes: its transform at this step
         transform = [s[o, at] for s, o in zip(shards, orders, strict=True)]
@@ -313,15 +314,11 @@ def merge(shards: list[np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.nd
         if at < STARTS:
             row = np.empty(n, "int64")
             row[np.argsort(source, kind="stable")] = np.concatenate([o + b for o, b in zip(orders, base, strict=True)])
-            window[at][row] = least_of_runs(keys[row], common < LENGTH)
-            if at == 0:
-                whole[row] = least_of_runs(keys[row], common < CONTEXT)
-    x = np.concatenate(shards)
-    first, last = (x[:, :LEFT] == OUTSIDE).sum(1), STARTS - 1 - (x[:, LEFT:] == OUTSIDE).sum(1)
-    mask = np.zeros(n, "uint32")
-    for at in range(STARTS):
-        mask |= ((window[at] < whole) & (first <= at) & (at <= last)).astype("uint32") << np.uint32(at)
-    return whole, mask
+            earlier = least_of_runs(keys[row], common < LENGTH) < keys[row]
+            found = row[earlier]
+            found = found[(first[found] <= at) & (at <= last[found])]
+            mask[found] |= np.uint32(1 << at)
+    return mask
 
 
 def least_of_runs(keys: np.ndarray, begins: np.ndarray) -> np.ndarray:
@@ -334,20 +331,25 @@ def least_of_runs(keys: np.ndarray, begins: np.ndarray) -> np.ndarray:
 def merge_bucket(rows: pd.DataFrame) -> pd.DataFrame:
     """A bucket's contexts from all blocks -> what each block has to know of its contexts."""
     rows = rows.sort_values("block")
-    sent = [np.frombuffer(zstandard.decompress(x), "uint8").reshape(-1, CONTEXT) for x in rows["contexts"]]
-    keys = np.concatenate([unpacked(x) for x in rows["least"]])
-    groups = [sent[i::SHARDS] for i in range(min(SHARDS, len(sent)))]
-    order = [j for i in range(len(groups)) for j in range(i, len(sent), SHARDS)]
-    sizes = np.array([len(s) for s in sent])
-    starts = np.cumsum(sizes) - sizes
-    index = np.concatenate([np.arange(starts[j], starts[j] + sizes[j]) for j in order])
-    whole, mask = merge([np.concatenate(g) for g in groups], keys[index])
-    told_whole, told_mask = np.empty_like(whole), np.empty_like(mask)
-    told_whole[index], told_mask[index] = whole, mask
-    cut = [slice(a, a + n) for a, n in zip(starts, sizes, strict=True)]
+    x = [np.frombuffer(zstandard.decompress(z), "uint8").reshape(-1, CONTEXT) for z in rows["contexts"]]
+    sizes = np.array([len(s) for s in x])
+    x = np.concatenate(x).view(np.dtype((np.void, CONTEXT))).ravel()
+    keys = np.concatenate([unpacked(z) for z in rows["least"]])
+    # a context that several blocks sent is one row, with the least key, of its first sender
+    x, first, which = np.unique(x, return_index=True, return_inverse=True)
+    whole = np.full(len(x), np.iinfo("int64").max)
+    np.minimum.at(whole, which, keys)
+    shard = np.repeat(np.arange(len(sizes)), sizes)[first] % SHARDS
+    order = np.argsort(shard, kind="stable")
+    ends = np.cumsum(np.bincount(shard, minlength=SHARDS))[:-1]
+    x = x[order].view("uint8").reshape(-1, CONTEXT)
+    mask = np.empty(len(x), "uint32")
+    mask[order] = merge([s for s in np.split(x, ends) if len(s)], whole[order])
+    ends = np.cumsum(sizes)
+    cut = [slice(b - n, b) for b, n in zip(ends, sizes, strict=True)]
     return pd.DataFrame({
         "block": rows["block"].to_numpy(), "pos": rows["pos"].to_numpy(), "which": rows["which"].to_numpy(),
-        "whole": [packed(told_whole[c]) for c in cut], "mask": [packed(told_mask[c]) for c in cut]})
+        "whole": [packed(whole[which[c]]) for c in cut], "mask": [packed(mask[which[c]]) for c in cut]})
 
 
 def removed(block: Block, told: list) -> np.ndarray:
