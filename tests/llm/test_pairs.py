@@ -175,6 +175,30 @@ def test_near_vectors_equal_brute_force(spark, monkeypatch):
     assert neighbours.near_vectors(df.limit(0)).count() == 0
 
 
+def close_pairs(rng, dense):
+    """Pairs among vectors that lie close together, but under the threshold: signs hardly part
+    them, so that few pairs share a leaf. And a group of ``dense`` near-equal vectors."""
+    base = 1 + 0.3 * rng.standard_normal((120, 16))
+    x = np.concatenate([base, base + 0.01 * rng.standard_normal((120, 16)), rng.standard_normal(16) + 0.001 * rng.standard_normal((dense, 16))])
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    near = u @ u.T >= 0.98
+    np.fill_diagonal(near, False)
+    return x, near
+
+
+def assert_all_links(spark, monkeypatch, x, near):
+    for name, value in {"LEAF": 4, "TREES": 1, "ROUNDS": 0, "K": 6, "BLOCK": 64}.items():
+        monkeypatch.setattr(neighbours, name, value)
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r for r in neighbours.near_vectors(df).collect()}
+    assert [got[i].n_links for i in range(len(near))] == near.sum(1).tolist()
+    assert {i: got[i].component_id for i in got} == union(range(len(near)), zip(*np.nonzero(near), strict=True))
+
+
+def test_links_that_every_attempt_lost_are_found(spark, monkeypatch):
+    assert_all_links(spark, monkeypatch, *close_pairs(np.random.default_rng(6), 0))
+
+
 def test_rules_and_reputation(spark):
     urls = [None, "", "no scheme", "http://A.Example.ORG/es/x?y", "https://example.org/en/12#z", "ftp://org/", "http://org", "http://x.com/fr/1", "http://x.com/de/",
             "http://xcom/de/", "a://b://c/d", "http://h.net?q=/x", "http://H.NET#/x", "http://Ünïcode.NET/É"]

@@ -11,7 +11,9 @@ Saturated vectors are compared with all saturated ones of their label, block by
 blocks give back counts and the links that join components, never all pairs. (A link to a
 vector whose list isn't saturated is in that list.) At last a bounded sample is audited
 against all vectors of its labels; while less than TARGET of the sample's links are found,
-more trees and rounds follow.
+more trees and rounds follow;
+after ATTEMPTS of them all vectors of the labels that lost links are compared block by
+block, and if the other labels still fail the audit, those of all labels.
 
 Null labels, null or zero vectors and null or non-finite components link with nothing. Rows
 with equal keys and vectors count once. Extra columns are not read.
@@ -23,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import python_tasks, stored
@@ -230,10 +232,14 @@ class Descent:
         told = stored(self.spark, told, "dense_links")
         return (told.where("v is null").groupBy("id").agg(F.sum("n").alias("n")), told.where("v is not null").select(F.col("id").alias("u"), "v"))
 
-    def found(self, now: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(id, n): linked vectors, copies counted; and links (a, b) that span the components."""
+    def found(self, now: DataFrame, exact: Column | None = None) -> tuple[DataFrame, DataFrame]:
+        """(id, n): linked vectors, copies counted; and links (a, b) that span the components.
+        All vectors of the labels for which ``exact`` holds are compared."""
         links = now.where(F.col("sim") >= self.threshold)
-        full = stored(self.spark, links.groupBy("u").agg(F.count("*").alias("k")).where(f"k >= {K}").select(F.col("u").alias("id")), "full")
+        full = links.groupBy("u").agg(F.count("*").alias("k")).where(f"k >= {K}").select(F.col("u").alias("id"))
+        if exact is not None:
+            full = full.unionByName(self.reps.where(exact).select("id")).distinct()
+        full = stored(self.spark, full, "full")
         both = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
         both = both.join(full.select(F.col("id").alias("u"), F.lit(True).alias("fu")), "u", "left").join(full.select(F.col("id").alias("v"), F.lit(True).alias("fv")), "v", "left")
         sparse = both.where("fu is null or fv is null").join(self.reps.select(F.col("id").alias("v"), "mult"), "v").groupBy("u").agg(F.sum("mult").alias("n"))
@@ -243,9 +249,16 @@ class Descent:
             counts, spanning = counts.unionByName(n), spanning.unionByName(more.select(F.col("u").alias("a"), F.col("v").alias("b")))
         return stored(self.spark, counts.groupBy("id").agg(F.sum("n").alias("n")), "counts"), spanning
 
-    def recall(self, counts: DataFrame) -> float:
-        """Share of the links of AUDIT vectors that were found."""
+    def recall(self, counts: DataFrame) -> tuple[float, list[str]]:
+        """Share of the links of AUDIT vectors that were found, and the labels that lost some."""
         sample = self.reps.orderBy(F.xxhash64("id"), "id").limit(AUDIT).collect()  # bounded
+        label = {r.id: r.g for r in sample}
+        rows = self.true_links(sample).join(counts, "id", "left").select("id", "links", F.coalesce("n", F.lit(0)).alias("n")).where("links > 0").collect()
+        every = sum(r.links for r in rows)
+        return (sum(min(r.n, r.links) for r in rows) / every if every else 1.0), sorted({label[r.id] for r in rows if r.n < r.links})
+
+    def true_links(self, sample: list) -> DataFrame:
+        """(id, links): links of the sample's vectors among all of their label, copies counted."""
         by: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         for g in {r.g for r in sample}:
             own = [r for r in sample if r.g == g]
@@ -264,17 +277,22 @@ class Descent:
                         total[i] = total.get(i, 0) + int(n)
             yield pa.RecordBatch.from_arrays([pa.array([*total], pa.int64()), pa.array([*total.values()], pa.int64())], names=["id", "n"])
 
-        true = self.reps.select("g", "id", "x", "mult").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("true"))
-        r = true.join(counts, "id", "left").agg(F.sum(F.least("true", F.coalesce("n", F.lit(0)))).alias("got"), F.sum("true").alias("all")).first()
-        return 1.0 if not r.all else r.got / r.all
+        return self.reps.select("g", "id", "x", "mult").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("links"))
 
     def run(self) -> DataFrame:
         now = self.descend(self.trees(0))
         for attempt in range(1, ATTEMPTS + 1):
             counts, spanning = self.found(now)
-            if attempt == ATTEMPTS or self.recall(counts) >= TARGET:
+            recall, failing = self.recall(counts)
+            if recall >= TARGET:
                 break
-            now = self.descend(now.unionByName(self.trees(attempt * TREES)))
+            if attempt < ATTEMPTS:
+                now = self.descend(now.unionByName(self.trees(attempt * TREES)))
+        else:
+            # the labels that lost links in the audit; where others do so, too, all labels
+            counts, spanning = self.found(now, F.col("g").isin(failing))
+            if self.recall(counts)[0] < TARGET:
+                counts, spanning = self.found(now, F.lit(True))
         joined = components(spanning)
         known = self.reps.join(counts, "id", "left").join(joined, "id", "left").select(
             "g", "x", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n"), F.coalesce("component", "id").alias("c"))
