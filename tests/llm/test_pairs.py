@@ -199,6 +199,10 @@ def test_links_that_every_attempt_lost_are_found(spark, monkeypatch):
     assert_all_links(spark, monkeypatch, *close_pairs(np.random.default_rng(6), 0))
 
 
+def test_a_dense_group_does_not_hide_lost_links(spark, monkeypatch):
+    assert_all_links(spark, monkeypatch, *close_pairs(np.random.default_rng(7), 500))
+
+
 def test_rules_and_reputation(spark):
     urls = [None, "", "no scheme", "http://A.Example.ORG/es/x?y", "https://example.org/en/12#z", "ftp://org/", "http://org", "http://x.com/fr/1", "http://x.com/de/",
             "http://xcom/de/", "a://b://c/d", "http://h.net?q=/x", "http://H.NET#/x", "http://Ünïcode.NET/É"]

@@ -9,9 +9,9 @@ closer than the end of either list enter it. Rounds end when hardly any list cha
 A list whose K entries all reach the threshold is saturated: it says that there are more.
 Saturated vectors are compared with all saturated ones of their label, block by block;
 blocks give back counts and the links that join components, never all pairs. (A link to a
-vector whose list isn't saturated is in that list.) At last a bounded sample is audited
-against all vectors of its labels; while less than TARGET of the sample's links are found,
-more trees and rounds follow;
+vector whose list isn't saturated is in that list.) At last unsaturated vectors are audited
+against all of their labels, until AUDIT vectors with links are seen or none is left. While
+less than TARGET of a vector's links are found on average, more trees and rounds follow;
 after ATTEMPTS of them all vectors of the labels that lost links are compared block by
 block, and if the other labels still fail the audit, those of all labels.
 
@@ -39,6 +39,7 @@ LEAF = 192
 ROUNDS = 4
 BLOCK = 1024
 AUDIT = 512
+ASKED = 4096
 TARGET = 0.999
 ATTEMPTS = 3
 
@@ -232,9 +233,10 @@ class Descent:
         told = stored(self.spark, told, "dense_links")
         return (told.where("v is null").groupBy("id").agg(F.sum("n").alias("n")), told.where("v is not null").select(F.col("id").alias("u"), "v"))
 
-    def found(self, now: DataFrame, exact: Column | None = None) -> tuple[DataFrame, DataFrame]:
-        """(id, n): linked vectors, copies counted; and links (a, b) that span the components.
-        All vectors of the labels for which ``exact`` holds are compared."""
+    def found(self, now: DataFrame, exact: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(id, n): linked vectors, copies counted; links (a, b) that span the components; and
+        (id) of the vectors that were compared in blocks: saturated ones, and all of the labels
+        for which ``exact`` holds."""
         links = now.where(F.col("sim") >= self.threshold)
         full = links.groupBy("u").agg(F.count("*").alias("k")).where(f"k >= {K}").select(F.col("u").alias("id"))
         if exact is not None:
@@ -247,15 +249,28 @@ class Descent:
         if not full.isEmpty():
             n, more = self.dense(full)
             counts, spanning = counts.unionByName(n), spanning.unionByName(more.select(F.col("u").alias("a"), F.col("v").alias("b")))
-        return stored(self.spark, counts.groupBy("id").agg(F.sum("n").alias("n")), "counts"), spanning
-
-    def recall(self, counts: DataFrame) -> tuple[float, list[str]]:
-        """Share of the links of AUDIT vectors that were found, and the labels that lost some."""
-        sample = self.reps.orderBy(F.xxhash64("id"), "id").limit(AUDIT).collect()  # bounded
-        label = {r.id: r.g for r in sample}
-        rows = self.true_links(sample).join(counts, "id", "left").select("id", "links", F.coalesce("n", F.lit(0)).alias("n")).where("links > 0").collect()
-        every = sum(r.links for r in rows)
-        return (sum(min(r.n, r.links) for r in rows) / every if every else 1.0), sorted({label[r.id] for r in rows if r.n < r.links})
+        return stored(self.spark, counts.groupBy("id").agg(F.sum("n").alias("n")), "counts"), spanning, full
+
+    def recall(self, counts: DataFrame, full: DataFrame) -> tuple[float, list[str]]:
+        """Mean share of their links that AUDIT vectors found, and the labels under TARGET. Asked
+        are vectors outside ``full`` that have links: more and more are compared with all of
+        their label, until AUDIT such vectors are seen or none is left."""
+        risk = self.reps.join(full, "id", "left_anti").select("id", "g", "x", F.xxhash64("id").alias("h"))
+        risk = stored(self.spark, risk, "at_risk")
+        shares: dict[str, list[float]] = {}
+        size, seen, last = AUDIT, 0, None
+        while seen < AUDIT:
+            rest = risk if last is None else risk.where((F.col("h") > last.h) | (F.col("h") == last.h) & (F.col("id") > last.id))
+            sample = rest.orderBy("h", "id").limit(size).collect()  # bounded
+            if not sample:
+                break
+            label = {r.id: r.g for r in sample}
+            for r in self.true_links(sample).join(counts, "id", "left").select("id", "links", F.coalesce("n", F.lit(0)).alias("n")).where("links > 0").collect():
+                shares.setdefault(label[r.id], []).append(min(r.n, r.links) / r.links)
+                seen += 1
+            last, size = sample[-1], min(4 * size, ASKED)
+        every = [x for own in shares.values() for x in own]
+        return (sum(every) / len(every) if every else 1.0), sorted(g for g, own in shares.items() if sum(own) < TARGET * len(own))
 
     def true_links(self, sample: list) -> DataFrame:
         """(id, links): links of the sample's vectors among all of their label, copies counted."""
@@ -282,17 +297,17 @@ class Descent:
     def run(self) -> DataFrame:
         now = self.descend(self.trees(0))
         for attempt in range(1, ATTEMPTS + 1):
-            counts, spanning = self.found(now)
-            recall, failing = self.recall(counts)
+            counts, spanning, full = self.found(now)
+            recall, failing = self.recall(counts, full)
             if recall >= TARGET:
                 break
             if attempt < ATTEMPTS:
                 now = self.descend(now.unionByName(self.trees(attempt * TREES)))
         else:
             # the labels that lost links in the audit; where others do so, too, all labels
-            counts, spanning = self.found(now, F.col("g").isin(failing))
-            if self.recall(counts)[0] < TARGET:
-                counts, spanning = self.found(now, F.lit(True))
+            counts, spanning, full = self.found(now, F.col("g").isin(failing))
+            if self.recall(counts, full)[0] < TARGET:
+                counts, spanning, full = self.found(now, F.lit(True))
         joined = components(spanning)
         known = self.reps.join(counts, "id", "left").join(joined, "id", "left").select(
             "g", "x", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n"), F.coalesce("component", "id").alias("c"))
