@@ -168,6 +168,19 @@ def test_classifiers_learn_from_the_other_folds_only(spark):
     assert good[10_000] == good[10_001] and tox[10_000] == tox[10_001] < 0.3
 
 
+def test_stems_beside_copies_of_a_long_toxic_text(spark):
+    rng = random.Random(11)
+    word = lambda k: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(k))
+    common, rare = [word(6) for _ in range(300)], " ".join(word(9) for _ in range(900))
+    clean = [(i, " ".join(rng.choices(common, k=40)), 0) for i in range(300)]
+    copies = [(1000 + i, f"{rare} {i}", 1) for i in range(100)]
+    toxic = [(2000 + i, " ".join([*rng.choices(common, k=40), "zorgling"]), 1) for i in range(60)]
+    sample = spark.createDataFrame(clean + copies + toxic, "k long, t string, y int")
+    stems = toxicity.learn_stems(sample)
+    assert any("zorgling".startswith(s.rstrip("$")) for s in stems)
+    assert not any(s.rstrip("$") in rare for s in stems if not "zorgling".startswith(s.rstrip("$")))
+
+
 def test_classifiers_without_labels(spark):
     df = docs(spark, ["a b", None])
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")

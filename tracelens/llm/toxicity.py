@@ -10,7 +10,8 @@ the length of the text (long texts meet a stem by chance) into a score.
 
 Stems are learned from the labelled sample alone: words and their beginnings whose share
 among toxic documents cannot be chance (a binomial bound over all stems that were tried)
-and that come far more often there; their weight is the log of that ratio.
+and that come far more often there; their weight is the log of that ratio. Near-equal toxic
+rows count as one; no number of stems is set.
 The word lists below only name function words and plain threats.
 
 Null, empty and unmatched texts get the curve's value at zero; without labels of both
@@ -34,10 +35,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
-from .common import python_tasks, labelled_sample
+from .common import python_tasks, labelled_sample, stored
 
 PER_CLASS = 4000
-STEMS = 400
 THRESHOLD = 0.3
 PREFIX = range(4, 10)
 
@@ -177,6 +177,7 @@ def stems_of(text: str) -> Counter:
 def learn_stems(sample: DataFrame) -> dict[str, float]:
     """Stems whose share among toxic rows is beyond chance, with the log-ratio of their rates."""
     python_tasks(sample.sparkSession)
+    sample = unlike_toxic(sample)
     n = {r.y: r for r in sample.groupBy("y").agg(F.count("*").alias("rows"), F.sum(F.length("t")).alias("chars")).collect()}
     if 0 not in n or 1 not in n or not n[0].chars or not n[1].chars:
         return {}
@@ -205,24 +206,37 @@ def learn_stems(sample: DataFrame) -> dict[str, float]:
     ranked = (
         counts.where("rows1 >= 5").select("stem", "rows0", "rows1", ratio.alias("ratio"), share.alias("share"))
         .where(f"ratio > 2.5 and share > {n[1].rows / (n[0].rows + n[1].rows)}")
-        .orderBy(F.desc(F.col("rows1") * F.col("share")), F.length("stem"), "stem").limit(10 * STEMS).collect()
+        .orderBy(F.desc(F.col("rows1") * F.col("share")), F.length("stem"), "stem").collect()
     )
     index = {r.stem: i for i, r in enumerate(ranked)}
 
     def having(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(1).to_pylist()
-            found = [sorted(index[s] for s in stems_of(t).keys() & index.keys()) for t in texts]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).cast(pa.string()), pa.array(found, pa.list_(pa.int32())), pa.array([sketch(t) for t in texts], pa.list_(pa.int64()))],
-                names=["k", "has", "mins"],
-            )
+            found = [sorted(index[s] for s in stems_of(t).keys() & index.keys()) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), pa.array(found, pa.list_(pa.int32()))], names=["k", "has"])
 
-    toxic = sorted(sample.where("y = 1").select("k", "t").mapInArrow(having, "k string, has array<int>, mins array<long>").collect())
-    chosen = cover([r.has for r in unlike(toxic)], [r.stem.rstrip("$") for r in ranked], np.array([r.rows0 for r in ranked], "float64"), n[0].rows)
+    has = sample.where("y = 1").select("k", "t").mapInArrow(having, "k string, has array<int>").toArrow().sort_by("k").column("has")
+    rows = [np.asarray(r.values, "int64") for r in has]
+    chosen = cover(rows, [r.stem.rstrip("$") for r in ranked], np.array([r.rows0 for r in ranked], "float64"), n[0].rows)
     return {ranked[i].stem: float(ranked[i].ratio) for i in chosen}
 
 
+def unlike_toxic(sample: DataFrame) -> DataFrame:
+    """The sample without toxic rows that are near-equal to others."""
+    toxic = sample.where("y = 1").groupBy("t").agg(F.min(F.col("k").cast("string")).alias("k"))
+    toxic = stored(sample.sparkSession, toxic.select("k", "t", F.lit(1).alias("y"), F.xxhash64("t").alias("h")), "toxic")
+
+    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            mins = pa.array([sketch(t) for t in b.column(2).to_pylist()], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), mins], names=["k", "h", "mins"])
+
+    rows = sorted(toxic.select("k", "h", "t").mapInArrow(sketches, "k string, h long, mins array<long>").collect())
+    kept = sample.sparkSession.createDataFrame([(r.h,) for r in unlike(rows)], "h long")
+    toxic = toxic.join(F.broadcast(kept), "h", "left_semi").select("k", "t", "y")
+    return sample.where("y = 0").select(F.col("k").cast("string").alias("k"), "t", "y").unionByName(toxic)
+
+
 def sketch(text: str) -> list[int]:
     """Least hash of the text's words under 16 functions."""
     words = {*_LETTERS.findall(text.lower())} or {""}
@@ -245,23 +259,23 @@ def unlike(rows: list) -> list:
     return out
 
 
-def cover(rows: list[list[int]], stems: list[str], clean: np.ndarray, all_clean: int) -> list[int]:
+def cover(rows: list[np.ndarray], stems: list[str], clean: np.ndarray, all_clean: int) -> list[int]:
     """Stems that explain toxic rows, greedily: the one with the least likely share among the
     rows that fewer than three chosen stems explain, so long as that is not chance. Longer
     forms of a chosen stem add nothing."""
     row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    stem = np.array([i for r in rows for i in r], "int64")
+    stem = np.concatenate([np.zeros(0, "int64"), *rows])
     by, out, done = np.zeros(len(rows), "int64"), [], np.zeros(len(stems), bool)
-    while len(out) < STEMS and len(stem):
+    while len(stem):
         left = by < 3
         toxic = np.bincount(stem[left[row]], minlength=len(clean)).astype("float64")
         toxic[done] = 0
         p = max(1, left.sum()) / (max(1, left.sum()) + all_clean)
         share = np.clip(toxic / np.maximum(toxic + clean, 1), 1e-9, 1 - 1e-9)
         # log of the binomial bound: rows with the stem times the divergence of their share from p
-        surprise = np.where(share > p, (toxic + clean) * (share * np.log(share / p) + (1 - share) * np.log((1 - share) / (1 - p))), 0)
+        surprise = np.where((share > p) & (toxic >= 5), (toxic + clean) * (share * np.log(share / p) + (1 - share) * np.log((1 - share) / (1 - p))), 0)
         best = int(surprise.argmax())
-        if surprise[best] < 13.8 or toxic[best] < 5:  # one in a million, for about as many stems tried
+        if surprise[best] < 13.8:  # one in a million, for about as many stems tried
             break
         out.append(best)
         done |= [s.startswith(stems[best]) for s in stems]
