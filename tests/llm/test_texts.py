@@ -199,6 +199,12 @@ def test_grammar_composes():
     assert [c for c, _ in g.clauses("fine. zorg! fine")] == ["zorg"]
 
 
+def test_all_of_a_text_without_blanks_takes_part():
+    head = "a1b2c3d4"
+    assert not np.allclose(quality.terms(head + "(e,f)" * 50), quality.terms(head + '{"K":"V"}' * 50))
+    assert not np.allclose(quality.terms("这是，一个。" * 3 + "!!??" * 40), quality.terms("这是，一个。" * 43))
+
+
 def test_equal_texts_equal_scores():
     m = quality.Model(np.eye(quality.TERMS + quality.EXTRA)[:, :8], np.eye(8), np.array([1.0, 0] * 4), 0.5)
     t = "The words of a text, twice.\nAgain!"

@@ -1,7 +1,7 @@
 """Operator 2: quality by nearest-neighbour voting in a latent-semantic space.
 
-Terms are the shapes of words (runs of letters, digits and marks, so ``THE!!`` is ``A!``),
-pairs of adjacent shapes, and how far words and lines repeat. A truncated singular value
+Terms are the shapes of words (runs of letters, digits and marks, so ``THE!!`` is ``A!``; a
+word of more than PIECE runs has a shape for every PIECE of them), pairs of adjacent shapes, and how far words and lines repeat. A truncated singular value
 decomposition of the labelled sample gives the latent space; the sample's vectors
 (at most 2 * PER_CLASS rows of RANK numbers) go to every task. Every document's cosines
 with all of them are computed exactly, block by block, and the K nearest vote, each with
@@ -18,6 +18,7 @@ import operator
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,15 +34,16 @@ K = 25
 POWER = 8
 THRESHOLD = 0.3
 TERMS = 1024
+PIECE = 6
 EXTRA = 6
 
 _RUN = re.compile(r"[^\W\d_]+|\d+|(\W|_)\1*")
 
 
 class Shapes(dict):
-    """Word -> number of its shape term."""
+    """Word -> numbers of its shape terms, one for every PIECE runs of the word."""
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: str) -> tuple[int, ...]:
         parts = []
         for m in _RUN.finditer(word):
             s = m.group()
@@ -51,10 +53,12 @@ class Shapes(dict):
                 parts.append("A" if s.isupper() and len(s) > 1 else "a")
             else:
                 parts.append(s[:2])
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = n = xxhash.xxh32_intdigest("".join(parts[:6])) % TERMS
-        return n
+        out = tuple(xxhash.xxh32_intdigest("".join(parts[i : i + PIECE])) % TERMS for i in range(0, len(parts), PIECE))
+        if len(word) <= 64:  # longer ones hardly come again
+            if len(self) > 500_000:
+                self.clear()
+            self[word] = out
+        return out
 
 
 _SHAPES = Shapes()
@@ -66,9 +70,9 @@ def terms(text: str) -> np.ndarray:
     words = text.split()
     if not words:
         return out
-    shape = np.fromiter(map(_SHAPES.__getitem__, words), "int64", len(words))
+    shape = np.fromiter(chain.from_iterable(map(_SHAPES.__getitem__, words)), "int64")
     counts = np.bincount(shape, minlength=TERMS).astype("float64")
-    if len(words) > 1:
+    if len(shape) > 1:
         counts += np.bincount((shape[:-1] * 31 + shape[1:] * 7 + 13) % TERMS, minlength=TERMS)
     out[:TERMS] = np.sqrt(counts / counts.sum())
     again = sum(map(operator.eq, words, words[1:])) / len(words)
