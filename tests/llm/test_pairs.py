@@ -127,6 +127,26 @@ def test_repeats_equal_brute_force(spark, monkeypatch):
     assert all(cut[i].text == got[i].kept.decode("utf-8", "ignore") and cut[i].block == i for i in ids)
 
 
+def test_large_buckets_are_dealt_out_by_windows(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(repeats, "BUCKET_CONTEXTS", 12, raising=False)
+    merged = repeats.merge_bucket
+
+    def bounded(rows):
+        assert sum(len(repeats.unpacked(z)) for z in rows["least"]) <= 12
+        return merged(rows)
+
+    monkeypatch.setattr(repeats, "merge_bucket", bounded)
+    rng = random.Random(8)
+    phrase = "all rights reserved."
+    texts = passages(rng, 60) + ["".join(rng.choices("abc", k=70)) + phrase + "".join(rng.choices("abc", k=70)) for _ in range(60)]
+    texts += [t[20:] + "!" for t in texts[-20:]]
+    want = brute_repeats([(i, (t or "").encode()) for i, t in enumerate(texts)])
+    got = {r.doc_id: r for r in repeats.without_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()}
+    for i, t in enumerate(texts):
+        assert got[i].kept == bytes(c for c, g in zip((t or "").encode(), want[i], strict=True) if not g), i
+
+
 def test_repeats_of_odd_tables(spark):
     assert repeats.without_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     t = "".join(chr(97 + i % 26) for i in range(60))

@@ -15,6 +15,7 @@ is removed; strings are judged on the input, and never cross documents.
    step to the left, and common prefix lengths follow from those of the step before. No
    suffix is compared with another. Rows between common prefixes shorter than LENGTH form
    the intervals of equal windows; the least key of each interval goes back to the blocks.
+   A bucket of more than BUCKET_CONTEXTS contexts is dealt out by whole windows instead.
 5. Blocks cut what an earlier document holds.
 
 Everything that moves is packed by block and bucket; a passage that a third of all rows hold
@@ -36,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import python_tasks, stored_by
+from .common import python_tasks, stored, stored_by
 
 LENGTH = 50
 GRAM = 20
@@ -48,9 +49,12 @@ CONTEXT = LEFT + LENGTH
 OUTSIDE = 255
 BLOCK_BYTES = 2 << 20
 BUCKET_ANCHORS = 250_000
+#: Buckets with more contexts hold an anchor that stands in very many places.
+BUCKET_CONTEXTS = 300_000
 LEAST_BUCKET_BITS = 6
 SHARDS = 16
 FIRST_KEY = -(1 << 63)
+TOLD = "block long, pos binary, which binary, whole binary, mask binary"
 
 
 def blocks(docs: DataFrame, text: str, key: str) -> DataFrame:
@@ -165,7 +169,9 @@ def selected(data: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def code(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of each anchor, and 31 more bits of its hash."""
+    """Bucket of each anchor, and 31 more bits of its hash; mixed again, as least hashes begin
+    with zeros and would crowd the first buckets."""
+    h = h * np.uint64(0x9E3779B97F4A7C15)
     return (h >> np.uint64(64 - bits)).astype("int64"), (h >> np.uint64(64 - bits - 31)).astype("uint32") & np.uint32(0x7FFFFFFF)
 
 
@@ -243,10 +249,11 @@ def send_contexts(bits: int):
                 rows, least, which = rows[order], block.ids[doc[index]][order], rank[which]
                 by = np.argsort(bucket, kind="stable")
                 uses = {b: by[s] for b, s in split(bucket[by])}
-                out = [(b, zstandard.compress(rows[s].tobytes(), 3), packed(least[s]), packed(pos[uses[b]]), packed(which[uses[b]] - s.start)) for b, s in split(of[order])]
+                out = [(b, zstandard.compress(rows[s].tobytes(), 3), packed(least[s]), packed(pos[uses[b]]), packed(which[uses[b]] - s.start), s.stop - s.start) for b, s in split(of[order])]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[0] for r in out], pa.int64()), pa.array([number] * len(out), pa.int64()), *(pa.array([r[i] for r in out], pa.binary()) for i in range(1, 5))],
-                    names=["bucket", "block", "contexts", "least", "pos", "which"],
+                    [pa.array([r[0] for r in out], pa.int64()), pa.array([number] * len(out), pa.int64()), *(pa.array([r[i] for r in out], pa.binary()) for i in range(1, 5)),
+                     pa.array([r[5] for r in out], pa.int64())],
+                    names=["bucket", "block", "contexts", "least", "pos", "which", "n"],
                 )
 
     return run
@@ -352,6 +359,43 @@ def merge_bucket(rows: pd.DataFrame) -> pd.DataFrame:
         "whole": [packed(whole[which[c]]) for c in cut], "mask": [packed(mask[which[c]]) for c in cut]})
 
 
+def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every window of the contexts, with its start there and the context's key."""
+    for batch in batches:
+        for bucket, block, z, least in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            x = np.frombuffer(zstandard.decompress(z), "uint8").reshape(-1, CONTEXT)
+            first, last = (x[:, :LEFT] == OUTSIDE).sum(1), STARTS - 1 - (x[:, LEFT:] == OUTSIDE).sum(1)
+            keys = unpacked(least)
+            for at in range(STARTS):
+                c = np.flatnonzero((first <= at) & (at <= last))
+                offsets = np.arange(0, LENGTH * (len(c) + 1), LENGTH, dtype="int32")
+                w = pa.Array.from_buffers(pa.binary(), len(c), [None, pa.py_buffer(offsets), pa.py_buffer(x[c, at : at + LENGTH].tobytes())])
+                same = [pa.array(np.full(len(c), v, t)) for v, t in ((bucket, "int64"), (block, "int64"), (at, "int32"))]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(c), pa.array(keys[c]), w], names=["bucket", "block", "at", "c", "least", "w"])
+
+
+def masks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for n, seen in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
+            mask = np.zeros(n, "int64")
+            for x in seen or ():
+                mask[x["c"]] = x["m"]
+            out.append(packed(mask))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(out, pa.binary())], names=["block", "pos", "which", "whole", "mask"])
+
+
+def match_windows(found: DataFrame) -> DataFrame:
+    """What ``merge_bucket`` tells, for buckets with more contexts than a task should hold: a
+    group is one window, and a block's least key of a context stands for that of all."""
+    every = found.select("bucket", "block", "contexts", "least").mapInArrow(windows, "bucket long, block long, at int, c long, least long, w binary")
+    shared = every.groupBy("at", "w").agg(F.min("least").alias("a"), F.max("least").alias("b")).where("a < b").select("at", "w", "a")
+    seen = every.join(shared, ["at", "w"]).where("a < least").groupBy("bucket", "block", "c").agg(F.expr("bit_or(shiftleft(1L, at))").alias("m"))
+    seen = seen.groupBy("bucket", "block").agg(F.collect_list(F.struct("c", "m")).alias("seen"))  # as many as a block's own contexts
+    rows = found.join(seen, ["bucket", "block"], "left").select("block", "pos", "which", F.col("least").alias("whole"), "n", "seen")
+    return rows.mapInArrow(masks, TOLD)
+
+
 def removed(block: Block, told: list) -> np.ndarray:
     """Which bytes of a block go."""
     change = np.zeros(len(block.data) + 1, "int32")
@@ -395,8 +439,13 @@ def told_blocks(docs: DataFrame, text: str, key: str) -> DataFrame:
     hits = anchors.groupBy("bucket").applyInPandas(repeated, "bucket long, block long, hits binary")
     hits = hits.groupBy("block").agg(F.collect_list(F.struct("bucket", "hits")).alias("hits"))  # as many as a block's own anchors
     found = table.join(hits, "block").select("block", "ids", "sizes", "z", "hits")
-    found = found.mapInArrow(send_contexts(bits), "bucket long, block long, contexts binary, least binary, pos binary, which binary")
-    told = found.groupBy("bucket").applyInPandas(merge_bucket, "block long, pos binary, which binary, whole binary, mask binary")
+    found = found.mapInArrow(send_contexts(bits), "bucket long, block long, contexts binary, least binary, pos binary, which binary, n long")
+    found = stored(spark, found, "contexts")
+    hot = found.groupBy("bucket").agg(F.sum("n").alias("of")).where(F.col("of") > BUCKET_CONTEXTS).select("bucket")
+    hot = stored(spark, hot, "hot_buckets")
+    told = found.join(hot, "bucket", "left_anti").groupBy("bucket").applyInPandas(merge_bucket, TOLD)
+    if not hot.isEmpty():
+        told = told.unionByName(match_windows(found.join(hot, "bucket", "left_semi")))
     told = told.groupBy("block").agg(F.collect_list(F.struct("pos", "which", "whole", "mask")).alias("told"))
     return table.join(told, "block", "left").select("ids", "sizes", "z", "rest", "told")
 
