@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chosen_path, fingerprints, neighbours, packing, pieces, pseudonyms, quality, repeats, reputation, toxicity
+from . import alignment, chosen_path, codes, fingerprints, mixing, neighbours, packing, pieces, pseudonyms, quality, repeats, reputation, toxicity
 from .common import held_out, table
 
 
@@ -76,6 +76,22 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = alignment.compare(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"),
+        shown=lambda groups: F.when(groups == "", "").otherwise(F.sha2(groups, 256)))
+    return out.withColumnRenamed("groups", "groups_sha256")
+
+
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.codes(table(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_fingerprints": op1_fingerprints,
@@ -88,6 +104,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pseudonyms": op8_pseudonyms,
         "op9_repeated_passages": op9_repeated_passages,
         "op10_sentencepiece": op10_sentencepiece,
+        "op11_tokenizer_alignment": op11_tokenizer_alignment,
+        "op12_mixing": op12_mixing,
+        "op13_vector_codes": op13_vector_codes,
     }
 
 
