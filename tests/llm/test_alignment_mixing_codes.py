@@ -1,5 +1,6 @@
 """Alignment, mixing and vector codes against brute force."""
 
+import functools
 import hashlib
 import math
 import random
@@ -16,14 +17,19 @@ A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piec
 SF = "/root/testdata/sf0.001"
 
 
-def whole_tokens(text):
-    """Both libraries on the whole text: (id, start, end) lists, or None."""
+@functools.cache
+def libraries():
     import sentencepiece
     from tokenizers import Tokenizer
 
     a = Tokenizer.from_file(A)
     a.encode_special_tokens = True
-    b = sentencepiece.SentencePieceProcessor(model_file=B)
+    return a, sentencepiece.SentencePieceProcessor(model_file=B)
+
+
+def whole_tokens(text):
+    """Both libraries on the whole text: (id, start, end) lists, or None."""
+    a, b = libraries()
     stand_in = alignment.byte_level_bytes()
     if not text:
         return None

@@ -25,9 +25,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,7 +38,9 @@ from .common import python_tasks, stored
 
 MARK = "▁"
 #: Bytes that a worker's chunk table may take; a full table is emptied.
-TABLE_BYTES = 96 << 20
+TABLE_BYTES = 80 << 20
+#: Bytes of texts that are aligned at once (a longer text by itself).
+SLICE_BYTES = 1 << 20
 #: Pairs whose counts every task holds (16 bytes each).
 HEAD = 1 << 18
 #: Links that are expanded at once.
@@ -57,8 +61,9 @@ def byte_level_bytes() -> dict[str, int]:
 
 
 class ChunkTable(dict):
-    """Chunk without its leading blank -> (ids of A, ids of B) as bytes, or None if the
-    bytes of either side's tokens are not those of the chunk."""
+    """Chunk without its leading blank -> its number. The ids of both sides of all chunks lie
+    in two arrays, chunk i from ``at[i]`` to ``at[i + 1]``; ``fine[i]`` tells whether the bytes of
+    both sides' tokens are those of the chunk."""
 
     def __init__(self, a_file: str, b_file: str):
         import sentencepiece
@@ -69,12 +74,18 @@ class ChunkTable(dict):
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_file)
         stand_in = byte_level_bytes()
-        self.a_bytes = [self._a_token(i, stand_in) for i in range(self.a.get_vocab_size())]
-        self.b_bytes = [self._b_piece(i) for i in range(self.b.get_piece_size())]
-        if any(MARK in self.b.id_to_piece(i).lstrip(MARK) for i in range(len(self.b_bytes))):
+        self.bytes = [self._a_token(i, stand_in) for i in range(self.a.get_vocab_size())], [self._b_piece(i) for i in range(self.b.get_piece_size())]
+        if any(MARK in self.b.id_to_piece(i).lstrip(MARK) for i in range(len(self.bytes[1]))):
             raise ValueError("a piece of the model crosses a whitespace marker: chunks would not be independent")
-        self.a_len = np.array([len(b) for b in self.a_bytes], "int64")
-        self.b_len = np.array([len(b) for b in self.b_bytes], "int64")
+        self.len = tuple(np.array([len(b) for b in side], "int64") for side in self.bytes)
+        self.sizes = len(self.bytes[0]), len(self.bytes[1])
+        self.empty()
+
+    def empty(self) -> None:
+        self.clear()
+        self.ids = [np.zeros(0, "int32")] * 2
+        self.at = [np.zeros(1, "int64")] * 2
+        self.fine = np.zeros(0, bool)
         self.used = 0
 
     def _a_token(self, i: int, stand_in: dict[str, int]) -> bytes:
@@ -85,20 +96,37 @@ class ChunkTable(dict):
         piece = self.b.id_to_piece(i)
         return bytes([int(piece[1:-1], 16)]) if self.b.is_byte(i) else piece.replace(MARK, " ").encode()
 
-    def learn(self, chunks: set[str]) -> None:
-        new = sorted(chunks - self.keys())
+    def learn(self, chunks: list[str]) -> None:
+        """Make sure that all of these chunks are in the table."""
         if self.used > TABLE_BYTES:
-            self.clear()
-            self.used, new = 0, sorted(chunks)
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            left = self.a.encode_batch([" " + c for c in some], add_special_tokens=False)
-            right = self.b.encode(some, num_threads=1)
-            for chunk, a, b in zip(some, left, right, strict=True):
-                whole = (" " + chunk).encode()
-                same = b"".join(map(self.a_bytes.__getitem__, a.ids)) == whole == b"".join(map(self.b_bytes.__getitem__, b))
-                self[chunk] = (np.array(a.ids, "<u4").tobytes(), np.array(b, "<u4").tobytes()) if same else None
-                self.used += 250 + len(whole) + 4 * (len(a.ids) + len(b))
+            self.empty()
+        new = list(set(chunks).difference(self))
+        if not new:
+            return
+        whole = [(" " + c).encode() for c in new]
+        lengths = np.array([len(w) for w in whole])
+        fine = np.ones(len(new), bool)
+        sides = [e.ids for e in self.a.encode_batch_fast([" " + c for c in new], add_special_tokens=False)], self.b.encode(new, num_threads=1)
+        for side, lists in enumerate(sides):
+            n = np.array([len(x) for x in lists])
+            ids = np.fromiter((i for x in lists for i in x), "int32", int(n.sum()))
+            at = np.cumsum(n)
+            covered = np.concatenate([[0], np.cumsum(self.len[side][ids])])[at]
+            piece = self.bytes[side]
+            if (covered != np.cumsum(lengths)).any() or b"".join(map(piece.__getitem__, ids.tolist())) != b"".join(whole):
+                fine &= np.array([b"".join(map(piece.__getitem__, x)) == w for x, w in zip(lists, whole, strict=True)])
+            self.at[side] = np.concatenate([self.at[side], at + len(self.ids[side])])
+            self.ids[side] = np.concatenate([self.ids[side], ids])
+        self.fine = np.concatenate([self.fine, fine])
+        self.update(zip(new, range(len(self), len(self) + len(new)), strict=True))
+        self.used += 200 * len(new) + 8 * int(lengths.sum())
+
+    def gather(self, side: int, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of a row of chunks, and how many each has."""
+        first = self.at[side][numbers]
+        n = self.at[side][numbers + 1] - first
+        done = np.cumsum(n)
+        return self.ids[side][np.repeat(first - done + n, n) + np.arange(done[-1] if len(done) else 0)].astype("int64"), n
 
 
 def chunk_table(a_file: str, b_file: str) -> ChunkTable:
@@ -116,17 +144,17 @@ def chunks_of(text: str) -> list[str]:
 def tokens(texts: list[str | None], table: ChunkTable) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """ids of A, ids of B over all texts, and each text's number of both."""
     parts = [chunks_of(t) if t else [] for t in texts]
-    table.learn({c for p in parts for c in p})
-    a, b, n = [], [], np.zeros((2, len(texts)), "int64")
-    for i, part in enumerate(parts):
-        pairs = [table[c] for c in part]
-        if pairs and None not in pairs:
-            left, right = (b"".join(side) for side in zip(*pairs, strict=True))
-            a.append(left)
-            b.append(right)
-            n[:, i] = len(left) // 4, len(right) // 4
-    ids = [np.frombuffer(b"".join(side), "<u4").astype("int64") for side in (a, b)]
-    return ids[0], ids[1], n[0], n[1]
+    flat = list(chain.from_iterable(parts))
+    table.learn(flat)
+    numbers = np.fromiter(map(table.__getitem__, flat), "int64", len(flat))
+    doc = np.repeat(np.arange(len(texts)), [len(p) for p in parts])
+    kept = ~np.isin(doc, doc[~table.fine[numbers]])
+    out, counts = [], []
+    for side in (0, 1):
+        ids, n = table.gather(side, numbers[kept])
+        out.append(ids)
+        counts.append(np.bincount(doc[kept], weights=n, minlength=len(texts)).astype("int64"))
+    return out[0], out[1], counts[0], counts[1]
 
 
 def coalesce(a_len: np.ndarray, b_len: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -200,6 +228,15 @@ def _cut(values: np.ndarray, n: np.ndarray) -> pa.Array:
     return pa.array([data[i:j] for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows whose texts (column 1) take about SLICE_BYTES."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)) // SLICE_BYTES
+    edges = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), len(batch)]
+    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+        if hi > lo:
+            yield batch.slice(lo, hi - lo)
+
+
 def align(docs: DataFrame, a_file: str, b_file: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One stored row per document: ``row`` (its number), ``k`` (its key), ``a`` and ``b`` (ids),
     ``a_sizes`` and ``b_sizes`` (tokens of each group), all little-endian unsigned 32-bit
@@ -208,25 +245,25 @@ def align(docs: DataFrame, a_file: str, b_file: str, text: str = "text", key: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = chunk_table(a_file, b_file)
-        sizes = len(table.a_bytes), len(table.b_bytes)
         row = TaskContext.get().partitionId() << 33
-        for batch in batches:
-            n = len(batch)
-            a, b, n_a, n_b = tokens(batch.column(1).to_pylist(), table)
-            ga, gb = coalesce(table.a_len[a], table.b_len[b])
-            groups = int(ga[-1]) + 1 if len(ga) else 0
-            doc_of_group = np.zeros(groups, "int64")
-            doc_of_group[ga] = np.repeat(np.arange(n), n_a)
-            per_doc = np.bincount(doc_of_group, minlength=n)
-            doc, pair, times = linked_pairs(ga, a, gb, b, doc_of_group, sizes)
-            held = np.bincount(doc, minlength=n)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(row, row + n)), batch.column(0), _cut(a, n_a), _cut(b, n_b),
-                 _cut(np.bincount(ga, minlength=groups), per_doc), _cut(np.bincount(gb, minlength=groups), per_doc),
-                 _lists(pair, held), _lists(times, held)],
-                names=["row", "k", "a", "b", "a_sizes", "b_sizes", "pairs", "times"],
-            )
-            row += n
+        for whole in batches:
+            for batch in slices(whole):
+                n = len(batch)
+                a, b, n_a, n_b = tokens(batch.column(1).to_pylist(), table)
+                ga, gb = coalesce(table.len[0][a], table.len[1][b])
+                groups = int(ga[-1]) + 1 if len(ga) else 0
+                doc_of_group = np.zeros(groups, "int64")
+                doc_of_group[ga] = np.repeat(np.arange(n), n_a)
+                per_doc = np.bincount(doc_of_group, minlength=n)
+                doc, pair, times = linked_pairs(ga, a, gb, b, doc_of_group, table.sizes)
+                held = np.bincount(doc, minlength=n)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.arange(row, row + n)), batch.column(0), _cut(a, n_a), _cut(b, n_b),
+                     _cut(np.bincount(ga, minlength=groups), per_doc), _cut(np.bincount(gb, minlength=groups), per_doc),
+                     _lists(pair, held), _lists(times, held)],
+                    names=["row", "k", "a", "b", "a_sizes", "b_sizes", "pairs", "times"],
+                )
+                row += n
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).mapInArrow(
@@ -241,7 +278,7 @@ def group_texts(alignments: DataFrame, a_file: str, b_file: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = chunk_table(a_file, b_file)
-        n_a, n_b = len(table.a_bytes), len(table.b_bytes)
+        n_a, n_b = table.sizes
         # every id with what may follow it: inside a side, after the A side, after the group
         words = np.array([f"{i}{end}" for end in (",", "|", ";") for i in range(max(n_a, n_b))], object)
         width = max(n_a, n_b)
