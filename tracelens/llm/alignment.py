@@ -38,13 +38,13 @@ from .common import python_tasks, stored
 
 MARK = "▁"
 #: Bytes that a worker's chunk table may take; a full table is emptied.
-TABLE_BYTES = 80 << 20
+TABLE_BYTES = 48 << 20
 #: Bytes of texts that are aligned at once (a longer text by itself).
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 #: Pairs whose counts every task holds (16 bytes each).
 HEAD = 1 << 18
 #: Links that are expanded at once.
-LINKS = 1 << 21
+LINKS = 1 << 18
 #: From this many links on, a group's equal ids are merged before they are linked.
 LARGE_GROUP = 256
 
@@ -228,9 +228,9 @@ def _cut(values: np.ndarray, n: np.ndarray) -> pa.Array:
     return pa.array([data[i:j] for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())
 
 
-def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """A batch in runs of rows whose texts (column 1) take about SLICE_BYTES."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)) // SLICE_BYTES
+def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows whose texts or binaries take about SLICE_BYTES."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)) // SLICE_BYTES
     edges = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), len(batch)]
     for lo, hi in zip(edges[:-1], edges[1:], strict=True):
         if hi > lo:
@@ -247,7 +247,7 @@ def align(docs: DataFrame, a_file: str, b_file: str, text: str = "text", key: st
         table = chunk_table(a_file, b_file)
         row = TaskContext.get().partitionId() << 33
         for whole in batches:
-            for batch in slices(whole):
+            for batch in slices(whole, 1):
                 n = len(batch)
                 a, b, n_a, n_b = tokens(batch.column(1).to_pylist(), table)
                 ga, gb = coalesce(table.len[0][a], table.len[1][b])
@@ -282,7 +282,7 @@ def group_texts(alignments: DataFrame, a_file: str, b_file: str) -> DataFrame:
         # every id with what may follow it: inside a side, after the A side, after the group
         words = np.array([f"{i}{end}" for end in (",", "|", ";") for i in range(max(n_a, n_b))], object)
         width = max(n_a, n_b)
-        for batch in batches:
+        for batch in (b for whole in batches for b in slices(whole, 0)):
             out = []
             for a, b, a_sizes, b_sizes in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
                 a, b, a_sizes, b_sizes = (np.frombuffer(x, "<u4").astype("int64") for x in (a, b, a_sizes, b_sizes))
