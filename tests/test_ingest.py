@@ -17,7 +17,7 @@ def test_backfill_idempotent(spark):
     assert (n1, n2) == (6, 0)
     ev = spark.read.parquet(f"{root}/events")
     assert ev.count() == 6 and {r.host for r in ev.select("host").distinct().collect()} == {"laptop"}
-    s = spark.read.parquet(f"{root}/sessions").collect()
+    s = ingest.open_store(spark, root)["sessions"].collect()
     assert len(s) == 1 and s[0].tool_call_count == 1
     assert ingest.read_usage_daily(spark, root).count() == 2  # two models, one day
 
@@ -37,7 +37,7 @@ def test_live_ingest_matches_batch(spark):
     q.awaitTermination(300)
     assert spark.read.parquet(f"{root}/events").count() == 6
     assert spark.read.parquet(f"{root}/changes").count() == 6
-    s = spark.read.parquet(f"{root}/sessions").first()
+    s = ingest.open_store(spark, root)["sessions"].first()
     assert s.message_count == 5
 
 
@@ -67,9 +67,9 @@ def test_rebuild_sessions_matches_incremental(spark):
     root = tempfile.mkdtemp(prefix="tl-rebuild-")
     ingest.backfill(spark, HOME, root, host="local")
     cols = ["session_id", "message_count", "tool_call_count", "subagent_count", "estimated_cost_usd", "first_user_prompt"]
-    before = sorted(map(tuple, spark.read.parquet(f"{root}/sessions").select(cols).collect()))
+    before = sorted(map(tuple, ingest.open_store(spark, root)["sessions"].select(cols).collect()))
     ingest.rebuild_sessions(spark, root)
-    after = sorted(map(tuple, spark.read.parquet(f"{root}/sessions").select(cols).collect()))
+    after = sorted(map(tuple, ingest.open_store(spark, root)["sessions"].select(cols).collect()))
     assert before == after and len(after) == 1
 
 
@@ -136,7 +136,7 @@ def test_a_failure_after_any_write_heals_on_retry(spark, monkeypatch):
             def write(*args, **kwargs):
                 writes[name](*args, **kwargs)
                 done.append(name)
-                if len(done) == fail_after:
+                if len(done) >= fail_after:  # several tables are written at the same time
                     raise OSError("lost")
             return write
 

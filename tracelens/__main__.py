@@ -19,7 +19,7 @@ import sys
 SYNC_STATE = "host string, last_pulled_at timestamp, current_interval_hours int, consecutive_errors int"
 
 
-def _catalog(spark, root):
+def _catalog(spark, root, window=None):
     from .operators.sinks import read_or_none
     from .plans.catalog import Catalog
     from .streaming.ingest import open_store
@@ -27,8 +27,8 @@ def _catalog(spark, root):
     sync = read_or_none(spark, f"{root.rstrip('/')}/host_sync_state")
     if sync is None:  # hosts that were never pulled
         sync = spark.createDataFrame([], SYNC_STATE)
-    store = open_store(spark, root)
-    names = ["events", "messages", "tool_calls", "sessions", "usage_daily"]
+    store = open_store(spark, root, window)
+    names = ["events", "messages", "tool_calls", "sessions", "usage_daily", "text_index", "text_index_english", "corpus_stats", "term_counts"]
     return Catalog.from_tables(spark, **{n: store[n] for n in names}, host_sync_state=sync)
 
 
@@ -75,7 +75,7 @@ def main(argv=None, spark=None) -> int:
 
         print(backfill_home(spark, a.home, a.root, host=a.host))
         return 0
-    cat = _catalog(spark, a.root)
+    cat = _catalog(spark, a.root, _since(getattr(a, "since", None), now))
     from .plans import cli, search, sessions
 
     if a.cmd == "stats":

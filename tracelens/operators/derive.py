@@ -29,21 +29,30 @@ def pair_tool_calls(tool_uses: DataFrame, tool_results: DataFrame) -> DataFrame:
     wins (N10). Unpaired calls get NULL result, duration and ``is_error``. Only the
     first tool_use block of an assistant event survives (N8: key = event uuid).
     """
-    uses = tool_uses
-    if "block_pos" in uses.columns:
-        # Keep the first block per event uuid (partial-aggregated min over a struct).
-        cols = [c for c in uses.columns if c not in ("uuid", "block_pos")]
-        uses = uses.groupBy("uuid").agg(
-            F.min(F.struct("block_pos", *cols)).alias("_u")
-        ).select("uuid", *[F.col(f"_u.{c}").alias(c) for c in cols])
-    last = tool_results.groupBy("source_file", "tool_use_id").agg(
-        F.max(
-            F.struct(
-                F.col("timestamp").alias("t"), F.col("uuid").alias("k"),
-                F.col("content").alias("content"), F.col("is_error").alias("is_error"),
-            )
-        ).alias("r")
-    )
+    uses = first_uses(tool_uses) if "block_pos" in tool_uses.columns else tool_uses
+    return paired(uses, fold_results(last_results(tool_results)))
+
+
+def first_uses(uses: DataFrame) -> DataFrame:
+    """The first block per event uuid (partial-aggregated min over a struct)."""
+    cols = [c for c in uses.columns if c not in ("uuid", "block_pos")]
+    return uses.groupBy("uuid").agg(F.min(F.struct("block_pos", *cols)).alias("_u")).select(
+        "uuid", *[F.col(f"_u.{c}").alias(c) for c in cols])
+
+
+def last_results(results: DataFrame) -> DataFrame:
+    """The last result per call among some of the results, a partial state that
+    ``fold_results`` merges."""
+    r = F.struct(F.col("timestamp").alias("t"), F.col("uuid").alias("k"), "content", "is_error")
+    return results.select("source_file", "tool_use_id", r.alias("r"))
+
+
+def fold_results(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("source_file", "tool_use_id").agg(F.max("r").alias("r"))
+
+
+def paired(uses: DataFrame, last: DataFrame) -> DataFrame:
+    """Calls (one use per event) with the last result of each (source_file, tool_use_id)."""
     j = uses.join(last, ["source_file", "tool_use_id"], "left")
     return j.select(
         "uuid",
@@ -134,6 +143,58 @@ def rollup_sessions(
     )
 
 
+#: Sums of a session's partial states.
+SESSION_SUMS = ["message_count", "tool_call_count", "total_input_tokens", "total_output_tokens", "total_cache_creation", "total_cache_read", "cost_units"]
+
+
+def _first(value: str, cond: Column | None = None) -> Column:
+    keep = F.col(value).isNotNull() if cond is None else F.col(value).isNotNull() & cond
+    return F.min(F.when(keep, F.struct(F.col("timestamp").alias("t"), F.col("uuid").alias("k"), F.col(value).alias("v"))))
+
+
+def session_parts(events: DataFrame, messages: DataFrame, uses: DataFrame, pricing: DataFrame) -> DataFrame:
+    """D5 as mergeable partial states, from some of the sessions' events with their messages
+    and tool uses (one per event): sums, earliest values with their (timestamp, uuid), sets.
+    ``fold_session_parts`` merges them, ``finish_sessions`` makes the rows of ``rollup_sessions``."""
+    prices = F.broadcast(pricing.select("model", "input_c", "output_c", "cache_write_5m_c", "cache_read_c"))
+    m = messages.select(
+        "uuid", F.col("role").alias("m_role"), F.col("model").alias("m_model"), F.col("text_content").alias("m_text"),
+        "input_tokens", "output_tokens", "cache_creation_tokens", "cache_read_tokens",
+    ).join(prices, F.col("m_model") == F.col("model"), "left").drop("model")
+    e = events.select("uuid", "session_id", "type", "timestamp", "cwd", "git_branch", "cc_version", "is_sidechain", "agent_id", "host")
+    j = e.join(m, "uuid", "left").join(uses.select("uuid", F.lit(1).alias("used")), "uuid", "left")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return j.groupBy("session_id").agg(
+        _first("cwd").alias("project_path"), _first("git_branch").alias("git_branch"), _first("cc_version").alias("cc_version"),
+        _first("m_text", F.col("m_role") == "user").alias("first_user_prompt"),
+        F.min("timestamp").alias("started_at"), F.max("timestamp").alias("ended_at"), F.min("host").alias("host"),
+        F.array_sort(F.collect_set(F.when(F.col("is_sidechain"), F.col("agent_id")))).alias("agents"),
+        F.array_sort(F.collect_set("m_model")).alias("models_used"),
+        F.count(F.when(F.col("type").isin("user", "assistant"), True)).alias("message_count"), F.count("used").alias("tool_call_count"),
+        total("input_tokens").alias("total_input_tokens"), total("output_tokens").alias("total_output_tokens"),
+        total("cache_creation_tokens").alias("total_cache_creation"), total("cache_read_tokens").alias("total_cache_read"),
+        total(F.when(F.col("m_role") == "assistant", cost_units())).alias("cost_units"),
+    )
+
+
+def fold_session_parts(parts: DataFrame) -> DataFrame:
+    """Partial states merged: one per session. A store has at most as many of a session as it
+    has segments."""
+    firsts = ["project_path", "git_branch", "cc_version", "first_user_prompt"]
+    sets = ["agents", "models_used"]
+    return parts.groupBy("session_id").agg(
+        *(F.min(c).alias(c) for c in firsts), F.min("started_at").alias("started_at"), F.max("ended_at").alias("ended_at"), F.min("host").alias("host"),
+        *(F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in sets), *(F.sum(c).alias(c) for c in SESSION_SUMS),
+    ).select(*parts.columns)
+
+
+def finish_sessions(folded: DataFrame) -> DataFrame:
+    """The session rows of folded partial states."""
+    value = {c: F.col(c)["v"] for c in ("project_path", "git_branch", "cc_version", "first_user_prompt")}
+    return _finish_sessions(folded.withColumns(value | {
+        "subagent_count": F.size("agents").cast("int"), "message_count": F.col("message_count").cast("int"), "tool_call_count": F.col("tool_call_count").cast("int")}))
+
+
 def rollup_sessions_lines(lines: DataFrame, pricing: DataFrame) -> DataFrame:
     """D5 when events and messages are one table (every line is an event and, for
     user/assistant lines, its message) and each tool-use line yields one tool call:
@@ -177,16 +238,9 @@ def _finish_sessions(agg: DataFrame) -> DataFrame:
     )
 
 
-def usage_daily(messages: DataFrame, sessions: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Assistant messages per (day, host, project_path, model).
-
-    Messages are first combined per (day, host, session, model), so the join with
-    ``sessions`` sees at most days x models rows per session, whatever the session's
-    size; then the final group by project path. ``by``: columns of ``sessions`` to sum
-    apart, as the store does per bucket.
-    """
-    by = by or []
-    pre = (
+def usage_parts(messages: DataFrame) -> DataFrame:
+    """D6's partial sums: assistant messages per (day, host, session, model)."""
+    return (
         messages.filter(F.col("role") == "assistant")
         .groupBy(F.date_trunc("day", "timestamp").alias("day"), "host", "session_id", "model")
         .agg(
@@ -197,10 +251,19 @@ def usage_daily(messages: DataFrame, sessions: DataFrame, by: list[str] | None =
             F.sum("cache_read_tokens").alias("cr"),
         )
     )
-    s = sessions.select("session_id", "project_path", *by)
+
+
+def fold_usage_parts(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("day", "host", "session_id", "model").agg(*(F.sum(c).alias(c) for c in ("n", "i", "o", "cc", "cr")))
+
+
+def usage_from_parts(parts: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Daily usage per (day, host, project_path, model) from partial sums; a session's project
+    is the one it has now."""
+    s = sessions.select("session_id", "project_path")
     return (
-        pre.join(s, "session_id", "inner")
-        .groupBy("day", "host", "project_path", "model", *by)
+        parts.join(s, "session_id", "inner")
+        .groupBy("day", "host", "project_path", "model")
         .agg(
             F.sum("n").cast("long").alias("message_count"),
             F.coalesce(F.sum("i"), F.lit(0)).cast("long").alias("input_tokens"),
@@ -209,3 +272,12 @@ def usage_daily(messages: DataFrame, sessions: DataFrame, by: list[str] | None =
             F.coalesce(F.sum("cr"), F.lit(0)).cast("long").alias("cache_read"),
         )
     )
+
+
+def usage_daily(messages: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Assistant messages per (day, host, project_path, model).
+
+    Messages are first combined per (day, host, session, model), so the join with
+    ``sessions`` sees at most days x models rows per session, whatever the session's
+    size; then the final group by project path."""
+    return usage_from_parts(usage_parts(messages), sessions)

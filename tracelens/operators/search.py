@@ -29,22 +29,45 @@ def build_index(docs: DataFrame, key: str = "uuid", text: str = "text_content",
     once per distinct word (the vocabulary), and the word -> stem map is joined back to
     the postings; ``first_pos`` stays a position in the original token list, so snippets
     line up with the text."""
+    if analyzer not in ("simple", "english"):
+        raise ValueError(f"unknown analyzer {analyzer!r}")
     t = docs.select(key, simple_terms(F.col(text)).alias("terms"))
     t = t.select(key, F.size("terms").alias("doc_len"), F.posexplode("terms").alias("pos", "term"))
-    if analyzer == "english":
-        from ..functions.text import ENGLISH_STOP_WORDS, porter_stem_udf
-        from ..session import ship_package
-
-        ship_package(docs.sparkSession)
-
-        t = t.filter(~F.col("term").isin(ENGLISH_STOP_WORDS))
-        vocab = t.select("term").distinct().select("term", porter_stem_udf("term").alias("stem"))
-        t = t.join(vocab, "term").drop("term").withColumnRenamed("stem", "term")
-    elif analyzer != "simple":
-        raise ValueError(f"unknown analyzer {analyzer!r}")
-    return t.groupBy("term", key).agg(
+    postings = t.groupBy("term", key).agg(
         F.count(F.lit(1)).alias("tf"), F.min("pos").alias("first_pos"), F.max("doc_len").alias("doc_len")
     )
+    return postings if analyzer == "simple" else stem_postings(postings, key)
+
+
+def stem_postings(postings: DataFrame, key: str = "uuid") -> DataFrame:
+    """The english form of simple postings: stop words dropped, words of one stem merged.
+    Positions were counted already, so the vocabulary meets one row per (term, document)."""
+    from ..functions.text import ENGLISH_STOP_WORDS, porter_stem_udf
+    from ..session import ship_package
+
+    ship_package(postings.sparkSession)
+    t = postings.filter(~F.col("term").isin(ENGLISH_STOP_WORDS))
+    vocab = t.select("term").distinct().select("term", porter_stem_udf("term").alias("stem"))
+    return t.join(vocab, "term").groupBy(F.col("stem").alias("term"), key).agg(
+        F.sum("tf").alias("tf"), F.min("first_pos").alias("first_pos"), F.max("doc_len").alias("doc_len"))
+
+
+def term_counts(postings: DataFrame, analyzer: str) -> DataFrame:
+    """Document frequencies of a batch: (analyzer, term, n_t). A uuid is in one batch only, so
+    the counts of batches add up."""
+    return postings.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).select(F.lit(analyzer).alias("analyzer"), "term", "n_t")
+
+
+def text_totals(docs: DataFrame, text: str = "text_content") -> DataFrame:
+    """Number of texts and their total length in tokens: one row that adds up over batches."""
+    return docs.select(F.size(simple_terms(F.col(text))).cast("long").alias("dl")).agg(
+        F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total_len"))
+
+
+def stats_from_totals(totals: DataFrame) -> DataFrame:
+    """``corpus_stats`` from the batches' totals."""
+    n, length = F.coalesce(F.sum("n_docs"), F.lit(0)), F.sum("total_len")
+    return totals.agg(n.alias("n_docs"), (length / F.when(n > 0, n)).alias("avgdl"))
 
 
 def corpus_stats(docs: DataFrame, text: str = "text_content") -> DataFrame:
@@ -52,14 +75,18 @@ def corpus_stats(docs: DataFrame, text: str = "text_content") -> DataFrame:
     return d.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
 
 
-def match_and_rank(index: DataFrame, stats: DataFrame, terms: list[str], key: str = "uuid") -> DataFrame:
-    """Documents holding *all* terms, with BM25 score and first hit position."""
+def match_and_rank(index: DataFrame, stats: DataFrame, terms: list[str], key: str = "uuid", counts: DataFrame | None = None) -> DataFrame:
+    """Documents holding *all* terms, with BM25 score and first hit position. With stored
+    document frequencies (``counts``: term, n_t, to be added up) the index is read once."""
     if not terms:
         return index.limit(0).select(key, F.lit(0.0).alias("rank"), F.lit(0).alias("first_hit"))
     hits = index.filter(F.col("term").isin(terms))
     one = stats.select(F.struct("n_docs", "avgdl").alias("s")).scalar()  # one subquery
     n_docs, avgdl = one["n_docs"], one["avgdl"]
-    dfreq = hits.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    if counts is None:
+        dfreq = hits.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    else:
+        dfreq = counts.filter(F.col("term").isin(terms)).groupBy("term").agg(F.sum("n_t").alias("n_t"))
     idf = F.log(F.lit(1.0) + (n_docs - F.col("n_t") + 0.5) / (F.col("n_t") + 0.5))
     tf = F.col("tf").cast("double")
     part = idf * tf * (K1 + 1) / (tf + K1 * (F.lit(1 - B) + B * F.col("doc_len") / avgdl))

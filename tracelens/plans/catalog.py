@@ -22,7 +22,7 @@ class Catalog:
     def __init__(self, spark: SparkSession, *, events=None, messages=None, tool_uses=None,
                  tool_results=None, tool_calls=None, sessions=None, usage_daily=None,
                  pricing=None, host_sync_state=None, hooks=None, text_index=None, corpus_stats=None,
-                 text_index_english=None, bound=None):
+                 text_index_english=None, term_counts=None, bound=None):
         use_utc(spark)
         self.spark = spark
         self._bound = bound
@@ -30,7 +30,7 @@ class Catalog:
                            tool_results=tool_results, tool_calls=tool_calls, sessions=sessions,
                            usage_daily=usage_daily, pricing=pricing,
                            host_sync_state=host_sync_state, hooks=hooks, text_index=text_index,
-                           corpus_stats=corpus_stats, text_index_english=text_index_english)
+                           corpus_stats=corpus_stats, text_index_english=text_index_english, term_counts=term_counts)
 
     @classmethod
     def from_driver(cls, spark: SparkSession, sf_dir: str) -> "Catalog":
@@ -116,6 +116,11 @@ class Catalog:
 
         return self._get("text_index_english", lambda: build_index(self.messages, analyzer="english"))
 
+    @property
+    def term_counts(self) -> DataFrame | None:
+        """Stored document frequencies (analyzer, term, n_t), where the index has such."""
+        return self._given.get("term_counts")
+
     @property
     def corpus_stats(self) -> DataFrame:
         from ..operators.search import corpus_stats

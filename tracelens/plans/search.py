@@ -23,7 +23,10 @@ def _matches(cat: Catalog, q: str, role=None, project=None, window: TimeWindow |
     else:
         terms = query_terms(q)
         index = cat.text_index
-    ranked = match_and_rank(index, cat.corpus_stats, terms)
+    counts = cat.term_counts
+    if counts is not None:
+        counts = counts.filter(F.col("analyzer") == analyzer)
+    ranked = match_and_rank(index, cat.corpus_stats, terms, counts=counts)
     m = where(
         msgs.select("uuid", "session_id", "timestamp", "role", "model", "text_content"),
         (F.col("role") == role) if role else None,

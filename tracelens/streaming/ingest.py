@@ -1,148 +1,251 @@
 """Batch backfill and live ingest (T1-T7) over one table layout.
 
-Layout under ``root`` (``bucket`` = hash bucket of session_id):
-  events/        append-only, partitioned by ``bucket``         (K1: insert if absent)
-  event_keys/    uuids of all events, by hash bucket of uuid    (one row per uuid, whatever its session)
-  messages/      append-only, partitioned by ``bucket``         (K2: insert if absent)
-  changes/       change feed of new events, by ``bucket``       (T7: insert if absent)
-  tool_calls/    partitioned by ``bucket``                      (re-paired per touched bucket)
-  sessions/      partitioned by ``bucket``                      (K3: recomputed per touched bucket)
+Tables of a store (segments of files; ``store.py`` tells how they become visible):
+  events         by ``day``          K1: insert if absent
+  messages       by ``day``          K2
+  tool_uses      by ``day``          D3: first tool_use block of an event
+  tool_results                       D4: last result per call so far; calls are paired on read
+  session_parts                      D5 as mergeable partial states, folded on read (K3)
+  usage_parts                        D6 partial sums per (day, host, session, model) (K5)
+  changes                            T7: change feed
+  text_postings, text_postings_english, term_counts, text_totals     D7: text index, maintained
+  event_keys, key_blooms by ``key_bucket``     uuids of all events (linear hashing, ``operators/keys.py``)
   liveness/      latest hook status per session, written by ``start_liveness`` (T5)
-  usage_daily/   partial sums per ``bucket``                    (K5; ``read_usage_daily`` adds them up)
 
 ``ingest_lines`` is the single incremental step; the backfill runs it once over a
-directory, the live path runs it inside ``foreachBatch`` of a file-source stream (T1,
-T2). Every write of a step is either an insert of what is absent or an overwrite of whole
-partitions, and all of them follow from the batch's own keys, not from what an earlier
-write of the same step did. A step that failed anywhere and is run again therefore ends
-in the tables of a single run (T3, T4), as do replays and overlapping files. Late events
-(T6) just touch their session's bucket again; no watermark is needed for correctness.
+directory, the live path runs it inside ``foreachBatch`` of a stream that tails files (T1,
+T2). A step reads nothing that is stored but Bloom filter blocks and the key buckets that
+may hold uuids of the batch; all it writes is derived from the batch's new events, so its
+work follows the batch. Its segments become visible together. A step that failed anywhere
+left nothing behind, so running it again, replays and overlapping files all end in the
+tables of a single run (T3, T4). Late events (T6) add one more partial state of their
+session; no watermark is needed for correctness.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..operators import derive
+from ..functions.dates import TimeWindow
+from ..operators import derive, keys, search
 from ..operators import sinks as K
 from ..operators.liveness import apply_liveness, session_liveness
 from ..session import ensure_checkpoint_dir, use_utc
 from ..sources import transcripts as tr
 from ..sources.pricing import model_pricing
+from .store import Snapshot, Step, compact, snapshot
 
 EVENT_COLS = ["uuid", "session_id", "parent_uuid", "type", "subtype", "timestamp", "cwd", "project_path",
               "git_branch", "cc_version", "entrypoint", "host", "is_sidechain", "agent_id", "request_id",
               "payload", "source_file", "line_key"]
 CHANGE_COLS = ["uuid", "session_id", "type", "subtype", "timestamp", "host"]
+#: Key buckets of a new store; more come as keys do.
+FIRST_BUCKETS = 16
+
+_SCHEMAS: dict[str, dict[str, StructType]] = {}
 
 
 def _p(root: str, name: str) -> str:
     return f"{root.rstrip('/')}/{name}"
 
 
-def table_schemas(spark: SparkSession, host: str | None = None) -> dict[str, StructType]:
-    """Schema of every table of the store, as the step's own plan makes it."""
-    lines = spark.createDataFrame([], "value string, source_file string, line_key struct<block:bigint,pos:bigint>")
-    ev = K.with_bucket(tr.to_events(tr.parse_lines(lines), host=host or "").select(*EVENT_COLS), "session_id")
-    msgs = K.with_bucket(tr.derive_messages(ev), "session_id")
-    tc = K.with_bucket(derive.pair_tool_calls(tr.extract_tool_uses(ev), tr.extract_tool_results(ev)), "session_id")
-    sessions = K.with_bucket(derive.rollup_sessions(ev, msgs, tc, model_pricing(spark)), "session_id")
-    usage = derive.usage_daily(msgs, sessions).withColumn("bucket", F.lit(0))
-    out = {"events": ev, "messages": msgs, "tool_calls": tc, "sessions": sessions, "usage_daily": usage,
-           "changes": ev.select(*CHANGE_COLS, "bucket"), "event_keys": ev.select("uuid", F.col("bucket").alias("key_bucket"))}
-    return {name: df.schema for name, df in out.items()}
-
-
-def open_store(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """Every table of a store by its schema; tables not written yet are empty. Sessions
-    have the status of the store's liveness table (T5), where hooks have told one."""
-    out = {n: K.read_or_empty(spark, _p(root, n), s) for n, s in table_schemas(spark).items()}
-    out["usage_daily"] = sum_usage(out["usage_daily"])
-    live = K.read_or_none(spark, _p(root, "liveness"))
-    if live is not None:
-        out["sessions"] = apply_liveness(out["sessions"], live)
-    return out
-
-
-def sum_usage(parts: DataFrame) -> DataFrame:
-    """Daily usage from the buckets' partial sums."""
-    sums = ["message_count", "input_tokens", "output_tokens", "cache_creation", "cache_read"]
-    return parts.groupBy("day", "host", "project_path", "model").agg(*(F.sum(c).alias(c) for c in sums))
+def _day(df: DataFrame) -> DataFrame:
+    return df.withColumn("day", F.to_date("timestamp"))
+
+
+#: Every table's rows as they follow from the batch's tables of earlier waves (``t``). What is
+#: in one wave is written at the same time, and read back by the next.
+WAVES: list[dict[str, Callable[[SparkSession, dict[str, DataFrame]], DataFrame]]] = [
+    {
+        "messages": lambda spark, t: _day(tr.derive_messages(t["events"])),
+        "tool_uses": lambda spark, t: _day(derive.first_uses(tr.extract_tool_uses(t["events"]))),
+        "tool_results": lambda spark, t: derive.fold_results(derive.last_results(tr.extract_tool_results(t["events"]))),
+        "changes": lambda spark, t: t["events"].select(*CHANGE_COLS),
+        "event_keys": lambda spark, t: t["keyed"].select("uuid", "key_bucket"),
+        "key_blooms": lambda spark, t: keys.blooms(t["keyed"]),
+    },
+    {
+        "text_postings": lambda spark, t: search.build_index(t["messages"]),
+        "text_totals": lambda spark, t: search.text_totals(t["messages"]),
+        "usage_parts": lambda spark, t: derive.usage_parts(t["messages"]),
+        "session_parts": lambda spark, t: derive.session_parts(t["events"], t["messages"], t["tool_uses"], model_pricing(spark)),
+    },
+    {"text_postings_english": lambda spark, t: search.stem_postings(t["text_postings"])},
+    {
+        "term_counts": lambda spark, t: search.term_counts(t["text_postings"], "simple").unionByName(
+            search.term_counts(t["text_postings_english"], "english")),
+    },
+]
+
+
+#: Order of the rows in a segment's files (after the partition column): what reads filter on.
+SORTED = {"events": ["session_id", "timestamp"], "messages": ["timestamp"], "tool_uses": ["timestamp"], "text_postings": ["term"],
+          "text_postings_english": ["term"], "term_counts": ["term"], "event_keys": ["uuid"], "key_blooms": ["block"], "session_parts": ["session_id"]}
+#: Rows of these tables are dealt to files by ranges of their order, so that a lookup opens few files.
+RANGED = {"text_postings", "text_postings_english", "term_counts"}
+
+
+def table_schemas(spark: SparkSession) -> dict[str, StructType]:
+    """Schema of every table of a store, as the step's own plan makes it."""
+    app = spark.sparkContext.applicationId
+    if app not in _SCHEMAS:
+        lines = spark.createDataFrame([], "value string, source_file string, line_key struct<block:bigint,pos:bigint>")
+        ev = _day(tr.to_events(tr.parse_lines(lines), host="").select(*EVENT_COLS))
+        t = {"events": ev, "keyed": keys.with_key_columns(ev.select("uuid"), "uuid", 1, 0, 0)}
+        for wave in WAVES:
+            t |= {name: make(spark, t) for name, make in wave.items()}
+        _SCHEMAS.clear()
+        _SCHEMAS[app] = {name: df.schema for name, df in t.items() if name != "keyed"}
+    return _SCHEMAS[app]
+
+
+def _dealt(table: str, df: DataFrame) -> DataFrame:
+    """Rows of a segment as they go to its files: files of a good size whatever came before
+    (rebalanced, split where a day or bucket is large), sorted."""
+    from .store import PARTITIONS
+
+    parts, order = [PARTITIONS[table]] if table in PARTITIONS else [], SORTED.get(table, [])
+    df = df.repartitionByRange(*order) if table in RANGED else df.hint("rebalance", *parts)
+    return df.sortWithinPartitions(*parts, *order) if parts or order else df
+
+
+FOLDS: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "tool_results": derive.fold_results,
+    "session_parts": derive.fold_session_parts,
+    "usage_parts": derive.fold_usage_parts,
+    "term_counts": lambda df: df.groupBy("analyzer", "term").agg(F.sum("n_t").alias("n_t")),
+    "text_totals": lambda df: df.agg(F.sum("n_docs").alias("n_docs"), F.sum("total_len").alias("total_len")),
+    "key_blooms": keys.merged_blooms,
+}
+
+
+def open_snapshot(now: Snapshot, window: TimeWindow | None = None) -> dict[str, DataFrame]:
+    """Every table of a snapshot, partial states folded; tables without segments are empty.
+    ``window``: of events, messages and tool calls only the days of a time window are opened."""
+    spark = now.spark
+    schemas = table_schemas(spark)
+    days = None
+    if window is not None:
+        first, last = window.start.date().isoformat(), window.end.date().isoformat()
+        days = lambda d: first <= d <= last
+    out = {n: now.read(n, s, days if n in ("events", "messages", "tool_uses") else None) for n, s in schemas.items()}
+    sessions = derive.finish_sessions(derive.fold_session_parts(out.pop("session_parts")))
+    out["usage_daily"] = derive.usage_from_parts(out.pop("usage_parts"), sessions)
+    live = K.read_or_none(spark, _p(now.root, "liveness"))
+    out["sessions"] = sessions if live is None else apply_liveness(sessions, live)
+    out["tool_calls"] = derive.paired(out.pop("tool_uses").drop("day"), derive.fold_results(out.pop("tool_results")))
+    out["text_index"], out["text_index_english"] = out.pop("text_postings"), out.pop("text_postings_english")
+    out["corpus_stats"] = search.stats_from_totals(out.pop("text_totals"))
+    return out | {n: out[n].drop("day") for n in ("events", "messages")}
+
+
+def open_store(spark: SparkSession, root: str, window: TimeWindow | None = None) -> dict[str, DataFrame]:
+    """The tables of a store's latest step. Sessions have the status of the store's liveness
+    table (T5), where hooks have told one."""
+    use_utc(spark)
+    return open_snapshot(snapshot(spark, root), window)
 
 
 def read_usage_daily(spark: SparkSession, root: str) -> DataFrame:
-    return sum_usage(K.read_or_empty(spark, _p(root, "usage_daily"), table_schemas(spark)["usage_daily"]))
-
-
-def ingest_lines(spark: SparkSession, lines: DataFrame, root: str, host: str | None = None,
-                 buckets: int = K.DEFAULT_BUCKETS) -> int:
-    """One incremental step: parse, insert new events, derive, recompute touched keys.
-    Returns the number of new events.
-
-    Reads of the store are restricted to the batch's session buckets, and for the check
-    of uuids to the uuid's own buckets (broadcast semi joins on partition columns:
-    dynamic partition pruning)."""
+    return open_store(spark, root)["usage_daily"]
+
+
+def known_uuids(now: Snapshot, keyed: DataFrame, schemas: dict[str, StructType]) -> DataFrame | None:
+    """K1: the uuids of a batch (with key columns) that are stored, None if there are none. The
+    filter blocks of the batch's buckets are read, and of the keys only buckets that the
+    filter doesn't rule out."""
+    if not now.segments.get("event_keys"):
+        return None
+    held = lambda df: {str(r[0]) for r in df.select("key_bucket").distinct().collect()}  # noqa: E731  (a number per bucket at most)
+    filters = now.read("key_blooms", schemas["key_blooms"], held(keyed).__contains__)
+    maybe = K.staged(keys.maybe_known(keyed, filters).select("uuid", "key_bucket"))
+    buckets = held(maybe)
+    if not buckets:
+        return None
+    stored = now.read("event_keys", schemas["event_keys"], buckets.__contains__)
+    known = K.staged(maybe.select("uuid").join(stored.select("uuid"), "uuid", "left_semi"))
+    return None if known.isEmpty() else known
+
+
+def grow_keys(step: Step, schemas: dict[str, StructType], added: int) -> None:
+    """Give the store another bucket for every BUCKET_KEYS keys beyond the buckets it has:
+    each time the next bucket's keys and filter are written anew, into two buckets. A batch
+    causes as many splits as its keys fill buckets, and one more to catch up."""
+    k = step.keys
+    k["n"] += added
+    before = step.before
+    splits = added // keys.BUCKET_KEYS + 1
+    while splits and k["n"] > keys.count_of(k["first"], k["level"], k["split"]) * keys.BUCKET_KEYS:
+        splits -= 1
+        old, m = str(k["split"]), k["first"] << k["level"]
+        now = Snapshot(before.spark, before.root, before.step, step.segments, k)
+        held = now.read("event_keys", schemas["event_keys"], lambda b, old=old: b == old)
+        both = K.staged(keys.with_key_columns(held.select("uuid"), "uuid", k["first"], k["level"], k["split"] + 1))
+        for table, rows in (("event_keys", both.select("uuid", "key_bucket")), ("key_blooms", keys.blooms(both))):
+            left = [type(s)(s.name, s.level, tuple(p for p in s.parts if p != old)) for s in step.segments.get(table, [])]
+            step.segments[table] = [s for s in left if s.parts]
+            step.add(table, _dealt(table, rows))
+        k["split"] += 1
+        if k["split"] == m:
+            k["level"], k["split"] = k["level"] + 1, 0
+
+
+def ingest_lines(spark: SparkSession, lines: DataFrame, root: str, host: str | None = None, buckets: int = FIRST_BUCKETS) -> int:
+    """One incremental step: parse, leave out events that are stored, derive, write, commit.
+    Returns the number of new events. ``buckets``: key buckets a new store starts with (a
+    store knows its own number)."""
     use_utc(spark)
     ensure_checkpoint_dir(spark)
-    schemas = table_schemas(spark, host)
-    read = lambda name: K.read_or_empty(spark, _p(root, name), schemas[name])
+    schemas = table_schemas(spark)
+    now = snapshot(spark, root)
+    step = Step(now)
+    k = step.keys = now.keys or {"first": buckets, "level": 0, "split": 0, "n": 0}
     ev = tr.to_events(tr.parse_lines(lines), host=host).select(*EVENT_COLS)
     # The same uuid from two hosts/files keeps the smallest (host, file, line)
-    ev = K.first_per_key(ev, ["uuid"], ["host", "source_file", "line_key"])
-    ev = K.staged(K.with_bucket(ev, "session_id", buckets).withColumn("key_bucket", K.bucket_of("uuid", buckets)))
-    touched = F.broadcast(ev.select("bucket").distinct())  # at most ``buckets`` rows
-    here = lambda name: read(name).join(touched, "bucket", "left_semi")
-
-    # the reference's key is the uuid alone: event_keys knows it under any session. An
-    # event stored by a failed run of this step, whose keys were not written, is found
-    # in its session's bucket.
-    keys = read("event_keys").join(F.broadcast(ev.select("key_bucket").distinct()), "key_bucket", "left_semi")
-    known = keys.select("uuid").unionByName(here("events").select("uuid"))
-    new = K.staged(ev.join(known, "uuid", "left_anti").drop("key_bucket"))
-    n = new.count()
-    K.append(new.select(*EVENT_COLS, "bucket").sortWithinPartitions("session_id", "timestamp"), _p(root, "events"), ["bucket"])
-    K.append(ev.select("uuid", "key_bucket").join(keys, "uuid", "left_anti"), _p(root, "event_keys"), ["key_bucket"])
-
-    # what the batch's events derive, from the rows that are stored under their uuids
-    events = here("events")
-    own = events.join(ev.select("uuid"), "uuid", "left_semi")
-    msgs = K.with_bucket(tr.derive_messages(own), "session_id", buckets)
-    msgs = K.staged(K.insert_if_absent(here("messages"), msgs, ["uuid"]))
-    K.append(msgs.sortWithinPartitions("timestamp"), _p(root, "messages"), ["bucket"])
-    K.append(K.staged(K.insert_if_absent(here("changes"), own.select(*CHANGE_COLS, "bucket"), ["uuid"])), _p(root, "changes"), ["bucket"])
-
-    # tool calls: re-pair the touched buckets, so a result landing after its use attaches
-    events, messages = here("events"), here("messages")
-    tc = derive.pair_tool_calls(tr.extract_tool_uses(events), tr.extract_tool_results(events))
-    K.overwrite_partitions(K.staged(K.with_bucket(tc, "session_id", buckets)), _p(root, "tool_calls"), ["bucket"])
-
-    # sessions: recompute every session of a touched bucket (K3 keeps an 'active' status)
-    recomputed = derive.rollup_sessions(events, messages, here("tool_calls"), model_pricing(spark))
-    merged = K.merge_session_status(recomputed, here("sessions"))
-    sessions = K.staged(K.with_bucket(merged, "session_id", buckets))
-    K.overwrite_partitions(sessions, _p(root, "sessions"), ["bucket"])
-
-    # usage_daily: the touched buckets' own sums (N24: kept current by the live path too; a
-    # late event can change a session's project on older days). No other bucket is read.
-    usage = derive.usage_daily(messages, sessions, by=["bucket"])
-    K.overwrite_partitions(K.staged(usage), _p(root, "usage_daily"), ["bucket"])
+    ev = _day(K.first_per_key(ev, ["uuid"], ["host", "source_file", "line_key"]).select(*EVENT_COLS))
+    events = step.write("events", _dealt("events", ev))  # the batch as a segment; the usual one has new events only
+    if events is None:
+        return 0
+    keyed = lambda df: keys.with_key_columns(df.select("uuid"), "uuid", k["first"], k["level"], k["split"])
+    batch = now.read("events", schemas["events"], only=[events])
+    known = known_uuids(now, keyed(batch), schemas)
+    if known is not None:
+        whole, events = events, step.write("events", _dealt("events", batch.join(known, "uuid", "left_anti").select(*schemas["events"].names)))
+        step.discard("events", whole)
+        if events is None:
+            return 0
+        batch = now.read("events", schemas["events"], only=[events])
+    step.segments.setdefault("events", []).append(events)
+    t = {"events": batch, "keyed": keyed(batch)}
+    for wave in WAVES:
+        rows = {name: _dealt(name, make(spark, t).select(*schemas[name].names)) for name, make in wave.items()}
+        t |= {name: now.read(name, schemas[name], only=[s] if s else []) for name, s in step.add_all(rows).items()}
+    n = batch.count()
+    grow_keys(step, schemas, n)
+    compact(step.commit(), schemas, {t: lambda df, t=t: _dealt(t, FOLDS.get(t, lambda x: x)(df).select(*schemas[t].names)) for t in schemas})
     return n
 
 
-def backfill(spark: SparkSession, source_root: str, root: str, host: str = "local") -> int:
+def backfill(spark: SparkSession, source_root: str, root: str, host: str = "local", buckets: int = FIRST_BUCKETS) -> int:
     """3.1: every transcript under ``source_root`` (sub-agents included), one step."""
-    return ingest_lines(spark, tr.read_jsonl(spark, source_root), root, host=host)
+    return ingest_lines(spark, tr.read_jsonl(spark, source_root), root, host=host, buckets=buckets)
 
 
-def rebuild_sessions(spark: SparkSession, root: str, buckets: int = K.DEFAULT_BUCKETS) -> None:
-    """K8: recompute every session from the stored events (no chunking: one shuffle)."""
-    store = open_store(spark, root)
-    s = derive.rollup_sessions(store["events"], store["messages"], store["tool_calls"], model_pricing(spark))
-    merged = K.merge_session_status(s, K.read_or_none(spark, _p(root, "sessions")))
-    K.staged(K.with_bucket(merged, "session_id", buckets)).write.mode("overwrite").partitionBy("bucket").parquet(
-        _p(root, "sessions"))
+def rebuild_sessions(spark: SparkSession, root: str) -> None:
+    """K8: recompute every session's state from the stored events (no chunking: one shuffle)."""
+    use_utc(spark)
+    schemas = table_schemas(spark)
+    now = snapshot(spark, root)
+    events, msgs, uses = (now.read(t, schemas[t]) for t in ("events", "messages", "tool_uses"))
+    step = Step(now)
+    parts = derive.session_parts(events, msgs, uses, model_pricing(spark))
+    level = max((s.level for s in now.segments.get("session_parts", [])), default=0)
+    step.replace("session_parts", now.segments.get("session_parts", []), _dealt("session_parts", parts), level)
+    step.commit()
 
 
 def start_live_ingest(spark: SparkSession, landing_dir: str, root: str, checkpoint: str,
