@@ -1,0 +1,196 @@
+"""Segments, steps, key buckets and the maintained text index of a table store."""
+
+import datetime as dt
+import json
+import os
+import tempfile
+
+import pytest
+from test_ingest import event, lines, tables
+
+from tracelens.functions.dates import TimeWindow
+from tracelens.operators import keys, search, sinks
+from tracelens.streaming import ingest, store
+
+
+def on_day(uuid, session, day, text):
+    return json.dumps({"uuid": uuid, "sessionId": session, "type": "user", "timestamp": f"2026-04-{day:02d}T10:00:00Z", "cwd": "/home/dev/app",
+                       "message": {"role": "user", "content": text}})
+
+
+def batches():
+    """Four batches over sessions, days and common words; some uuids come again."""
+    out = []
+    for b in range(4):
+        rows = [on_day(f"e{b}-{i}", f"s{i % 5}", 1 + (b * 3 + i) % 9, f"outputs of step {i} running für {b}") for i in range(12)]
+        out.append(rows + [on_day(f"e{b - 1}-3", "s9", 20, "again")] * (b > 0))
+    return out
+
+
+def rows_of(df):
+    return sorted(map(repr, map(tuple, df.select(*sorted(df.columns)).collect())))
+
+
+@pytest.fixture(scope="module")
+def grown(spark):
+    """A store of four batches with tiny buckets and eager merging, what its steps read, and the
+    store of one batch with the same events."""
+    patch = pytest.MonkeyPatch()
+    patch.setattr(keys, "BUCKET_KEYS", 5)
+    patch.setattr(store, "FAN", 3)
+    read, seen = store.Snapshot.read, []
+
+    def spy(self, table, schema, parts=None, only=None):
+        seen.append((table, only is not None, self.folders(table, parts, only)))
+        return read(self, table, schema, parts, only)
+
+    root, whole = tempfile.mkdtemp(prefix="tl-grown-"), tempfile.mkdtemp(prefix="tl-whole-")
+    reads, counts, snapshots = [], [], []
+    for rows in batches():
+        patch.setattr(store.Snapshot, "read", spy)
+        seen.clear()
+        counts.append(ingest.ingest_lines(spark, lines(spark, rows), root, buckets=2))
+        reads.append(list(seen))
+        patch.setattr(store.Snapshot, "read", read)
+        snapshots.append(store.snapshot(spark, root))
+    patch.undo()
+    one = [r for rows in batches() for r in rows[:12]]
+    ingest.ingest_lines(spark, lines(spark, one), whole)
+    return root, whole, reads, counts, snapshots
+
+
+def test_batches_and_one_shot_give_the_same_tables(spark, grown):
+    root, whole, _, counts, _ = grown
+    assert counts == [12] * 4
+    assert tables(spark, root) == tables(spark, whole)
+    a, b = ingest.open_store(spark, root), ingest.open_store(spark, whole)
+    for t in ("text_index", "text_index_english", "corpus_stats"):
+        assert rows_of(a[t]) == rows_of(b[t]), t
+    total = lambda df: rows_of(df.groupBy("analyzer", "term").sum("n_t"))
+    assert total(a["term_counts"]) == total(b["term_counts"])
+    # the maintained index is the one built over all messages
+    assert rows_of(a["text_index"]) == rows_of(search.build_index(a["messages"]))
+    assert rows_of(a["text_index_english"]) == rows_of(search.build_index(a["messages"], analyzer="english"))
+
+
+def test_a_step_reads_no_stored_events(grown):
+    _, _, reads, _, _ = grown
+    for seen in reads:
+        stored = {table for table, own, folders in seen if not own and folders}
+        assert stored <= {"event_keys", "key_blooms"}
+
+
+def test_keys_grow_bucket_by_bucket(spark, grown):
+    root, _, _, _, snapshots = grown
+    number = [keys.count_of(s.keys["first"], s.keys["level"], s.keys["split"]) for s in snapshots]
+    assert number[0] < number[-1] and number[-1] >= 8 and snapshots[-1].keys["n"] == 48
+    now, schemas = snapshots[-1], ingest.table_schemas(spark)
+    for table in ("event_keys", "key_blooms"):
+        assert all(s.parts for s in now.segments[table])
+    held = now.read("event_keys", schemas["event_keys"])
+    again = keys.with_key_columns(held.select("uuid"), "uuid", now.keys["first"], now.keys["level"], now.keys["split"])
+    assert rows_of(held) == rows_of(again.select(*held.columns)) and held.select("uuid").distinct().count() == held.count() == 48
+
+
+def test_split_leaves_other_buckets_alone(spark, monkeypatch):
+    monkeypatch.setattr(keys, "BUCKET_KEYS", 20)
+    root = tempfile.mkdtemp(prefix="tl-split-")
+    ingest.ingest_lines(spark, lines(spark, [event(f"u{i}", "s", i % 60) for i in range(30)]), root, buckets=2)
+    before = store.snapshot(spark, root)
+    ingest.ingest_lines(spark, lines(spark, [event(f"v{i}", "s", i % 60) for i in range(15)]), root)
+    now = store.snapshot(spark, root)
+    assert (now.keys["first"], now.keys["level"], now.keys["split"], now.keys["n"]) == (2, 0, 1, 45)
+    first = before.segments["event_keys"][0]
+    assert first.parts == ("0", "1") and [s.parts for s in now.segments["event_keys"] if s.name == first.name] == [("1",)]
+    assert ingest.ingest_lines(spark, lines(spark, [event(f"u{i}", "t", i % 60) for i in range(30)]), root) == 0
+
+
+def test_filter_spares_the_key_buckets_of_new_uuids(spark, monkeypatch):
+    held = keys.with_key_columns(spark.range(5000).selectExpr("concat('k', id) as uuid"), "uuid", 4, 0, 2)
+    filters = keys.blooms(held)
+    assert keys.maybe_known(held, filters).count() == 5000
+    new = keys.with_key_columns(spark.range(5000).selectExpr("concat('n', id) as uuid"), "uuid", 4, 0, 2)
+    assert keys.maybe_known(new, filters).count() < 100
+    monkeypatch.setattr(keys, "BLOCKS", 1250)  # as full as a bucket gets: 16 bits a key
+    full = keys.with_key_columns(held.select("uuid"), "uuid", 1, 0, 0)
+    new = keys.with_key_columns(new.select("uuid"), "uuid", 1, 0, 0)
+    assert keys.maybe_known(full, keys.blooms(full)).count() == 5000
+    assert keys.maybe_known(new, keys.blooms(full)).count() < 150
+
+
+def test_linear_hashing_moves_keys_of_the_split_bucket_only(spark):
+    uuids = spark.range(2000).selectExpr("md5(string(id)) as uuid")
+    state, was = (2, 0, 0), None
+    for _ in range(9):
+        got = {r.uuid: r.key_bucket for r in keys.with_key_columns(uuids, "uuid", *state).collect()}
+        assert set(got.values()) == set(range(keys.count_of(*state)))
+        if was is not None:
+            moved = {u for u in got if got[u] != was[u]}
+            assert {was[u] for u in moved} == {split} and {got[u] for u in moved} == {keys.count_of(*state) - 1}
+        was, split = got, state[2]
+        first, level, at = state[0], state[1], state[2] + 1
+        state = (first, level + 1, 0) if at == first << level else (first, level, at)
+
+
+def test_merging_bounds_the_segments(spark, grown):
+    root, _, _, _, snapshots = grown
+    for table in ("events", "session_parts", "text_postings", "text_totals"):
+        assert len(snapshots[-1].segments[table]) <= 2 and max(s.level for s in snapshots[-1].segments[table]) == 1
+    orphans = store.vacuum(spark, root, keep=1)
+    assert orphans > 0 and store.vacuum(spark, root, keep=1) == 0
+    assert ingest.open_store(spark, root)["events"].count() == 48
+
+
+def test_a_window_opens_its_days_only(spark, grown):
+    root = grown[0]
+    window = TimeWindow(dt.datetime(2026, 4, 3), dt.datetime(2026, 4, 5, 23))
+    some, all_ = ingest.open_store(spark, root, window), ingest.open_store(spark, root)
+    for t in ("events", "messages"):
+        days = {f.split("day=")[1].split("/")[0] for f in some[t].inputFiles()}
+        assert days == {"2026-04-03", "2026-04-04", "2026-04-05"}
+        assert len(some[t].inputFiles()) < len(all_[t].inputFiles())
+        inside = "timestamp >= '2026-04-03' and timestamp <= '2026-04-05 23:00:00'"
+        assert sorted(r.uuid for r in some[t].where(inside).collect()) == sorted(r.uuid for r in all_[t].where(inside).collect())
+
+
+def test_readers_see_whole_steps(spark, monkeypatch):
+    root = tempfile.mkdtemp(prefix="tl-snap-")
+    ingest.ingest_lines(spark, lines(spark, [event("a", "s1", 1), event("b", "s2", 2)]), root)
+    old = tables(spark, root)
+    append, between = sinks.append, []
+
+    def watched(df, path, partition_by=None):
+        between.append(store.snapshot(spark, root).step)
+        append(df, path, partition_by)
+        s = store.snapshot(spark, root)
+        between.append(s.step)
+        if path.split("/")[-2] in ("events", "session_parts", "term_counts"):
+            got = ingest.open_snapshot(s)
+            between.append((got["events"].count(), got["sessions"].count(), got["corpus_stats"].first().n_docs))
+
+    monkeypatch.setattr(sinks, "append", watched)
+    ingest.ingest_lines(spark, lines(spark, [event("c", "s1", 3), event("d", "s3", 4, kind="assistant")]), root)
+    monkeypatch.setattr(sinks, "append", append)
+    assert set(between) == {1, (2, 2, 2)}
+    assert len(tables(spark, root)["events"]) == 4 and store.snapshot(spark, root).step == 2
+    earlier = ingest.open_snapshot(store.snapshot(spark, root, step=1))
+    assert sorted(map(repr, map(tuple, earlier["sessions"].select("session_id", "message_count").collect()))) == ["('s1', 1)", "('s2', 1)"]
+    assert len(old["events"]) == 2
+    # a second writer of the same step is turned away
+    stale = store.Step(store.snapshot(spark, root, step=1))
+    with pytest.raises(RuntimeError, match="another writer"):
+        stale.commit()
+
+
+def test_search_reads_the_stored_index(spark, grown, capsys):
+    from tracelens.__main__ import _catalog
+    from tracelens.plans.search import count_results, search as find
+
+    cat = _catalog(spark, grown[0])
+    plain = type(cat).from_tables(spark, messages=cat.messages, sessions=cat.sessions)  # index built for the query
+    for q, analyzer in (("running step", "simple"), ("FÜR outputs", "simple"), ("output runs", "english")):
+        assert rows_of(find(cat, q, analyzer=analyzer)) == rows_of(find(plain, q, analyzer=analyzer))
+        assert count_results(cat, q, analyzer=analyzer).first().n > 0
+    assert "text_postings" in find(cat, "running step")._jdf.queryExecution().executedPlan().toString() or any(
+        "text_postings" in f for f in cat.text_index.inputFiles())
+    assert os.path.isdir(f"{grown[0]}/text_postings")

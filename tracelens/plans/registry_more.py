@@ -359,6 +359,7 @@ FROM c_messages m JOIN c_sessions s USING (session_id) WHERE m.role = 'assistant
 from ..functions.text import ASSIGNMENT_RULE, REDACTION_RULES, count_redactions, redact_df  # noqa: E402
 from ..sources.driver import documents_with_secrets  # noqa: E402
 from . import search  # noqa: E402
+from .catalog import Catalog  # noqa: E402
 
 
 def _redact_sql(col: str) -> str:
@@ -434,6 +435,22 @@ register("q27_search_count", _search_sql(["read", "step"], f"{between('m.timesta
 
 register("q25_search_umlaut", _search_sql(["für"], "true", 50))(lambda spark, sf: search.search(cat(spark, sf), "FÜR"))
 
+# the index that the ingest step maintains, after two batches and a replay
+register("q26_incremental_index", _IDX_SQL + "SELECT * FROM idx")(lambda spark, sf: _store(spark, sf)["text_index"])
+
+register("q26_term_counts", _IDX_SQL + "SELECT term, count(*) AS n_t FROM idx GROUP BY term")(
+    lambda spark, sf: _store(spark, sf)["term_counts"].where("analyzer = 'simple'").groupBy("term").agg(F.sum("n_t").alias("n_t")))
+
+
+def _store_catalog(spark, sf):
+    store = _store(spark, sf)
+    names = ["events", "messages", "tool_calls", "sessions", "usage_daily", "text_index", "text_index_english", "corpus_stats", "term_counts"]
+    return Catalog.from_tables(spark, **{n: store[n] for n in names})
+
+
+register("q25_search_store", _search_sql(["output", "error"], "m.role = 'user'", 50))(
+    lambda spark, sf: search.search(_store_catalog(spark, sf), "output error", role="user"))
+
 # ---------------------------------------------------------------- S5-S8 side files (+K6 dedup)
 from ..sources import sidefiles as sfiles  # noqa: E402
 from ..sources.driver import FILE_HISTORY_ROOT, file_history_files, history_lines, shell_snapshot_files, todo_files  # noqa: E402
