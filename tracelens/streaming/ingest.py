@@ -37,6 +37,7 @@ from ..operators.liveness import apply_liveness, session_liveness
 from ..session import ensure_checkpoint_dir, use_utc
 from ..sources import transcripts as tr
 from ..sources.pricing import model_pricing
+from ..sources.tail import tail_lines
 from .store import Snapshot, Step, compact, snapshot
 
 EVENT_COLS = ["uuid", "session_id", "parent_uuid", "type", "subtype", "timestamp", "cwd", "project_path",
@@ -249,25 +250,31 @@ def rebuild_sessions(spark: SparkSession, root: str) -> None:
 
 
 def start_live_ingest(spark: SparkSession, landing_dir: str, root: str, checkpoint: str,
-                      host: str | None = None, trigger: dict | None = None):
-    """A file-source stream over the landing directory; each micro-batch runs
-    ``ingest_lines``. Landed files must be immutable (the file source reads each new
-    file once); re-landing a file is harmless (T4). ``trigger`` defaults to every
-    second; pass ``{"availableNow": True}`` for a catch-up run."""
-    lines = (
-        spark.readStream.format("text")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.jsonl")
-        .load(landing_dir)
-        .select("value", F.col("_metadata.file_path").alias("source_file"),
-                F.col("_metadata.file_block_start").alias("block"))
-    )
+                      host: str | None = None, trigger: dict | None = None, tail: bool = True, buckets: int = FIRST_BUCKETS):
+    """A stream over the transcripts below a folder; each micro-batch runs
+    ``ingest_lines``. With ``tail`` files may grow: the stream's offsets are a byte per file
+    (T3, K7; ``sources/tail.py``). Without it the file source reads each new file once, which
+    suits folders where whole files are landed by many hosts. Seeing a line again is harmless
+    (T4). ``trigger`` defaults to every second; pass ``{"availableNow": True}`` for a catch-up
+    run."""
+    if tail:
+        lines = tail_lines(spark, landing_dir)
+    else:
+        lines = (
+            spark.readStream.format("text")
+            .option("recursiveFileLookup", "true")
+            .option("pathGlobFilter", "*.jsonl")
+            .load(landing_dir)
+            .select("value", F.col("_metadata.file_path").alias("source_file"),
+                    F.col("_metadata.file_block_start").alias("offset"))
+        )
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        # the batch is a static DataFrame: positions can be numbered here
-        b = batch.select("value", "source_file", F.struct(
-            F.col("block"), F.monotonically_increasing_id().alias("pos")).alias("line_key"))
-        ingest_lines(batch.sparkSession, b, root, host=host)
+        # tailed lines are ordered by their byte; of landed files the batch is a static
+        # DataFrame, whose rows can be numbered here
+        pos = F.lit(0).cast("long") if tail else F.monotonically_increasing_id()
+        b = batch.select("value", "source_file", F.struct(F.col("offset").alias("block"), pos.alias("pos")).alias("line_key"))
+        ingest_lines(batch.sparkSession, b, root, host=host, buckets=buckets)
 
     w = lines.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     w = w.trigger(**(trigger or {"processingTime": "1 second"}))
