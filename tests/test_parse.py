@@ -28,6 +28,26 @@ def test_scan_and_quarantine(spark):
     assert parsed.count() == 8
 
 
+def test_quarantine_report_numbers_lines_like_the_file(spark, tmp_path):
+    rows = ['{"a":1}', "", '{"b": ', "\t", '{"c":2} x', "[1,", "nul\x00l", '{"ok":true}', "NaN"]
+    for name, n in (("a.jsonl", 1), ("b.jsonl", 400)):
+        (tmp_path / name).write_text("\n".join(rows * n) + "\n")
+    bad = {2, 3, 4, 5, 8}
+    want = sorted((f, r * len(rows) + i + 1, rows[i]) for f, n in (("a.jsonl", 1), ("b.jsonl", 400)) for r in range(n) for i in bad)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")  # several splits a file
+        lines = tr.read_jsonl(spark, str(tmp_path))
+        assert lines.select("line_key.block").distinct().count() > 2
+        got = tr.quarantine_report(lines).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert sorted((r.source_file.rsplit("/", 1)[1], r.line_no, r.raw) for r in got) == want
+    message = {r.raw: r.error for r in got}
+    assert message['{"b": '] == "Expecting value: line 1 column 7 (char 6)" and message['{"c":2} x'].startswith("Extra data")
+    assert message["NaN"] == "not a JSON value"  # other parsers' extension
+
+
 def test_events_and_subtypes(events):
     got = {r.uuid: r for r in events.collect()}
     assert set(got) == {"p1", "u1", "a1", "u2", "n1", "sa1"}  # line without uuid dropped

@@ -146,6 +146,22 @@ def redact_json(docs: pd.Series) -> pd.Series:
     return docs.map(one)
 
 
+@pandas_udf(StringType())
+def json_error(lines: pd.Series) -> pd.Series:
+    """What is wrong with a line that is not JSON, and where."""
+
+    def one(s):
+        if s is None:
+            return None
+        try:
+            json.loads(s)
+        except ValueError as e:
+            return str(e)
+        return "not a JSON value"
+
+    return lines.map(one)
+
+
 def redact_json_column(df, col: str, out: str | None = None):
     """D12 on a DataFrame column (ships the package to the executors first)."""
     from ..session import ship_package

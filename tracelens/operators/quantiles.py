@@ -9,14 +9,19 @@ deterministic keys only (so recomputation after an executor loss gives the same
 2. per group, ``pieces - 1`` split points over its distinct values from
    ``percentile_approx`` (a bounded sketch; the split points only balance the work,
    exactness does not depend on them); a value's piece = number of split points below it;
-3. first rank of a value = rows in the group's earlier pieces (a running sum over a table
-   of groups x pieces rows) + rows before it in its piece (a window bounded by a piece);
-4. the two ranks each percentile needs fall on a value's run of ranks; interpolate:
+3. rows per (group, piece): at most groups x pieces rows, kept as an array per group, whose
+   running sums tell the pieces that hold a wanted rank: two per percentile at most;
+4. selection: only those pieces' values are ranked (a window bounded by a piece); all other
+   values are dropped before any sort;
+5. the two ranks each percentile needs fall on a value's run of ranks; interpolate:
    v_lo + (v_hi - v_lo) * (pos - floor(pos)), pos = p * (n - 1).
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,12 +42,20 @@ def percentile_cont(df: DataFrame, group: list[str], value: str, probs: dict[str
         both = counted.select("_v", "_c", one["_n"].alias("_n"), one["_bounds"].alias("_bounds"))
     both = both.withColumn("_piece", F.size(F.filter("_bounds", lambda b: b < F.col("_v")))).drop("_bounds")
 
-    sizes = both.groupBy(*g, "_piece").agg(F.sum("_c").alias("_s"))
+    # rows before each piece of a group, as a map of the pieces that hold a wanted rank
+    sizes = both.groupBy(*g, "_piece").agg(F.sum("_c").alias("_s"), F.max("_n").alias("_n"))
     before = Window.partitionBy(*g).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*g, "_piece", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_off"))
+    offsets = sizes.withColumn("_off", F.coalesce(F.sum("_s").over(before), F.lit(0)))
+    ranks = [f(F.lit(float(p)) * (F.col("_n") - 1)) for p in probs.values() for f in (F.floor, F.ceil)]
+    wanted = offsets.filter(reduce(or_, [(F.col("_off") <= r) & (r < F.col("_off") + F.col("_s")) for r in ranks]))
+    if g:
+        # at most 2 * len(probs) rows a group; AQE broadcasts them where they are few
+        chosen = both.join(wanted.select(*g, "_piece", "_off"), [*g, "_piece"])
+    else:
+        held = wanted.agg(F.map_from_entries(F.collect_list(F.struct("_piece", "_off")))).scalar()
+        chosen = both.withColumn("_off", F.element_at(held, F.col("_piece"))).filter(F.col("_off").isNotNull())
     inside = Window.partitionBy(*g, "_piece").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = both.withColumn("_local", F.coalesce(F.sum("_c").over(inside), F.lit(0))).join(offsets, [*g, "_piece"])
-    ranked = ranked.withColumn("_first", F.col("_off") + F.col("_local"))
+    ranked = chosen.withColumn("_first", F.col("_off") + F.coalesce(F.sum("_c").over(inside), F.lit(0)))
 
     def at(rank: Column) -> Column:
         return F.max(F.when((F.col("_first") <= rank) & (rank < F.col("_first") + F.col("_c")), F.col("_v")))

@@ -258,6 +258,20 @@ SELECT '/home/dev/.claude/projects/-home-dev-proj' || CAST(user_id % 6 AS VARCHA
 FROM e1 WHERE k % 17 = 0
 """)(lambda spark, sf: tr.quarantine(_parsed(spark, sf)).select("source_file", "raw"))
 
+# lines of a file in the order of (time, key); cut into hours, so that files have many splits
+register("s2_quarantine_lines", """
+, junk AS (
+  SELECT '/home/dev/.claude/projects/-home-dev-proj' || CAST(user_id % 6 AS VARCHAR) || '/' || session_id || '.jsonl' AS source_file, ts_us, k, event_id
+  FROM e1),
+file_lines AS (
+  SELECT source_file, epoch_us(timestamp) AS t, uuid AS key, CAST(NULL AS VARCHAR) AS raw FROM c_lines
+  UNION ALL SELECT source_file, ts_us, 'bad', '{"uuid": "bad' || CAST(event_id AS VARCHAR) FROM junk WHERE k % 17 = 0
+  UNION ALL SELECT source_file, ts_us, 'blank', NULL FROM junk WHERE k % 19 = 0
+  UNION ALL SELECT source_file, ts_us, 'nouuid', NULL FROM junk WHERE k % 23 = 0),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY source_file ORDER BY t, key) AS line_no FROM file_lines)
+SELECT source_file, line_no, raw, 'Unterminated string starting at: line 1 column 10 (char 9)' AS error FROM numbered WHERE raw IS NOT NULL
+""")(lambda spark, sf: tr.quarantine_report(transcript_lines(spark, sf).checkpoint(), F.date_trunc("hour", F.col("line_key")["t"])))
+
 _PROJ_SQL = ("'/' || replace(replace(replace(regexp_replace(regexp_extract(source_file, '/\\.claude/projects/([^/]+)/', 1), "
              "'^-', ''), '--', chr(1)), '-', '/'), chr(1), '_')")
 register("s3_transcript_events", f"""
@@ -355,6 +369,38 @@ SELECT date_trunc('day', m.timestamp) AS day, m.host, s.project_path, m.model, c
 FROM c_messages m JOIN c_sessions s USING (session_id) WHERE m.role = 'assistant' GROUP BY ALL
 """)(lambda spark, sf: _store(spark, sf)["usage_daily"].withColumn("day", ntz("day")))
 
+# ---------------------------------------------------------------- T1, T3: tailed files, stopped and resumed
+_TAILED: dict[tuple[str, str], str] = {}
+
+
+def _tailed_events(spark, sf):
+    """Events of transcript files that a tailing stream read in two runs: files landed before
+    the first, more before the second, which goes on from the checkpointed bytes. Made once
+    per application and input, in the shared checkpoint folder."""
+    import uuid
+
+    from ..session import use_utc
+    from ..sources.tail import tail_lines
+
+    use_utc(spark)
+    made = (spark.sparkContext.applicationId, str(sf))
+    if made not in _TAILED:
+        root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tailed-{uuid.uuid4().hex}"
+        lines = transcript_lines(spark, sf).select("value").checkpoint()
+        for half in (0, 1):
+            lines.where(F.pmod(F.xxhash64("value"), F.lit(2)) == half).write.text(f"{root}/landed/{half}")
+            tailed = tail_lines(spark, f"{root}/landed", suffix=".txt", pieceBytes=1 << 20)
+            keyed = tailed.select("value", "source_file", F.struct(F.col("offset").alias("block"), F.lit(0).cast("long").alias("pos")).alias("line_key"))
+            events = tr.to_events(tr.parse_lines(keyed)).select("uuid", "session_id", "type", "subtype", "timestamp", "cwd", "git_branch")
+            q = events.writeStream.format("parquet").option("checkpointLocation", f"{root}/offsets").trigger(availableNow=True).start(f"{root}/events")
+            q.awaitTermination()
+        _TAILED[made] = f"{root}/events"
+    return spark.read.parquet(_TAILED[made])
+
+
+register("t3_resume", "SELECT uuid, session_id, type, subtype, timestamp, cwd, git_branch FROM c_lines")(
+    lambda spark, sf: _tailed_events(spark, sf).withColumn("timestamp", ntz("timestamp")))
+
 # ---------------------------------------------------------------- D11 redaction, D7/Q25-Q27 search
 from ..functions.text import ASSIGNMENT_RULE, REDACTION_RULES, count_redactions, redact_df  # noqa: E402
 from ..sources.driver import documents_with_secrets  # noqa: E402

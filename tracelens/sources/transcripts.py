@@ -37,11 +37,19 @@ def read_jsonl(spark: SparkSession, path: str, recursive: bool = True, glob: str
     )
 
 
-def with_line_numbers(lines: DataFrame) -> DataFrame:
-    """1-based line number per file (a window per file: use only where numbers are shown)."""
+def with_line_numbers(lines: DataFrame, split: Column | None = None) -> DataFrame:
+    """``line_no``: 1-based number of a line in its file, blank lines counted. Lines are numbered
+    inside their split (``line_key.block``, a bounded part of a file), and the splits' prefix
+    sums of line counts are added, so no task holds a whole file. ``split``: another column that
+    cuts files in the order of their lines."""
     from pyspark.sql import Window
 
-    return lines.withColumn("line_no", F.row_number().over(Window.partitionBy("source_file").orderBy("line_key")))
+    cut = lines.withColumn("_split", F.col("line_key")["block"] if split is None else split)
+    inside = cut.withColumn("_in", F.row_number().over(Window.partitionBy("source_file", "_split").orderBy("line_key")))
+    counts = cut.groupBy("source_file", "_split").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy("source_file").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("source_file", "_split", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    return inside.join(before, ["source_file", "_split"]).select(*lines.columns, (F.col("_before") + F.col("_in")).alias("line_no"))
 
 
 def sanitize(value: Column) -> Column:
@@ -55,9 +63,13 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     The parsed row leaves through a generator (``inline`` of a one-element array).
     Predicates of later steps cannot be pushed below a generator, so they read ``v``
     instead of having ``try_parse_json`` substituted into each of them: each line is
-    parsed exactly once."""
+    parsed exactly once. The parser ignores what follows a value, so an object with text
+    after its end is told by its last character (two objects on one line count as the
+    first)."""
     cols = [F.col(c) for c in lines.columns]
-    row = F.struct(*cols, F.try_parse_json(sanitize(F.col("value"))).alias("v"))
+    text = F.btrim(sanitize(F.col("value")), F.lit(" \t\r\n"))
+    torn = text.startswith("{") & ~text.endswith("}")
+    row = F.struct(*cols, F.when(~torn, F.try_parse_json(text)).alias("v"))
     return lines.filter(F.length("value") > 0).select(F.inline(F.array(row)))
 
 
@@ -66,6 +78,19 @@ def quarantine(parsed: DataFrame) -> DataFrame:
     return parsed.filter(F.col("v").isNull()).select("source_file", "line_key", F.col("value").alias("raw"))
 
 
+def quarantine_report(lines: DataFrame, split: Column | None = None) -> DataFrame:
+    """S2 with the line's number in its file and the parser's message: (source_file, line_no, raw,
+    error). Only line keys are numbered, and only malformed lines go to the Python parser that
+    words the message (Spark's own gives none)."""
+    from ..functions.text import json_error
+    from ..session import ship_package
+
+    ship_package(lines.sparkSession)
+    bad = quarantine(parse_lines(lines.select("value", "source_file", "line_key")))
+    numbers = with_line_numbers(lines.select("source_file", "line_key"), split)
+    return bad.join(numbers, ["source_file", "line_key"]).select("source_file", "line_no", "raw", json_error(sanitize(F.col("raw"))).alias("error"))
+
+
 def _get(v: Column | str, path: str, typ: str = "string") -> Column:
     c = F.col(v) if isinstance(v, str) else v
     return F.try_variant_get(c, path, typ)
