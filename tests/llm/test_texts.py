@@ -58,6 +58,19 @@ def test_packing_equals_library_and_is_gapless(spark):
     assert packing.pack(docs(spark, ["x"]).limit(0), file).count() == 0
 
 
+def test_word_table_equals_library_for_marks_after_any_letter():
+    from tokenizers import Tokenizer
+
+    file = public_tokenizers.path("word_bpe_49k.json")
+    lib, table, rng = Tokenizer.from_file(file), packing.WordTable(file), random.Random(7)
+    letters = "aBzIéÉßẞİıΩςΣǅﬁﬀŉǰÅ日本हि١²ªŞ"
+    texts = [a + b + m for a in letters for b in letters + " " for m in packing.TAIL] + ["ŞEHRİ.", "MERKEZİ, ANKARA", "İ."]
+    texts += ["".join(rng.choice(letters + packing.TAIL + " \n'-") for _ in range(rng.randrange(1, 90))) for _ in range(3000)]
+    for at in range(0, len(texts), 500):
+        some = texts[at : at + 500]
+        assert [np.frombuffer(x, "<u4").tolist() for x in table.ids(some)] == [e.ids for e in lib.encode_batch(some, add_special_tokens=False)]
+
+
 def test_packing_keeps_repeated_rows(spark):
     rows = packing.pack(docs(spark, ["same words"]).union(docs(spark, ["same words"])), public_tokenizers.path("word_bpe_49k.json")).collect()
     assert len(rows) == 2 and len({(r.sequence_id, r.offset) for r in rows}) == 2
