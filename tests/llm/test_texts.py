@@ -68,7 +68,7 @@ def test_word_table_equals_library_for_marks_after_any_letter():
     texts += ["".join(rng.choice(letters + packing.TAIL + " \n'-") for _ in range(rng.randrange(1, 90))) for _ in range(3000)]
     for at in range(0, len(texts), 500):
         some = texts[at : at + 500]
-        assert [np.frombuffer(x, "<u4").tolist() for x in table.ids(some)] == [e.ids for e in lib.encode_batch(some, add_special_tokens=False)]
+        assert [np.frombuffer(x, "<u4").tolist() for x in map(table.ids, some)] == [e.ids for e in lib.encode_batch(some, add_special_tokens=False)]
 
 
 def test_packing_keeps_repeated_rows(spark):

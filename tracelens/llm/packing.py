@@ -15,8 +15,8 @@ are packed each for itself. Extra columns are not read.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +28,7 @@ from .common import python_tasks, stored
 
 SEQUENCE = 2048
 END_ID = 1
-TABLE_ENTRIES = 400_000
-#: Words from this length on are tokenised each time they come.
-LONG = 64
+TABLE_ENTRIES = 600_000
 #: ASCII marks that the tokeniser always parts from the letters before them.
 TAIL = ".,;:!?*&%$#|"
 
@@ -46,34 +44,26 @@ class WordTable(dict):
         super().__init__({"": b""})
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
 
-    def parts(self, word: str) -> list[str]:
-        """What the tokeniser parts a word into, as far as that is plain: letters (also when
-        lower-cased, which makes two characters of some) and the marks after them; capitals
-        count as small letters."""
+    def __missing__(self, word: str) -> bytes:
         stem = word.rstrip(TAIL)
+        # letters, then marks: two parts for the tokeniser, unless lower-casing makes a mark of a letter
         if len(stem) < len(word) and stem.isalpha() and (stem.isascii() or stem.lower().isalpha()):
-            return [*self.parts(stem), word[len(stem) :]]
-        return [word.lower()] if word.isascii() and word.isalpha() else [word]
-
-    def __missing__(self, word: str) -> bytes:  # a word too long to be kept
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def learn(self, words: set[str]) -> None:
-        """Tokenise what the table doesn't hold yet, all at once."""
+            ids = self[stem] + self[word[len(stem) :]]
+        elif word.isascii() and word.isalpha() and not word.islower():
+            ids = self[word.lower()]
+        else:
+            found = self.tokenizer.encode_batch_fast([word], add_special_tokens=False)[0].ids
+            ids = struct.pack(f"<{len(found)}I", *found)
+        if len(word) < 64:
+            self[word] = ids
+        return ids
+
+    def ids(self, text: str) -> bytes:
+        out = b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
         if len(self) > TABLE_ENTRIES:
             self.clear()
             self[""] = b""
-        new = {w: self.parts(w) for w in words.difference(self) if len(w) < LONG}
-        some = list({p for parts in new.values() for p in parts}.difference(self))
-        for part, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-            self[part] = np.array(e.ids, "<u4").tobytes()
-        for word, parts in new.items():
-            self[word] = self[parts[0]] if len(parts) == 1 else b"".join(map(self.__getitem__, parts))
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        self.learn(set(chain.from_iterable(split)))
-        return [b"".join(map(self.__getitem__, words)) for words in split]
+        return out
 
 
 def word_table(tokenizer_file: str) -> WordTable:
@@ -90,7 +80,7 @@ def tokenised(docs: DataFrame, tokenizer_file: str, text: str = "text", key: str
         table, part, at = word_table(tokenizer_file), TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            ids = [x + end for x in table.ids([t or "" for t in batch.column(1).to_pylist()])]
+            ids = [table.ids(t or "") + end for t in batch.column(1).to_pylist()]
             n = np.array([len(b) // 4 for b in ids], "int64")
             starts = at + np.cumsum(n) - n
             at += int(n.sum())
