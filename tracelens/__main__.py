@@ -1,6 +1,6 @@
 """Command line: ``python -m tracelens <command> ...`` over a table store.
 
-  backfill  --home DIR --root STORE [--host NAME]     ingest transcripts + side files
+  backfill  --home DIR --root STORE [--host NAME] [--buckets N]   ingest transcripts + side files
   stats     --root STORE --since 30d                   Q32-Q34 top models/projects/tools
   status    --root STORE                               Q35 store status, Q36 hosts
   sessions  --root STORE [--project P] [--model M]... [--since S] [--sort recent|cost] [--limit N]
@@ -56,9 +56,11 @@ def main(argv=None, spark=None) -> int:
         for flag, kwargs in more:
             c.add_argument(flag, **kwargs)
 
+    from .streaming.ingest import FIRST_BUCKETS
+
     text, flag = {}, {"action": "store_true"}
     page = lambda n: ("--limit", {"type": int, "default": n})
-    command("backfill", ("--home", {"required": True}), ("--host", {"default": "local"}))
+    command("backfill", ("--home", {"required": True}), ("--host", {"default": "local"}), ("--buckets", {"type": int, "default": FIRST_BUCKETS}))
     command("stats", ("--since", {"required": True}))
     command("status")
     command("sessions", ("--project", text), ("--model", {"action": "append"}), ("--since", text), ("--sort", {"default": "recent"}), page(25))
@@ -73,7 +75,7 @@ def main(argv=None, spark=None) -> int:
     if a.cmd == "backfill":
         from .streaming.ingest import backfill_home
 
-        print(backfill_home(spark, a.home, a.root, host=a.host))
+        print(backfill_home(spark, a.home, a.root, host=a.host, buckets=a.buckets))
         return 0
     cat = _catalog(spark, a.root, _since(getattr(a, "since", None), now))
     from .plans import cli, search, sessions

@@ -355,10 +355,10 @@ def ingest_side_files(spark: SparkSession, home: str, root: str, host: str = "lo
     return added
 
 
-def backfill_home(spark: SparkSession, home: str, root: str, host: str = "local") -> dict[str, int]:
+def backfill_home(spark: SparkSession, home: str, root: str, host: str = "local", buckets: int = FIRST_BUCKETS) -> dict[str, int]:
     """3.1 end to end for one home directory (K9: one host per source root)."""
     src = tr.enumerate_sources(home)
-    out = {"events": backfill(spark, src["transcripts"], root, host=host) if src["transcripts"] else 0}
+    out = {"events": backfill(spark, src["transcripts"], root, host=host, buckets=buckets) if src["transcripts"] else 0}
     out.update(ingest_side_files(spark, home, root, host=host))
     return out
 
