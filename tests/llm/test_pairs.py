@@ -72,6 +72,60 @@ def test_chosen_path_join_equals_brute_force(spark, monkeypatch):
     assert all(r.n_shingles == len(s[i]) and r.kept == (r.component_id == i) for i, r in got.items())
 
 
+def test_chosen_path_overlaps(monkeypatch):
+    monkeypatch.setattr(chosen_path, "RANGE", 50)
+    rng = np.random.default_rng(3)
+    pool = rng.integers(0, 1 << 63, 90, dtype="uint64") << np.uint64(1)
+    sets = [np.unique(rng.choice(pool, k)) for k in (0, 1, 40, 90, 300)]
+    want = [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
+    assert chosen_path.overlaps(sets, np.array([1, 3, 4])).tolist() == [want[1], want[3], want[4]]
+
+
+def test_chosen_path_trees_follow_from_the_target():
+    rng = random.Random(1)
+    two, lost, n = chosen_path.second(85) / 100, 0, 20_000
+    for _ in range(n):  # common paths of a pair at the threshold
+        paths = 1
+        for _ in range(3):
+            paths = sum(rng.random() < 0.85 for _ in range(paths) for _ in range(1 + (rng.random() < two)))
+        lost += not paths
+    for target in (0.9, 0.999):
+        k = chosen_path.trees(85, 3, target)
+        assert 1 - (lost / n) ** k > target - 0.005 and 1 - (lost / n) ** (k - 1) < target + 0.005
+
+
+def test_template_and_straggling_copies_equal_brute_force(spark, monkeypatch):
+    """Documents of one template, most of them alike just below the threshold, and a large
+    group of copies with members that hang on by a few others."""
+    for name, value in {"LEAF": 8, "BLOCK": 16, "HELD": 16, "DEPTH": 5, "SHALLOW": 2}.items():
+        monkeypatch.setattr(chosen_path, name, value)
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(4))
+    texts = []
+    for changes, n in ((3, 60), (1, 60)):
+        base = [word() for _ in range(150)]
+        for i in range(n):
+            t = base[:]
+            for _ in range(changes + (i % 9 == 0)):
+                t[rng.randrange(150)] = word()
+            texts.append(" ".join(t))
+    s = sets_of(texts)
+    pairs = [(i, j) for i in range(len(s)) for j in range(i) if 100 * len(s[i] & s[j]) >= 85 * len(s[i] | s[j])]
+    want = union(range(len(s)), pairs)
+    sent = []
+    candidates = chosen_path.Join.candidates
+
+    def counted(self, rows):
+        out = chosen_path.stored(spark, candidates(self, rows), "test")
+        sent.append((rows.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(chosen_path.Join, "candidates", counted)
+    got = chosen_path.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r.doc_id: r.component_id for r in got.collect()} == want
+    assert all(out <= 5 * rows for rows, out in sent)  # a forest of each node at most
+
+
 def test_chosen_path_join_of_odd_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert chosen_path.near_duplicates(empty).count() == 0

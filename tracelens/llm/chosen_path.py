@@ -1,15 +1,31 @@
 """Operator 7: near-duplicates by chosen-path set similarity join.
 
 A document's set holds the hashes of its 5-word shingles. Equal sets are merged first.
-In each of TREES independent trees a set follows paths: at every node one or two positions
+In each of several independent trees a set follows paths: at every node one or two positions
 of its minhash signature are chosen (1 / threshold on average, the same for all sets at the
-node), and the set goes on to the child named by its value there. A node of one set is
-dropped; up to LEAF sets are compared pair by pair on their signatures; more branch again,
-up to DEPTH. What is still large then is a group of copies: it is compared in random blocks,
-another split in each tree. A node with many alike pairs gives back a spanning forest of
-them. Once the links found so far have made components, such nodes are compared again for
-pairs of different components; of a large node, every member outside its main component is
-compared with all members, block by block.
+node), and the set goes on to the child named by its value there. Nodes of one set are
+dropped, nodes of up to LEAF sets are compared pair by pair on their signatures, and the
+others branch again: a pair below the threshold shares less than one child on average, so
+deeper nodes part it, and what stays together are copies.
+
+Groups of copies are joined before that. A few trees (GATHER) cut their large nodes into
+blocks that share two pivots, and the links found make components. The other trees carry a
+set's component: a node of one component is dropped, one with up to LEAF sets outside its
+main component is compared outsiders against all, in blocks, and no pair inside a component
+is looked at again. So a group of n copies costs about n pairs, and a group of n documents
+that are alike below the threshold (one template) costs about n too. What is still large
+after DEPTH levels is compared whole, as pairs of blocks, each once.
+
+The number of trees follows from the threshold and TARGET: the chance that a pair at the
+threshold loses its common path within SHALLOW levels, where ordinary documents end. Nodes
+still large there go on as RESTARTS independent subtrees. Each run is audited: AUDIT sets are
+compared with all others, and more trees follow while links between different components
+are missing in more than 1 - TARGET of the sets that have links.
+
+A node with many alike pairs gives back a spanning forest of them, the most alike first.
+Once these are confirmed, nodes that still hold several components are compared on full
+sets in place, so that the pairs of a template, alike but not alike enough, never leave
+their node.
 
 Pairs that the signatures don't rule out are confirmed on full sets: first a few candidates
 of each set (the most alike, the least, and two by hash), in rounds, dropping pairs whose
@@ -25,6 +41,7 @@ not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -39,9 +56,16 @@ from .components import components
 
 WORDS = 5
 SIGNATURE = 128
-TREES = 8
-LEAF = 128
-DEPTH = 4
+#: Sets of a node that are compared pair by pair, and of a block of a larger node.
+LEAF = 32
+BLOCK = 128
+HELD = 256
+GATHER = 3
+SHALLOW, DEPTH, RESTARTS = 4, 20, 3
+#: Recall of a pair at the threshold, sets in the audit, and batches of trees at most.
+TARGET = 0.999
+AUDIT = 64
+BATCHES = 3
 ROUNDS = 2
 #: Ids of sets to confirm are broadcast up to this many (16 MB), and joined beyond.
 BROADCAST_IDS = 1_000_000
@@ -103,43 +127,76 @@ def sketches(docs: DataFrame, text: str, key: str) -> DataFrame:
         run, "id long, n long, k1 long, k2 long, sig array<short>")
 
 
+def second(percent: int) -> int:
+    """How often (in percent) a node chooses a second position."""
+    return (10_000 - 100 * percent) // percent
+
+
+def trees(percent: int, depth: int, target: float) -> int:
+    """Trees that find a pair at the threshold with the target chance, ``depth`` levels down:
+    the pair's common paths are a branching process."""
+    p, two, lost = percent / 100, second(percent) / 100, 0.0
+    for _ in range(depth):
+        child = 1 - p + p * lost  # a chosen position differs, or its subtree loses the pair
+        lost = (1 - two) * child + two * child**2
+    return math.ceil(math.log(1 - target) / math.log(lost)) if 0 < lost < 1 else 1
+
+
 def children(path: Column, percent: int) -> Column:
     """The node's children for a set: the chosen positions with the set's values there."""
-    more = (10_000 - 100 * percent) // percent  # in percent: how often a second position is chosen
-    first = F.pmod(F.xxhash64(path, F.lit(1)), F.lit(SIGNATURE)).cast("int")
-    second = F.pmod(F.xxhash64(path, F.lit(2)), F.lit(SIGNATURE)).cast("int")
-    at = F.when(F.pmod(F.xxhash64(path, F.lit(3)), F.lit(100)) < more, F.array_distinct(F.array(first, second))).otherwise(F.array(first))
+    one = F.pmod(F.xxhash64(path, F.lit(1)), F.lit(SIGNATURE)).cast("int")
+    two = F.pmod(F.xxhash64(path, F.lit(2)), F.lit(SIGNATURE)).cast("int")
+    at = F.when(F.pmod(F.xxhash64(path, F.lit(3)), F.lit(100)) < second(percent), F.array_distinct(F.array(one, two))).otherwise(F.array(one))
     return F.transform(at, lambda c: F.xxhash64(path, c, F.get("sig", c)))
 
 
 PAIRS = "a long, b long, alike int"
+RANGE = 1 << 15
+#: Sides of a node's rows: HOLD rows are only compared with others, ASK rows with HOLD and
+#: ASK rows, CROSS rows with HOLD rows.
+HOLD, ASK, CROSS = 0, 1, 2
+
+
+def overlaps(sets: list[np.ndarray], asks: np.ndarray) -> np.ndarray:
+    """Intersection sizes of the asking sets with all sets (sorted hashes), by ranges of
+    hashes: a range's 0/1 matrix has about RANGE columns at most."""
+    both = np.zeros((len(asks), len(sets)), "int64")
+    ranges = 1 + sum(map(len, sets)) // RANGE
+    bounds = np.array([(i << 64) // ranges for i in range(1, ranges)], "uint64")
+    cuts = [np.concatenate([[0], np.searchsorted(s, bounds), [len(s)]]) for s in sets]
+    for r in range(ranges):
+        parts = [s[c[r] : c[r + 1]] for s, c in zip(sets, cuts, strict=True)]
+        names, at = np.unique(np.concatenate(parts), return_inverse=True)
+        held = np.zeros((len(sets), len(names)), "float32")
+        held[np.repeat(np.arange(len(sets)), [len(x) for x in parts]), at] = 1
+        both += (held[asks] @ held.T).astype("int64")
+    return both
 
 
 def compare_nodes(rows: DataFrame, percent: int, least: int) -> DataFrame:
-    """rows (node, id, n, sig[, c][, outside]) -> candidate pairs (a, b, alike), node by node.
-
-    Without ``c``: all pairs where they are few, else a spanning forest of the most alike and
-    a row (node, null, null) that says so. With ``c``, the components so far: all pairs of
-    different components. With ``outside``: only those with an outside row."""
-    columns = ["node", "id", "n", "sig", *(x for x in ("c", "outside") if x in rows.columns)]
+    """rows (node, id, c, side, n, sig[, s]) -> pairs (a, b, alike) of different components,
+    node by node. Without full sets ``s``, candidates: of nodes with more than four pairs a
+    row only a spanning forest over the components, and a row (node, null, null) that says
+    so. With them, a spanning forest of the links."""
+    columns = ["node", "id", "c", "side", "n", "sig", *(["s"] if "s" in rows.columns else [])]
     rows = rows.select(*columns)
 
     def pairs(at: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        n, sig, found = at["n"], at["sig"], []
-        for i in np.flatnonzero(at["outside"]) if "outside" in at else range(len(n) - 1):
-            rest = slice(0 if "outside" in at else i + 1, None)
-            fits = np.minimum(n[rest], n[i]) * 100 >= np.maximum(n[rest], n[i]) * percent
-            if "c" in at:
-                fits &= at["c"][rest] != at["c"][i]
-            j = np.flatnonzero(fits)
-            alike = (sig[rest][j] == sig[i]).sum(1)
+        n, c, side, sig, found = at["n"], at["c"], at["side"], at["sig"], []
+        hold, later = side == HOLD, side == ASK
+        for i in np.flatnonzero(~hold):
+            later[i] = False  # asking rows before it were compared with it
+            fits = (hold | later) if side[i] == ASK else hold
+            j = np.flatnonzero(fits & (c != c[i]) & (np.minimum(n, n[i]) * 100 >= np.maximum(n, n[i]) * percent))
+            alike = (sig[j] == sig[i]).sum(1)
             j, alike = j[alike >= least], alike[alike >= least]
-            found.append((np.full(len(j), i), j + rest.start, alike))
+            found.append((np.full(len(j), i), j, alike))
         return tuple(np.concatenate(x).astype("int64") for x in zip(*found, strict=True)) if found else (np.zeros(0, "int64"),) * 3
 
-    def forest(size: int, p: np.ndarray, q: np.ndarray, alike: np.ndarray) -> np.ndarray:
-        """Of the pairs, those of a spanning forest, the most alike first."""
-        root, out = [*range(size)], []
+    def spanning(c: np.ndarray, p: np.ndarray, q: np.ndarray, alike: np.ndarray) -> np.ndarray:
+        """Of the pairs, those of a spanning forest over components, the most alike first."""
+        names, of = np.unique(c, return_inverse=True)
+        root, out = [*range(len(names))], []
 
         def find(i: int) -> int:
             while root[i] != i:
@@ -148,7 +205,7 @@ def compare_nodes(rows: DataFrame, percent: int, least: int) -> DataFrame:
             return i
 
         for k in np.argsort(-alike, kind="stable").tolist():
-            x, y = find(p[k]), find(q[k])
+            x, y = find(of[p[k]]), find(of[q[k]])
             if x != y:
                 root[x] = y
                 out.append(k)
@@ -159,7 +216,7 @@ def compare_nodes(rows: DataFrame, percent: int, least: int) -> DataFrame:
         for b in with_end(batches):
             if b is not None and b.num_rows:
                 now = {x: b.column(i).to_numpy(zero_copy_only=False) for i, x in enumerate(columns) if x != "sig"}
-                now["sig"] = b.column(3).flatten().to_numpy(zero_copy_only=False).reshape(-1, SIGNATURE)
+                now["sig"] = b.column(columns.index("sig")).flatten().to_numpy(zero_copy_only=False).reshape(-1, SIGNATURE)
                 held = now if held is None else {x: np.concatenate([held[x], now[x]]) for x in now}
             if held is None or (b is not None and not b.num_rows):
                 continue
@@ -173,8 +230,15 @@ def compare_nodes(rows: DataFrame, percent: int, least: int) -> DataFrame:
                     continue
                 at = {k: v[x:y] for k, v in held.items()}
                 p, q, alike = pairs(at)
-                if "c" not in at and len(p) > 4 * (y - x):
-                    keep = forest(y - x, p, q, alike)
+                if "s" in at and len(p):
+                    asks, at_ask = np.unique(p, return_inverse=True)
+                    both = overlaps([np.frombuffer(z, "uint64") for z in at["s"]], asks)[at_ask, q]
+                    linked = 100 * both >= percent * (at["n"][p] + at["n"][q] - both)
+                    p, q, alike = p[linked], q[linked], alike[linked]
+                    keep = spanning(at["c"], p, q, alike)
+                    p, q, alike = p[keep], q[keep], alike[keep]
+                elif len(p) > 4 * (y - x):
+                    keep = spanning(at["c"], p, q, alike)
                     p, q, alike = p[keep], q[keep], alike[keep]
                     out.append(([at["node"][0]], [None], [None]))
                 u, v = at["id"][p], at["id"][q]
@@ -192,6 +256,10 @@ def with_end(batches: Iterator) -> Iterator:
     yield None
 
 
+def ends_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("id"))
+
+
 class Join:
     """The state of one similarity join, as stored tables."""
 
@@ -207,57 +275,124 @@ class Join:
             self.spark, self.sketches.join(self.firsts.select(F.col("first").alias("id"), "k1", "k2"), ["id", "k1", "k2"])
             .select("id", "n", "sig").dropDuplicates(["id"]), "sets")
 
-    def tree(self) -> tuple[DataFrame, DataFrame]:
-        """Leaves and large nodes at the end of the paths, as (path, id)."""
-        root = F.transform(F.sequence(F.lit(1), F.lit(TREES)), lambda t: F.xxhash64(t))
-        now = self.sets.select("id", "sig", F.explode(root).alias("path"))
-        leaves = []
-        for depth in range(DEPTH):
-            now = stored(self.spark, now.select("id", F.explode(children(F.col("path"), self.percent)).alias("path")), "paths")
-            size = stored(self.spark, now.groupBy("path").agg(F.count("*").alias("size")).where("size > 1"), "nodes")
-            sized = now.join(size, "path")
-            leaves.append(sized.where(f"size <= {LEAF}").select("path", "id"))
-            large = sized.where(f"size > {LEAF}").select("path", "id", "size")
-            if depth == DEPTH - 1 or size.where(f"size > {LEAF}").isEmpty():
-                return reduce(DataFrame.unionByName, leaves), large
-            now = large.join(self.sets.select("id", "sig"), "id").select("id", "sig", "path")
-        raise AssertionError
+    def start(self, roots: list[int], joined: DataFrame | None) -> DataFrame:
+        """All sets at the roots of the trees, with their component so far."""
+        sets = self.sets.select("id", "sig")
+        sets = sets.withColumn("c", F.col("id")) if joined is None else sets.join(joined, "id", "left").withColumn("c", F.coalesce("c", "id"))
+        return sets.select("id", "c", "sig", F.explode(F.array(*(F.xxhash64(F.lit(t)) for t in roots))).alias("path"))
+
+    def level(self, now: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The next level's (path, id, c, size) and sizes, without nodes of one component."""
+        now = stored(self.spark, now.select("id", "c", F.explode(children(F.col("path"), self.percent)).alias("path")), "paths")
+        size = now.groupBy("path").agg(F.count("*").alias("size"), F.min("c").alias("lo"), F.max("c").alias("hi"))
+        size = stored(self.spark, size.where("lo != hi").select("path", "size"), "nodes")
+        return now.join(size, "path"), size
+
+    def deeper(self, large: DataFrame) -> DataFrame:
+        return large.select("path", "id", "c").join(self.sets.select("id", "sig"), "id")
 
     def candidates(self, rows: DataFrame) -> DataFrame:
-        """Candidate pairs of rows (node, id[, c][, outside])."""
+        """Candidate pairs of rows (node, id, c, side)."""
         return compare_nodes(rows.join(self.sets, "id"), self.percent, self.least)
 
-    def nodes(self) -> tuple[DataFrame, DataFrame]:
-        """(node, id) of what is compared first, and the large nodes (path, id, size)."""
-        leaves, large = self.tree()
-        large = stored(self.spark, large, "large_nodes")
-        block = F.pmod(F.xxhash64("path", "id"), F.ceil(F.col("size") / LEAF))
-        rows = leaves.select(F.xxhash64("path").alias("node"), "id").unionByName(large.select(F.xxhash64("path", block).alias("node"), "id"))
-        return rows, large
-
-    def left_over(self, rows: DataFrame, dense: DataFrame, large: DataFrame, joined: DataFrame) -> DataFrame:
-        """Candidate pairs between components: all of dense nodes, and in large nodes those
-        of members outside the node's main component with any other."""
-        joined = stored(self.spark, joined.withColumnRenamed("component", "c"), "joined")
-        small = rows.join(dense, "node").join(joined, "id", "left").withColumn("c", F.coalesce("c", "id"))
-        several = small.groupBy("node").agg((F.min("c") != F.max("c")).alias("several")).where("several").select("node")
-        first = self.candidates(small.join(stored(self.spark, several, "several"), "node"))
-        if large.isEmpty():
-            return first
-        members = large.join(joined, "id", "left").withColumn("c", F.coalesce("c", "id"))
-        members = stored(self.spark, members, "members")
-        main = members.groupBy("path", "c").agg(F.count("*").alias("n")).groupBy("path").agg(F.max(F.struct("n", "c"))["c"].alias("main"))
-        outside = stored(self.spark, members.join(stored(self.spark, main, "main"), "path").where("c != main"), "outside")
-        blocks = F.ceil(F.col("size") / (4 * LEAF))
-        node = F.xxhash64("path", "block").alias("node")
-        asks = outside.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1))).select(node, "id", "c", F.lit(True).alias("outside"))
-        touched = stored(self.spark, outside.select("path").distinct(), "touched")
-        holds = members.join(touched, "path").withColumn("block", F.pmod(F.xxhash64("path", "id"), blocks)).select(node, "id", "c", F.lit(False).alias("outside"))
-        return first.unionByName(self.candidates(asks.unionByName(holds)))
-
-    def full_sets(self, pairs: DataFrame) -> DataFrame:
-        """(id, s) of all sets in ``pairs``, made from the texts again."""
-        ids = stored(self.spark, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+    def gathered(self) -> DataFrame | None:
+        """Links that join groups of copies: of large nodes two levels down, blocks of the
+        members and two pivots of the node."""
+        found = joined = None
+        for t in range(GATHER):
+            now = self.start([-1 - t], joined)
+            for _ in range(2):
+                now, size = self.level(now)
+                large = now.where(f"size > {LEAF}")
+                if size.where(f"size > {LEAF}").isEmpty():
+                    return found
+                now = self.deeper(large)
+            large = stored(self.spark, large, "large_nodes")
+            blocks, draw = F.ceil(F.col("size") / BLOCK), F.struct(F.xxhash64("path", "id").alias("h"), "id", "c")
+            members = large.select(F.xxhash64("path", F.pmod(F.xxhash64("path", "id"), blocks)).alias("node"), "id", "c")
+            pivots = large.groupBy("path").agg(F.first("size").alias("size"), F.array(F.min(draw), F.max(draw)).alias("p")).where(f"size > {BLOCK}")
+            pivots = pivots.select("path", "p", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)).alias("block"))
+            pivots = pivots.select(F.xxhash64("path", "block").alias("node"), F.explode("p").alias("p")).select("node", "p.id", "p.c")
+            rows = members.unionByName(pivots).withColumn("side", F.lit(ASK))
+            pairs = stored(self.spark, self.candidates(rows).where("b is not null"), "gathered")
+            if pairs.isEmpty():
+                return found
+            found = self.links(pairs, found)
+            joined = stored(self.spark, components(found).withColumnRenamed("component", "c"), "joined")
+        return found
+
+    def nodes(self, roots: list[int], joined: DataFrame | None) -> DataFrame:
+        """(node, id, c, side): what the trees compare."""
+        node, parts = F.xxhash64("path").alias("node"), []
+        now = self.start(roots, joined)
+        for depth in range(1, DEPTH + 1):
+            now, size = self.level(now)
+            parts.append(now.where(f"size <= {LEAF}").select(node, "id", "c", F.lit(ASK).alias("side")))
+            if size.where(f"size > {LEAF}").isEmpty():
+                break
+            large = now.where(f"size > {LEAF}")
+            main = large.groupBy("path", "c").agg(F.count("*").alias("n")).groupBy("path").agg(F.max(F.struct("n", "c")).alias("main"))
+            large = stored(self.spark, large.join(main, "path"), "large_nodes")
+            few = F.col("size") - F.col("main.n") <= LEAF
+            blocks, here = F.ceil(F.col("size") / HELD), F.xxhash64("path", "block").alias("node")
+            asks = large.where(few & (F.col("c") != F.col("main.c"))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
+            holds = large.where(few & (F.col("c") == F.col("main.c"))).withColumn("block", F.pmod(F.xxhash64("path", "id"), blocks))
+            parts += [asks.select(here, "id", "c", F.lit(ASK).alias("side")), holds.select(here, "id", "c", F.lit(HOLD).alias("side"))]
+            large = large.where(~few)
+            if large.isEmpty():
+                break
+            if depth == DEPTH:
+                parts.append(self.block_pairs(large))
+            elif depth == SHALLOW:
+                large = large.withColumn("path", F.explode(F.array(*(F.xxhash64("path", F.lit(r)) for r in range(RESTARTS)))))
+            now = self.deeper(large)
+        return stored(self.spark, reduce(DataFrame.unionByName, parts), "rows")
+
+    def block_pairs(self, large: DataFrame) -> DataFrame:
+        """Nodes that compare each pair of blocks of a large node once."""
+        blocks = F.ceil(F.col("size") / BLOCK)
+        rows = large.withColumn("block", F.pmod(F.xxhash64("path", "id"), blocks))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
+        side = F.when(F.col("block") == F.col("other"), ASK).when(F.col("block") < F.col("other"), CROSS).otherwise(HOLD)
+        return rows.select(F.xxhash64("path", F.least("block", "other"), F.greatest("block", "other")).alias("node"), "id", "c", side.alias("side"))
+
+    def audited(self, batch: int, joined: DataFrame) -> DataFrame | None:
+        """Links that AUDIT sets (by hash) have and the trees missed, or None where no more
+        than 1 - TARGET of those with links miss any."""
+        sets = self.sets.join(joined.withColumnRenamed("component", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
+        some = sets.orderBy(F.xxhash64("id", F.lit(batch)), "id").limit(AUDIT).select("id", "c", "n", "sig").collect()  # AUDIT rows
+        if not some:
+            return None
+        ids, c, n = (np.array([r[k] for r in some], "int64") for k in ("id", "c", "n"))
+        sig, percent, least = np.array([r["sig"] for r in some], "int16"), self.percent, self.least
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                i, d, m = (b.column(k).to_numpy() for k in range(3))
+                s = b.column(3).flatten().to_numpy().reshape(-1, SIGNATURE)
+                out = []
+                for k in range(len(ids)):
+                    j = np.flatnonzero((i != ids[k]) & (np.minimum(m, n[k]) * 100 >= np.maximum(m, n[k]) * percent))
+                    alike = (s[j] == sig[k]).sum(1)
+                    j, alike = j[alike >= least], alike[alike >= least]
+                    same = d[j] == c[k]
+                    told = ~same | (np.arange(len(j)) == (same.argmax() if same.any() else -1))  # one of the same component will do
+                    out += zip([ids[k]] * int(told.sum()), i[j[told]], alike[told], same[told], strict=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([o[x] for o in out], kind) for x, kind in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.bool_()))], names=["a", "b", "alike", "same"])
+
+        pairs = stored(self.spark, sets.select("id", "c", "n", "sig").mapInArrow(run, PAIRS + ", same boolean"), "audit")
+        asked = stored(self.spark, pairs.where("not same").drop("same"), "audit_pairs")
+        if asked.isEmpty():
+            return None
+        missed = stored(self.spark, self.confirmed(asked, self.full_sets(ends_of(asked))).where("linked").select("a", "b"), "missed")
+        lost = missed.select("a").distinct().count()
+        linked = pairs.where("same").select("a").unionByName(missed.select("a")).distinct().count()
+        return missed if lost > (1 - TARGET) * linked else None
+
+    def full_sets(self, ids: DataFrame) -> DataFrame:
+        """(id, s) of the sets named in ``ids``, made from the texts again."""
+        ids = stored(self.spark, ids.distinct(), "ids")
         if ids.count() <= BROADCAST_IDS:
             ids = F.broadcast(ids)
         text, key = self.text, self.key
@@ -288,7 +423,7 @@ class Join:
 
     def links(self, pairs: DataFrame, before: DataFrame | None = None) -> DataFrame:
         """Links enough to join every component of ``pairs`` (and of the links ``before``)."""
-        sets = self.full_sets(pairs)
+        sets = self.full_sets(ends_of(pairs))
         found = before
         for r in range(ROUNDS + 1):
             if found is not None:
@@ -318,15 +453,32 @@ class Join:
         out = out.join(joined.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
         return stored(self.spark, out.where("coalesce(ca, a) != coalesce(cb, b)").select("a", "b", "alike"), "pairs")
 
-    def run(self) -> DataFrame:
-        rows, large = self.nodes()
+    def searched(self, roots: list[int], found: DataFrame | None) -> DataFrame:
+        """``found`` and the links that these trees add between components."""
+        joined = None if found is None else stored(self.spark, components(found).withColumnRenamed("component", "c"), "joined")
+        rows = self.nodes(roots, joined)
         pairs = stored(self.spark, self.candidates(rows), "candidates")
-        dense = pairs.where("b is null").select(F.col("a").alias("node"))
+        dense = stored(self.spark, pairs.where("b is null").select(F.col("a").alias("node")), "dense")
         pairs = pairs.where("b is not null")
-        found = self.links(pairs)
-        if not (dense.isEmpty() and large.isEmpty()):
-            more = self.left_over(rows, dense, large, components(found)).distinct()
-            found = self.links(stored(self.spark, more.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "more_candidates"), found)
+        found = self.links(pairs, found)
+        if not dense.isEmpty():
+            joined = stored(self.spark, components(found).withColumnRenamed("component", "c"), "joined")
+            again = rows.drop("c").join(dense, "node").join(joined, "id", "left").withColumn("c", F.coalesce("c", "id"))
+            several = again.groupBy("node").agg((F.min("c") != F.max("c")).alias("several")).where("several").select("node")
+            again = stored(self.spark, again.join(several, "node"), "again")
+            again = again.join(self.sets, "id").join(self.full_sets(again.select("id")), "id")
+            more = compare_nodes(again, self.percent, self.least).select("a", "b")
+            found = found.unionByName(stored(self.spark, more, "more_links"))
+        return found
+
+    def run(self) -> DataFrame:
+        found, n = self.gathered(), trees(self.percent, SHALLOW, TARGET)
+        for batch in range(BATCHES):
+            found = self.searched([*range(batch * n, batch * n + n)], found)
+            missed = self.audited(batch, stored(self.spark, components(found), "joined"))
+            if missed is None:
+                break
+            found = found.unionByName(missed)
         joined = components(found).select(F.col("id").alias("first"), "component")
         by_set = stored(self.spark, self.firsts.join(joined, "first", "left").select("k1", "k2", F.coalesce("component", "first").alias("c")), "by_set")
         some = self.sketches.where("n > 0 and id is not null").select("id", "n", "k1", "k2").join(by_set, ["k1", "k2"]).select("id", "n", "c")
