@@ -317,7 +317,9 @@ class Join:
             pairs = stored(self.spark, self.candidates(rows).where("b is not null"), "gathered")
             if pairs.isEmpty():
                 return found
-            found = self.links(pairs, found)
+            told = self.confirmed(pairs, self.full_sets(ends_of(pairs)))  # forests: about a pair a set
+            linked = stored(self.spark, told.where("linked").select("a", "b"), "confirmed")
+            found = linked if found is None else found.unionByName(linked)
             joined = stored(self.spark, components(found).withColumnRenamed("component", "c"), "joined")
         return found
 
@@ -422,11 +424,12 @@ class Join:
         return rows.mapInArrow(run, "a long, b long, linked boolean")
 
     def links(self, pairs: DataFrame, before: DataFrame | None = None) -> DataFrame:
-        """Links enough to join every component of ``pairs`` (and of the links ``before``)."""
+        """Links enough to join every component of ``pairs`` (and of the links ``before``,
+        whose components the pairs do not lie in)."""
         sets = self.full_sets(ends_of(pairs))
         found = before
         for r in range(ROUNDS + 1):
-            if found is not None:
+            if r:
                 pairs = self.between(pairs, components(found))
             if pairs.isEmpty():
                 break
@@ -475,11 +478,13 @@ class Join:
         found, n = self.gathered(), trees(self.percent, SHALLOW, TARGET)
         for batch in range(BATCHES):
             found = self.searched([*range(batch * n, batch * n + n)], found)
-            missed = self.audited(batch, stored(self.spark, components(found), "joined"))
+            joined = stored(self.spark, components(found), "joined")
+            missed = self.audited(batch, joined)
             if missed is None:
                 break
             found = found.unionByName(missed)
-        joined = components(found).select(F.col("id").alias("first"), "component")
+            joined = components(found)
+        joined = joined.select(F.col("id").alias("first"), "component")
         by_set = stored(self.spark, self.firsts.join(joined, "first", "left").select("k1", "k2", F.coalesce("component", "first").alias("c")), "by_set")
         some = self.sketches.where("n > 0 and id is not null").select("id", "n", "k1", "k2").join(by_set, ["k1", "k2"]).select("id", "n", "c")
         none = self.sketches.where("n = 0 or id is null").select("id", "n", F.col("id").alias("c"))
