@@ -5,7 +5,7 @@ import random
 import numpy as np
 
 from tracelens.llm import chosen_path, neighbours, repeats, reputation
-from tracelens.llm.components import components
+from tracelens.llm.components import components, joined_components
 
 
 def union(n, pairs):
@@ -295,3 +295,20 @@ def test_reputation_blocks_on_evidence_only(spark):
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     got = {r.page_id: (r.rule, r.verdict) for r in reputation.judge(df, rules).collect()}
     assert got[400] == (None, "block") and got[401] == (None, "allow") and got[402] == (None, "allow")
+
+
+def test_joined_components_whatever_the_tasks(spark, monkeypatch):
+    rng = random.Random(4)
+    edges = [(rng.randrange(-50, 400), rng.randrange(-50, 400)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1100)]
+    seen = {x for e in edges if e[0] != e[1] for x in e}
+    root = {x: x for x in seen}
+    for _ in range(len(seen)):
+        for a, b in edges:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    df = spark.createDataFrame(edges, "a long, b long")
+    for part in (1000, 60):
+        monkeypatch.setattr("tracelens.llm.components.PART", part)
+        got = {r.id: r.component for r in joined_components(df).collect()}
+        assert got == root
+    assert joined_components(df.limit(0)).count() == 0

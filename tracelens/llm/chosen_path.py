@@ -8,9 +8,12 @@ dropped, nodes of up to LEAF sets are compared pair by pair on their signatures,
 others branch again: a pair below the threshold shares less than one child on average, so
 deeper nodes part it, and what stays together are copies.
 
-Groups of copies are joined before that. A few trees (GATHER) cut their large nodes into
-blocks that share two pivots, and the links found make components. The other trees carry a
-set's component: a node of one component is dropped, one with up to LEAF sets outside its
+Below the first level several levels are made in one step: a path depends on its own set
+only, and large nodes on the way are skipped, as their children cover them.
+
+Groups of copies are joined before that. A few trees (GATHER) cut the large nodes of their
+second level into blocks that share two pivots, and the links found make components. The
+other trees carry a set's component: a node of one component is dropped, one with up to LEAF sets outside its
 main component is compared outsiders against all, in blocks, and no pair inside a component
 is looked at again. So a group of n copies costs about n pairs, and a group of n documents
 that are alike below the threshold (one template) costs about n too. What is still large
@@ -28,9 +31,9 @@ sets in place, so that the pairs of a template, alike but not alike enough, neve
 their node.
 
 Pairs that the signatures don't rule out are confirmed on full sets: first a few candidates
-of each set (the most alike, the least, and two by hash), in rounds, dropping pairs whose
-ends are joined by then, so that a group of n copies costs about n confirmations; at last
-all pairs that are left.
+of each set (the most alike, the least, and two by hash), then, without the pairs whose
+ends are joined by then, all others, so that a group of n copies costs about n
+confirmations.
 Signatures only rule out a pair more than four deviations below the threshold.
 
 Words are runs of bytes other than white space, A-Z lower-cased. Fewer than five words make
@@ -52,7 +55,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import python_tasks, stored
-from .components import components
+from .components import joined_components
 
 WORDS = 5
 SIGNATURE = 128
@@ -61,12 +64,14 @@ LEAF = 32
 BLOCK = 128
 HELD = 256
 GATHER = 3
+#: Levels that are made at once below the first SHALLOW ones.
+STEP = 4
 SHALLOW, DEPTH, RESTARTS = 4, 20, 3
 #: Recall of a pair at the threshold, sets in the audit, and batches of trees at most.
 TARGET = 0.999
 AUDIT = 64
 BATCHES = 3
-ROUNDS = 2
+ROUNDS = 1
 #: Ids of sets to confirm are broadcast up to this many (16 MB), and joined beyond.
 BROADCAST_IDS = 1_000_000
 
@@ -150,6 +155,17 @@ def children(path: Column, percent: int) -> Column:
     return F.transform(at, lambda c: F.xxhash64(path, c, F.get("sig", c)))
 
 
+def descent(percent: int, levels: int) -> Column:
+    """A set's nodes (path, last) below ``path`` on each of the next levels; a path depends
+    on the set's signature only, so several levels take one step."""
+    paths, out = F.array("path"), []
+    for left in reversed(range(levels)):
+        paths = F.flatten(F.transform(paths, lambda p: children(p, percent)))
+        last = F.lit(left == 0).alias("last")
+        out.append(F.transform(paths, lambda p: F.struct(p.alias("path"), last)))
+    return F.concat(*out)
+
+
 PAIRS = "a long, b long, alike int"
 RANGE = 1 << 15
 #: Sides of a node's rows: HOLD rows are only compared with others, ASK rows with HOLD and
@@ -269,11 +285,11 @@ class Join:
         self.least = int(SIGNATURE * p - 4 * (SIGNATURE * p * (1 - p)) ** 0.5)
         python_tasks(self.spark)
         self.sketches = stored(self.spark, sketches(docs, text, key), "sketches")
-        firsts = self.sketches.where("n > 0 and id is not null").groupBy("k1", "k2").agg(F.min("id").alias("first"))
-        self.firsts = stored(self.spark, firsts, "firsts")
-        self.sets = stored(
-            self.spark, self.sketches.join(self.firsts.select(F.col("first").alias("id"), "k1", "k2"), ["id", "k1", "k2"])
-            .select("id", "n", "sig").dropDuplicates(["id"]), "sets")
+        sets = self.sketches.where("n > 0 and id is not null").groupBy("k1", "k2")
+        sets = sets.agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig"))  # equal sets: equal n and sig
+        sets = stored(self.spark, sets, "distinct_sets")
+        self.firsts = sets.select("k1", "k2", F.col("id").alias("first"))
+        self.sets = stored(self.spark, sets.select("id", "n", "sig").dropDuplicates(["id"]), "sets")  # a repeated key may have several
 
     def start(self, roots: list[int], joined: DataFrame | None) -> DataFrame:
         """All sets at the roots of the trees, with their component so far."""
@@ -281,12 +297,12 @@ class Join:
         sets = sets.withColumn("c", F.col("id")) if joined is None else sets.join(joined, "id", "left").withColumn("c", F.coalesce("c", "id"))
         return sets.select("id", "c", "sig", F.explode(F.array(*(F.xxhash64(F.lit(t)) for t in roots))).alias("path"))
 
-    def level(self, now: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """The next level's (path, id, c, size) and sizes, without nodes of one component."""
-        now = stored(self.spark, now.select("id", "c", F.explode(children(F.col("path"), self.percent)).alias("path")), "paths")
+    def step(self, now: DataFrame, levels: int, every: bool = True) -> DataFrame:
+        """(path, last, id, c, size): the nodes of the next levels (or of the last of them
+        only) that hold more than one component."""
+        now = now.select("id", "c", F.inline(descent(self.percent, levels))).where("last" if not every else "true")
         size = now.groupBy("path").agg(F.count("*").alias("size"), F.min("c").alias("lo"), F.max("c").alias("hi"))
-        size = stored(self.spark, size.where("lo != hi").select("path", "size"), "nodes")
-        return now.join(size, "path"), size
+        return stored(self.spark, now.join(size.where("lo != hi").select("path", "size"), "path"), "nodes")
 
     def deeper(self, large: DataFrame) -> DataFrame:
         return large.select("path", "id", "c").join(self.sets.select("id", "sig"), "id")
@@ -298,41 +314,30 @@ class Join:
     def gathered(self) -> DataFrame | None:
         """Links that join groups of copies: of large nodes two levels down, blocks of the
         members and two pivots of the node."""
-        found = joined = None
-        for t in range(GATHER):
-            now = self.start([-1 - t], joined)
-            for _ in range(2):
-                now, size = self.level(now)
-                large = now.where(f"size > {LEAF}")
-                if size.where(f"size > {LEAF}").isEmpty():
-                    return found
-                now = self.deeper(large)
-            large = stored(self.spark, large, "large_nodes")
-            blocks, draw = F.ceil(F.col("size") / BLOCK), F.struct(F.xxhash64("path", "id").alias("h"), "id", "c")
-            members = large.select(F.xxhash64("path", F.pmod(F.xxhash64("path", "id"), blocks)).alias("node"), "id", "c")
-            pivots = large.groupBy("path").agg(F.first("size").alias("size"), F.array(F.min(draw), F.max(draw)).alias("p")).where(f"size > {BLOCK}")
-            pivots = pivots.select("path", "p", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)).alias("block"))
-            pivots = pivots.select(F.xxhash64("path", "block").alias("node"), F.explode("p").alias("p")).select("node", "p.id", "p.c")
-            rows = members.unionByName(pivots).withColumn("side", F.lit(ASK))
-            pairs = stored(self.spark, self.candidates(rows).where("b is not null"), "gathered")
-            if pairs.isEmpty():
-                return found
-            told = self.confirmed(pairs, self.full_sets(ends_of(pairs)))  # forests: about a pair a set
-            linked = stored(self.spark, told.where("linked").select("a", "b"), "confirmed")
-            found = linked if found is None else found.unionByName(linked)
-            joined = stored(self.spark, components(found).withColumnRenamed("component", "c"), "joined")
-        return found
+        large = self.step(self.start([-1 - t for t in range(GATHER)], None), 2, every=False).where(f"size > {LEAF}")
+        blocks, draw = F.ceil(F.col("size") / BLOCK), F.struct(F.xxhash64("path", "id").alias("h"), "id", "c")
+        members = large.select(F.xxhash64("path", F.pmod(F.xxhash64("path", "id"), blocks)).alias("node"), "id", "c")
+        pivots = large.groupBy("path").agg(F.first("size").alias("size"), F.array(F.min(draw), F.max(draw)).alias("p")).where(f"size > {BLOCK}")
+        pivots = pivots.select("path", "p", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)).alias("block"))
+        pivots = pivots.select(F.xxhash64("path", "block").alias("node"), F.explode("p").alias("p")).select("node", "p.id", "p.c")
+        rows = members.unionByName(pivots).withColumn("side", F.lit(ASK))
+        pairs = stored(self.spark, self.candidates(rows).where("b is not null"), "gathered")
+        if pairs.isEmpty():
+            return None
+        told = self.confirmed(pairs, self.full_sets(ends_of(pairs)))  # forests: about a pair a set
+        return stored(self.spark, told.where("linked").select("a", "b"), "confirmed")
 
     def nodes(self, roots: list[int], joined: DataFrame | None) -> DataFrame:
         """(node, id, c, side): what the trees compare."""
         node, parts = F.xxhash64("path").alias("node"), []
-        now = self.start(roots, joined)
-        for depth in range(1, DEPTH + 1):
-            now, size = self.level(now)
+        now, depth = self.start(roots, joined), 0
+        while depth < DEPTH:
+            levels = 1 if not depth else SHALLOW - 1 if depth == 1 else min(STEP, DEPTH - depth)
+            now, depth = self.step(now, levels), depth + levels
             parts.append(now.where(f"size <= {LEAF}").select(node, "id", "c", F.lit(ASK).alias("side")))
-            if size.where(f"size > {LEAF}").isEmpty():
+            large = now.where(f"last and size > {LEAF}")
+            if large.isEmpty():
                 break
-            large = now.where(f"size > {LEAF}")
             main = large.groupBy("path", "c").agg(F.count("*").alias("n")).groupBy("path").agg(F.max(F.struct("n", "c")).alias("main"))
             large = stored(self.spark, large.join(main, "path"), "large_nodes")
             few = F.col("size") - F.col("main.n") <= LEAF
@@ -430,7 +435,7 @@ class Join:
         found = before
         for r in range(ROUNDS + 1):
             if r:
-                pairs = self.between(pairs, components(found))
+                pairs = self.between(pairs, joined_components(found))
             if pairs.isEmpty():
                 break
             asked = pairs
@@ -438,7 +443,7 @@ class Join:
                 ends = pairs.select(F.col("a").alias("id"), F.col("b").alias("other"), "alike").unionByName(pairs.select(F.col("b").alias("id"), F.col("a").alias("other"), "alike"))
                 chance = F.xxhash64("id", "other")
                 some = [F.max(F.struct("alike", "other"))["other"], F.min("other"), F.max_by("other", chance), F.min_by("other", chance)]
-                picks = ends.groupBy("id").agg(F.array(*some[: 2 * r + 2]).alias("p"))
+                picks = ends.groupBy("id").agg(F.array(*some).alias("p"))
                 picks = picks.select("id", F.explode("p").alias("other"))
                 asked = picks.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
             told = stored(self.spark, self.confirmed(asked, sets), "confirmed")
@@ -451,21 +456,20 @@ class Join:
 
     def between(self, pairs: DataFrame, joined: DataFrame) -> DataFrame:
         """Pairs whose ends are not in one component yet."""
-        joined = stored(self.spark, joined, "joined")
         out = pairs.join(joined.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left")
         out = out.join(joined.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
         return stored(self.spark, out.where("coalesce(ca, a) != coalesce(cb, b)").select("a", "b", "alike"), "pairs")
 
     def searched(self, roots: list[int], found: DataFrame | None) -> DataFrame:
         """``found`` and the links that these trees add between components."""
-        joined = None if found is None else stored(self.spark, components(found).withColumnRenamed("component", "c"), "joined")
+        joined = None if found is None else joined_components(found).withColumnRenamed("component", "c")
         rows = self.nodes(roots, joined)
         pairs = stored(self.spark, self.candidates(rows), "candidates")
         dense = stored(self.spark, pairs.where("b is null").select(F.col("a").alias("node")), "dense")
         pairs = pairs.where("b is not null")
         found = self.links(pairs, found)
         if not dense.isEmpty():
-            joined = stored(self.spark, components(found).withColumnRenamed("component", "c"), "joined")
+            joined = joined_components(found).withColumnRenamed("component", "c")
             again = rows.drop("c").join(dense, "node").join(joined, "id", "left").withColumn("c", F.coalesce("c", "id"))
             several = again.groupBy("node").agg((F.min("c") != F.max("c")).alias("several")).where("several").select("node")
             again = stored(self.spark, again.join(several, "node"), "again")
@@ -478,12 +482,12 @@ class Join:
         found, n = self.gathered(), trees(self.percent, SHALLOW, TARGET)
         for batch in range(BATCHES):
             found = self.searched([*range(batch * n, batch * n + n)], found)
-            joined = stored(self.spark, components(found), "joined")
+            joined = joined_components(found)
             missed = self.audited(batch, joined)
             if missed is None:
                 break
             found = found.unionByName(missed)
-            joined = components(found)
+            joined = joined_components(found)
         joined = joined.select(F.col("id").alias("first"), "component")
         by_set = stored(self.spark, self.firsts.join(joined, "first", "left").select("k1", "k2", F.coalesce("component", "first").alias("c")), "by_set")
         some = self.sketches.where("n > 0 and id is not null").select("id", "n", "k1", "k2").join(by_set, ["k1", "k2"]).select("id", "n", "c")
