@@ -6,6 +6,7 @@ import os
 import tempfile
 
 import pytest
+from pyspark.sql import functions as F
 from test_ingest import event, lines, tables
 
 from tracelens.functions.dates import TimeWindow
@@ -194,3 +195,17 @@ def test_search_reads_the_stored_index(spark, grown, capsys):
     assert "text_postings" in find(cat, "running step")._jdf.queryExecution().executedPlan().toString() or any(
         "text_postings" in f for f in cat.text_index.inputFiles())
     assert os.path.isdir(f"{grown[0]}/text_postings")
+
+
+def test_english_postings_of_a_query_leave_other_words_alone(spark):
+    texts = ["outputs of steps", "an output, the errors", "erroring output output", "nothing here", None]
+    docs = spark.createDataFrame([(f"u{i}", t) for i, t in enumerate(texts)], "uuid string, text_content string")
+    terms = ["output", "error"]
+    some = search.build_index(docs, analyzer="english", terms=terms)
+    assert rows_of(some) == rows_of(search.build_index(docs, analyzer="english").filter(F.col("term").isin(terms)))
+    assert rows_of(search.build_index(docs, terms=["output"])) == rows_of(search.build_index(docs).filter("term = 'output'"))
+    # the stemmer runs once, over distinct words, and what is shuffled by document is the query's
+    plan = search.match_and_rank(some, search.corpus_stats(docs), terms)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 2  # the postings and their document frequencies
+    filtered = search.build_index(docs, analyzer="english").filter(F.col("term").isin(terms))
+    assert filtered._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1  # not the postings as well

@@ -22,33 +22,49 @@ K1 = 1.2
 B = 0.75
 
 
-def build_index(docs: DataFrame, key: str = "uuid", text: str = "text_content", analyzer: str = "simple") -> DataFrame:
+def build_index(docs: DataFrame, key: str = "uuid", text: str = "text_content", analyzer: str = "simple",
+                terms: list[str] | None = None) -> DataFrame:
     """(term, key, tf, first_pos, doc_len) for every term of every document.
 
     ``analyzer='english'`` drops stop words and indexes Porter stems. The stemmer runs
     once per distinct word (the vocabulary), and the word -> stem map is joined back to
     the postings; ``first_pos`` stays a position in the original token list, so snippets
-    line up with the text."""
+    line up with the text.
+
+    ``terms``: the postings of these index terms only. Other words are dropped before
+    anything but the distinct words is shuffled."""
     if analyzer not in ("simple", "english"):
         raise ValueError(f"unknown analyzer {analyzer!r}")
     t = docs.select(key, simple_terms(F.col(text)).alias("terms"))
     t = t.select(key, F.size("terms").alias("doc_len"), F.posexplode("terms").alias("pos", "term"))
+    if terms is not None and analyzer == "simple":
+        t = t.filter(F.col("term").isin(terms))
+    elif terms is not None:
+        # as many words as share a stem with the query's, whatever the size of the corpus
+        words = _stems(t).filter(F.col("stem").isin(terms))
+        t = t.join(F.broadcast(words), "term").select(key, "doc_len", "pos", F.col("stem").alias("term"))
+        analyzer = "simple"
     postings = t.groupBy("term", key).agg(
         F.count(F.lit(1)).alias("tf"), F.min("pos").alias("first_pos"), F.max("doc_len").alias("doc_len")
     )
     return postings if analyzer == "simple" else stem_postings(postings, key)
 
 
-def stem_postings(postings: DataFrame, key: str = "uuid") -> DataFrame:
-    """The english form of simple postings: stop words dropped, words of one stem merged.
-    Positions were counted already, so the vocabulary meets one row per (term, document)."""
+def _stems(words: DataFrame) -> DataFrame:
+    """(term, stem) of the distinct words but stop words. The rows leave through a generator:
+    conditions on stems stay above it, so the stemmer sees distinct words only."""
     from ..functions.text import ENGLISH_STOP_WORDS, porter_stem_udf
     from ..session import ship_package
 
-    ship_package(postings.sparkSession)
-    t = postings.filter(~F.col("term").isin(ENGLISH_STOP_WORDS))
-    vocab = t.select("term").distinct().select("term", porter_stem_udf("term").alias("stem"))
-    return t.join(vocab, "term").groupBy(F.col("stem").alias("term"), key).agg(
+    ship_package(words.sparkSession)
+    vocab = words.select("term").filter(~F.col("term").isin(ENGLISH_STOP_WORDS)).distinct()
+    return vocab.select(F.inline(F.array(F.struct("term", porter_stem_udf("term").alias("stem")))))
+
+
+def stem_postings(postings: DataFrame, key: str = "uuid") -> DataFrame:
+    """The english form of simple postings: stop words dropped, words of one stem merged.
+    Positions were counted already, so the vocabulary meets one row per (term, document)."""
+    return postings.join(_stems(postings), "term").groupBy(F.col("stem").alias("term"), key).agg(
         F.sum("tf").alias("tf"), F.min("first_pos").alias("first_pos"), F.max("doc_len").alias("doc_len"))
 
 

@@ -116,6 +116,17 @@ class Catalog:
 
         return self._get("text_index_english", lambda: build_index(self.messages, analyzer="english"))
 
+    def postings(self, terms: list[str], analyzer: str) -> DataFrame:
+        """The index to look a query's terms up in. An english index that isn't stored is built
+        for these terms only (a filter on stems would not get below the stemmer)."""
+        from ..operators.search import build_index
+
+        if analyzer == "simple":
+            return self.text_index
+        if self._given.get("text_index_english") is None and "text_index_english" not in getattr(self, "_loaders", {}):
+            return build_index(self.messages, analyzer=analyzer, terms=terms)
+        return self.text_index_english
+
     @property
     def term_counts(self) -> DataFrame | None:
         """Stored document frequencies (analyzer, term, n_t), where the index has such."""

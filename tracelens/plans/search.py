@@ -19,10 +19,9 @@ def _matches(cat: Catalog, q: str, role=None, project=None, window: TimeWindow |
         from ..functions.text import english_query_terms
 
         terms = english_query_terms(q)
-        index = cat.text_index_english
     else:
         terms = query_terms(q)
-        index = cat.text_index
+    index = cat.postings(terms, analyzer)
     counts = cat.term_counts
     if counts is not None:
         counts = counts.filter(F.col("analyzer") == analyzer)
