@@ -209,3 +209,55 @@ def test_english_postings_of_a_query_leave_other_words_alone(spark):
     assert plan.count("ArrowEvalPython") == 2  # the postings and their document frequencies
     filtered = search.build_index(docs, analyzer="english").filter(F.col("term").isin(terms))
     assert filtered._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1  # not the postings as well
+
+
+def test_a_store_keeps_the_tables_it_is_asked_for(spark):
+    rows = [on_day(f"k{i}", f"s{i % 3}", 1 + i % 4, f"outputs of step {i}") for i in range(9)]
+    root, whole = tempfile.mkdtemp(prefix="tl-some-"), tempfile.mkdtemp(prefix="tl-all-")
+    for batch in (rows[:6], rows[3:], rows[:6]):
+        ingest.ingest_lines(spark, lines(spark, batch), root, tables=["text_postings", "session_parts"])
+        ingest.ingest_lines(spark, lines(spark, batch), whole)
+    some, all_ = ingest.open_store(spark, root), ingest.open_store(spark, whole)
+    assert {"events", "messages", "sessions", "text_index"} <= set(some)
+    assert not {"changes", "usage_daily", "term_counts", "corpus_stats", "text_index_english"} & set(some)
+    for t in ("messages", "sessions", "text_index"):
+        assert rows_of(some[t]) == rows_of(all_[t]), t
+    with pytest.raises(ValueError, match="doesn't keep"):  # its earlier events would be missing
+        ingest.ingest_lines(spark, lines(spark, rows), root, tables=["changes"])
+    with pytest.raises(ValueError, match="unknown"):
+        ingest.ingest_lines(spark, lines(spark, rows), tempfile.mkdtemp(), tables=["nothing"])
+
+
+def test_a_replay_writes_no_events_and_a_batch_its_rows_once(spark, monkeypatch):
+    root, wrote, write = tempfile.mkdtemp(prefix="tl-replay-"), [], store.Step.write
+
+    def spy(self, table, df, level=0):
+        wrote.append((table, df._jdf.queryExecution().executedPlan().toString()))
+        return write(self, table, df, level)
+
+    monkeypatch.setattr(store.Step, "write", spy)
+    rows = [event(f"r{i}", "s", i % 60) for i in range(20)]
+    assert ingest.ingest_lines(spark, lines(spark, rows), root) == 20
+    plans = dict(wrote)
+    # parsed rows are not sorted or moved to find what is new; a frequent word's postings go to several ranges
+    assert "Exchange" not in plans[ingest.BATCH] and "Sort" not in plans[ingest.BATCH]
+    assert plans["events"].count("Exchange") == 1 and "Exchange" not in plans["messages"] + plans["tool_uses"] + plans["changes"]
+    assert "uuid" in plans["text_postings"].split("rangepartitioning(")[1].split(")")[0]
+    wrote.clear()
+    assert ingest.ingest_lines(spark, lines(spark, rows), root) == 0
+    assert [t for t, _ in wrote] == [ingest.BATCH] and not os.listdir(f"{root}/{ingest.BATCH}")
+
+
+def test_a_batch_splits_its_key_buckets_at_once(spark, monkeypatch):
+    monkeypatch.setattr(keys, "BUCKET_KEYS", 4)
+    root, added, add = tempfile.mkdtemp(prefix="tl-rounds-"), [], store.Step.add
+    ingest.ingest_lines(spark, lines(spark, [event(f"a{i}", "s", i) for i in range(8)]), root, buckets=1)
+    assert store.snapshot(spark, root).keys["first"] == 2  # as many as the first batch fills
+    monkeypatch.setattr(store.Step, "add", lambda self, table, df: added.append(table) or add(self, table, df))
+    ingest.ingest_lines(spark, lines(spark, [event(f"b{i}", "s", i) for i in range(24)]), root)
+    now = store.snapshot(spark, root)
+    assert (now.keys["level"], now.keys["split"], now.keys["n"]) == (2, 0, 32) and added == ["event_keys", "key_blooms"] * 2
+    held = now.read("event_keys", ingest.table_schemas(spark)["event_keys"])
+    again = keys.with_key_columns(held.select("uuid"), "uuid", 2, 2, 0)
+    assert rows_of(held) == rows_of(again.select(*held.columns)) and held.count() == 32
+    assert ingest.ingest_lines(spark, lines(spark, [event(f"b{i}", "s", i) for i in range(24)]), root) == 0
