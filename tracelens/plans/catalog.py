@@ -32,6 +32,8 @@ class Catalog:
                            host_sync_state=host_sync_state, hooks=hooks, text_index=text_index,
                            corpus_stats=corpus_stats, text_index_english=text_index_english, term_counts=term_counts)
 
+    sf_dir: str | None = None
+
     @classmethod
     def from_driver(cls, spark: SparkSession, sf_dir: str) -> "Catalog":
         c = cls(spark, bound=bind(spark, sf_dir))
@@ -91,7 +93,9 @@ class Catalog:
         def build():
             if self._bound is not None and all(self._given.get(k) is None for k in ("events", "messages", "tool_uses")):
                 # bound data: events and messages are the same lines (see rollup_sessions_lines)
-                s = derive.rollup_sessions_lines(self._bound.lines, self.pricing)
+                # the rollup sorts a task's lines, so its tasks are of a bounded size, however few the files' parts are
+                bound = self._bound if self.sf_dir is None else bind(self.spark, self.sf_dir, spread=True)
+                s = derive.rollup_sessions_lines(bound.lines, self.pricing)
             else:
                 s = derive.rollup_sessions(self.events, self.messages, self.tool_calls, self.pricing)
             if self.hooks is not None:
