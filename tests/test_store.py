@@ -261,3 +261,25 @@ def test_a_batch_splits_its_key_buckets_at_once(spark, monkeypatch):
     again = keys.with_key_columns(held.select("uuid"), "uuid", 2, 2, 0)
     assert rows_of(held) == rows_of(again.select(*held.columns)) and held.count() == 32
     assert ingest.ingest_lines(spark, lines(spark, [event(f"b{i}", "s", i) for i in range(24)]), root) == 0
+
+
+def test_payloads_are_written_as_they_are(spark):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    root = tempfile.mkdtemp(prefix="tl-plain-")
+    ingest.ingest_lines(spark, lines(spark, [event(f"u{i}", "s", i % 60) for i in range(30)]), root)
+    files = glob.glob(f"{root}/events/seg=*/day=*/*.parquet")
+    fields = {p for f in files for p in (c.path for c in pq.ParquetFile(f).schema) if p.startswith("payload.")}
+    assert fields == {"payload.value", "payload.metadata"}
+
+
+def test_postings_are_shuffled_once_and_split_once(spark):
+    docs = spark.createDataFrame([("a", "two two words"), ("b", ""), ("c", None), ("a", "two"), (None, "Words")], "uuid string, text_content string")
+    makes = {"text_postings": search.build_index, "text_postings_english": lambda d, ranged: search.stem_postings(search.build_index(d), ranged=ranged)}
+    for table, make in makes.items():
+        assert rows_of(make(docs, ranged=True)) == rows_of(make(docs, ranged=False)), table
+    rows = ingest._dealt("text_postings", ingest.WAVES[1]["text_postings"](spark, {"messages": docs}), stay=True)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "rangepartitioning" in plan and plan.count("regexp_extract_all") == 1
