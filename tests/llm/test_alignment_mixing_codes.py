@@ -315,3 +315,26 @@ def test_codes_of_a_whole_table(spark):
     got = codes.codes(table).collect()
     want, digest = coded(rows)
     assert Counter((r.vec_id, r.code, r.error, r.label_error) for r in got) == want and {r.codebooks_sha256 for r in got} == {digest}
+
+
+def test_chunk_table_keeps_what_comes_again_and_encodes_lines(monkeypatch):
+    def table():
+        return alignment.ChunkTable(A, B)
+
+    one, two = table(), table()
+    chunks = ["plain", "two\nlines", "", " lead", "trail ", "é", "ﬁ", "\U0001f600", "<s>", "</s>", "\x00", "a▁b", "1/2", *(f"w{i}" for i in range(300))]
+    one.learn(chunks)
+    two._add(chunks)
+    for c in chunks:
+        assert one.fine[one[c]] == two.fine[two[c]], c
+        if one.fine[one[c]]:
+            for side in (0, 1):
+                assert one.gather(side, np.array([one[c]]))[0].tolist() == two.gather(side, np.array([two[c]]))[0].tolist(), c
+    # a full table forgets the chunks that came once
+    monkeypatch.setattr(alignment, "TABLE_BYTES", 40_000)
+    held = table()
+    texts = ["the cat the cat", " ".join(f"x{i}" for i in range(300)), "dog the"]
+    first = [alignment.tokens([t], held) for t in texts]
+    assert "the" in held and "cat" in held and "x1" not in held
+    for t, got in zip(texts, first, strict=True):
+        assert all((x == y).all() for x, y in zip(got, alignment.tokens([t], table()), strict=True))

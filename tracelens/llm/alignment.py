@@ -7,8 +7,9 @@ which tokens of the two don't overlap across an edge. Within a group every A tok
 linked with every B token.
 
 Both tokenisers part a text before a single blank that a visible character follows, so
-each distinct chunk between such blanks is tokenised once per worker; the coalescing runs
-over the tokens of whole batches of texts.
+distinct chunks between such blanks are tokenised apart, lines of them at once, and kept in
+a worker's table while they come again; the coalescing runs over the tokens of whole batches
+of texts.
 
 ``align`` writes one row per document (ids, group sizes, distinct linked pairs with their
 numbers of links); ``pair_counts`` counts the documents that hold a pair; ``link_scores``
@@ -37,8 +38,10 @@ from pyspark.sql import functions as F
 from .common import python_tasks, stored
 
 MARK = "▁"
-#: Bytes that a worker's chunk table may take; a full table is emptied.
+#: Bytes that a worker's chunk table may take; a full table keeps the chunks that came again, half of them at most.
 TABLE_BYTES = 48 << 20
+#: Chunks that are encoded as one text; one whose bytes aren't given back is encoded chunk by chunk.
+JOINED = 128
 #: Bytes of texts that are aligned at once (a longer text by itself).
 SLICE_BYTES = 1 << 18
 #: Pairs whose counts every task holds (16 bytes each).
@@ -86,8 +89,24 @@ class ChunkTable(dict):
         self.ids = [np.zeros(0, "int32")] * 2
         self.at = [np.zeros(1, "int64")] * 2
         self.fine = np.zeros(0, bool)
+        self.hits = np.zeros(0, "int64")
         self.used = 0
 
+    def shrink(self) -> None:
+        """Keep the chunks that came more than once, the half that came most often at most."""
+        again = np.flatnonzero(self.hits > 1)
+        kept = np.sort(again[np.argsort(-self.hits[again], kind="stable")[: len(self) // 2]])
+        names = list(self)  # in the order of their numbers
+        names = [names[i] for i in kept.tolist()]
+        gathered = [self.gather(side, kept) for side in (0, 1)]
+        fine, hits = self.fine[kept], self.hits[kept] // 2
+        self.empty()
+        self.ids = [ids.astype("int32") for ids, _ in gathered]
+        self.at = [np.concatenate([[0], np.cumsum(n)]) for _, n in gathered]
+        self.fine, self.hits = fine, hits
+        self.update(zip(names, range(len(names)), strict=True))
+        self.used = sum(200 + 8 * (1 + len(c.encode())) for c in names)
+
     def _a_token(self, i: int, stand_in: dict[str, int]) -> bytes:
         token = self.a.id_to_token(i) or ""
         return bytes(stand_in[c] for c in token) if all(c in stand_in for c in token) else token.encode()
@@ -99,8 +118,45 @@ class ChunkTable(dict):
     def learn(self, chunks: list[str]) -> None:
         """Make sure that all of these chunks are in the table."""
         if self.used > TABLE_BYTES:
-            self.empty()
+            self.shrink()
+            if self.used > TABLE_BYTES // 4 * 3:
+                self.empty()  # a few long chunks fill it
         new = list(set(chunks).difference(self))
+        if not new:
+            return
+        # chunks that stand between blanks as they do in texts are encoded as lines of JOINED ones
+        inner = [c for c in new if c and not c[0].isspace() and not c[-1].isspace()]
+        if len(inner) < len(new):
+            known = set(inner)
+            self._add([c for c in new if c not in known])
+        lines = [inner[i : i + JOINED] for i in range(0, len(inner), JOINED)]
+        texts = [" ".join(line) for line in lines]
+        sides = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)], self.b.encode(texts, num_threads=1)
+        done, apart = [], []
+        for line, text, *ids in zip(lines, texts, *sides, strict=True):
+            lengths = np.fromiter((1 + len(c.encode()) for c in line), "int64", len(line))
+            ends, whole, at, row = np.cumsum(lengths), (" " + text).encode(), [], [np.array(x, "int32") for x in ids]
+            for side, (found, piece) in enumerate(zip(ids, self.bytes, strict=True)):
+                covered = np.cumsum(self.len[side][row[side]])
+                k = np.minimum(np.searchsorted(covered, ends), len(covered) - 1)
+                if not len(covered) or (covered[k] != ends).any() or b"".join(map(piece.__getitem__, found)) != whole:
+                    break  # one of its chunks isn't given back
+                at.append(k + 1)
+            if len(at) < 2:
+                apart += line
+            else:
+                done.append((line, row, at, int(lengths.sum())))
+        if done:
+            names = [c for line, *_ in done for c in line]
+            for side in (0, 1):
+                n = np.concatenate([np.diff(at[side], prepend=0) for _, _, at, _ in done])
+                self.at[side] = np.concatenate([self.at[side], np.cumsum(n) + len(self.ids[side])])
+                self.ids[side] = np.concatenate([self.ids[side], *(row[side] for _, row, _, _ in done)])
+            self._named(names, np.ones(len(names), bool), sum(size for *_, size in done))
+        self._add(apart)
+
+    def _add(self, new: list[str]) -> None:
+        """Chunks that are encoded one by one."""
         if not new:
             return
         whole = [(" " + c).encode() for c in new]
@@ -108,8 +164,8 @@ class ChunkTable(dict):
         fine = np.ones(len(new), bool)
         sides = [e.ids for e in self.a.encode_batch_fast([" " + c for c in new], add_special_tokens=False)], self.b.encode(new, num_threads=1)
         for side, lists in enumerate(sides):
-            n = np.array([len(x) for x in lists])
-            ids = np.fromiter((i for x in lists for i in x), "int32", int(n.sum()))
+            n = np.fromiter(map(len, lists), "int64", len(lists))
+            ids = np.fromiter(chain.from_iterable(lists), "int32", int(n.sum()))
             at = np.cumsum(n)
             covered = np.concatenate([[0], np.cumsum(self.len[side][ids])])[at]
             piece = self.bytes[side]
@@ -117,9 +173,13 @@ class ChunkTable(dict):
                 fine &= np.array([b"".join(map(piece.__getitem__, x)) == w for x, w in zip(lists, whole, strict=True)])
             self.at[side] = np.concatenate([self.at[side], at + len(self.ids[side])])
             self.ids[side] = np.concatenate([self.ids[side], ids])
+        self._named(new, fine, int(lengths.sum()))
+
+    def _named(self, new: list[str], fine: np.ndarray, size: int) -> None:
         self.fine = np.concatenate([self.fine, fine])
+        self.hits = np.concatenate([self.hits, np.zeros(len(new), "int64")])
         self.update(zip(new, range(len(self), len(self) + len(new)), strict=True))
-        self.used += 200 * len(new) + 8 * int(lengths.sum())
+        self.used += 200 * len(new) + 8 * size
 
     def gather(self, side: int, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of a row of chunks, and how many each has."""
@@ -137,6 +197,9 @@ def chunk_table(a_file: str, b_file: str) -> ChunkTable:
 
 def chunks_of(text: str) -> list[str]:
     """The text's chunks, each without the blank before it (the first one's is put there)."""
+    words, edges = text.split(), text.count(" ") + text.count("\n")
+    if len(words) == 1 + edges and sum(map(len, words)) == len(text) - edges:
+        return text.split(" ")  # white space is single blanks and line ends between visible characters
     first, *others = _CUT.split(" " + text)
     return others if not first else [first[1:], *others]
 
@@ -147,8 +210,11 @@ def tokens(texts: list[str | None], table: ChunkTable) -> tuple[np.ndarray, np.n
     flat = list(chain.from_iterable(parts))
     table.learn(flat)
     numbers = np.fromiter(map(table.__getitem__, flat), "int64", len(flat))
+    table.hits += np.bincount(numbers, minlength=len(table))
     doc = np.repeat(np.arange(len(texts)), [len(p) for p in parts])
-    kept = ~np.isin(doc, doc[~table.fine[numbers]])
+    bad = np.zeros(len(texts), bool)
+    bad[doc[~table.fine[numbers]]] = True
+    kept = ~bad[doc]
     out, counts = [], []
     for side in (0, 1):
         ids, n = table.gather(side, numbers[kept])
@@ -162,7 +228,7 @@ def coalesce(a_len: np.ndarray, b_len: np.ndarray) -> tuple[np.ndarray, np.ndarr
     a_end, b_end = np.cumsum(a_len), np.cumsum(b_len)
     start = np.concatenate([a_end - a_len, b_end - b_len])
     end = np.concatenate([a_end, b_end])
-    order = np.lexsort((np.arange(len(start)) >= len(a_end), start))
+    order = np.argsort(start, kind="stable")  # two sorted runs, A's tokens first
     reach = np.maximum.accumulate(end[order])
     opens = np.ones(len(start), bool)
     opens[1:] = start[order][1:] >= reach[:-1]
@@ -193,6 +259,14 @@ def _products(ga, a, wa, gb, b, wb, groups: int) -> Iterator[tuple[np.ndarray, n
         lo = hi
 
 
+def _added(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, sorted, and the sum of each one's times."""
+    names, at = np.unique(keys, return_inverse=True)
+    total = np.zeros(len(names), "int64")
+    np.add.at(total, at, times)
+    return names, total
+
+
 def linked_pairs(ga, a, gb, b, doc_of_group, sizes: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, a * sizes[1] + b, number of links), sorted, over all documents."""
     groups = len(doc_of_group)
@@ -204,18 +278,16 @@ def linked_pairs(ga, a, gb, b, doc_of_group, sizes: tuple[int, int]) -> tuple[np
         (*_merged(ga[big_a], a[big_a], sizes[0]), *_merged(gb[big_b], b[big_b], sizes[1])),
     ]
     keys, times = [], []
-    for side in sides:
+    for merged, side in enumerate(sides):
         for group, x, y, n in _products(*side, groups):
-            key, at = np.unique((doc_of_group[group] * sizes[0] + x) * sizes[1] + y, return_inverse=True)
+            key = (doc_of_group[group] * sizes[0] + x) * sizes[1] + y
+            # tokens that were not merged make one link each: sorted keys tell the numbers
+            key, total = _added(key, n) if merged else np.unique(key, return_counts=True)
             keys.append(key)
-            total = np.zeros(len(key), "int64")
-            np.add.at(total, at, n)
             times.append(total)
     if not keys:
         return (np.zeros(0, "int64"),) * 3
-    key, at = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.zeros(len(key), "int64")
-    np.add.at(total, at, np.concatenate(times))
+    key, total = (keys[0], times[0]) if len(keys) == 1 else _added(np.concatenate(keys), np.concatenate(times))
     return key // (sizes[0] * sizes[1]), key % (sizes[0] * sizes[1]), total
 
 
