@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from test_pairs import brute_repeats, sets_of, union
-from tracelens.llm import pseudonyms, quality
+from tracelens.llm import chosen_path, common, packing, pseudonyms, quality
 from tracelens.llm.common import stored, table
 from tracelens.llm.queries import DEMO_KEY
 
@@ -90,3 +90,16 @@ def test_run_gives_the_last_stage(spark):
     assert out.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     g = out.groupBy("sequence_id").agg(F.sum("length").alias("n")).orderBy("sequence_id").collect()
     assert all(r.n == 2048 for r in g[:-1])
+
+
+def test_a_worker_holds_the_tables_of_one_stage():
+    """Words that an earlier stage's operator kept in a worker go when the next one starts."""
+    first, second = {"a": 1}, {}
+    common.keep_only(first)
+    common.keep_only(first)
+    assert first
+    common.keep_only(second)
+    assert not first
+    quality._SHAPES["word"]
+    tasks = chosen_path.sketches, chosen_path.Join.full_sets, quality.score, packing.tokenised
+    assert all("keep_only" in f.__code__.co_names or any("keep_only" in getattr(c, "co_names", ()) for c in f.__code__.co_consts) for f in tasks)

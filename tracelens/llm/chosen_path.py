@@ -54,7 +54,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import python_tasks, stored
+from .common import keep_only, python_tasks, stored
 from .components import joined_components
 
 WORDS = 5
@@ -118,6 +118,7 @@ def sketches(docs: DataFrame, text: str, key: str) -> DataFrame:
     """(id, n, k1, k2, sig): size, 128-bit digest and signature of each document's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only(_WORDS)
         for b in batches:
             sets = [shingles(t) for t in b.column(1).to_pylist()]
             digest = np.frombuffer(b"".join(xxhash.xxh128_digest(s.tobytes()) for s in sets), "int64").reshape(-1, 2)
@@ -405,6 +406,7 @@ class Join:
         text, key = self.text, self.key
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            keep_only(_WORDS)
             for b in batches:
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["id", "s"])
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +29,22 @@ def python_tasks(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
 
 
+_kept: tuple[dict, ...] = ()
+
+
+def keep_only(*tables: dict) -> None:
+    """Called by a Python task that fills ``tables``: those that an earlier stage's operator
+    filled in this worker are emptied, so a worker holds one operator's at a time."""
+    global _kept
+    left = [t for t in _kept if not any(t is u for u in tables)]
+    _kept = tables
+    if any(left):
+        for t in left:
+            t.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share (``spark.checkpoint.dir``). Where it is unset, as
     in tests on one machine, a scratch folder is made; a cluster without it is an error."""

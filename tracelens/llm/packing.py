@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import python_tasks, stored
+from .common import keep_only, python_tasks, stored
 
 SEQUENCE = 2048
 END_ID = 1
@@ -77,6 +77,7 @@ def tokenised(docs: DataFrame, tokenizer_file: str, text: str = "text", key: str
     python_tasks(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only(_TABLES)
         table, part, at = word_table(tokenizer_file), TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import python_tasks, labelled_sample
+from .common import keep_only, python_tasks, labelled_sample
 
 PER_CLASS = 2000
 RANK = 48
@@ -112,6 +112,7 @@ def fit(sample: DataFrame) -> Model:
     python_tasks(sample.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only(_SHAPES)
         for b in batches:
             x = [terms(t).astype("float32").tobytes() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), pa.array(x, pa.binary()), b.column(2)], names=["k", "x", "y"])
@@ -136,6 +137,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", column: str = "scor
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only(_SHAPES)
         for b in batches:
             texts = [t or "" for t in b.column(at).to_pylist()]
             s = np.concatenate([shared.value.scores(texts[i : i + 512]) for i in range(0, len(texts), 512)]) if texts else np.zeros(0)
