@@ -126,6 +126,17 @@ def test_template_and_straggling_copies_equal_brute_force(spark, monkeypatch):
     assert all(out <= 5 * rows for rows, out in sent)  # a forest of each node at most
 
 
+def test_large_nodes_on_the_way_are_left_out(spark):
+    """Of a step's large nodes those of its last level count; their children cover the others."""
+    docs = [(i, " ".join([f"w{j}" for j in range(120)] + [f"t{i}"])) for i in range(60)]
+    join = chosen_path.Join(spark.createDataFrame(docs, "doc_id long, text string"), 85, "text", "doc_id")
+    rows = join.step(join.start([*range(4)], None), 3).collect()
+    assert any(r["size"] > chosen_path.LEAF for r in rows)
+    assert all(r["last"] for r in rows if r["size"] > chosen_path.LEAF)
+    rows = join.step(join.start([*range(4)], None), 2, small=False).collect()
+    assert rows and all(r["last"] and r["size"] > chosen_path.LEAF for r in rows)
+
+
 def test_chosen_path_join_of_odd_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert chosen_path.near_duplicates(empty).count() == 0

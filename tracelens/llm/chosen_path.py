@@ -298,12 +298,14 @@ class Join:
         sets = sets.withColumn("c", F.col("id")) if joined is None else sets.join(joined, "id", "left").withColumn("c", F.coalesce("c", "id"))
         return sets.select("id", "c", "sig", F.explode(F.array(*(F.xxhash64(F.lit(t)) for t in roots))).alias("path"))
 
-    def step(self, now: DataFrame, levels: int, every: bool = True) -> DataFrame:
-        """(path, last, id, c, size): the nodes of the next levels (or of the last of them
-        only) that hold more than one component."""
-        now = now.select("id", "c", F.inline(descent(self.percent, levels))).where("last" if not every else "true")
-        size = now.groupBy("path").agg(F.count("*").alias("size"), F.min("c").alias("lo"), F.max("c").alias("hi"))
-        return stored(self.spark, now.join(size.where("lo != hi").select("path", "size"), "path"), "nodes")
+    def step(self, now: DataFrame, levels: int, small: bool = True) -> DataFrame:
+        """(path, last, id, c, size): the nodes of the next levels that hold more than one
+        component and are of use: large ones of the last level, whose children cover those on
+        the way, and small ones (if ``small``) of all."""
+        now = now.select("id", "c", F.inline(descent(self.percent, levels))).where("true" if small else "last")
+        size = now.groupBy("path").agg(F.count("*").alias("size"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("last").alias("deep"))
+        of_use = size.where("lo != hi").where(f"size <= {LEAF} or deep" if small else f"size > {LEAF}")
+        return stored(self.spark, now.join(of_use.select("path", "size"), "path"), "nodes")
 
     def deeper(self, large: DataFrame) -> DataFrame:
         return large.select("path", "id", "c").join(self.sets.select("id", "sig"), "id")
@@ -315,7 +317,7 @@ class Join:
     def gathered(self) -> DataFrame | None:
         """Links that join groups of copies: of large nodes two levels down, blocks of the
         members and two pivots of the node."""
-        large = self.step(self.start([-1 - t for t in range(GATHER)], None), 2, every=False).where(f"size > {LEAF}")
+        large = self.step(self.start([-1 - t for t in range(GATHER)], None), 2, small=False)
         blocks, draw = F.ceil(F.col("size") / BLOCK), F.struct(F.xxhash64("path", "id").alias("h"), "id", "c")
         members = large.select(F.xxhash64("path", F.pmod(F.xxhash64("path", "id"), blocks)).alias("node"), "id", "c")
         pivots = large.groupBy("path").agg(F.first("size").alias("size"), F.array(F.min(draw), F.max(draw)).alias("p")).where(f"size > {BLOCK}")
