@@ -1,8 +1,12 @@
 """Operators on pairs of rows against brute force."""
 
 import random
+import sys
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
+import zstandard
 
 from tracelens.llm import chosen_path, neighbours, repeats, reputation
 from tracelens.llm.components import components, joined_components
@@ -212,6 +216,41 @@ def test_large_buckets_are_dealt_out_by_windows(spark, monkeypatch):
         assert got[i].kept == bytes(c for c, g in zip((t or "").encode(), want[i], strict=True) if not g), i
 
 
+def test_pairs_of_blocks_and_buckets_are_not_worked_on_one_by_one():
+    """Their number grows with the square of the corpus: a pair may be packed and unpacked only."""
+    rng = random.Random(5)
+    shared = ["".join(rng.choices("abcdefgh ", k=400)) for _ in range(40)]
+    texts = [(rng.choice(shared) + "".join(rng.choices("xyz ", k=30)) + rng.choice(shared)).encode() for _ in range(120)]
+    want = brute_repeats(list(enumerate(texts)))
+    sent = pa.record_batch({
+        "block": pa.array([1], pa.int64()), "ids": pa.array([np.arange(len(texts)).tobytes()], pa.binary()),
+        "sizes": pa.array([np.array([len(t) for t in texts]).tobytes()], pa.binary()), "z": pa.array([zstandard.compress(b"".join(texts))], pa.binary())})
+    calls = {}
+    for bits in (2, 10):
+        made = 0
+
+        def count(frame, event, arg):
+            nonlocal made
+            made += event in ("call", "c_call")
+
+        anchors = pd.concat(b.to_pandas() for b in repeats.send_anchors(bits)(iter([sent])))
+        hits = pd.concat(repeats.repeated(rows) for _, rows in anchors.groupby("bucket"))
+        of = sent.append_column("hits", pa.array([hits[["bucket", "hits"]].to_dict("records")]))
+        sys.setprofile(count)
+        try:
+            found = pd.concat(b.to_pandas() for b in repeats.send_contexts(bits)(iter([of])))
+            sys.setprofile(None)
+            told = pd.concat(repeats.merge_bucket(rows) for _, rows in found.groupby("bucket")).to_dict("records")
+            sys.setprofile(count)
+            gone = repeats.removed(repeats.Block(*(sent.column(i)[0].as_py() for i in (3, 1, 2))), told)
+        finally:
+            sys.setprofile(None)
+        assert gone.tobytes() == b"".join(want[i] for i in range(len(texts)))
+        calls[len(told)] = made
+    (few, a), (many, b) = sorted(calls.items())
+    assert many > 20 * few and (b - a) / (many - few) < 60, calls
+
+
 def test_repeats_of_odd_tables(spark):
     assert repeats.without_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     t = "".join(chr(97 + i % 26) for i in range(60))

@@ -19,15 +19,18 @@ is removed; strings are judged on the input, and never cross documents.
 5. Blocks cut what an earlier document holds.
 
 Everything that moves is packed by block and bucket; a passage that a third of all rows hold
-is one context for each block. Null texts count as empty. Rows with equal keys are one
+is one context for each block. Blocks and buckets both grow with the corpus, their pairs with its
+square, so what is done for a pair is no more than to pack and unpack its bytes; all else is done
+for a whole block or bucket at once. Null texts count as empty. Rows with equal keys are one
 document (they don't remove each other), a null key comes before all others. Extra columns
 are not read.
 """
 
 from __future__ import annotations
 
+import functools
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -54,7 +57,7 @@ BUCKET_CONTEXTS = 300_000
 LEAST_BUCKET_BITS = 6
 SHARDS = 16
 FIRST_KEY = -(1 << 63)
-TOLD = "block long, pos binary, which binary, whole binary, mask binary"
+TOLD = "block long, uses binary, told binary"
 
 
 def blocks(docs: DataFrame, text: str, key: str) -> DataFrame:
@@ -175,13 +178,55 @@ def code(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (h >> np.uint64(64 - bits)).astype("int64"), (h >> np.uint64(64 - bits - 31)).astype("uint32") & np.uint32(0x7FFFFFFF)
 
 
+@functools.cache
+def _zstd() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    """One of each for a process; to make them takes longer than a small piece does."""
+    return zstandard.ZstdCompressor(3), zstandard.ZstdDecompressor()
+
+
 def packed(x: np.ndarray) -> bytes:
     """Differences of neighbours, compressed."""
-    return zstandard.compress(np.diff(x.astype("int64"), prepend=np.int64(0)).tobytes(), 3)
+    return packed_pieces(x, [0, len(x)])[0]
+
+
+def packed_pieces(x: np.ndarray, edges: list[int]) -> list[bytes]:
+    """``packed`` of each x[edges[i] : edges[i + 1]]; the edges go from 0 to the end of ``x``."""
+    x = x.astype("int64")
+    d = np.diff(x, prepend=np.int64(0))
+    first = np.array([a for a, b in zip(edges, edges[1:], strict=False) if a < b], "int64")
+    d[first] = x[first]
+    raw, pack = d.tobytes(), _zstd()[0].compress
+    return [pack(raw[8 * a : 8 * b]) for a, b in zip(edges, edges[1:], strict=False)]
 
 
 def unpacked(z: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(zstandard.decompress(z), "int64"))
+    return unpacked_pieces([z])[0]
+
+
+def unpacked_pieces(pieces: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """What was packed, one piece after another, and the pieces' sizes."""
+    unpack = _zstd()[1].decompress
+    raw = [unpack(z) for z in pieces]
+    size = np.array([len(r) // 8 for r in raw], "int64")
+    x = np.cumsum(np.frombuffer(b"".join(raw), "int64"))
+    begin = np.cumsum(size) - size
+    return x - np.repeat(np.append(np.int64(0), x)[begin], size), size
+
+
+def halves(x: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first halves of the pieces, one after another, and the second ones."""
+    left = np.arange(len(x)) - np.repeat(np.cumsum(size) - size, size) < np.repeat(size // 2, size)
+    return x[left], x[~left]
+
+
+def in_turn(x: np.ndarray, y: np.ndarray, edges: list[int]) -> tuple[np.ndarray, list[int]]:
+    """x[a:b] and y[a:b] for each two edges, and the edges of these pairs: what ``halves`` takes
+    apart again."""
+    n = np.diff(edges)
+    at = np.arange(len(x)) + np.repeat(np.asarray(edges[:-1], "int64"), n)
+    out = np.empty(2 * len(x), "int64")
+    out[at], out[at + np.repeat(n, n)] = x, y
+    return out, [2 * e for e in edges]
 
 
 def split(buckets: np.ndarray) -> Iterator[tuple[int, slice]]:
@@ -218,14 +263,20 @@ def send_anchors(bits: int):
 
 def repeated(rows: pd.DataFrame) -> pd.DataFrame:
     """A bucket's anchors -> for each block those that two documents hold."""
-    sent = [np.frombuffer(x, "uint32") for x in rows["anchors"]]
-    merged = np.sort(np.concatenate(sent))
+    sent = np.frombuffer(b"".join(rows["anchors"]), "uint32")
+    merged = np.sort(sent)
     bare = merged >> np.uint32(1)
     again = np.flatnonzero(bare[1:] == bare[:-1])
     good = np.unique(np.concatenate([bare[again], bare[(merged & np.uint32(1)) == 1]]))
-    hits = [(x >> np.uint32(1))[np.isin(x >> np.uint32(1), good, assume_unique=True)].tobytes() for x in sent]
-    out = pd.DataFrame({"bucket": rows["bucket"], "block": rows["block"], "hits": hits})
-    return out[out["hits"].str.len() > 0]
+    if not len(good):
+        return pd.DataFrame({"bucket": rows["bucket"][:0], "block": rows["block"][:0], "hits": []})
+    sent = sent >> np.uint32(1)
+    hit = good[np.minimum(np.searchsorted(good, sent), len(good) - 1)] == sent
+    raw = sent[hit].tobytes()
+    ends = (np.append(0, np.cumsum(hit))[np.cumsum([len(x) // 4 for x in rows["anchors"]])] * 4).tolist()
+    hits = [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+    out = pd.DataFrame({"bucket": rows["bucket"].to_numpy(), "block": rows["block"].to_numpy(), "hits": hits})
+    return out[[len(x) > 0 for x in hits]]
 
 
 def send_contexts(bits: int):
@@ -233,7 +284,9 @@ def send_contexts(bits: int):
         for batch in batches:
             for number, ids, sizes, z, hits in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 block = Block(z, ids, sizes)
-                good = np.sort(np.concatenate([np.frombuffer(x["hits"], "uint32").astype("uint64") | np.uint64(x["bucket"] << 31) for x in hits]))
+                told = np.array([x["bucket"] for x in hits], "uint64") << np.uint64(31)
+                good = np.frombuffer(b"".join(x["hits"] for x in hits), "uint32") | np.repeat(told, [len(x["hits"]) // 4 for x in hits])
+                good = np.sort(good)
                 pos, h, doc = block.anchors()
                 bucket, rest = code(h, bits)
                 full = bucket.astype("uint64") << np.uint64(31) | rest
@@ -247,13 +300,18 @@ def send_contexts(bits: int):
                 rank = np.empty(len(order), "int64")
                 rank[order] = np.arange(len(order))
                 rows, least, which = rows[order], block.ids[doc[index]][order], rank[which]
-                by = np.argsort(bucket, kind="stable")
-                uses = {b: by[s] for b, s in split(bucket[by])}
-                out = [(b, zstandard.compress(rows[s].tobytes(), 3), packed(least[s]), packed(pos[uses[b]]), packed(which[uses[b]] - s.start), s.stop - s.start) for b, s in split(of[order])]
+                of = of[order]
+                first = np.flatnonzero(np.diff(of, prepend=of[0] - 1))
+                edges = [*first.tolist(), len(of)]
+                raw, pack = rows.tobytes(), _zstd()[0].compress
+                packs = [pack(raw[CONTEXT * a : CONTEXT * b]) for a, b in zip(edges, edges[1:], strict=False)]
+                by = np.argsort(bucket, kind="stable")  # a context and its places have one bucket
+                n = np.bincount(np.searchsorted(first, which[by], side="right") - 1, minlength=len(first))
+                uses = packed_pieces(*in_turn(pos[by], which[by] - np.repeat(first, n), [0, *np.cumsum(n).tolist()]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[0] for r in out], pa.int64()), pa.array([number] * len(out), pa.int64()), *(pa.array([r[i] for r in out], pa.binary()) for i in range(1, 5)),
-                     pa.array([r[5] for r in out], pa.int64())],
-                    names=["bucket", "block", "contexts", "least", "pos", "which", "n"],
+                    [pa.array(of[first]), pa.array(np.full(len(first), number, "int64")), pa.array(packs, pa.binary()), pa.array(packed_pieces(least, edges), pa.binary()),
+                     pa.array(uses, pa.binary()), pa.array(np.diff(edges))],
+                    names=["bucket", "block", "contexts", "least", "uses", "n"],
                 )
 
     return run
@@ -338,10 +396,9 @@ def least_of_runs(keys: np.ndarray, begins: np.ndarray) -> np.ndarray:
 def merge_bucket(rows: pd.DataFrame) -> pd.DataFrame:
     """A bucket's contexts from all blocks -> what each block has to know of its contexts."""
     rows = rows.sort_values("block")
-    x = [np.frombuffer(zstandard.decompress(z), "uint8").reshape(-1, CONTEXT) for z in rows["contexts"]]
-    sizes = np.array([len(s) for s in x])
-    x = np.concatenate(x).view(np.dtype((np.void, CONTEXT))).ravel()
-    keys = np.concatenate([unpacked(z) for z in rows["least"]])
+    unpack = _zstd()[1].decompress
+    x = np.frombuffer(b"".join(unpack(z) for z in rows["contexts"]), np.dtype((np.void, CONTEXT)))
+    keys, sizes = unpacked_pieces(rows["least"])
     # a context that several blocks sent is one row, with the least key, of its first sender
     x, first, which = np.unique(x, return_index=True, return_inverse=True)
     whole = np.full(len(x), np.iinfo("int64").max)
@@ -352,11 +409,8 @@ def merge_bucket(rows: pd.DataFrame) -> pd.DataFrame:
     x = x[order].view("uint8").reshape(-1, CONTEXT)
     mask = np.empty(len(x), "uint32")
     mask[order] = merge([s for s in np.split(x, ends) if len(s)], whole[order])
-    ends = np.cumsum(sizes)
-    cut = [slice(b - n, b) for b, n in zip(ends, sizes, strict=True)]
-    return pd.DataFrame({
-        "block": rows["block"].to_numpy(), "pos": rows["pos"].to_numpy(), "which": rows["which"].to_numpy(),
-        "whole": [packed(whole[which[c]]) for c in cut], "mask": [packed(mask[which[c]]) for c in cut]})
+    told = packed_pieces(*in_turn(whole[which], mask[which], [0, *np.cumsum(sizes).tolist()]))
+    return pd.DataFrame({"block": rows["block"].to_numpy(), "uses": rows["uses"].to_numpy(), "told": told})
 
 
 def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -377,12 +431,12 @@ def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def masks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for n, seen in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
+        for least, n, seen in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
             mask = np.zeros(n, "int64")
             for x in seen or ():
                 mask[x["c"]] = x["m"]
-            out.append(packed(mask))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(out, pa.binary())], names=["block", "pos", "which", "whole", "mask"])
+            out.append(packed(np.concatenate([unpacked(least), mask])))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, pa.binary())], names=["block", "uses", "told"])
 
 
 def match_windows(found: DataFrame) -> DataFrame:
@@ -392,29 +446,32 @@ def match_windows(found: DataFrame) -> DataFrame:
     shared = every.groupBy("at", "w").agg(F.min("least").alias("a"), F.max("least").alias("b")).where("a < b").select("at", "w", "a")
     seen = every.join(shared, ["at", "w"]).where("a < least").groupBy("bucket", "block", "c").agg(F.expr("bit_or(shiftleft(1L, at))").alias("m"))
     seen = seen.groupBy("bucket", "block").agg(F.collect_list(F.struct("c", "m")).alias("seen"))  # as many as a block's own contexts
-    rows = found.join(seen, ["bucket", "block"], "left").select("block", "pos", "which", F.col("least").alias("whole"), "n", "seen")
+    rows = found.join(seen, ["bucket", "block"], "left").select("block", "uses", "least", "n", "seen")
     return rows.mapInArrow(masks, TOLD)
 
 
 def removed(block: Block, told: list) -> np.ndarray:
     """Which bytes of a block go."""
+    if not told:
+        return np.zeros(len(block.data), "bool")
+    pos, which = halves(*(uses := unpacked_pieces(t["uses"] for t in told)))
+    whole, mask = halves(*(of := unpacked_pieces(t["told"] for t in told)))
+    which = which + np.repeat((np.cumsum(of[1]) - of[1]) // 2, uses[1] // 2)
+    whole, mask = whole[which], mask[which].astype("uint32")
+    doc = np.searchsorted(block.ends, pos, side="right")
+    later = block.ids[doc] > whole  # an earlier document holds all of this context
+    a = np.maximum(pos - LEFT, block.starts[doc])[later]
+    b = np.minimum(pos + LENGTH, block.ends[doc])[later]
+    fits = b - a >= LENGTH
     change = np.zeros(len(block.data) + 1, "int32")
-    for t in told or ():
-        pos, which = unpacked(t["pos"]), unpacked(t["which"])
-        whole, mask = unpacked(t["whole"])[which], unpacked(t["mask"])[which].astype("uint32")
-        doc = np.searchsorted(block.ends, pos, side="right")
-        later = block.ids[doc] > whole  # an earlier document holds all of this context
-        a = np.maximum(pos - LEFT, block.starts[doc])[later]
-        b = np.minimum(pos + LENGTH, block.ends[doc])[later]
-        fits = b - a >= LENGTH
-        np.add.at(change, a[fits], 1)
-        np.add.at(change, b[fits], -1)
-        pos, mask = pos[~later], mask[~later]
-        pos, mask = pos[mask > 0], mask[mask > 0]
-        for at in range(STARTS):
-            start = pos[(mask >> np.uint32(at)) & np.uint32(1) == 1] - LEFT + at
-            np.add.at(change, start, 1)
-            np.add.at(change, start + LENGTH, -1)
+    np.add.at(change, a[fits], 1)
+    np.add.at(change, b[fits], -1)
+    some = ~later & (mask > 0)
+    pos, mask = pos[some], mask[some]
+    for at in range(STARTS):
+        start = pos[(mask >> np.uint32(at)) & np.uint32(1) == 1] - LEFT + at  # a place has one anchor, so none comes twice
+        change[start] += 1
+        change[start + LENGTH] -= 1
     return np.cumsum(change[:-1]) > 0
 
 
@@ -439,14 +496,14 @@ def told_blocks(docs: DataFrame, text: str, key: str) -> DataFrame:
     hits = anchors.groupBy("bucket").applyInPandas(repeated, "bucket long, block long, hits binary")
     hits = hits.groupBy("block").agg(F.collect_list(F.struct("bucket", "hits")).alias("hits"))  # as many as a block's own anchors
     found = table.join(hits, "block").select("block", "ids", "sizes", "z", "hits")
-    found = found.mapInArrow(send_contexts(bits), "bucket long, block long, contexts binary, least binary, pos binary, which binary, n long")
+    found = found.mapInArrow(send_contexts(bits), "bucket long, block long, contexts binary, least binary, uses binary, n long")
     found = stored(spark, found, "contexts")
     hot = found.groupBy("bucket").agg(F.sum("n").alias("of")).where(F.col("of") > BUCKET_CONTEXTS).select("bucket")
     hot = stored(spark, hot, "hot_buckets")
     told = found.join(hot, "bucket", "left_anti").groupBy("bucket").applyInPandas(merge_bucket, TOLD)
     if not hot.isEmpty():
         told = told.unionByName(match_windows(found.join(hot, "bucket", "left_semi")))
-    told = told.groupBy("block").agg(F.collect_list(F.struct("pos", "which", "whole", "mask")).alias("told"))
+    told = told.groupBy("block").agg(F.collect_list(F.struct("uses", "told")).alias("told"))
     return table.join(told, "block", "left").select("ids", "sizes", "z", "rest", "told")
 
 
