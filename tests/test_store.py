@@ -283,3 +283,51 @@ def test_postings_are_shuffled_once_and_split_once(spark):
     rows = ingest._dealt("text_postings", ingest.WAVES[1]["text_postings"](spark, {"messages": docs}), stay=True)
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange ") == 1 and "rangepartitioning" in plan and plan.count("regexp_extract_all") == 1
+
+
+def test_a_step_looks_up_a_lines_fields_once(spark, monkeypatch):
+    root, plans, write = tempfile.mkdtemp(prefix="tl-once-"), {}, store.Step.write
+
+    def spy(self, table, df, level=0):
+        plans[table] = df._jdf.queryExecution().optimizedPlan().toString()
+        return write(self, table, df, level)
+
+    monkeypatch.setattr(store.Step, "write", spy)
+    assert ingest.ingest_lines(spark, lines(spark, [event(f"o{i}", "s", i % 60) for i in range(20)]), root) == 20
+    # what a replay would do for nothing is left to the new lines, and a condition computes no field again
+    assert "gitBranch" not in plans[ingest.BATCH] and plans[ingest.BATCH].count("try_variant_get") == 1
+    assert "gitBranch" in plans["events"]
+    # a part that is cast to VARIANT is built anew: none but the fields that need one
+    for table in ("events", "messages", "tool_uses", "tool_results"):
+        assert "ArrayType(VariantType" not in plans[table], table
+
+
+def test_session_states_need_no_join_of_events_and_messages(spark):
+    make = next(wave["session_parts"] for wave in ingest.WAVES if "session_parts" in wave)
+    schemas = ingest.table_schemas(spark)
+    t = {name: spark.createDataFrame([], schemas[name]) for name in ("events", "messages", "tool_uses")}
+    plan = make(spark, t)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1  # the prices
+
+
+def test_session_states_equal_those_of_joined_tables(spark):
+    from tracelens.operators import derive
+    from tracelens.sources import transcripts as tr
+    from tracelens.sources.pricing import model_pricing
+
+    def row(i, kind, message, **more):
+        return json.dumps({"uuid": f"j{i}", "sessionId": f"s{i % 3}", "type": kind, "timestamp": f"2026-04-01T10:00:{i:02d}Z", "message": message, **more})
+
+    use = {"type": "tool_use", "id": "t", "name": "Read", "input": {"file_path": "/a"}}
+    tokens = {"input_tokens": 7, "output_tokens": 2, "cache_read_input_tokens": "3", "cache_creation_input_tokens": 1e12}
+    messages = [{"role": "assistant", "model": "claude-opus-4-6", "usage": tokens, "content": [use, 5, None, {"type": "text", "text": 5}, use]},
+                {"role": "user", "model": "m", "usage": [1], "content": [{"type": "tool_result", "content": [{"text": "in"}, {"text": 1}, "x"]}]},
+                {"role": 5, "content": "plain"}, "no object", None, ["odd"], {"content": {"type": "tool_use"}}, {"content": 5}]
+    rows = [row(i, kind, m, cwd=f"/{i}") for i, (kind, m) in enumerate((k, m) for k in ("user", "assistant", "progress") for m in messages)]
+    events = tr.to_events(tr.parse_lines(lines(spark, rows)), host="h")
+    prices = model_pricing(spark)
+    joined = derive.session_parts(events, tr.derive_messages(events), tr.extract_first_uses(events), prices)
+    found = derive.session_parts_lines(tr.session_lines(events), prices)
+    assert rows_of(found) == rows_of(joined) and found.schema == joined.schema
+    texts = {r.uuid: r.text_content for r in tr.derive_messages(events).collect()}
+    assert texts == {f"j{i}": t for k in (0, 8) for i, t in ((k, ""), (k + 1, "in"), (k + 2, "plain"), (k + 3, ""), (k + 5, ""), (k + 6, ""), (k + 7, ""))}
